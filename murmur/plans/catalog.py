@@ -260,3 +260,221 @@ SELECT topic_id, id, publish_time, rn FROM (
 WHERE rn <= 50 AND topic_id IN (SELECT id FROM hot_topics)""", "hot_topics"))
 def q_topic_posts(spark, d):
     return L.topic_posts(TB.hot_topics(spark, d), _E(spark, d), 50)
+
+
+# ------------------------------------------------------------------ ingest (S*)
+
+from ..functions import parse as P  # noqa: E402
+from ..functions import text as TX  # noqa: E402
+from ..sources import ingest as I  # noqa: E402
+
+_INGEST_SQL = """,
+existing AS (SELECT platform, post_id, author, likes, crawl_time FROM posts_doc
+             WHERE crawl_time < TIMESTAMP '2024-01-10 00:00:00'),
+incoming AS (SELECT platform, post_id, author, likes, crawl_time FROM posts_doc
+             WHERE crawl_time >= TIMESTAMP '2024-01-07 00:00:00'
+             UNION ALL
+             SELECT platform, post_id, author, likes + 1, crawl_time + INTERVAL 1 HOUR FROM posts_doc
+             WHERE crawl_time >= TIMESTAMP '2024-01-12 00:00:00'),
+firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY platform, post_id
+                                                        ORDER BY crawl_time) AS rn FROM incoming)
+           WHERE rn = 1),
+lasts AS (SELECT platform, post_id, arg_max(likes, crawl_time) AS last_likes
+          FROM incoming GROUP BY platform, post_id)
+"""
+
+
+def _ingest_inputs(spark, d):
+    p = _D(spark, d).select("platform", "post_id", "author", "likes", "crawl_time")
+    existing = p.filter(F.col("crawl_time") < F.lit("2024-01-10 00:00:00").cast("timestamp_ntz"))
+    first = p.filter(F.col("crawl_time") >= F.lit("2024-01-07 00:00:00").cast("timestamp_ntz"))
+    recrawl = (p.filter(F.col("crawl_time") >= F.lit("2024-01-12 00:00:00").cast("timestamp_ntz"))
+                .select("platform", "post_id", "author", (F.col("likes") + 1).alias("likes"),
+                        F.expr("crawl_time + INTERVAL 1 HOUR").alias("crawl_time")))
+    return existing, first.unionByName(recrawl)
+
+
+def _ingest_sql(body):
+    return O.with_ctes(body, "posts_doc").replace(
+        "LEFT JOIN labels l ON l.doc_id = d.doc_id)",
+        "LEFT JOIN labels l ON l.doc_id = d.doc_id)" + _INGEST_SQL, 1)
+
+
+@register("ingest_ignore", _ingest_sql("""
+SELECT platform, post_id, author, likes FROM existing
+UNION ALL
+SELECT platform, post_id, author, likes FROM firsts f
+WHERE NOT EXISTS (SELECT 1 FROM existing e WHERE e.platform = f.platform AND e.post_id = f.post_id)"""))
+def q_ingest_ignore(spark, d):
+    existing, incoming = _ingest_inputs(spark, d)
+    return I.ingest_ignore(existing, incoming).select("platform", "post_id", "author", "likes")
+
+
+@register("ingest_upsert", _ingest_sql("""
+SELECT e.platform, e.post_id, e.author, coalesce(l.last_likes, e.likes) AS likes
+FROM existing e LEFT JOIN lasts l ON l.platform = e.platform AND l.post_id = e.post_id
+UNION ALL
+SELECT f.platform, f.post_id, f.author, l.last_likes AS likes
+FROM firsts f JOIN lasts l ON l.platform = f.platform AND l.post_id = f.post_id
+WHERE NOT EXISTS (SELECT 1 FROM existing e WHERE e.platform = f.platform AND e.post_id = f.post_id)"""))
+def q_ingest_upsert(spark, d):
+    existing, incoming = _ingest_inputs(spark, d)
+    return I.ingest_upsert(existing, incoming, ["likes"]).select("platform", "post_id", "author", "likes")
+
+
+@register("ingest_delta", _ingest_sql("""
+SELECT b.platform, b.before, a.after, a.after - b.before AS saved
+FROM (SELECT platform, COUNT(*) AS before FROM existing GROUP BY platform) b
+JOIN (SELECT platform, COUNT(*) AS after FROM (
+        SELECT platform, post_id FROM existing
+        UNION ALL
+        SELECT platform, post_id FROM firsts f
+        WHERE NOT EXISTS (SELECT 1 FROM existing e WHERE e.platform = f.platform
+                          AND e.post_id = f.post_id)) GROUP BY platform) a
+  ON a.platform = b.platform"""))
+def q_ingest_delta(spark, d):
+    existing, incoming = _ingest_inputs(spark, d)
+    return I.ingest_delta(existing, I.ingest_ignore(existing, incoming))
+
+
+@register("ingest_defaults", O.with_ctes("""
+SELECT platform, post_id,
+       coalesce(nullif(trim(CASE WHEN likes % 7 = 0 THEN ' ' ELSE author END), ''),
+                CASE WHEN platform = 'xiaohongshu' THEN '小红书用户' ELSE '未知用户' END) AS author,
+       coalesce(CASE WHEN likes % 5 = 0 THEN NULL ELSE likes END, 0) AS likes
+FROM posts_doc""", "posts_doc"))
+def q_ingest_defaults(spark, d):
+    # Stand-in gaps: blank authors and missing counters, as a collector delivers them.
+    raw = _D(spark, d).select(
+        "platform", "post_id",
+        F.when(F.col("likes") % 7 == 0, F.lit(" ")).otherwise(F.col("author")).alias("author"),
+        F.when(F.col("likes") % 5 == 0, F.lit(None)).otherwise(F.col("likes")).alias("likes"))
+    return I.with_defaults(raw).select("platform", "post_id", "author", "likes")
+
+
+@register("content_id", O.with_ctes("""
+SELECT id, concat('wb_', md5(concat('weibo_', author, '_', content))) AS content_id
+FROM posts_doc""", "posts_doc"))
+def q_content_id(spark, d):
+    p = _D(spark, d)
+    return p.select("id", I.content_id(F.col("author"), F.col("content")).alias("content_id"))
+
+
+@register("url_id", """
+SELECT page_id,
+       CASE WHEN len(list_filter(string_split(split_part(url, '?', 1), '/'),
+                                 lambda p: regexp_full_match(p, '[a-f0-9]{24}'))) > 0
+            THEN list_filter(string_split(split_part(url, '?', 1), '/'),
+                             lambda p: regexp_full_match(p, '[a-f0-9]{24}'))[-1]
+            ELSE md5(url) END AS url_id
+FROM pages""")
+def q_url_id(spark, d):
+    pages = TB.read(spark, d, "pages").select("page_id", "url")
+    return pages.select("page_id", I.note_id(F.col("url")).alias("url_id"))
+
+
+@register("char_encode", O.with_ctes("""
+SELECT id, CAST(len(list_filter(codes, lambda x: x > 0)) AS INT) AS n_codes,
+       CAST(len(codes) AS INT) AS seq_len,
+       CAST(list_sum(list_transform(codes, lambda x, i: CAST(x AS BIGINT) * i)) AS BIGINT) AS checksum
+FROM (SELECT id, list_concat(
+        list_transform(string_split(substr(content, 1, 1500), ''), lambda c: (unicode(c) % 498) + 2),
+        list_transform(range(1500 - length(substr(content, 1, 1500))), lambda x: 0)) AS codes
+      FROM posts_doc)""", "posts_doc"))
+def q_char_encode(spark, d):
+    codes = TX.char_encode(F.col("content"))
+    p = _D(spark, d).select("id", codes.alias("codes"))
+    return p.select(
+        "id",
+        F.size(F.filter("codes", lambda x: x > 0)).alias("n_codes"),
+        F.size("codes").alias("seq_len"),
+        F.aggregate(F.transform("codes", lambda x, i: x.cast("long") * (i + 1)),
+                    F.lit(0).cast("long"), lambda a, b: a + b).alias("checksum"))
+
+
+def _time_texts(spark, d):
+    """Stand-in scraped time strings in every supported format, one per event."""
+    e = TB.read(spark, d, "events").select("event_id", "ts", "user_id", "event_type")
+    et = F.col("event_type")
+    txt = (F.when(et == "click", F.concat((F.col("user_id") % 60).cast("string"), F.lit(P.MINUTES_AGO)))
+            .when(et == "view", F.concat((F.col("user_id") % 24).cast("string"), F.lit(P.HOURS_AGO)))
+            .when((et == "purchase") & (F.col("user_id") % 3 == 0), F.lit(P.TODAY))
+            .when(et == "purchase", F.concat(F.lit(P.TODAY + " "), F.date_format("ts", "HH:mm")))
+            .when((et == "signup") & (F.col("event_id") % 2 == 0), F.date_format("ts", "MM-dd HH:mm"))
+            .when(et == "signup", F.date_format("ts", "MM月dd日 HH:mm"))
+            .when(F.col("user_id") % 2 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm"))
+            .otherwise(F.lit("garbage")))
+    return e.select(F.col("event_id").alias("id"), txt.alias("text"))
+
+
+@register("parse_time", """
+WITH t AS (
+  SELECT event_id AS id,
+         CASE WHEN event_type = 'click' THEN concat(CAST(user_id % 60 AS VARCHAR), '分钟前')
+              WHEN event_type = 'view' THEN concat(CAST(user_id % 24 AS VARCHAR), '小时前')
+              WHEN event_type = 'purchase' AND user_id % 3 = 0 THEN '今天'
+              WHEN event_type = 'purchase' THEN concat('今天 ', strftime(ts, '%H:%M'))
+              WHEN event_type = 'signup' AND event_id % 2 = 0 THEN strftime(ts, '%m-%d %H:%M')
+              WHEN event_type = 'signup' THEN strftime(ts, '%m月%d日 %H:%M')
+              WHEN user_id % 2 = 0 THEN strftime(ts, '%Y-%m-%d %H:%M')
+              ELSE 'garbage' END AS text
+  FROM events),
+c AS (SELECT id, text,
+             CAST(nullif(regexp_replace(text, '\\D+', '', 'g'), '') AS BIGINT) AS n,
+             trim(regexp_replace(trim(replace(replace(trim(text), '月', '-'), '日', ' ')), '\\s+', ' ', 'g')) AS cleaned
+      FROM t)
+SELECT id, text,
+       CASE WHEN text LIKE '%分钟前%' THEN coalesce(TIMESTAMP '2024-01-30 12:00:00' - n * INTERVAL 1 MINUTE, TIMESTAMP '2024-01-30 12:00:00')
+            WHEN text LIKE '%小时前%' THEN coalesce(TIMESTAMP '2024-01-30 12:00:00' - n * INTERVAL 1 HOUR, TIMESTAMP '2024-01-30 12:00:00')
+            WHEN text LIKE '%今天%' THEN coalesce(
+                 try_strptime(concat('2024-01-30 ', regexp_extract(trim(text), '^今天\\s*(\\d{1,2}:\\d{2})', 1)), '%Y-%m-%d %H:%M'),
+                 CASE WHEN regexp_extract(trim(text), '^今天\\s*(\\d{1,2}:\\d{2})', 1) = '' THEN TIMESTAMP '2024-01-30 12:00:00' END,
+                 TIMESTAMP '2024-01-30 12:00:00')
+            WHEN regexp_full_match(cleaned, '\\d{2}-\\d{2}\\s+\\d{2}:\\d{2}') THEN coalesce(
+                 try_strptime(concat('2024-', cleaned), '%Y-%m-%d %H:%M'), TIMESTAMP '2024-01-30 12:00:00')
+            ELSE coalesce(try_strptime(cleaned, '%Y-%m-%d %H:%M'), TIMESTAMP '2024-01-30 12:00:00')
+       END AS parsed
+FROM c""")
+def q_parse_time(spark, d):
+    t = _time_texts(spark, d)
+    return t.select("id", "text", P.parse_time(F.col("text"), AS_OF).alias("parsed"))
+
+
+def _count_texts(spark, d):
+    """Stand-in scraped counter strings: 万 amounts, separators, plain, label-only, empty."""
+    e = TB.read(spark, d, "events").select("event_id", "value", "event_type")
+    n = F.floor(F.col("value") * 100).cast("long")
+    et = F.col("event_type")
+    wan = F.concat(F.floor(n / 100).cast("long").cast("string"), F.lit("."),
+                   F.lpad((n % 100).cast("string"), 2, "0"), F.lit(P.TEN_THOUSAND))
+    sep = F.when(n >= 1000, F.concat(F.floor(n / 1000).cast("long").cast("string"), F.lit(","),
+                                     F.lpad((n % 1000).cast("string"), 3, "0"))) \
+           .otherwise(n.cast("string"))
+    txt = (F.when(et == "purchase", wan).when(et == "view", sep)
+            .when(et == "click", F.floor("value").cast("long").cast("string"))
+            .when(et == "error", F.lit("赞")).otherwise(F.lit("")))
+    return e.select(F.col("event_id").alias("id"), txt.alias("text"))
+
+
+@register("parse_count", """
+WITH t AS (
+  SELECT event_id AS id,
+         CASE WHEN event_type = 'purchase' THEN concat(CAST(CAST(floor(value * 100) AS BIGINT) // 100 AS VARCHAR), '.',
+                                                      lpad(CAST(CAST(floor(value * 100) AS BIGINT) % 100 AS VARCHAR), 2, '0'), '万')
+              WHEN event_type = 'view' THEN CASE WHEN floor(value * 100) >= 1000
+                   THEN concat(CAST(CAST(floor(value * 100) AS BIGINT) // 1000 AS VARCHAR), ',',
+                               lpad(CAST(CAST(floor(value * 100) AS BIGINT) % 1000 AS VARCHAR), 3, '0'))
+                   ELSE CAST(CAST(floor(value * 100) AS BIGINT) AS VARCHAR) END
+              WHEN event_type = 'click' THEN CAST(CAST(floor(value) AS BIGINT) AS VARCHAR)
+              WHEN event_type = 'error' THEN '赞'
+              ELSE '' END AS text
+  FROM events)
+SELECT id, text,
+       CASE WHEN contains(replace(trim(text), ',', ''), '万')
+            THEN coalesce(CAST(floor(TRY_CAST(trim(replace(replace(trim(text), ',', ''), '万', '')) AS DECIMAL(20,4)) * 10000) AS BIGINT), 0)
+            ELSE coalesce(CAST(nullif(regexp_extract(replace(trim(text), ',', ''), '(\\d+)', 1), '') AS BIGINT), 0)
+       END AS value
+FROM t""")
+def q_parse_count(spark, d):
+    t = _count_texts(spark, d)
+    return t.select("id", "text", P.parse_count(F.col("text")).alias("value"))
