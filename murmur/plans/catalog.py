@@ -478,3 +478,169 @@ FROM t""")
 def q_parse_count(spark, d):
     t = _count_texts(spark, d)
     return t.select("id", "text", P.parse_count(F.col("text")).alias("value"))
+
+
+# ------------------------------------------------------------------ alerts (L*)
+
+from ..operators import alerts as AL  # noqa: E402
+from ..operators import notify as N  # noqa: E402
+
+HIT_WORDS = ["password", "License", "secret", "@", "the"]
+
+
+@register("keyword_hits", O.with_ctes("""
+SELECT id, CASE WHEN contains(content, 'password') THEN 'password'
+                WHEN contains(content, 'License') THEN 'License'
+                WHEN contains(content, 'secret') THEN 'secret'
+                WHEN contains(content, '@') THEN '@'
+                WHEN contains(content, 'the') THEN 'the' END AS matched_word
+FROM posts_doc
+WHERE contains(content, 'password') OR contains(content, 'License') OR contains(content, 'secret')
+   OR contains(content, '@') OR contains(content, 'the')""", "posts_doc"))
+def q_keyword_hits(spark, d):
+    return AL.keyword_hits(_D(spark, d), HIT_WORDS)
+
+
+@register("alert_keyword", O.with_ctes("""
+SELECT id, matched_word, 'warning' AS severity, concat('敏感词触发: ', matched_word) AS title,
+       substr(content, 1, 80) AS content_preview
+FROM (SELECT id, content,
+             CASE WHEN contains(content, 'error') THEN 'error'
+                  WHEN contains(content, 'purchase') THEN 'purchase' END AS matched_word
+      FROM posts_event WHERE crawl_time >= TIMESTAMP '2024-01-29 12:00:00')
+WHERE matched_word IS NOT NULL""", "posts_event"))
+def q_alert_keyword(spark, d):
+    a = AL.keyword_alerts(_E(spark, d), ["error", "purchase"], AS_OF, lookback_minutes=24 * 60)
+    return a.select("id", "matched_word", "severity", "title", "content_preview")
+
+
+MONITOR_ROWS = [("purchase", "all", True), ("error", "weibo", True), ('"k": 1', "xiaohongshu", True),
+                ("AI", "all", True), ("view", "all", False)]
+
+
+@register("monitored_posts", O.with_ctes("""
+SELECT k.keyword, p.platform, COUNT(*) AS hits
+FROM posts_event p
+JOIN (VALUES ('purchase', 'all', true), ('error', 'weibo', true), ('"k": 1', 'xiaohongshu', true),
+             ('AI', 'all', true), ('view', 'all', false)) k(keyword, platform, enabled)
+  ON k.enabled AND (k.platform = 'all' OR k.platform = p.platform)
+ AND contains(lower(p.content), lower(k.keyword))
+GROUP BY k.keyword, p.platform""", "posts_event"))
+def q_monitored_posts(spark, d):
+    return AL.monitored_posts(_E(spark, d), TB.keywords_table(spark, MONITOR_ROWS))
+
+
+@register("alert_negative_surge", O.with_ctes("""
+SELECT 'negative_surge' AS alert_type,
+       CASE WHEN negative_posts / total_posts >= 0.8 THEN 'critical' ELSE 'warning' END AS severity,
+       total_posts, negative_posts,
+       floor(negative_posts / total_posts * 1000.0 + 0.5) / 10.0 AS negative_ratio
+FROM (SELECT COUNT(sentiment) AS total_posts, COUNT(*) FILTER (WHERE sentiment = 0) AS negative_posts
+      FROM posts_event WHERE crawl_time >= TIMESTAMP '2024-01-29 12:00:00')
+WHERE total_posts >= 5 AND negative_posts / total_posts >= 0.4""", "posts_event"))
+def q_alert_negative_surge(spark, d):
+    a = AL.negative_surge(_E(spark, d), AS_OF, threshold=0.4, min_posts=5, window_hours=24)
+    return a.select("alert_type", "severity", "total_posts", "negative_posts", "negative_ratio")
+
+
+@register("alert_topic_growth", O.with_ctes("""
+SELECT topic_id, CASE WHEN g >= 1 + 2 * 0.6 THEN 'critical' ELSE 'warning' END AS severity,
+       current_count, previous_count, floor(g * 100 + 0.5) / 100 AS growth_rate
+FROM (SELECT t.id AS topic_id, c.current_count, c.previous_count,
+             c.current_count / c.previous_count AS g
+      FROM hot_topics t
+      JOIN (SELECT topic_id,
+                   COUNT(*) FILTER (WHERE crawl_time >= TIMESTAMP '2024-01-10 12:00:00') AS current_count,
+                   COUNT(*) FILTER (WHERE crawl_time < TIMESTAMP '2024-01-10 12:00:00') AS previous_count
+            FROM posts_event WHERE topic_id IS NOT NULL GROUP BY topic_id) c ON c.topic_id = t.id
+      WHERE t.status = 'active' AND t.last_updated >= TIMESTAMP '2024-01-10 12:00:00'
+        AND t.first_seen IS NOT NULL AND c.previous_count >= 5)
+WHERE g >= 1 + 0.6""", "hot_topics"))
+def q_alert_topic_growth(spark, d):
+    a = AL.topic_growth_alerts(TB.hot_topics(spark, d), _E(spark, d), AS_OF, rate=0.6, window_hours=480)
+    return a.select("topic_id", "severity", "current_count", "previous_count", "growth_rate")
+
+
+SILENCE_HOURS = {"negative_surge": 24, "keyword_trigger": 1, "topic_growth": 48}
+SILENCE_SPLIT = "2024-01-25 00:00:00"
+
+
+@register("alert_silence", O.with_ctes("""
+SELECT c.id, c.alert_type, c.related_topic_id,
+       EXISTS (SELECT 1 FROM alerts p
+               WHERE p.created_at < TIMESTAMP '2024-01-25 00:00:00'
+                 AND p.alert_type = c.alert_type
+                 AND p.related_topic_id IS NOT DISTINCT FROM c.related_topic_id
+                 AND p.created_at <= c.created_at
+                 AND p.created_at >= c.created_at - (CASE c.alert_type WHEN 'negative_surge' THEN 24
+                        WHEN 'keyword_trigger' THEN 1 ELSE 48 END) * INTERVAL 1 HOUR) AS suppressed
+FROM alerts c WHERE c.created_at >= TIMESTAMP '2024-01-25 00:00:00'""", "alerts"))
+def q_alert_silence(spark, d):
+    a = TB.alerts(spark, d)
+    split = F.lit(SILENCE_SPLIT).cast("timestamp_ntz")
+    cand = a.filter(F.col("created_at") >= split)
+    prior = a.filter(F.col("created_at") < split)
+    return AL.silence(cand, prior, SILENCE_HOURS).select("id", "alert_type", "related_topic_id", "suppressed")
+
+
+@register("negative_surge_backtest", O.with_ctes("""
+SELECT e.minute, CAST(SUM(m.n) AS BIGINT) AS total, CAST(SUM(m.neg) AS BIGINT) AS negative,
+       round(SUM(m.neg) / SUM(m.n), 6) AS ratio,
+       (SUM(m.n) >= 5 AND SUM(m.neg) / SUM(m.n) >= 0.6) AS fires
+FROM (SELECT DISTINCT m + k * INTERVAL 1 MINUTE AS minute FROM mins, range(0, 60) r(k)) e
+JOIN mins m ON m.m BETWEEN e.minute - INTERVAL 59 MINUTE AND e.minute
+GROUP BY e.minute""", "posts_event", extra="""mins AS (
+  SELECT date_trunc('minute', crawl_time) AS m, COUNT(*) AS n,
+         COUNT(*) FILTER (WHERE sentiment = 0) AS neg
+  FROM posts_event WHERE sentiment IS NOT NULL GROUP BY 1)"""))
+def q_negative_surge_backtest(spark, d):
+    return AL.negative_surge_backtest(_E(spark, d), 60, 0.6, 5)
+
+
+_JDT = """(strftime(created_at, '%Y-%m-%dT%H:%M') ||
+  CASE WHEN strftime(created_at, '%S') = '00' AND strftime(created_at, '%f') = '000000' THEN ''
+       WHEN strftime(created_at, '%f') = '000000' THEN ':' || strftime(created_at, '%S')
+       WHEN substr(strftime(created_at, '%f'), 4, 3) = '000'
+            THEN ':' || strftime(created_at, '%S') || '.' || substr(strftime(created_at, '%f'), 1, 3)
+       ELSE ':' || strftime(created_at, '%S') || '.' || strftime(created_at, '%f') END)"""
+_SEV = ("CASE severity WHEN 'critical' THEN '严重' WHEN 'warning' THEN '警告' "
+        "WHEN 'info' THEN '提示' ELSE severity END")
+_TYP = ("CASE alert_type WHEN 'negative_surge' THEN '负面舆情突增' WHEN 'keyword_trigger' "
+        "THEN '敏感词触发' WHEN 'topic_growth' THEN '话题异常增长' ELSE alert_type END")
+
+
+@register("notification_outbox", O.with_ctes(f"""
+SELECT id AS alert_id, 'email' AS channel,
+       CAST(json_object('subject', '[舆情预警] ' || title,
+                        'text', '舆情分析平台预警通知' || chr(10) || '========================' || chr(10) || chr(10)
+                          || '级别: ' || {_SEV} || chr(10) || '类型: ' || {_TYP} || chr(10)
+                          || '标题: ' || title || chr(10) || '详情: ' || description || chr(10)
+                          || '时间: ' || {_JDT} || chr(10) || chr(10) || '请及时处理。' || chr(10)) AS VARCHAR) AS payload
+FROM alerts WHERE severity = 'critical'
+UNION ALL
+SELECT id AS alert_id, 'webhook' AS channel,
+       CAST(json_object('msgtype', 'markdown', 'markdown', json_object('content',
+            '### ' || CASE WHEN severity = 'critical' THEN '🔴' ELSE '🟡' END || ' 舆情预警' || chr(10)
+            || '> 级别: **' || {_SEV} || '**' || chr(10) || '> 类型: ' || {_TYP} || chr(10)
+            || '> 详情: ' || description || chr(10) || '> 时间: ' || {_JDT})) AS VARCHAR) AS payload
+FROM alerts WHERE severity IN ('warning', 'critical')""", "alerts"))
+def q_notification_outbox(spark, d):
+    return N.notification_outbox(TB.alerts(spark, d), "wechat")
+
+
+ORACLE_RULES = [
+    (1, "Negative Surge", "negative_surge",
+     '{"negativeRatioThreshold": 0.4, "minPostCount": 5, "windowHours": 24, "silenceHours": 24}', True),
+    (2, "Keyword Trigger", "keyword_trigger",
+     '{"sensitiveWords": ["error", "purchase"], "silenceHours": 1}', True),
+    (3, "Topic Growth", "topic_growth",
+     '{"growthRateThreshold": 1.1, "windowHours": 480, "silenceHours": 48}', True),
+]
+
+
+@register("alerts_all")
+def q_alerts_all(spark, d):
+    """L4: all enabled rules over the posts, silenced against the alerts table."""
+    rules = TB.rules_table(spark, ORACLE_RULES)
+    return AL.evaluate_rules(_E(spark, d), TB.hot_topics(spark, d), rules, TB.alerts(spark, d),
+                             AS_OF, keyword_lookback_minutes=24 * 60)
