@@ -644,3 +644,175 @@ def q_alerts_all(spark, d):
     rules = TB.rules_table(spark, ORACLE_RULES)
     return AL.evaluate_rules(_E(spark, d), TB.hot_topics(spark, d), rules, TB.alerts(spark, d),
                              AS_OF, keyword_lookback_minutes=24 * 60)
+
+
+# ------------------------------------------------------- text and clustering
+
+from ..operators import cluster as CL  # noqa: E402
+from ..operators import similarity as SIM  # noqa: E402
+from ..operators import tfidf as TF  # noqa: E402
+
+
+def _duck_tokens(expr: str, stop: list[str]) -> str:
+    stops = "[" + ", ".join("'" + w + "'" for w in stop) + "]"
+    return (
+        "list_filter(flatten(list_transform(regexp_split_to_array(lower(regexp_replace("
+        f"coalesce({expr}, ''), '(\\p{{Han}}+)', ' \\1 ', 'g')), '[^\\p{{L}}\\p{{N}}]+'), "
+        "lambda p: CASE WHEN regexp_full_match(p, '\\p{Han}+') AND length(p) >= 2 "
+        "THEN list_transform(range(1, length(p)), lambda i: substr(p, i, 2)) ELSE [p] END)), "
+        f"lambda w: length(w) >= 2 AND NOT list_contains({stops}, w))")
+
+
+TOK_TOPIC = _duck_tokens("content", TX.STOP_WORDS_TOPIC)
+TOK_KEYWORD = _duck_tokens("content", TX.STOP_WORDS_KEYWORD)
+
+_TOKS = f"""toks AS (SELECT id, unnest({TOK_TOPIC}) AS term FROM posts_doc),
+ptf AS (SELECT id, term, COUNT(*) AS tf FROM toks GROUP BY id, term),
+pdf AS (SELECT term, COUNT(*) AS df FROM ptf GROUP BY term),
+vocab AS (SELECT term, df FROM pdf WHERE df >= 2 ORDER BY df DESC, term LIMIT 5000)"""
+
+
+@register("tokens", O.with_ctes("SELECT id, term, tf FROM ptf", "posts_doc", extra=_TOKS))
+def q_tokens(spark, d):
+    return TF.post_tokens(_D(spark, d))
+
+
+@register("doc_freq", O.with_ctes("SELECT term, df FROM pdf", "posts_doc", extra=_TOKS))
+def q_doc_freq(spark, d):
+    return TF.doc_freq(TF.text_stats(_D(spark, d)))
+
+
+@register("vocabulary", O.with_ctes("SELECT term, df FROM vocab", "posts_doc", extra=_TOKS))
+def q_vocabulary(spark, d):
+    return TF.vocabulary(TF.doc_freq(TF.text_stats(_D(spark, d))))
+
+
+@register("tfidf", O.with_ctes("""
+SELECT t.id, t.term,
+       round((0.5 + 0.5 * t.tf / m.mc) * ln((SELECT COUNT(*) FROM posts_doc) / (1 + v.df)), 6) AS weight
+FROM ptf t JOIN (SELECT id, max(tf) AS mc FROM ptf GROUP BY id) m ON m.id = t.id
+JOIN vocab v ON v.term = t.term""", "posts_doc", extra=_TOKS))
+def q_tfidf(spark, d):
+    st = TF.text_stats(_D(spark, d))
+    w = TF.tfidf(st, TF.vocabulary(TF.doc_freq(st)))
+    return TF.expand_to_posts(w.select("h", "term", F.round("weight", 6).alias("weight")), st)
+
+
+@register("post_keywords", O.with_ctes(f"""
+SELECT id, rank, term FROM (
+  SELECT id, term, CAST(row_number() OVER (PARTITION BY id ORDER BY c DESC, term) AS BIGINT) AS rank
+  FROM (SELECT id, term, COUNT(*) AS c
+        FROM (SELECT id, unnest({TOK_KEYWORD}) AS term FROM posts_doc) GROUP BY id, term))
+WHERE rank <= 5""", "posts_doc"))
+def q_post_keywords(spark, d):
+    return TF.post_keywords(_D(spark, d), 5)
+
+
+def _cluster_ctes(threshold: float, min_samples: int) -> str:
+    return f"""texts AS (SELECT content, min(id) AS uid, COUNT(*) AS mult FROM posts_doc GROUP BY content),
+post_uid AS (SELECT p.id, t.uid FROM posts_doc p JOIN texts t ON t.content = p.content),
+ttok AS (SELECT uid, unnest({TOK_TOPIC}) AS term FROM texts),
+tf AS (SELECT uid, term, COUNT(*) AS c FROM ttok GROUP BY uid, term),
+mx AS (SELECT uid, max(c) AS mc FROM tf GROUP BY uid),
+df AS (SELECT tf.term, SUM(t.mult) AS df FROM tf JOIN texts t ON t.uid = tf.uid GROUP BY tf.term),
+vocab AS (SELECT term, df FROM df WHERE df >= 2 ORDER BY df DESC, term LIMIT 5000),
+w AS (SELECT tf.uid, tf.term,
+             (0.5 + 0.5 * tf.c / mx.mc) * ln((SELECT COUNT(*) FROM posts_doc) / (1 + vocab.df)) AS w
+      FROM tf JOIN mx ON mx.uid = tf.uid JOIN vocab ON vocab.term = tf.term),
+nrm AS (SELECT uid, sqrt(SUM(w * w)) AS nr FROM w GROUP BY uid HAVING SUM(w * w) > 0),
+u AS (SELECT w.uid, w.term, w.w / nrm.nr AS u FROM w JOIN nrm ON nrm.uid = w.uid),
+pairs AS (SELECT a.uid AS i, b.uid AS j, SUM(a.u * b.u) AS sim
+          FROM u a JOIN u b ON a.term = b.term AND a.uid < b.uid GROUP BY a.uid, b.uid
+          HAVING SUM(a.u * b.u) >= {threshold} - 1e-9),
+edges AS (SELECT i AS src, j AS dst FROM pairs UNION ALL SELECT j AS src, i AS dst FROM pairs),
+deg AS (SELECT t.uid,
+               (CASE WHEN t.uid IN (SELECT uid FROM nrm) THEN t.mult ELSE 0 END)
+               + coalesce((SELECT SUM(t2.mult) FROM edges e JOIN texts t2 ON t2.uid = e.dst
+                           WHERE e.src = t.uid), 0) AS degree
+        FROM texts t),
+core AS (SELECT uid FROM deg WHERE degree >= {min_samples}),
+cedges AS (SELECT src, dst FROM edges WHERE src IN (SELECT uid FROM core) AND dst IN (SELECT uid FROM core)),
+reach(src, dst) AS (SELECT uid, uid FROM core UNION SELECT r.src, e.dst FROM reach r JOIN cedges e ON e.src = r.dst),
+comp AS (SELECT src AS uid, min(dst) AS label FROM reach GROUP BY src),
+border AS (SELECT e.dst AS uid, min(c.label) AS label FROM edges e JOIN comp c ON c.uid = e.src
+           WHERE e.dst NOT IN (SELECT uid FROM core) GROUP BY e.dst),
+db_labels AS (SELECT uid, label FROM comp UNION ALL SELECT uid, label FROM border),
+ranked AS (SELECT uid, row_number() OVER (ORDER BY uid) AS rk,
+                  (SELECT list(e.dst) FROM cedges e WHERE e.src = core.uid) AS nbrs FROM core),
+walk(rk, centres) AS (SELECT 0, CAST([] AS BIGINT[])
+                      UNION ALL
+                      SELECT w.rk + 1, CASE WHEN list_has_any(w.centres, coalesce(r.nbrs, CAST([] AS BIGINT[])))
+                                            THEN w.centres ELSE list_append(w.centres, r.uid) END
+                      FROM walk w JOIN ranked r ON r.rk = w.rk + 1),
+centres AS (SELECT unnest(centres) AS uid FROM walk WHERE rk = (SELECT max(rk) FROM walk)),
+ld_labels AS (SELECT uid, min(label) AS label FROM (
+                SELECT uid, uid AS label FROM centres
+                UNION ALL
+                SELECT e.dst AS uid, e.src AS label FROM edges e WHERE e.src IN (SELECT uid FROM centres))
+              GROUP BY uid)"""
+
+
+def _cluster_sql(body: str, threshold: float, min_samples: int) -> str:
+    s = O.with_ctes(body, "posts_doc", extra=_cluster_ctes(threshold, min_samples))
+    return "WITH RECURSIVE " + s[len("WITH "):]
+
+
+def _cluster_inputs(spark, d, threshold):
+    st = TF.text_stats(_D(spark, d))
+    vocab = TF.vocabulary(TF.doc_freq(st))
+    w = TF.tfidf(st, vocab)
+    pairs = SIM.similar_pairs(w, vocab, threshold)
+    return st, w, pairs
+
+
+def _clusters(spark, d, eps, min_samples, method):
+    st, w, pairs = _cluster_inputs(spark, d, 1.0 - eps)
+    fn = CL.dbscan if method == "dbscan" else CL.leader
+    lab = fn(st.texts, SIM.nonzero_texts(w), pairs, min_samples)
+    return st, CL.labels_to_posts(lab, st.members)
+
+
+@register("similar_pairs", _cluster_sql(
+    "SELECT i, j, round(sim, 6) AS similarity FROM pairs", 0.7, 5))
+def q_similar_pairs(spark, d):
+    _, _, pairs = _cluster_inputs(spark, d, 0.7)
+    return pairs.select("i", "j", F.round("similarity", 6).alias("similarity"))
+
+
+@register("core_posts", _cluster_sql(
+    "SELECT p.id, d.degree FROM post_uid p JOIN deg d ON d.uid = p.uid WHERE d.degree >= 5", 0.7, 5))
+def q_core_posts(spark, d):
+    st, w, pairs = _cluster_inputs(spark, d, 0.7)
+    deg = CL.degrees(st.texts, SIM.nonzero_texts(w), pairs).filter(F.col("degree") >= 5)
+    return deg.join(st.members, "uid").select("id", "degree")
+
+
+@register("dbscan_clusters", _cluster_sql(
+    "SELECT p.id, l.label FROM post_uid p JOIN db_labels l ON l.uid = p.uid", 0.7, 5))
+def q_dbscan_clusters(spark, d):
+    return _clusters(spark, d, 0.3, 5, "dbscan")[1]
+
+
+@register("leader_clusters", _cluster_sql(
+    "SELECT p.id, l.label FROM post_uid p JOIN ld_labels l ON l.uid = p.uid", 0.7, 5))
+def q_leader_clusters(spark, d):
+    return _clusters(spark, d, 0.3, 5, "leader")[1]
+
+
+@register("dbscan_clusters_wide", _cluster_sql(
+    "SELECT p.id, l.label FROM post_uid p JOIN db_labels l ON l.uid = p.uid", 0.3, 3))
+def q_dbscan_clusters_wide(spark, d):
+    return _clusters(spark, d, 0.7, 3, "dbscan")[1]
+
+
+@register("leader_clusters_wide", _cluster_sql(
+    "SELECT p.id, l.label FROM post_uid p JOIN ld_labels l ON l.uid = p.uid", 0.3, 3))
+def q_leader_clusters_wide(spark, d):
+    return _clusters(spark, d, 0.7, 3, "leader")[1]
+
+
+@register("cluster_summary", _cluster_sql("""
+SELECT l.label, COUNT(*) AS size FROM post_uid p JOIN db_labels l ON l.uid = p.uid
+GROUP BY l.label HAVING COUNT(*) >= 5""", 0.7, 5))
+def q_cluster_summary(spark, d):
+    return CL.cluster_summary(_clusters(spark, d, 0.3, 5, "dbscan")[1], 5)
