@@ -816,3 +816,111 @@ SELECT l.label, COUNT(*) AS size FROM post_uid p JOIN db_labels l ON l.uid = p.u
 GROUP BY l.label HAVING COUNT(*) >= 5""", 0.7, 5))
 def q_cluster_summary(spark, d):
     return CL.cluster_summary(_clusters(spark, d, 0.3, 5, "dbscan")[1], 5)
+
+
+# ------------------------------------------------------------------ topics (C*)
+
+from ..operators import topics as TP  # noqa: E402
+
+
+@register("topic_metrics", O.with_ctes("""
+SELECT topic_id, COUNT(*) AS post_count,
+       round(COUNT(*) FILTER (WHERE sentiment = 1) / COUNT(*), 6) AS sentiment_ratio,
+       round(COUNT(*) * (1 + avg(coalesce(likes, 0)) / 100.0) * 1.0, 6) AS heat_score
+FROM posts_event WHERE topic_id IS NOT NULL GROUP BY topic_id""", "posts_event"))
+def q_topic_metrics(spark, d):
+    m = TP.topic_metrics(_E(spark, d).filter(F.col("topic_id").isNotNull()), "topic_id")
+    return m.select("topic_id", "post_count", F.round("sentiment_ratio", 6).alias("sentiment_ratio"),
+                    F.round("heat_score", 6).alias("heat_score"))
+
+
+@register("topic_trend", O.with_ctes("""
+SELECT topic_id, hour, ratio FROM (
+  SELECT topic_id, hour, ratio, row_number() OVER (PARTITION BY topic_id ORDER BY hour DESC) AS rn
+  FROM (SELECT topic_id, strftime(crawl_time, '%Y-%m-%d %H:00:00') AS hour,
+               round(COUNT(*) FILTER (WHERE sentiment = 1) / COUNT(*), 6) AS ratio
+        FROM posts_event WHERE topic_id IS NOT NULL AND sentiment IS NOT NULL GROUP BY 1, 2))
+WHERE rn <= 72""", "posts_event"))
+def q_topic_trend(spark, d):
+    return TP.topic_trend(_E(spark, d))
+
+
+def _kw_sql(labels: str, min_size: int) -> str:
+    return f"""(SELECT label, list(term ORDER BY rn) AS kws,
+        string_agg(term, '/' ORDER BY rn) FILTER (WHERE rn <= 3) AS topic_name,
+        string_agg(term, ',' ORDER BY rn) AS keywords
+ FROM (SELECT label, term, row_number() OVER (PARTITION BY label ORDER BY cnt DESC, term) AS rn
+       FROM (SELECT l.label, tk.term, COUNT(*) AS cnt
+             FROM (SELECT id, unnest({TOK_TOPIC}) AS term FROM posts_doc) tk
+             JOIN post_uid p ON p.id = tk.id JOIN {labels} l ON l.uid = p.uid GROUP BY 1, 2))
+ WHERE rn <= 8 AND label IN (SELECT l.label FROM post_uid p JOIN {labels} l ON l.uid = p.uid
+                             GROUP BY l.label HAVING COUNT(*) >= {min_size})
+ GROUP BY label)"""
+
+
+def _named_clusters(st, labels, min_size):
+    post_labels = CL.labels_to_posts(labels, st.members)
+    big = CL.cluster_summary(post_labels, min_size).select("label")
+    lab = labels.join(big, "label", "left_semi")
+    return TP.top_terms(TP.cluster_term_counts(st.tf, st.texts, lab)), post_labels, lab
+
+
+@register("topic_terms", _cluster_sql(
+    "SELECT label, topic_name, keywords FROM " + _kw_sql("db_labels", 5), 0.7, 5))
+def q_topic_terms(spark, d):
+    st, w, pairs = _cluster_inputs(spark, d, 0.7)
+    labels = CL.dbscan(st.texts, SIM.nonzero_texts(w), pairs, 5)
+    return _named_clusters(st, labels, 5)[0].select("label", "topic_name", "keywords")
+
+
+@register("topic_similarity", _cluster_sql(f"""
+SELECT a.label, b.label AS topic_id,
+       round(len(list_intersect(a.kws, b.kws)) / len(list_distinct(list_concat(a.kws, b.kws))), 6) AS jaccard
+FROM {_kw_sql("db_labels", 3)} a, {_kw_sql("ld_labels", 3)} b
+WHERE len(list_intersect(a.kws, b.kws)) / len(list_distinct(list_concat(a.kws, b.kws))) >= 0.5""", 0.3, 3))
+def q_topic_similarity(spark, d):
+    st, w, pairs = _cluster_inputs(spark, d, 0.3)
+    pairs = CL._cut(pairs)
+    nz = SIM.nonzero_texts(w)
+    new = _named_clusters(st, CL.dbscan(st.texts, nz, pairs, 3), 3)[0]
+    old = _named_clusters(st, CL.leader(st.texts, nz, pairs, 3), 3)[0]
+    j = TP.jaccard_pairs(new, old.withColumnRenamed("label", "topic_id"), 0.5)
+    return j.select("label", "topic_id", F.round("jaccard", 6).alias("jaccard"))
+
+
+def _merge_run(spark, d):
+    """Existing topics = leader clusters (eps 0.7, min 3) of the posts crawled
+    before 2024-01-08; the run clusters all posts (DBSCAN eps 0.7, min 3)."""
+    posts = _D(spark, d)
+    early = posts.filter(F.col("crawl_time") < F.lit("2024-01-08 00:00:00").cast("timestamp_ntz"))
+    st0 = TF.text_stats(early)
+    v0 = TF.vocabulary(TF.doc_freq(st0))
+    w0 = TF.tfidf(st0, v0)
+    p0 = SIM.similar_pairs(w0, v0, 0.3)
+    old_named, old_posts, _ = _named_clusters(st0, CL._cut(CL.leader(st0.texts, SIM.nonzero_texts(w0), p0, 3)), 3)
+    meta = posts.select("id", "sentiment", "likes", "crawl_time")
+    old_m = TP.topic_metrics(old_posts.join(meta, "id"))
+    topics = (old_named.join(old_m, "label")
+              .join(old_posts.join(meta, "id").groupBy("label").agg(F.min("crawl_time").alias("first_seen"),
+                                                                      F.max("crawl_time").alias("last_updated")), "label")
+              .select(F.col("label").alias("id"), "topic_name", "keywords", "keyword_list", "post_count",
+                      "sentiment_ratio", "heat_score", "first_seen", "last_updated", F.lit("active").alias("status")))
+    st, w, pairs = _cluster_inputs(spark, d, 0.3)
+    named, post_labels, _ = _named_clusters(st, CL._cut(CL.dbscan(st.texts, SIM.nonzero_texts(w), pairs, 3)), 3)
+    post_labels = CL._cut(post_labels)
+    clusters = CL._cut(named.join(TP.topic_metrics(post_labels.join(meta, "id")), "label"))
+    merged, assign = TP.merge_topics(clusters, CL._cut(topics), AS_OF, threshold=0.5)
+    return posts, post_labels, merged, assign
+
+
+@register("merge_topics")
+def q_merge_topics(spark, d):
+    _, _, merged, _ = _merge_run(spark, d)
+    return merged.select("id", "topic_name", "post_count", F.round("sentiment_ratio", 6).alias("sentiment_ratio"),
+                         F.round("heat_score", 6).alias("heat_score"), "status")
+
+
+@register("link_topics")
+def q_link_topics(spark, d):
+    posts, post_labels, _, assign = _merge_run(spark, d)
+    return TP.link_topics(posts, post_labels, assign)
