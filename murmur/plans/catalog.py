@@ -924,3 +924,53 @@ def q_merge_topics(spark, d):
 def q_link_topics(spark, d):
     posts, post_labels, _, assign = _merge_run(spark, d)
     return TP.link_topics(posts, post_labels, assign)
+
+
+# --------------------------------------------------------------- streaming (ST*)
+
+from ..streaming import streams as ST  # noqa: E402
+
+
+@register("stream_dedup", O.with_ctes(
+    "SELECT platform, post_id, author, likes FROM posts_event", "posts_event"))
+def q_stream_dedup(spark, d):
+    """ST1: the events stream read twice (every post delivered twice), deduplicated."""
+    s = ST.event_posts_stream(spark, d).unionByName(ST.event_posts_stream(spark, d))
+    out = ST.run_append(ST.stream_dedup(s).select("platform", "post_id", "author", "likes", "crawl_time"),
+                        "stream_dedup")
+    return spark.read.parquet(out).select("platform", "post_id", "author", "likes")
+
+
+@register("stream_trend", ORACLE["sentiment_trend"])
+def q_stream_trend(spark, d):
+    """ST3: equals ``sentiment_trend`` (168 h) computed as a stream."""
+    from datetime import timedelta
+    out = ST.run_update(ST.stream_trend(ST.event_posts_stream(spark, d), AS_OF - timedelta(hours=168)),
+                        "stream_trend")
+    return ST.latest(spark, out, ["hour"]).select("hour", "total", "positive", "negative")
+
+
+@register("stream_surge", O.with_ctes("""
+SELECT e.minute, CAST(SUM(m.n) AS BIGINT) AS total, CAST(SUM(m.neg) AS BIGINT) AS negative,
+       round(SUM(m.neg) / SUM(m.n), 6) AS ratio
+FROM (SELECT DISTINCT m + k * INTERVAL 1 MINUTE AS minute FROM mins, range(0, 60) r(k)) e
+JOIN mins m ON m.m BETWEEN e.minute - INTERVAL 59 MINUTE AND e.minute
+GROUP BY e.minute""", "posts_event", extra="""mins AS (
+  SELECT date_trunc('minute', crawl_time) AS m, COUNT(*) AS n,
+         COUNT(*) FILTER (WHERE sentiment = 0) AS neg
+  FROM posts_event WHERE sentiment IS NOT NULL GROUP BY 1)"""))
+def q_stream_surge(spark, d):
+    """ST4: equals ``negative_surge_backtest`` computed on sliding stream windows."""
+    out = ST.run_update(ST.stream_surge(ST.event_posts_stream(spark, d), 60), "stream_surge")
+    r = ST.latest(spark, out, ["minute"])
+    return r.select("minute", "total", "negative",
+                    F.round(F.col("negative") / F.col("total"), 6).alias("ratio"))
+
+
+@register("live_feed", O.with_ctes("""
+SELECT id, publish_time, sentiment FROM posts_event
+ORDER BY publish_time DESC, id DESC LIMIT 200""", "posts_event"))
+def q_live_feed(spark, d):
+    """ST6: rolling buffer of the 200 newest posts fed by the events stream."""
+    path = ST.live_feed(ST.event_posts_stream(spark, d), 200)
+    return spark.read.parquet(path)
