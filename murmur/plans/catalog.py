@@ -974,3 +974,42 @@ def q_live_feed(spark, d):
     """ST6: rolling buffer of the 200 newest posts fed by the events stream."""
     path = ST.live_feed(ST.event_posts_stream(spark, d), 200)
     return spark.read.parquet(path)
+
+
+# ----------------------------------------------------------------- scoring (M*)
+
+from ..operators import score as SC  # noqa: E402
+
+
+def _labelled(spark, d):
+    """Posts of the documents with a quality label, used as the sentiment label."""
+    return _D(spark, d).filter(F.col("sentiment").isNotNull()) \
+                       .select("id", "content", F.col("sentiment").alias("label"))
+
+
+def _split(df):
+    # Deterministic split on a hash of the id: 80 % train, 20 % test.
+    h = F.abs(F.xxhash64("id")) % 10
+    return df.filter(h < 8), df.filter(h >= 8)
+
+
+@register("train_eval")
+def q_train_eval(spark, d):
+    """M3: train the default classifier on 80 % of the labelled posts, evaluate on the rest."""
+    tr, te = _split(_labelled(spark, d))
+    return SC.evaluate(SC.train(tr), te)
+
+
+@register("score_posts")
+def q_score_posts(spark, d):
+    """M1: every post scored by the classifier trained on the labelled posts."""
+    model = SC.train(_labelled(spark, d))
+    return SC.score_posts(_D(spark, d).select("id", "content"), model).select("id", "sentiment", "sentiment_score")
+
+
+@register("analyze_batch")
+def q_analyze_batch(spark, d):
+    """M4: pending posts scored and given keywords, merged into the posts table."""
+    model = SC.train(_labelled(spark, d))
+    out = SC.analyze_batch(_D(spark, d), model, 5)
+    return out.select("id", "sentiment", "sentiment_score", "analyze_status", "keywords")
