@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime as _dt
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,8 +40,6 @@ ALERT_COLUMNS = ["alert_type", "severity", "title", "description", "related_topi
 # ---------------------------------------------------------------- matching
 
 def _ac_first_match(words: list[str]):
-    import pandas as pd
-
     @F.pandas_udf(T.StringType())
     def first_word(content: pd.Series) -> pd.Series:
         import ahocorasick
