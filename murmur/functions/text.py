@@ -37,28 +37,46 @@ CHAR_VOCAB = 500
 SPLIT_PATTERN = r"[^\p{L}\p{N}]+"
 HAN_RUN = r"(\p{IsHan}+)"
 HAN_ONLY = r"^\p{IsHan}+$"
+HAN_ANY = r"\p{IsHan}"
 
 
 def _sql_list(words) -> str:
     return "array(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
 
 
+def _is_han_word(w: str) -> bool:
+    r"""Same Unicode script test as the JVM's ``\p{IsHan}``."""
+    import regex
+    return regex.search(r"\p{Han}", w) is not None
+
+
 def tokenize(text: Column, stop_words=None, min_len: int = 2) -> Column:
     """Lower-cased tokens of length >= ``min_len`` not in the stop list.
 
     Letters/digits runs are tokens; a run of Han characters becomes its
-    overlapping bigrams.  Returns array<string> (duplicates kept).
+    overlapping bigrams.  Returns array<string> (duplicates kept).  A text
+    without Han characters takes a plain split; only stop words without Han
+    characters can occur in it, so only those are tested there.
     """
-    stop = STOP_WORDS_TOPIC if stop_words is None else stop_words
-    spaced = F.regexp_replace(F.coalesce(text, F.lit("")), HAN_RUN, " $1 ")
+    stop = STOP_WORDS_TOPIC if stop_words is None else list(stop_words)
+    src = F.coalesce(text, F.lit(""))
+
+    def keep(words):
+        arr = F.expr(_sql_list(words)) if words else None
+        if arr is None:
+            return lambda w: F.length(w) >= min_len
+        return lambda w: (F.length(w) >= min_len) & ~F.array_contains(arr, w)
+
+    spaced = F.regexp_replace(src, HAN_RUN, " $1 ")
     parts = F.split(F.lower(spaced), SPLIT_PATTERN)
     grams = F.transform(parts, lambda p: F.when(
         p.rlike(HAN_ONLY) & (F.length(p) >= 2),
         F.transform(F.sequence(F.lit(1), F.length(p) - 1), lambda i: F.substring(p, i, 2)),
     ).otherwise(F.array(p)))
-    flat = F.flatten(grams)
-    stop_arr = F.expr(_sql_list(stop)) if stop else F.array().cast("array<string>")
-    return F.filter(flat, lambda w: (F.length(w) >= min_len) & ~F.array_contains(stop_arr, w))
+    han_path = F.filter(F.flatten(grams), keep(stop))
+    plain_stop = [w for w in stop if not _is_han_word(w)]
+    plain_path = F.filter(F.split(F.lower(src), SPLIT_PATTERN), keep(plain_stop))
+    return F.when(src.rlike(HAN_ANY), han_path).otherwise(plain_path)
 
 
 def char_encode(text: Column, seq_len: int = CHAR_SEQ_LEN, vocab: int = CHAR_VOCAB) -> Column:

@@ -757,34 +757,30 @@ def _cluster_sql(body: str, threshold: float, min_samples: int) -> str:
     return "WITH RECURSIVE " + s[len("WITH "):]
 
 
-def _cluster_inputs(spark, d, threshold):
-    st = TF.text_stats(_D(spark, d))
-    vocab = TF.vocabulary(TF.doc_freq(st))
-    w = TF.tfidf(st, vocab)
-    pairs = SIM.similar_pairs(w, vocab, threshold)
-    return st, w, pairs
+from . import clustering as PL  # noqa: E402
+from ..session import cut  # noqa: E402
 
 
 def _clusters(spark, d, eps, min_samples, method):
-    st, w, pairs = _cluster_inputs(spark, d, 1.0 - eps)
-    fn = CL.dbscan if method == "dbscan" else CL.leader
-    lab = fn(st.texts, SIM.nonzero_texts(w), pairs, min_samples)
-    return st, CL.labels_to_posts(lab, st.members)
+    p = PL.prepare(_D(spark, d), eps)
+    return p, PL.post_labels(p, PL.labels(p, min_samples, method))
 
 
 @register("similar_pairs", _cluster_sql(
     "SELECT i, j, round(sim, 6) AS similarity FROM pairs", 0.7, 5))
 def q_similar_pairs(spark, d):
-    _, _, pairs = _cluster_inputs(spark, d, 0.7)
+    st = TF.text_stats(_D(spark, d))
+    vocab = TF.vocabulary(TF.doc_freq(st))
+    pairs = SIM.similar_pairs(TF.tfidf(st, vocab), vocab, 0.7)
     return pairs.select("i", "j", F.round("similarity", 6).alias("similarity"))
 
 
 @register("core_posts", _cluster_sql(
     "SELECT p.id, d.degree FROM post_uid p JOIN deg d ON d.uid = p.uid WHERE d.degree >= 5", 0.7, 5))
 def q_core_posts(spark, d):
-    st, w, pairs = _cluster_inputs(spark, d, 0.7)
-    deg = CL.degrees(st.texts, SIM.nonzero_texts(w), pairs).filter(F.col("degree") >= 5)
-    return deg.join(st.members, "uid").select("id", "degree")
+    p = PL.prepare(_D(spark, d), 0.3)
+    deg = CL.degrees(p.stats.texts, p.nonzero, p.pairs).filter(F.col("degree") >= 5)
+    return deg.join(p.stats.members, "uid").select("id", "degree")
 
 
 @register("dbscan_clusters", _cluster_sql(
@@ -858,19 +854,12 @@ def _kw_sql(labels: str, min_size: int) -> str:
  GROUP BY label)"""
 
 
-def _named_clusters(st, labels, min_size):
-    post_labels = CL.labels_to_posts(labels, st.members)
-    big = CL.cluster_summary(post_labels, min_size).select("label")
-    lab = labels.join(big, "label", "left_semi")
-    return TP.top_terms(TP.cluster_term_counts(st.tf, st.texts, lab)), post_labels, lab
-
-
 @register("topic_terms", _cluster_sql(
     "SELECT label, topic_name, keywords FROM " + _kw_sql("db_labels", 5), 0.7, 5))
 def q_topic_terms(spark, d):
-    st, w, pairs = _cluster_inputs(spark, d, 0.7)
-    labels = CL.dbscan(st.texts, SIM.nonzero_texts(w), pairs, 5)
-    return _named_clusters(st, labels, 5)[0].select("label", "topic_name", "keywords")
+    p = PL.prepare(_D(spark, d), 0.3)
+    named, _ = PL.named_clusters(p, PL.labels(p, 5, "dbscan"), 5)
+    return named.select("label", "topic_name", "keywords")
 
 
 @register("topic_similarity", _cluster_sql(f"""
@@ -879,11 +868,9 @@ SELECT a.label, b.label AS topic_id,
 FROM {_kw_sql("db_labels", 3)} a, {_kw_sql("ld_labels", 3)} b
 WHERE len(list_intersect(a.kws, b.kws)) / len(list_distinct(list_concat(a.kws, b.kws))) >= 0.5""", 0.3, 3))
 def q_topic_similarity(spark, d):
-    st, w, pairs = _cluster_inputs(spark, d, 0.3)
-    pairs = CL._cut(pairs)
-    nz = SIM.nonzero_texts(w)
-    new = _named_clusters(st, CL.dbscan(st.texts, nz, pairs, 3), 3)[0]
-    old = _named_clusters(st, CL.leader(st.texts, nz, pairs, 3), 3)[0]
+    p = PL.prepare(_D(spark, d), 0.7)
+    new = PL.named_clusters(p, PL.labels(p, 3, "dbscan"), 3)[0]
+    old = PL.named_clusters(p, PL.labels(p, 3, "leader"), 3)[0]
     j = TP.jaccard_pairs(new, old.withColumnRenamed("label", "topic_id"), 0.5)
     return j.select("label", "topic_id", F.round("jaccard", 6).alias("jaccard"))
 
@@ -893,23 +880,12 @@ def _merge_run(spark, d):
     before 2024-01-08; the run clusters all posts (DBSCAN eps 0.7, min 3)."""
     posts = _D(spark, d)
     early = posts.filter(F.col("crawl_time") < F.lit("2024-01-08 00:00:00").cast("timestamp_ntz"))
-    st0 = TF.text_stats(early)
-    v0 = TF.vocabulary(TF.doc_freq(st0))
-    w0 = TF.tfidf(st0, v0)
-    p0 = SIM.similar_pairs(w0, v0, 0.3)
-    old_named, old_posts, _ = _named_clusters(st0, CL._cut(CL.leader(st0.texts, SIM.nonzero_texts(w0), p0, 3)), 3)
-    meta = posts.select("id", "sentiment", "likes", "crawl_time")
-    old_m = TP.topic_metrics(old_posts.join(meta, "id"))
-    topics = (old_named.join(old_m, "label")
-              .join(old_posts.join(meta, "id").groupBy("label").agg(F.min("crawl_time").alias("first_seen"),
-                                                                      F.max("crawl_time").alias("last_updated")), "label")
-              .select(F.col("label").alias("id"), "topic_name", "keywords", "keyword_list", "post_count",
-                      "sentiment_ratio", "heat_score", "first_seen", "last_updated", F.lit("active").alias("status")))
-    st, w, pairs = _cluster_inputs(spark, d, 0.3)
-    named, post_labels, _ = _named_clusters(st, CL._cut(CL.dbscan(st.texts, SIM.nonzero_texts(w), pairs, 3)), 3)
-    post_labels = CL._cut(post_labels)
-    clusters = CL._cut(named.join(TP.topic_metrics(post_labels.join(meta, "id")), "label"))
-    merged, assign = TP.merge_topics(clusters, CL._cut(topics), AS_OF, threshold=0.5)
+    old, _ = PL.cluster_topics(posts, PL.prepare(early, 0.7), 3, "leader")
+    topics = cut(old.select(F.col("label").alias("id"), "topic_name", "keywords", "keyword_list", "post_count",
+                            "sentiment_ratio", "heat_score", "first_seen", "last_updated",
+                            F.lit("active").alias("status")))
+    clusters, post_labels = PL.cluster_topics(posts, PL.prepare(posts, 0.7), 3, "dbscan")
+    merged, assign = TP.merge_topics(cut(clusters), topics, AS_OF, threshold=0.5)
     return posts, post_labels, merged, assign
 
 

@@ -66,3 +66,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     base = checkpoint_dir(spark).rstrip("/")
     import uuid
     return f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def cut(df):
+    """Materialise ``df`` as a reliable checkpoint in the shared folder and
+    return it with its lineage cut (never a local checkpoint)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
