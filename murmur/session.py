@@ -69,7 +69,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df):
-    """Materialise ``df`` as a reliable checkpoint in the shared folder and
-    return it with its lineage cut (never a local checkpoint)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as a Parquet table in the shared checkpoint folder and
+    return a fresh read of it: lineage is cut and the plan runs exactly once
+    (``Dataset.checkpoint`` without a cache would compute it twice).  Reads of
+    the table get column pruning and filter pushdown; it survives the loss of
+    any executor.  Never a local checkpoint."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "cut")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -24,6 +24,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give CPU-heavy per-row work (tokenising, hashing, parsing whole texts)
+    at least one partition per core: hash-repartition on ``key`` only when the
+    scan yields fewer splits than the default parallelism (a table written as
+    one row group).  A large table already has many splits and is untouched.
+    """
+    sc = df.sparkSession.sparkContext
+    target = sc.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target, key)
+    return df
+
+
 def _platform(user_id):
     return F.when(user_id % 5 < 3, F.lit("weibo")).otherwise(F.lit("xiaohongshu"))
 
@@ -35,7 +48,7 @@ def _nations(spark, sf_dir):
 
 def posts_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One post per document (text work: ingest, keywords, clustering, search)."""
-    d = read(spark, sf_dir, "documents").select("doc_id", "text")
+    d = spread(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     e = read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value")
     lab = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("l_doc_id"), "quality")
     j = (d.join(e, e.event_id == d.doc_id * 5)
