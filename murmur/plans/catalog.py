@@ -989,3 +989,17 @@ def q_analyze_batch(spark, d):
     model = SC.train(_labelled(spark, d))
     out = SC.analyze_batch(_D(spark, d), model, 5)
     return out.select("id", "sentiment", "sentiment_score", "analyze_status", "keywords")
+
+
+# ------------------------------------------------------------- html pages
+
+from ..sources import html as H  # noqa: E402
+
+
+@register("extract_posts")
+def q_extract_posts(spark, d):
+    """Posts parsed from every raw page (article cards)."""
+    pages = TB.spread(TB.read(spark, d, "pages"), "page_id")
+    p = H.extract_posts(pages, AS_OF)
+    return p.select("page_id", "card", "platform", "post_id", "author", "title",
+                    F.length("content").alias("content_chars"), "likes", "url")

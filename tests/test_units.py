@@ -199,3 +199,32 @@ def test_outbox_routing(spark):
     assert out == [(1, "email"), (1, "webhook"), (2, "webhook")]
     txt = al.select(N.java_datetime_text(F.col("created_at")).alias("x")).first().x
     assert txt == "2024-01-02T03:04:05.123"
+
+
+def test_html_cards():
+    from murmur.sources.html import ARTICLES, SEARCH_CARDS, parse_cards
+    page = ('<html><body><nav><a href="/x">menu</a></nav><article><h1>T &amp; U</h1>'
+            '<p>Hello <b>world</b> &amp; more<br><p>second</p></article>'
+            '<article><h1></h1></article></body></html>')
+    cards = parse_cards(page, ARTICLES)
+    assert len(cards) == 1 and cards[0]["title"] == "T & U"
+    assert cards[0]["text"] == "Hello world & more second"
+    search = ('<div class="card-wrap"><div class="content"><a class="name">作者</a>'
+              '<p class="txt">内容 一</p><p class="from"><a>5分钟前</a></p></div>'
+              '<div class="card-act"><ul><li>a</li><li>转发 3</li><li>评论 1,234</li><li>1.2万</li></ul></div></div>'
+              '<div class="card-wrap"><div class="content"><a class="name">x</a></div></div>')
+    c = parse_cards(search, SEARCH_CARDS)
+    assert len(c) == 1 and c[0]["author"] == "作者" and c[0]["text"] == "内容 一"
+    assert c[0]["time"] == "5分钟前" and c[0]["likes_text"] == "1.2万" and c[0]["comments"] == "评论 1,234"
+    assert parse_cards('<div class="login-container"></div>' + search, SEARCH_CARDS) == []
+
+
+def test_extract_posts_job(spark):
+    from murmur.sources.html import SEARCH_CARDS, extract_posts
+    html = ('<div class="card-wrap"><div class="content"><p class="txt">好 帖子</p>'
+            '<p class="from"><a>今天 08:30</a></p></div><div class="card-act"><ul><li>a</li>'
+            '<li>3</li><li>1,234</li><li>1.13万</li></ul></div></div>')
+    pages = spark.createDataFrame([(1, "http://s/1", html)], "page_id long, url string, html string")
+    r = extract_posts(pages, AS_OF, SEARCH_CARDS).first()
+    assert r.author == "未知用户" and r.likes == 11300 and r.comments == 1234 and r.shares == 3
+    assert r.publish_time == dt.datetime(2024, 6, 20, 8, 30) and r.post_id.startswith("wb_")
