@@ -228,3 +228,18 @@ def test_extract_posts_job(spark):
     r = extract_posts(pages, AS_OF, SEARCH_CARDS).first()
     assert r.author == "未知用户" and r.likes == 11300 and r.comments == 1234 and r.shares == 3
     assert r.publish_time == dt.datetime(2024, 6, 20, 8, 30) and r.post_id.startswith("wb_")
+
+
+def test_generate_posts_proportions_and_partition_invariance(spark):
+    from murmur.sources.generate import generate_posts
+    a = generate_posts(spark, 20000, 42, AS_OF, partitions=3)
+    b = generate_posts(spark, 20000, 42, AS_OF, partitions=7)
+    assert a.exceptAll(b).count() == 0
+    s = a.agg(F.avg((F.col("platform") == "weibo").cast("double")).alias("wb"),
+              F.avg((F.col("sentiment") == 1).cast("double")).alias("pos"),
+              F.avg(F.col("sentiment").isNull().cast("double")).alias("pending"),
+              F.min("publish_time").alias("t0"), F.max("crawl_time").alias("t1"),
+              F.max(F.col("comments") / F.greatest(F.col("likes"), F.lit(1))).alias("cr")).first()
+    assert abs(s.wb - 0.6) < 0.02 and abs(s.pos - 0.535) < 0.02 and abs(s.pending - 0.03) < 0.01
+    assert s.t0 >= AS_OF - dt.timedelta(days=7) and s.t1 <= AS_OF + dt.timedelta(minutes=30)
+    assert s.cr <= 0.25
