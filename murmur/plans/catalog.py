@@ -1003,3 +1003,47 @@ def q_extract_posts(spark, d):
     p = H.extract_posts(pages, AS_OF)
     return p.select("page_id", "card", "platform", "post_id", "author", "title",
                     F.length("content").alias("content_chars"), "likes", "url")
+
+
+@register("stream_keyword", O.with_ctes("""
+SELECT id, matched_word, 'warning' AS severity, concat('敏感词触发: ', matched_word) AS title,
+       substr(content, 1, 80) AS content_preview
+FROM (SELECT id, content,
+             CASE WHEN contains(content, 'error') THEN 'error'
+                  WHEN contains(content, 'purchase') THEN 'purchase' END AS matched_word
+      FROM posts_event)
+WHERE matched_word IS NOT NULL""", "posts_event"))
+def q_stream_keyword(spark, d):
+    """ST7: sensitive-word alerts on the events stream, one check per post."""
+    out = ST.run_append(ST.stream_keyword_alerts(ST.event_posts_stream(spark, d), ["error", "purchase"]),
+                        "stream_keyword")
+    return spark.read.parquet(out)
+
+
+DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@register("stream_score")
+def q_stream_score(spark, d):
+    """ST2: documents arriving as a file stream, joined to their event and
+    scored per micro-batch with the classifier trained on labelled posts."""
+    model = SC.train(_labelled(spark, d))
+    docs = (spark.readStream.schema(DOC_SCHEMA).option("pathGlobFilter", "documents.parquet")
+                 .option("maxFilesPerTrigger", 1).parquet(d))
+    posts = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    return spark.read.parquet(ST.run_scoring(posts, model))
+
+
+@register("stream_heartbeats")
+def q_stream_heartbeats(spark, d):
+    """ST8 + A11: heartbeats from the progress of the trend stream, folded to
+    the latest state per module."""
+    from datetime import timedelta
+    hb = ST.HeartbeatListener()
+    spark.streams.addListener(hb.listener)
+    try:
+        ST.run_update(ST.stream_trend(ST.event_posts_stream(spark, d), AS_OF - timedelta(hours=168)),
+                      "stream_trend")
+    finally:
+        spark.streams.removeListener(hb.listener)
+    return R.health_status(hb.frame(spark).select("module_name", "status", "ts"))

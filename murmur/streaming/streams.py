@@ -47,7 +47,8 @@ def run_append(df: DataFrame, name: str) -> str:
     """Run an append-mode stream to completion into parquet; returns the folder."""
     spark = df.sparkSession
     ck, out = _paths(spark, name)
-    q = (df.writeStream.format("parquet").option("checkpointLocation", ck)
+    q = (df.writeStream.queryName(f"{name}_{uuid.uuid4().hex[:6]}").format("parquet")
+           .option("checkpointLocation", ck)
            .outputMode("append").trigger(availableNow=True).start(out))
     q.awaitTermination()
     return out
@@ -62,8 +63,8 @@ def run_update(df: DataFrame, name: str) -> str:
     def sink(batch: DataFrame, epoch: int):
         batch.write.mode("overwrite").parquet(f"{out}/_epoch={epoch}")
 
-    q = (df.writeStream.foreachBatch(sink).option("checkpointLocation", ck)
-           .outputMode("update").trigger(availableNow=True).start())
+    q = (df.writeStream.queryName(f"{name}_{uuid.uuid4().hex[:6]}").foreachBatch(sink)
+           .option("checkpointLocation", ck).outputMode("update").trigger(availableNow=True).start())
     q.awaitTermination()
     return out
 
@@ -134,3 +135,72 @@ def live_feed(posts: DataFrame, buffer: int = 200) -> str:
               .trigger(availableNow=True).start())
     q.awaitTermination()
     return state["prev"]
+
+
+def stream_keyword_alerts(posts: DataFrame, words: list[str]) -> DataFrame:
+    """ST7: every streamed post is checked once against the sensitive words
+    (static rule list, first word in list order); a post alerts at most once."""
+    from ..operators.alerts import first_match
+    m = posts.select("id", "platform", "content", "crawl_time",
+                     first_match(F.col("content"), words).alias("matched_word"))
+    return (m.filter(F.col("matched_word").isNotNull())
+             .select("id", "matched_word", F.lit("warning").alias("severity"),
+                     F.concat(F.lit("敏感词触发: "), F.col("matched_word")).alias("title"),
+                     F.substring("content", 1, 80).alias("content_preview")))
+
+
+def run_scoring(posts: DataFrame, model, top_n: int = 5, name: str = "stream_score") -> str:
+    """ST2: score every micro-batch of posts with ``model`` and attach the top
+    keywords; each epoch lands in its own folder (idempotent on retry)."""
+    from ..operators.score import score_posts
+    from ..operators.tfidf import post_keywords
+    spark = posts.sparkSession
+    ck, out = _paths(spark, name)
+
+    def sink(batch: DataFrame, epoch: int):
+        b = batch.select("id", "content")
+        scored = score_posts(b, model).select("id", "sentiment", "sentiment_score")
+        kw = (post_keywords(b, top_n).groupBy("id")
+              .agg(F.sort_array(F.collect_list(F.struct("rank", "term"))).alias("_k"))
+              .select("id", F.transform("_k", lambda x: x["term"]).alias("keywords")))
+        (scored.join(kw, "id", "left").withColumn("analyze_status", F.lit(1))
+               .write.mode("overwrite").parquet(f"{out}/_epoch={epoch}"))
+
+    q = (posts.writeStream.foreachBatch(sink).option("checkpointLocation", ck)
+              .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return out
+
+
+class HeartbeatListener:
+    """ST8: turns streaming query progress into heartbeat rows
+    (module_name, status, ts, metadata) on the driver; progress events are
+    small metadata, one per micro-batch."""
+
+    def __init__(self):
+        from pyspark.sql.streaming import StreamingQueryListener
+
+        beats = self.beats = []
+
+        class _L(StreamingQueryListener):
+            def onQueryStarted(self, event):
+                pass
+
+            def onQueryProgress(self, event):
+                p = event.progress
+                beats.append((p.name or str(p.id), "healthy", p.timestamp,
+                              '{"batch":%d,"rows":%d}' % (p.batchId, p.numInputRows)))
+
+            def onQueryIdle(self, event):
+                pass
+
+            def onQueryTerminated(self, event):
+                if event.exception:
+                    beats.append((str(event.id), "degraded", None, '{"error":true}'))
+
+        self.listener = _L()
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        rows = [(m, s, t, md) for m, s, t, md in self.beats]
+        df = spark.createDataFrame(rows, "module_name string, status string, ts_text string, metadata string")
+        return df.withColumn("ts", F.to_timestamp("ts_text").cast("timestamp_ntz")).drop("ts_text")

@@ -47,7 +47,7 @@ def test_every_query_has_callable_and_rows_only_are_few():
     assert set(SQL) <= set(q)
     rows_only = set(q) - set(SQL)
     assert rows_only <= {"alerts_all", "merge_topics", "link_topics", "train_eval", "score_posts",
-                         "analyze_batch", "extract_posts", "generate_posts"}
+                         "analyze_batch", "extract_posts", "stream_score", "stream_heartbeats"}
 
 
 def test_entry_smoke(spark):
