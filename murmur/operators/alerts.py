@@ -195,8 +195,8 @@ def topic_growth_alerts(topics: DataFrame, posts: DataFrame, as_of, rate: float
 # ---------------------------------------------------------------- silence
 
 def silence(candidates: DataFrame, prior: DataFrame, silence_hours, null_safe: bool = True) -> DataFrame:
-    """Mark candidates that an earlier alert of the same type and topic
-    silences (created within ``silence_hours`` before the candidate).
+    """Mark candidates that an alert of the same type and topic
+    silences (created at or after ``candidate time - silence_hours``).
 
     ``silence_hours`` is a number or a ``{alert_type: hours}`` mapping.  The
     prior alerts are reduced to their latest time per (type, topic) before the
@@ -217,8 +217,9 @@ def silence(candidates: DataFrame, prior: DataFrame, silence_hours, null_safe: b
                 else F.col("related_topic_id") == F.col("_ptopic"))
     j = candidates.join(last, (F.col("alert_type") == F.col("_pt")) & topic_eq, "left")
     cutoff = F.col("created_at") - F.make_dt_interval(F.lit(0), hours.cast("int"))
-    suppressed = F.coalesce((F.col("_last") >= cutoff) & (F.col("_last") <= F.col("created_at")),
-                            F.lit(False))
+    # As the original: any alert of the key created since (time - silence)
+    # counts, with no upper bound.
+    suppressed = F.coalesce(F.col("_last") >= cutoff, F.lit(False))
     return j.withColumn("suppressed", suppressed).drop("_pt", "_ptopic", "_last")
 
 

@@ -638,12 +638,42 @@ ORACLE_RULES = [
 ]
 
 
-@register("alerts_all")
+@register("alerts_all", O.with_ctes("""
+SELECT c.alert_type, c.severity, c.title, c.related_topic_id, TIMESTAMP '2024-01-30 12:00:00' AS created_at,
+       EXISTS (SELECT 1 FROM alerts a WHERE a.alert_type = c.alert_type
+               AND a.related_topic_id IS NOT DISTINCT FROM c.related_topic_id
+               AND a.created_at >= TIMESTAMP '2024-01-30 12:00:00' - c.silence * INTERVAL 1 HOUR) AS suppressed
+FROM (
+  SELECT 'negative_surge' AS alert_type,
+         CASE WHEN negative_posts / total_posts >= 0.8 THEN 'critical' ELSE 'warning' END AS severity,
+         '负面舆情突增预警' AS title, CAST(NULL AS BIGINT) AS related_topic_id, 24 AS silence
+  FROM (SELECT COUNT(sentiment) AS total_posts, COUNT(*) FILTER (WHERE sentiment = 0) AS negative_posts
+        FROM posts_event WHERE crawl_time >= TIMESTAMP '2024-01-29 12:00:00')
+  WHERE total_posts >= 5 AND negative_posts / total_posts >= 0.4
+  UNION ALL
+  SELECT 'keyword_trigger', 'warning', concat('敏感词触发: ', w), CAST(NULL AS BIGINT), 1
+  FROM (SELECT CASE WHEN contains(content, 'error') THEN 'error'
+                    WHEN contains(content, 'purchase') THEN 'purchase' END AS w
+        FROM posts_event WHERE crawl_time >= TIMESTAMP '2024-01-29 12:00:00')
+  WHERE w IS NOT NULL
+  UNION ALL
+  SELECT 'topic_growth', CASE WHEN g >= 1 + 2 * 1.1 THEN 'critical' ELSE 'warning' END,
+         concat('话题异常增长: ', topic_name), topic_id, 48
+  FROM (SELECT t.id AS topic_id, t.topic_name, c.current_count / c.previous_count AS g, c.previous_count
+        FROM hot_topics t
+        JOIN (SELECT topic_id,
+                     COUNT(*) FILTER (WHERE crawl_time >= TIMESTAMP '2024-01-10 12:00:00') AS current_count,
+                     COUNT(*) FILTER (WHERE crawl_time < TIMESTAMP '2024-01-10 12:00:00') AS previous_count
+              FROM posts_event WHERE topic_id IS NOT NULL GROUP BY topic_id) c ON c.topic_id = t.id
+        WHERE t.status = 'active' AND t.last_updated >= TIMESTAMP '2024-01-10 12:00:00'
+          AND t.first_seen IS NOT NULL)
+  WHERE previous_count >= 5 AND g >= 1 + 1.1) c""", "hot_topics", "alerts"))
 def q_alerts_all(spark, d):
     """L4: all enabled rules over the posts, silenced against the alerts table."""
     rules = TB.rules_table(spark, ORACLE_RULES)
-    return AL.evaluate_rules(_E(spark, d), TB.hot_topics(spark, d), rules, TB.alerts(spark, d),
-                             AS_OF, keyword_lookback_minutes=24 * 60)
+    out = AL.evaluate_rules(_E(spark, d), TB.hot_topics(spark, d), rules, TB.alerts(spark, d),
+                            AS_OF, keyword_lookback_minutes=24 * 60)
+    return out.select("alert_type", "severity", "title", "related_topic_id", "created_at", "suppressed")
 
 
 # ------------------------------------------------------- text and clustering
