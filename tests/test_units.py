@@ -243,3 +243,31 @@ def test_generate_posts_proportions_and_partition_invariance(spark):
     assert abs(s.wb - 0.6) < 0.02 and abs(s.pos - 0.535) < 0.02 and abs(s.pending - 0.03) < 0.01
     assert s.t0 >= AS_OF - dt.timedelta(days=7) and s.t1 <= AS_OF + dt.timedelta(minutes=30)
     assert s.cr <= 0.25
+
+
+def test_notified_flags_and_rule_config(spark):
+    al = spark.createDataFrame([(1, False), (2, False), (3, True)], "id long, notified boolean")
+    dl = spark.createDataFrame([(1, "email", False), (1, "webhook", True), (2, "webhook", False)],
+                               "alert_id long, channel string, ok boolean")
+    got = {r.alert_id: r.notified for r in N.notified_flags(al, dl).collect()}
+    assert got == {1: True, 2: False, 3: True}
+    from murmur.sources.tables import rules_table
+    r = {x.rule_type: x for x in AL.parse_rules(rules_table(spark)).collect()}
+    assert r["negative_surge"].negative_surge.minPostCount == 20
+    assert r["keyword_trigger"].keyword_trigger.sensitiveWords == ["暴雷", "跑路", "诈骗", "维权"]
+    assert r["topic_growth"].topic_growth.growthRateThreshold == 3.0
+
+
+def test_score_with_user_function(spark):
+    import numpy as np
+    posts = spark.createDataFrame([(1, "good"), (2, "bad"), (3, "meh")], "id long, content string")
+
+    def scorer(texts):
+        pos = np.where(texts == "good", 0.9, np.where(texts == "bad", 0.2, 0.5))
+        return 1 - pos, pos
+    got = {r.id: (r.sentiment, r.analyze_status) for r in SC.score_with(posts, scorer).collect()}
+    assert got == {1: (1, 1), 2: (0, 1), 3: (0, 1)}
+
+    def broken(texts):
+        raise RuntimeError("model down")
+    assert {r.analyze_status for r in SC.score_with(posts, broken).collect()} == {2}
