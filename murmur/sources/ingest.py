@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from ..functions.timefmt import ts_lit
 
 KEY = ["platform", "post_id"]
+# A batch whose distinct keys number at most this many is broadcast, so the
+# (much larger) existing table streams through a hash join without a
+# shuffle; above it both sides shuffle on the key.
+BROADCAST_BATCH_KEYS = 2_000_000
 
 # Defaults the collectors filled in for missing fields.
 DEFAULT_AUTHOR = {"weibo": "未知用户", "xiaohongshu": "小红书用户"}
@@ -40,7 +44,12 @@ def ingest_ignore(existing: DataFrame, incoming: DataFrame, as_of=None,
     if "analyze_status" in existing.columns and "analyze_status" not in inc.columns:
         inc = inc.withColumn("analyze_status", F.lit(0))
     firsts = _first_per_key(inc, order)
-    new = firsts.join(existing.select(*KEY), KEY, "left_anti")
+    if firsts.count() <= BROADCAST_BATCH_KEYS:
+        # keys of the batch already present: existing streamed against the broadcast batch keys
+        known = existing.select(*KEY).join(F.broadcast(firsts.select(*KEY)), KEY, "left_semi")
+        new = firsts.join(known, KEY, "left_anti")
+    else:
+        new = firsts.join(existing.select(*KEY), KEY, "left_anti")
     return existing.unionByName(new, allowMissingColumns=True)
 
 
@@ -55,6 +64,22 @@ def ingest_upsert(existing: DataFrame, incoming: DataFrame, update=("likes",),
     agg = [F.min_by(F.struct(*cols), ordk).alias("_first")]
     agg += [F.max_by(F.col(u), ordk).alias(f"_last_{u}") for u in update]
     inc = incoming.groupBy(*KEY).agg(*agg)
+    if inc.count() <= BROADCAST_BATCH_KEYS:
+        # existing rows stream past the broadcast batch (no shuffle of the
+        # large side); unseen keys are appended
+        b = F.broadcast(inc)
+        updated = existing.join(b, KEY, "left").select(*[
+            F.coalesce(F.col(f"_last_{c}"), F.col(c)).alias(c) if c in update else F.col(c)
+            for c in existing.columns])
+        known = existing.select(*KEY).join(F.broadcast(inc.select(*KEY)), KEY, "left_semi")
+        fresh = inc.join(known, KEY, "left_anti")
+        new = fresh.select(*[
+            F.col(c) if c in KEY else
+            F.col(f"_last_{c}").alias(c) if c in update else
+            F.col(f"_first.{c}").alias(c) if c in cols else
+            F.lit(None).cast(existing.schema[c].dataType).alias(c)
+            for c in existing.columns])
+        return updated.unionByName(new)
     old = existing.withColumn("_old", F.lit(True))
     j = old.join(inc, KEY, "full_outer")
     out = []
