@@ -738,47 +738,50 @@ def q_post_keywords(spark, d):
     return TF.post_keywords(_D(spark, d), 5)
 
 
-def _cluster_ctes(threshold: float, min_samples: int) -> str:
-    return f"""texts AS (SELECT content, min(id) AS uid, COUNT(*) AS mult FROM posts_doc GROUP BY content),
-post_uid AS (SELECT p.id, t.uid FROM posts_doc p JOIN texts t ON t.content = p.content),
-ttok AS (SELECT uid, unnest({TOK_TOPIC}) AS term FROM texts),
-tf AS (SELECT uid, term, COUNT(*) AS c FROM ttok GROUP BY uid, term),
-mx AS (SELECT uid, max(c) AS mc FROM tf GROUP BY uid),
-df AS (SELECT tf.term, SUM(t.mult) AS df FROM tf JOIN texts t ON t.uid = tf.uid GROUP BY tf.term),
-vocab AS (SELECT term, df FROM df WHERE df >= 2 ORDER BY df DESC, term LIMIT 5000),
-w AS (SELECT tf.uid, tf.term,
-             (0.5 + 0.5 * tf.c / mx.mc) * ln((SELECT COUNT(*) FROM posts_doc) / (1 + vocab.df)) AS w
-      FROM tf JOIN mx ON mx.uid = tf.uid JOIN vocab ON vocab.term = tf.term),
-nrm AS (SELECT uid, sqrt(SUM(w * w)) AS nr FROM w GROUP BY uid HAVING SUM(w * w) > 0),
-u AS (SELECT w.uid, w.term, w.w / nrm.nr AS u FROM w JOIN nrm ON nrm.uid = w.uid),
-pairs AS (SELECT a.uid AS i, b.uid AS j, SUM(a.u * b.u) AS sim
-          FROM u a JOIN u b ON a.term = b.term AND a.uid < b.uid GROUP BY a.uid, b.uid
+def _cluster_ctes(threshold: float, min_samples: int, p: str = "", src: str = "posts_doc") -> str:
+    """Clustering CTEs over ``src``; every CTE name carries the prefix ``p``."""
+    return f"""{p}texts AS (SELECT content, min(id) AS uid, COUNT(*) AS mult FROM {src} GROUP BY content),
+{p}post_uid AS (SELECT s.id, t.uid FROM {src} s JOIN {p}texts t ON t.content = s.content),
+{p}ttok AS (SELECT uid, unnest({TOK_TOPIC}) AS term FROM {p}texts),
+{p}tf AS (SELECT uid, term, COUNT(*) AS c FROM {p}ttok GROUP BY uid, term),
+{p}mx AS (SELECT uid, max(c) AS mc FROM {p}tf GROUP BY uid),
+{p}df AS (SELECT f.term, SUM(t.mult) AS df FROM {p}tf f JOIN {p}texts t ON t.uid = f.uid GROUP BY f.term),
+{p}vocab AS (SELECT term, df FROM {p}df WHERE df >= 2 ORDER BY df DESC, term LIMIT 5000),
+{p}w AS (SELECT f.uid, f.term,
+             (0.5 + 0.5 * f.c / m.mc) * ln((SELECT COUNT(*) FROM {src}) / (1 + v.df)) AS w
+      FROM {p}tf f JOIN {p}mx m ON m.uid = f.uid JOIN {p}vocab v ON v.term = f.term),
+{p}nrm AS (SELECT uid, sqrt(SUM(w * w)) AS nr FROM {p}w GROUP BY uid HAVING SUM(w * w) > 0),
+{p}u AS (SELECT x.uid, x.term, x.w / n.nr AS u FROM {p}w x JOIN {p}nrm n ON n.uid = x.uid),
+{p}pairs AS (SELECT a.uid AS i, b.uid AS j, SUM(a.u * b.u) AS sim
+          FROM {p}u a JOIN {p}u b ON a.term = b.term AND a.uid < b.uid GROUP BY a.uid, b.uid
           HAVING SUM(a.u * b.u) >= {threshold} - 1e-9),
-edges AS (SELECT i AS src, j AS dst FROM pairs UNION ALL SELECT j AS src, i AS dst FROM pairs),
-deg AS (SELECT t.uid,
-               (CASE WHEN t.uid IN (SELECT uid FROM nrm) THEN t.mult ELSE 0 END)
-               + coalesce((SELECT SUM(t2.mult) FROM edges e JOIN texts t2 ON t2.uid = e.dst
+{p}edges AS (SELECT i AS src, j AS dst FROM {p}pairs UNION ALL SELECT j AS src, i AS dst FROM {p}pairs),
+{p}deg AS (SELECT t.uid,
+               (CASE WHEN t.uid IN (SELECT uid FROM {p}nrm) THEN t.mult ELSE 0 END)
+               + coalesce((SELECT SUM(t2.mult) FROM {p}edges e JOIN {p}texts t2 ON t2.uid = e.dst
                            WHERE e.src = t.uid), 0) AS degree
-        FROM texts t),
-core AS (SELECT uid FROM deg WHERE degree >= {min_samples}),
-cedges AS (SELECT src, dst FROM edges WHERE src IN (SELECT uid FROM core) AND dst IN (SELECT uid FROM core)),
-reach(src, dst) AS (SELECT uid, uid FROM core UNION SELECT r.src, e.dst FROM reach r JOIN cedges e ON e.src = r.dst),
-comp AS (SELECT src AS uid, min(dst) AS label FROM reach GROUP BY src),
-border AS (SELECT e.dst AS uid, min(c.label) AS label FROM edges e JOIN comp c ON c.uid = e.src
-           WHERE e.dst NOT IN (SELECT uid FROM core) GROUP BY e.dst),
-db_labels AS (SELECT uid, label FROM comp UNION ALL SELECT uid, label FROM border),
-ranked AS (SELECT uid, row_number() OVER (ORDER BY uid) AS rk,
-                  (SELECT list(e.dst) FROM cedges e WHERE e.src = core.uid) AS nbrs FROM core),
-walk(rk, centres) AS (SELECT 0, CAST([] AS BIGINT[])
+        FROM {p}texts t),
+{p}core AS (SELECT uid FROM {p}deg WHERE degree >= {min_samples}),
+{p}cedges AS (SELECT src, dst FROM {p}edges
+              WHERE src IN (SELECT uid FROM {p}core) AND dst IN (SELECT uid FROM {p}core)),
+{p}reach(src, dst) AS (SELECT uid, uid FROM {p}core
+                       UNION SELECT r.src, e.dst FROM {p}reach r JOIN {p}cedges e ON e.src = r.dst),
+{p}comp AS (SELECT src AS uid, min(dst) AS label FROM {p}reach GROUP BY src),
+{p}border AS (SELECT e.dst AS uid, min(c.label) AS label FROM {p}edges e JOIN {p}comp c ON c.uid = e.src
+           WHERE e.dst NOT IN (SELECT uid FROM {p}core) GROUP BY e.dst),
+{p}db_labels AS (SELECT uid, label FROM {p}comp UNION ALL SELECT uid, label FROM {p}border),
+{p}ranked AS (SELECT k.uid, row_number() OVER (ORDER BY k.uid) AS rk,
+                  (SELECT list(e.dst) FROM {p}cedges e WHERE e.src = k.uid) AS nbrs FROM {p}core k),
+{p}walk(rk, centres) AS (SELECT 0, CAST([] AS BIGINT[])
                       UNION ALL
                       SELECT w.rk + 1, CASE WHEN list_has_any(w.centres, coalesce(r.nbrs, CAST([] AS BIGINT[])))
                                             THEN w.centres ELSE list_append(w.centres, r.uid) END
-                      FROM walk w JOIN ranked r ON r.rk = w.rk + 1),
-centres AS (SELECT unnest(centres) AS uid FROM walk WHERE rk = (SELECT max(rk) FROM walk)),
-ld_labels AS (SELECT uid, min(label) AS label FROM (
-                SELECT uid, uid AS label FROM centres
+                      FROM {p}walk w JOIN {p}ranked r ON r.rk = w.rk + 1),
+{p}centres AS (SELECT unnest(centres) AS uid FROM {p}walk WHERE rk = (SELECT max(rk) FROM {p}walk)),
+{p}ld_labels AS (SELECT uid, min(label) AS label FROM (
+                SELECT uid, uid AS label FROM {p}centres
                 UNION ALL
-                SELECT e.dst AS uid, e.src AS label FROM edges e WHERE e.src IN (SELECT uid FROM centres))
+                SELECT e.dst AS uid, e.src AS label FROM {p}edges e WHERE e.src IN (SELECT uid FROM {p}centres))
               GROUP BY uid)"""
 
 
@@ -871,15 +874,15 @@ def q_topic_trend(spark, d):
     return TP.topic_trend(_E(spark, d))
 
 
-def _kw_sql(labels: str, min_size: int) -> str:
+def _kw_sql(labels: str, min_size: int, p: str = "", src: str = "posts_doc") -> str:
     return f"""(SELECT label, list(term ORDER BY rn) AS kws,
         string_agg(term, '/' ORDER BY rn) FILTER (WHERE rn <= 3) AS topic_name,
         string_agg(term, ',' ORDER BY rn) AS keywords
  FROM (SELECT label, term, row_number() OVER (PARTITION BY label ORDER BY cnt DESC, term) AS rn
        FROM (SELECT l.label, tk.term, COUNT(*) AS cnt
-             FROM (SELECT id, unnest({TOK_TOPIC}) AS term FROM posts_doc) tk
-             JOIN post_uid p ON p.id = tk.id JOIN {labels} l ON l.uid = p.uid GROUP BY 1, 2))
- WHERE rn <= 8 AND label IN (SELECT l.label FROM post_uid p JOIN {labels} l ON l.uid = p.uid
+             FROM (SELECT id, unnest({TOK_TOPIC}) AS term FROM {src}) tk
+             JOIN {p}post_uid pu ON pu.id = tk.id JOIN {p}{labels} l ON l.uid = pu.uid GROUP BY 1, 2))
+ WHERE rn <= 8 AND label IN (SELECT l.label FROM {p}post_uid pu JOIN {p}{labels} l ON l.uid = pu.uid
                              GROUP BY l.label HAVING COUNT(*) >= {min_size})
  GROUP BY label)"""
 
@@ -905,6 +908,65 @@ def q_topic_similarity(spark, d):
     return j.select("label", "topic_id", F.round("jaccard", 6).alias("jaccard"))
 
 
+def _jac(a: str, b: str) -> str:
+    return f"(len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))))"
+
+
+def _merge_sql(body: str) -> str:
+    """Merge run in SQL: existing topics = leader clusters (cosine >= 0.3,
+    min 3) of posts crawled before 2024-01-08, new clusters = DBSCAN of all
+    posts; first topic id with Jaccard >= 0.5, creators by an ordered walk."""
+    early = """posts_early AS (SELECT * FROM posts_doc WHERE crawl_time < TIMESTAMP '2024-01-08 00:00:00')"""
+    metrics = """(SELECT l.label, COUNT(*) AS post_count,
+                 COUNT(*) FILTER (WHERE s.sentiment = 1) / COUNT(*) AS sentiment_ratio,
+                 COUNT(*) * (1 + avg(coalesce(s.likes, 0)) / 100.0) * 1.0 AS heat_score
+          FROM {pu} pu JOIN {lab} l ON l.uid = pu.uid JOIN posts_doc s ON s.id = pu.id GROUP BY l.label)"""
+    merge = f"""old_kw AS {_kw_sql("ld_labels", 3, "e_", "posts_early")},
+topics AS (SELECT k.label AS id, k.topic_name, k.kws, m.post_count, m.sentiment_ratio, m.heat_score
+           FROM old_kw k JOIN {metrics.format(pu="e_post_uid", lab="e_ld_labels")} m ON m.label = k.label),
+new_kw AS {_kw_sql("db_labels", 3)},
+clusters AS (SELECT k.label, k.topic_name, k.kws, m.post_count, m.sentiment_ratio, m.heat_score
+             FROM new_kw k JOIN {metrics.format(pu="post_uid", lab="db_labels")} m ON m.label = k.label),
+matched AS (SELECT c.label, min(t.id) AS topic_id FROM clusters c, topics t
+            WHERE {_jac("c.kws", "t.kws")} >= 0.5 GROUP BY c.label),
+unmatched AS (SELECT * FROM clusters WHERE label NOT IN (SELECT label FROM matched)),
+uedges AS (SELECT a.label AS src, b.label AS dst FROM unmatched a, unmatched b
+           WHERE a.label <> b.label AND {_jac("a.kws", "b.kws")} >= 0.5),
+uranked AS (SELECT x.label, row_number() OVER (ORDER BY x.label) AS rk,
+                   (SELECT list(e.dst) FROM uedges e WHERE e.src = x.label) AS nbrs FROM unmatched x),
+uwalk(rk, made) AS (SELECT 0, CAST([] AS BIGINT[])
+                    UNION ALL
+                    SELECT w.rk + 1, CASE WHEN list_has_any(w.made, coalesce(r.nbrs, CAST([] AS BIGINT[])))
+                                          THEN w.made ELSE list_append(w.made, r.label) END
+                    FROM uwalk w JOIN uranked r ON r.rk = w.rk + 1),
+creators AS (SELECT unnest(made) AS label FROM uwalk WHERE rk = (SELECT max(rk) FROM uwalk)),
+base AS (SELECT coalesce(max(id), 0) + 1 AS b FROM topics),
+assign AS (SELECT label, topic_id FROM matched
+           UNION ALL SELECT c.label, (SELECT b FROM base) + c.label FROM creators c
+           UNION ALL SELECT e.src, (SELECT b FROM base) + min(e.dst) FROM uedges e
+                     WHERE e.dst IN (SELECT label FROM creators) AND e.src NOT IN (SELECT label FROM creators)
+                     GROUP BY e.src),
+inc AS (SELECT a.topic_id, SUM(c.post_count) AS m, SUM(c.sentiment_ratio * c.post_count) AS rm,
+               max(c.heat_score) AS h
+        FROM clusters c JOIN assign a ON a.label = c.label GROUP BY a.topic_id),
+all_topics AS (SELECT id, topic_name, post_count, sentiment_ratio, heat_score FROM topics
+               UNION ALL
+               SELECT (SELECT b FROM base) + c.label, c.topic_name, 0, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)
+               FROM clusters c WHERE c.label IN (SELECT label FROM creators)),
+merged AS (SELECT t.id, t.topic_name,
+                  CASE WHEN i.m IS NULL THEN t.post_count ELSE t.post_count + i.m END AS post_count,
+                  CASE WHEN i.m IS NULL THEN t.sentiment_ratio
+                       ELSE (coalesce(t.sentiment_ratio, 0) * t.post_count + i.rm) / (t.post_count + i.m) END
+                    AS sentiment_ratio,
+                  CASE WHEN i.m IS NULL THEN t.heat_score ELSE greatest(coalesce(t.heat_score, i.h), i.h) END
+                    AS heat_score,
+                  'active' AS status
+           FROM all_topics t LEFT JOIN inc i ON i.topic_id = t.id)"""
+    extra = ",\n".join([early, _cluster_ctes(0.3, 3, "e_", "posts_early"), _cluster_ctes(0.3, 3), merge])
+    q = O.with_ctes(body, "posts_doc", extra=extra)
+    return "WITH RECURSIVE " + q[len("WITH "):]
+
+
 def _merge_run(spark, d):
     """Existing topics = leader clusters (eps 0.7, min 3) of the posts crawled
     before 2024-01-08; the run clusters all posts (DBSCAN eps 0.7, min 3)."""
@@ -919,14 +981,20 @@ def _merge_run(spark, d):
     return posts, post_labels, merged, assign
 
 
-@register("merge_topics")
+@register("merge_topics", _merge_sql("""
+SELECT id, topic_name, CAST(post_count AS BIGINT) AS post_count, round(sentiment_ratio, 6) AS sentiment_ratio,
+       round(heat_score, 6) AS heat_score, status FROM merged"""))
 def q_merge_topics(spark, d):
     _, _, merged, _ = _merge_run(spark, d)
     return merged.select("id", "topic_name", "post_count", F.round("sentiment_ratio", 6).alias("sentiment_ratio"),
                          F.round("heat_score", 6).alias("heat_score"), "status")
 
 
-@register("link_topics")
+@register("link_topics", _merge_sql("""
+SELECT s.id, a.topic_id FROM posts_doc s
+LEFT JOIN post_uid pu ON pu.id = s.id
+LEFT JOIN db_labels l ON l.uid = pu.uid
+LEFT JOIN assign a ON a.label = l.label"""))
 def q_link_topics(spark, d):
     posts, post_labels, _, assign = _merge_run(spark, d)
     return TP.link_topics(posts, post_labels, assign)

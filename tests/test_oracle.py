@@ -46,7 +46,7 @@ def test_every_query_has_callable_and_rows_only_are_few():
     q = E.queries()
     assert set(SQL) <= set(q)
     rows_only = set(q) - set(SQL)
-    assert rows_only <= {"merge_topics", "link_topics", "train_eval", "score_posts",
+    assert rows_only <= {"train_eval", "score_posts",
                          "analyze_batch", "extract_posts", "stream_score", "stream_heartbeats"}
 
 
