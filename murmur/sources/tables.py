@@ -30,9 +30,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     scan yields fewer splits than the default parallelism (a table written as
     one row group).  A large table already has many splits and is untouched.
     """
-    sc = df.sparkSession.sparkContext
-    target = sc.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001  (no RDD view, e.g. a remote session): leave the scan as is
+        return df
+    if splits < target:
         return df.repartition(target, key)
     return df
 
