@@ -809,7 +809,8 @@ def q_similar_pairs(spark, d):
 
 
 @register("core_posts", _cluster_sql(
-    "SELECT p.id, d.degree FROM post_uid p JOIN deg d ON d.uid = p.uid WHERE d.degree >= 5", 0.7, 5))
+    "SELECT p.id, CAST(d.degree AS BIGINT) AS degree FROM post_uid p JOIN deg d ON d.uid = p.uid WHERE d.degree >= 5",
+    0.7, 5))
 def q_core_posts(spark, d):
     p = PL.prepare(_D(spark, d), 0.3)
     deg = CL.degrees(p.stats.texts, p.nonzero, p.pairs).filter(F.col("degree") >= 5)
