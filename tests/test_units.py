@@ -271,3 +271,19 @@ def test_score_with_user_function(spark):
     def broken(texts):
         raise RuntimeError("model down")
     assert {r.analyze_status for r in SC.score_with(posts, broken).collect()} == {2}
+
+
+def test_partition_count_invariance(spark, sf_small):
+    import __spark_entry__ as E
+    q = E.queries()
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    out = {}
+    try:
+        for n in ("3", "13"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            out[n] = {k: sorted(tuple(r) for r in q[k](spark, sf_small).collect())
+                      for k in ("similar_pairs", "dbscan_clusters_wide", "leader_clusters_wide",
+                                "sentiment_trend", "ingest_upsert")}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert out["3"] == out["13"]
