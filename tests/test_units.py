@@ -287,3 +287,22 @@ def test_partition_count_invariance(spark, sf_small):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert out["3"] == out["13"]
+
+
+def test_write_feed_trend_json_mark_read(spark, tmp_path):
+    from murmur.operators import listing as L
+    posts = spark.createDataFrame(
+        [(1, "weibo", 1, dt.datetime(2024, 1, 1, 10, 5), 3), (2, "xiaohongshu", 0, dt.datetime(2024, 1, 2, 11, 0), 3),
+         (3, "weibo", 0, dt.datetime(2024, 1, 2, 11, 30), 3)],
+        "id long, platform string, sentiment int, crawl_time timestamp_ntz, topic_id long")
+    out = str(tmp_path / "posts")
+    I.write_posts(posts, out)
+    back = spark.read.parquet(out)
+    assert sorted(str(r.crawl_date) for r in back.select("crawl_date").distinct().collect()) == ["2024-01-01", "2024-01-02"]
+    assert [r.id for r in L.feed_filter(posts, "weibo", 0).collect()] == [3]
+    tr = TP.topic_trend(posts, entries=1)
+    assert [(r.hour, r.ratio) for r in tr.collect()] == [("2024-01-02 11:00:00", 0.0)]
+    js = TP.trend_json(TP.topic_trend(posts)).first().sentiment_trend
+    assert js == '{"2024-01-01 10:00:00":1.0,"2024-01-02 11:00:00":0.0}'
+    al = spark.createDataFrame([(1, False), (2, False)], "id long, is_read boolean")
+    assert {r.id: r.is_read for r in L.mark_read(al, 2).collect()} == {1: False, 2: True}
