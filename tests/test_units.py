@@ -306,3 +306,95 @@ def test_write_feed_trend_json_mark_read(spark, tmp_path):
     assert js == '{"2024-01-01 10:00:00":1.0,"2024-01-02 11:00:00":0.0}'
     al = spark.createDataFrame([(1, False), (2, False)], "id long, is_read boolean")
     assert {r.id: r.is_read for r in L.mark_read(al, 2).collect()} == {1: False, 2: True}
+
+
+def _post_level(seed):
+    """Random texts (some copied, some zero vectors), posts with shuffled ids,
+    and the post-level neighbour relation (self and copies included)."""
+    import random
+    rnd = random.Random(seed)
+    n_texts = 14
+    mult = {t: (3 if rnd.random() < 0.2 else 1) for t in range(n_texts)}
+    zero = {t for t in range(n_texts) if rnd.random() < 0.1}
+    edges = {(a, b) for a in range(n_texts) for b in range(a + 1, n_texts)
+             if rnd.random() < 0.18 and a not in zero and b not in zero}
+    ids = list(range(100, 100 + sum(mult.values())))
+    rnd.shuffle(ids)
+    posts, k = {}, 0
+    for t in range(n_texts):
+        for _ in range(mult[t]):
+            posts[ids[k]] = t
+            k += 1
+
+    def nbrs(p):
+        t = posts[p]
+        if t in zero:
+            return []
+        return [q for q, u in posts.items() if u == t or (min(t, u), max(t, u)) in edges]
+    return posts, mult, zero, edges, nbrs
+
+
+def _ball_reference(posts, nbrs, min_samples):
+    """The original per-post loop (label -1 = unvisited and noise; the
+    expansion never runs)."""
+    labels = {p: -1 for p in posts}
+    cid = 0
+    for p in sorted(posts):
+        if labels[p] != -1:
+            continue
+        nb = nbrs(p)
+        if len(nb) < min_samples:
+            continue
+        labels[p] = cid
+        for q in nb:
+            if labels[q] == -1:
+                labels[q] = cid
+        cid += 1
+    return labels
+
+
+def _groups(labels):
+    g = {}
+    for p, lab in labels.items():
+        if lab is not None and lab != -1:
+            g.setdefault(lab, set()).add(p)
+    return sorted(sorted(s) for s in g.values())
+
+
+def test_leader_and_dbscan_match_post_level_definitions(spark):
+    for seed in (1, 2, 3):
+        posts, mult, zero, edges, nbrs = _post_level(seed)
+        uid = {t: min(p for p, u in posts.items() if u == t) for t in mult}
+        texts = spark.createDataFrame([(uid[t], mult[t]) for t in mult], "uid long, mult long")
+        nz = spark.createDataFrame([(uid[t],) for t in mult if t not in zero], "uid long")
+        pairs = spark.createDataFrame([(min(uid[a], uid[b]), max(uid[a], uid[b])) for a, b in edges] or
+                                      [(-1, -2)], "i long, j long").filter("i >= 0")
+        members = spark.createDataFrame([(p, uid[t]) for p, t in posts.items()], "id long, uid long")
+        for min_samples in (2, 4):
+            ld = {r.id: r.label for r in CL.labels_to_posts(CL.leader(texts, nz, pairs, min_samples), members).collect()}
+            ref = _ball_reference(posts, nbrs, min_samples)
+            assert _groups(ld) == _groups(ref), (seed, min_samples)
+            # density: core posts connected through core neighbours; a border
+            # post joins the smallest component among its core neighbours
+            core = {p for p in posts if len(nbrs(p)) >= min_samples}
+            comp = {}
+            for p in sorted(core):
+                if p in comp:
+                    continue
+                stack, seen = [p], {p}
+                while stack:
+                    x = stack.pop()
+                    for y in nbrs(x):
+                        if y in core and y not in seen:
+                            seen.add(y)
+                            stack.append(y)
+                for x in seen:
+                    comp[x] = min(seen)
+            dens = dict(comp)
+            for p in posts:
+                if p not in core:
+                    adj = [comp[q] for q in nbrs(p) if q in core]
+                    if adj:
+                        dens[p] = min(adj)
+            db = {r.id: r.label for r in CL.labels_to_posts(CL.dbscan(texts, nz, pairs, min_samples), members).collect()}
+            assert db == dens, (seed, min_samples)
