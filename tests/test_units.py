@@ -398,3 +398,25 @@ def test_leader_and_dbscan_match_post_level_definitions(spark):
                         dens[p] = min(adj)
             db = {r.id: r.label for r in CL.labels_to_posts(CL.dbscan(texts, nz, pairs, min_samples), members).collect()}
             assert db == dens, (seed, min_samples)
+
+
+def test_similarity_join_exact_against_brute_force(spark):
+    import numpy as np
+    from murmur.operators import similarity as SIM
+    rng = np.random.default_rng(5)
+    n, m = 70, 30
+    dense = np.where(rng.random((n, m)) < 0.25, rng.normal(0.8, 0.7, (n, m)), 0.0)
+    dense[3] = dense[4]                      # an exact copy
+    dense[7] = 0.0                           # a zero vector
+    dense[8] = dense[9] * 2.5                # same direction
+    rows = [(i, f"t{k}", float(dense[i, k])) for i in range(n) for k in range(m) if dense[i, k] != 0.0]
+    weights = spark.createDataFrame(rows, "uid long, term string, weight double")
+    vocab = spark.createDataFrame([(f"t{k}", int(rng.integers(1, 50))) for k in range(m)], "term string, df long")
+    norms = np.linalg.norm(dense, axis=1)
+    unit = np.divide(dense, norms[:, None], out=np.zeros_like(dense), where=norms[:, None] > 0)
+    cos = unit @ unit.T
+    for t in (0.3, 0.6, 0.9):
+        got = {(r.i, r.j) for r in SIM.similar_pairs(weights, vocab, t).collect()}
+        want = {(i, j) for i in range(n) for j in range(i + 1, n)
+                if norms[i] > 0 and norms[j] > 0 and cos[i, j] >= t - 1e-9}
+        assert got == want, t
