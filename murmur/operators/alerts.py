@@ -83,22 +83,45 @@ def keyword_hits(posts: DataFrame, words: list[str]) -> DataFrame:
                  .filter(F.col("matched_word").isNotNull()))
 
 
-def monitored_posts(posts: DataFrame, keywords: DataFrame) -> DataFrame:
+def _ac_all_matches(words: list[str]):
+    """Indices of every word of ``words`` occurring in a text (each once)."""
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def found(content: pd.Series) -> pd.Series:
+        import ahocorasick
+        auto = ahocorasick.Automaton()
+        for i, w in enumerate(words):
+            auto.add_word(w, i)
+        auto.make_automaton()
+        return content.map(lambda t: [] if t is None else sorted({i for _, i in auto.iter(t)}))
+    return found
+
+
+def monitored_posts(posts: DataFrame, keywords: DataFrame, method: str = "auto") -> DataFrame:
     """Hits per monitored keyword and post platform.
 
     A keyword applies to a post when its platform is ``all`` or the post's
     platform and the content contains it (ignoring case).  The enabled
     keyword table is counted first and only broadcast under a fixed bound.
+    Up to 64 keywords the posts are scanned against the broadcast table;
+    beyond that one Aho-Corasick pass per post finds every keyword and the
+    matches equi-join the keyword table.
     """
     kw = keywords.filter(F.col("enabled")).select(
         F.col("keyword"), F.lower("keyword").alias("_kw"), F.col("platform").alias("_kp"))
     n = kw.count()
     if n > MAX_BROADCAST_KEYWORDS:
         raise ValueError(f"{n} monitored keywords exceed the broadcast bound")
-    p = posts.select(F.lower("content").alias("_c"), F.col("platform"))
-    cond = (F.col("_kp").isin("all") | (F.col("_kp") == F.col("platform"))) & F.col("_c").contains(F.col("_kw"))
-    return (p.join(F.broadcast(kw), cond)
-             .groupBy("keyword", "platform").agg(F.count(F.lit(1)).alias("hits")))
+    rule = F.col("_kp").isin("all") | (F.col("_kp") == F.col("platform"))
+    if method == "scan" or (method == "auto" and n <= CASE_CHAIN_LIMIT):
+        p = posts.select(F.lower("content").alias("_c"), F.col("platform"))
+        hits = p.join(F.broadcast(kw), rule & F.col("_c").contains(F.col("_kw")))
+    else:
+        words = sorted({r._kw for r in kw.select("_kw").distinct().collect() if r._kw})
+        widx = kw.join(F.broadcast(posts.sparkSession.createDataFrame(
+            list(enumerate(words)), "_wi int, _kw string")), "_kw")
+        found = posts.select("platform", F.explode(_ac_all_matches(words)(F.lower("content"))).alias("_wi"))
+        hits = found.join(F.broadcast(widx), "_wi").filter(rule)
+    return hits.groupBy("keyword", "platform").agg(F.count(F.lit(1)).alias("hits"))
 
 
 # ----------------------------------------------------------------- rules

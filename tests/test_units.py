@@ -420,3 +420,14 @@ def test_similarity_join_exact_against_brute_force(spark):
         want = {(i, j) for i in range(n) for j in range(i + 1, n)
                 if norms[i] > 0 and norms[j] > 0 and cos[i, j] >= t - 1e-9}
         assert got == want, t
+
+
+def test_monitored_posts_automaton_equals_scan(spark, sf_small):
+    from murmur.sources import tables as TB
+    posts = TB.posts_event(spark, sf_small)
+    rows = [("purchase", "all", True), ("Error", "weibo", True), ('"k": 1', "xiaohongshu", True),
+            ("view", "all", False), ("人工智能", "all", True)] + [(f'"k": {i}', "all", True) for i in range(70)]
+    kw = TB.keywords_table(spark, rows)
+    a = sorted(tuple(r) for r in AL.monitored_posts(posts, kw, "scan").collect())
+    b = sorted(tuple(r) for r in AL.monitored_posts(posts, kw, "automaton").collect())
+    assert a == b and len(a) > 10
