@@ -114,27 +114,31 @@ def stream_surge(posts: DataFrame, window_minutes: int = 60, watermark: str = "2
                      "total", "negative"))
 
 
-def live_feed(posts: DataFrame, buffer: int = 200) -> str:
-    """ST6: a rolling buffer of the newest ``buffer`` posts, kept as a table
-    version per epoch (previous version + batch, top-k by publish time)."""
+def live_feed(posts: DataFrame, buffer: int = 200, out: str | None = None) -> str:
+    """ST6: a rolling buffer of the newest ``buffer`` posts.  Epoch N writes
+    ``out/v=N`` = top-k of (its batch + ``out/v=N-1``); the previous version is
+    found by its path, so a query restarted from its checkpoint continues the
+    buffer and a retried epoch rewrites its own folder."""
     spark = posts.sparkSession
-    ck, out = _paths(spark, "live_feed")
+    ck, default_out = _paths(spark, "live_feed")
+    out = out or default_out
     cols = ["id", "publish_time", "sentiment"]
-    state = {"prev": None}
 
     def sink(batch: DataFrame, epoch: int):
         cur = batch.select(*cols)
-        if state["prev"] is not None:
-            cur = cur.unionByName(spark.read.parquet(state["prev"]))
+        if epoch > 0:
+            try:
+                cur = cur.unionByName(spark.read.parquet(f"{out}/v={epoch - 1}"))
+            except Exception:  # noqa: BLE001  (no earlier version: first epoch after a fresh start)
+                pass
         top = cur.orderBy(F.col("publish_time").desc(), F.col("id").desc()).limit(buffer)
-        path = f"{out}/v={epoch}"
-        top.write.mode("overwrite").parquet(path)
-        state["prev"] = path
+        top.write.mode("overwrite").parquet(f"{out}/v={epoch}")
 
-    q = (posts.writeStream.foreachBatch(sink).option("checkpointLocation", ck)
-              .trigger(availableNow=True).start())
+    q = (posts.writeStream.queryName(f"live_feed_{uuid.uuid4().hex[:6]}").foreachBatch(sink)
+              .option("checkpointLocation", ck).trigger(availableNow=True).start())
     q.awaitTermination()
-    return state["prev"]
+    last = q.lastProgress["batchId"] if q.lastProgress else 0
+    return f"{out}/v={last}"
 
 
 def stream_keyword_alerts(posts: DataFrame, words: list[str]) -> DataFrame:

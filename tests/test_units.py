@@ -431,3 +431,25 @@ def test_monitored_posts_automaton_equals_scan(spark, sf_small):
     a = sorted(tuple(r) for r in AL.monitored_posts(posts, kw, "scan").collect())
     b = sorted(tuple(r) for r in AL.monitored_posts(posts, kw, "automaton").collect())
     assert a == b and len(a) > 10
+
+
+def test_live_feed_across_epochs(spark, tmp_path):
+    from murmur.streaming import streams as ST
+    src = str(tmp_path / "src")
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=(i * 37) % 101), i % 2) for i in range(30)]
+    for k in range(3):
+        spark.createDataFrame(rows[k * 10:(k + 1) * 10], "id long, publish_time timestamp_ntz, sentiment int") \
+             .coalesce(1).write.mode("overwrite").parquet(f"{src}/part{k}")
+    import glob
+    import shutil
+    flat = str(tmp_path / "flat")
+    import os
+    os.makedirs(flat)
+    for k, f in enumerate(sorted(glob.glob(f"{src}/part*/*.parquet"))):
+        shutil.copy(f, f"{flat}/f{k}.parquet")
+    stream = (spark.readStream.schema("id long, publish_time timestamp_ntz, sentiment int")
+                   .option("maxFilesPerTrigger", 1).parquet(flat))
+    path = ST.live_feed(stream, buffer=5)
+    got = sorted(r.id for r in spark.read.parquet(path).collect())
+    want = sorted(i for i, _, _ in sorted(rows, key=lambda r: (r[1], r[0]), reverse=True)[:5])
+    assert path.endswith("v=2") and got == want
