@@ -34,7 +34,7 @@ CASE_CHAIN_LIMIT = 64
 MAX_BROADCAST_KEYWORDS = 10_000
 
 ALERT_COLUMNS = ["alert_type", "severity", "title", "description", "related_topic_id",
-                 "trigger_data", "created_at"]
+                 "trigger_data", "created_at", "source_id"]
 
 
 # ---------------------------------------------------------------- matching
@@ -155,6 +155,7 @@ def negative_surge(posts: DataFrame, as_of, threshold: float = 0.6, min_posts: i
         F.format_string(SURGE_DESC, F.lit(window_hours), ratio * 100, F.col("negative_posts"),
                         F.col("total_posts"), F.lit(threshold * 100)).alias("description"),
         F.lit(None).cast("long").alias("related_topic_id"),
+        F.lit(None).cast("long").alias("source_id"),
         F.to_json(F.struct(F.col("total_posts").alias("totalPosts"),
                            F.col("negative_posts").alias("negativePosts"),
                            pct.alias("negativeRatio"),
@@ -181,6 +182,7 @@ def keyword_alerts(posts: DataFrame, words: list[str], as_of, lookback_minutes:
         F.concat(F.lit(KEYWORD_DESC_HEAD), F.col("matched_word"), F.lit(KEYWORD_DESC_TAIL),
                  F.substring("content", 1, 100)).alias("description"),
         F.lit(None).cast("long").alias("related_topic_id"),
+        F.col("id").alias("source_id"),
         F.to_json(F.struct(F.col("id").alias("postId"), F.col("platform"),
                            F.col("matched_word").alias("matchedWord"),
                            prev80.alias("contentPreview"))).alias("trigger_data"),
@@ -207,6 +209,7 @@ def topic_growth_alerts(topics: DataFrame, posts: DataFrame, as_of, rate: float
                         (F.col("growth") - 1) * 100, F.col("previous_count"),
                         F.col("current_count"), F.lit(rate * 100)).alias("description"),
         F.col("topic_id").alias("related_topic_id"),
+        F.col("topic_id").alias("source_id"),
         F.to_json(F.struct(F.col("topic_id").alias("topicId"), F.col("topic_name").alias("topicName"),
                            F.col("current_count").alias("currentCount"),
                            F.col("previous_count").alias("previousCount"),
@@ -283,7 +286,11 @@ def rule_rows(rules: DataFrame) -> list[dict]:
 def evaluate_rules(posts: DataFrame, topics: DataFrame, rules: DataFrame, prior: DataFrame | None,
                    as_of, keyword_lookback_minutes: int = 5, null_safe: bool = True) -> DataFrame:
     """L4: every enabled rule evaluated as one plan per rule, unioned, then
-    silenced against ``prior`` alerts (and earlier alerts of the same run)."""
+    silenced against ``prior`` alerts and against earlier alerts of the same
+    run: all candidates carry the run time, so within one (type, topic) key
+    only the first candidate in source order (post id, topic id) can fire --
+    found with a per-key ``min``, no per-key ordering.  ``null_safe=False``
+    reproduces the original, where a NULL topic never silences anything."""
     frames = []
     silence_by_type = {}
     for r in rule_rows(rules):
@@ -311,7 +318,15 @@ def evaluate_rules(posts: DataFrame, topics: DataFrame, rules: DataFrame, prior:
                       silence_by_type, null_safe)
     else:
         out = out.withColumn("suppressed", F.lit(False))
-    return out
+    order = F.coalesce(F.col("source_id"), F.lit(-(1 << 62)))
+    first = (out.groupBy(F.col("alert_type").alias("_ft"), F.col("related_topic_id").alias("_fk"))
+                .agg(F.min(order).alias("_first")))
+    j = out.join(first, (F.col("alert_type") == F.col("_ft"))
+                 & F.col("related_topic_id").eqNullSafe(F.col("_fk")))
+    later = order > F.col("_first")
+    if not null_safe:
+        later = later & F.col("related_topic_id").isNotNull()
+    return j.withColumn("suppressed", F.col("suppressed") | later).drop("_ft", "_fk", "_first")
 
 
 def upsert_config(table: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:

@@ -640,25 +640,30 @@ ORACLE_RULES = [
 
 @register("alerts_all", O.with_ctes("""
 SELECT c.alert_type, c.severity, c.title, c.related_topic_id, TIMESTAMP '2024-01-30 12:00:00' AS created_at,
+       c.source_id,
        EXISTS (SELECT 1 FROM alerts a WHERE a.alert_type = c.alert_type
                AND a.related_topic_id IS NOT DISTINCT FROM c.related_topic_id
-               AND a.created_at >= TIMESTAMP '2024-01-30 12:00:00' - c.silence * INTERVAL 1 HOUR) AS suppressed
+               AND a.created_at >= TIMESTAMP '2024-01-30 12:00:00' - c.silence * INTERVAL 1 HOUR)
+       OR coalesce(c.source_id, -4611686018427387904) >
+          min(coalesce(c.source_id, -4611686018427387904)) OVER (PARTITION BY c.alert_type, c.related_topic_id)
+         AS suppressed
 FROM (
   SELECT 'negative_surge' AS alert_type,
          CASE WHEN negative_posts / total_posts >= 0.8 THEN 'critical' ELSE 'warning' END AS severity,
-         '负面舆情突增预警' AS title, CAST(NULL AS BIGINT) AS related_topic_id, 24 AS silence
+         '负面舆情突增预警' AS title, CAST(NULL AS BIGINT) AS related_topic_id, 24 AS silence,
+         CAST(NULL AS BIGINT) AS source_id
   FROM (SELECT COUNT(sentiment) AS total_posts, COUNT(*) FILTER (WHERE sentiment = 0) AS negative_posts
         FROM posts_event WHERE crawl_time >= TIMESTAMP '2024-01-29 12:00:00')
   WHERE total_posts >= 5 AND negative_posts / total_posts >= 0.4
   UNION ALL
-  SELECT 'keyword_trigger', 'warning', concat('敏感词触发: ', w), CAST(NULL AS BIGINT), 1
-  FROM (SELECT CASE WHEN contains(content, 'error') THEN 'error'
-                    WHEN contains(content, 'purchase') THEN 'purchase' END AS w
+  SELECT 'keyword_trigger', 'warning', concat('敏感词触发: ', w), CAST(NULL AS BIGINT), 1, id
+  FROM (SELECT id, CASE WHEN contains(content, 'error') THEN 'error'
+                        WHEN contains(content, 'purchase') THEN 'purchase' END AS w
         FROM posts_event WHERE crawl_time >= TIMESTAMP '2024-01-29 12:00:00')
   WHERE w IS NOT NULL
   UNION ALL
   SELECT 'topic_growth', CASE WHEN g >= 1 + 2 * 1.1 THEN 'critical' ELSE 'warning' END,
-         concat('话题异常增长: ', topic_name), topic_id, 48
+         concat('话题异常增长: ', topic_name), topic_id, 48, topic_id
   FROM (SELECT t.id AS topic_id, t.topic_name, c.current_count / c.previous_count AS g, c.previous_count
         FROM hot_topics t
         JOIN (SELECT topic_id,
@@ -673,7 +678,8 @@ def q_alerts_all(spark, d):
     rules = TB.rules_table(spark, ORACLE_RULES)
     out = AL.evaluate_rules(_E(spark, d), TB.hot_topics(spark, d), rules, TB.alerts(spark, d),
                             AS_OF, keyword_lookback_minutes=24 * 60)
-    return out.select("alert_type", "severity", "title", "related_topic_id", "created_at", "suppressed")
+    return out.select("alert_type", "severity", "title", "related_topic_id", "created_at", "source_id",
+                      "suppressed")
 
 
 # ------------------------------------------------------- text and clustering

@@ -453,3 +453,19 @@ def test_live_feed_across_epochs(spark, tmp_path):
     got = sorted(r.id for r in spark.read.parquet(path).collect())
     want = sorted(i for i, _, _ in sorted(rows, key=lambda r: (r[1], r[0]), reverse=True)[:5])
     assert path.endswith("v=2") and got == want
+
+
+def test_rules_silence_within_one_run(spark):
+    from murmur.sources.tables import rules_table
+    t = AS_OF - dt.timedelta(minutes=1)
+    posts = spark.createDataFrame(
+        [(5, "weibo", "跑路 了", t, 0, 1), (3, "weibo", "暴雷", t, 0, 1), (9, "weibo", "fine", t, 1, 1)],
+        "id long, platform string, content string, crawl_time timestamp_ntz, sentiment int, topic_id long")
+    topics = spark.createDataFrame([], "id long, topic_name string, status string, last_updated timestamp_ntz, "
+                                       "first_seen timestamp_ntz")
+    rules = rules_table(spark, [(2, "kw", "keyword_trigger", '{"sensitiveWords": ["暴雷", "跑路"], "silenceHours": 1}', True)])
+    out = {r.source_id: r.suppressed for r in AL.evaluate_rules(posts, topics, rules, None, AS_OF).collect()}
+    assert out == {3: False, 5: True}
+    compat = {r.source_id: r.suppressed
+              for r in AL.evaluate_rules(posts, topics, rules, None, AS_OF, null_safe=False).collect()}
+    assert compat == {3: False, 5: False}
