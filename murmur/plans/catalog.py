@@ -1152,3 +1152,27 @@ def q_stream_heartbeats(spark, d):
     finally:
         spark.streams.removeListener(hb.listener)
     return R.health_status(hb.frame(spark).select("module_name", "status", "ts"))
+
+
+@register("stream_silence", O.with_ctes("""
+SELECT 'keyword_trigger' AS alert_type, CAST(NULL AS BIGINT) AS related_topic_id, id AS source_id,
+       concat('敏感词触发: ', w) AS title, max(crawl_time) OVER () AS created_at,
+       id > min(id) OVER () AS suppressed
+FROM (SELECT id, crawl_time, CASE WHEN contains(content, 'error') THEN 'error'
+                                  WHEN contains(content, 'purchase') THEN 'purchase' END AS w
+      FROM posts_event)
+WHERE w IS NOT NULL""", "posts_event"))
+def q_stream_silence(spark, d):
+    """ST5: keyword alerts from the events stream with per-key silence state."""
+    posts = ST.event_posts_stream(spark, d)
+    # candidates keep their event time: the tick clock of each micro-batch
+    cand = (posts.select("id", "platform", "content", "crawl_time")
+                 .select("crawl_time", F.col("id").alias("source_id"),
+                         AL.first_match(F.col("content"), ["error", "purchase"]).alias("_w"))
+                 .filter(F.col("_w").isNotNull())
+                 .select(F.lit("keyword_trigger").alias("alert_type"),
+                         F.lit(None).cast("long").alias("related_topic_id"), "source_id",
+                         F.concat(F.lit(AL.KEYWORD_TITLE), F.col("_w")).alias("title"), "crawl_time"))
+    path = ST.run_silenced_alerts(cand, SILENCE_HOURS)
+    return spark.read.parquet(path).select("alert_type", "related_topic_id", "source_id", "title",
+                                           "created_at", "suppressed")

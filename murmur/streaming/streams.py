@@ -208,3 +208,65 @@ class HeartbeatListener:
         rows = [(m, s, t, md) for m, s, t, md in self.beats]
         df = spark.createDataFrame(rows, "module_name string, status string, ts_text string, metadata string")
         return df.withColumn("ts", F.to_timestamp("ts_text").cast("timestamp_ntz")).drop("ts_text")
+
+
+def run_silenced_alerts(candidates: DataFrame, silence_hours: dict, event_col: str = "crawl_time",
+                        out: str | None = None) -> str:
+    """ST5: silence state per (alert_type, related_topic_id) across micro-batches.
+
+    Each micro-batch is one evaluation tick: its alerts are created at the
+    batch's latest ``event_col`` time.  Within a key only the first candidate
+    (smallest ``source_id``) can fire, and only when the key's last fired time
+    is older than its silence period.  The state -- last fired time per key --
+    is a table written per epoch (``out/_state/v=N``) and read back by path, so
+    a restarted query resumes it; updates are per-key max aggregates, never an
+    ordered walk over one key's alerts.  Outputs go to ``out/alerts/_epoch=N``.
+    """
+    spark = candidates.sparkSession
+    ck, default_out = _paths(spark, "silenced_alerts")
+    out = out or default_out
+    hours = None
+    for k, v in silence_hours.items():
+        c = F.col("alert_type") == k
+        hours = F.when(c, F.lit(v)) if hours is None else hours.when(c, F.lit(v))
+    state_schema = "alert_type string, related_topic_id long, last timestamp_ntz"
+
+    def sink(batch: DataFrame, epoch: int):
+        tick = batch.agg(F.max(event_col)).first()[0]
+        if tick is None:
+            return
+        try:
+            state = spark.read.parquet(f"{out}/_state/v={epoch - 1}") if epoch > 0 else None
+        except Exception:  # noqa: BLE001  (no earlier state: fresh start)
+            state = None
+        if state is None:
+            state = spark.createDataFrame([], state_schema)
+        now = F.lit(tick).cast("timestamp_ntz")
+        cand = batch.drop(event_col).withColumn("created_at", now)
+        order = F.coalesce(F.col("source_id"), F.lit(-(1 << 62)))
+        first = (cand.groupBy(F.col("alert_type").alias("_ft"), F.col("related_topic_id").alias("_fk"))
+                     .agg(F.min(order).alias("_first")))
+        st = state.select(F.col("alert_type").alias("_st"), F.col("related_topic_id").alias("_sk"), "last")
+        j = (cand.join(first, (F.col("alert_type") == F.col("_ft"))
+                       & F.col("related_topic_id").eqNullSafe(F.col("_fk")))
+                 .join(st, (F.col("alert_type") == F.col("_st"))
+                       & F.col("related_topic_id").eqNullSafe(F.col("_sk")), "left"))
+        silenced = F.coalesce(F.col("last") >= now - F.make_dt_interval(F.lit(0), hours.cast("int")), F.lit(False))
+        res = j.withColumn("suppressed", silenced | (order > F.col("_first"))) \
+               .drop("_ft", "_fk", "_first", "_st", "_sk", "last")
+        res = cut_to(res, f"{out}/alerts/_epoch={epoch}")
+        fired = res.filter(~F.col("suppressed")).select("alert_type", "related_topic_id",
+                                                         F.col("created_at").alias("last"))
+        (state.unionByName(fired).groupBy("alert_type", "related_topic_id").agg(F.max("last").alias("last"))
+              .write.mode("overwrite").parquet(f"{out}/_state/v={epoch}"))
+
+    q = (candidates.writeStream.queryName(f"silenced_alerts_{uuid.uuid4().hex[:6]}").foreachBatch(sink)
+                   .option("checkpointLocation", ck).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return f"{out}/alerts"
+
+
+def cut_to(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` to ``path`` (overwrite) and return a read of it."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

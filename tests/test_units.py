@@ -469,3 +469,25 @@ def test_rules_silence_within_one_run(spark):
     compat = {r.source_id: r.suppressed
               for r in AL.evaluate_rules(posts, topics, rules, None, AS_OF, null_safe=False).collect()}
     assert compat == {3: False, 5: False}
+
+
+def test_silence_state_across_epochs(spark, tmp_path):
+    import os
+    import shutil
+    import glob
+    from murmur.streaming import streams as ST
+    t0 = dt.datetime(2024, 1, 1, 10, 0)
+    batches = [[(7, t0), (3, t0)], [(9, t0 + dt.timedelta(minutes=30))], [(12, t0 + dt.timedelta(hours=2)), (11, t0)]]
+    flat = str(tmp_path / "flat")
+    os.makedirs(flat)
+    for k, rows in enumerate(batches):
+        d = str(tmp_path / f"b{k}")
+        spark.createDataFrame([("keyword_trigger", None, s, "t", c) for s, c in rows],
+                              "alert_type string, related_topic_id long, source_id long, title string, "
+                              "crawl_time timestamp_ntz").coalesce(1).write.parquet(d)
+        shutil.copy(glob.glob(f"{d}/*.parquet")[0], f"{flat}/f{k}.parquet")
+    stream = (spark.readStream.schema("alert_type string, related_topic_id long, source_id long, title string, "
+                                      "crawl_time timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(flat))
+    path = ST.run_silenced_alerts(stream, {"keyword_trigger": 1})
+    got = {r.source_id: r.suppressed for r in spark.read.parquet(path).collect()}
+    assert got == {3: False, 7: True, 9: True, 11: False, 12: True}
