@@ -400,10 +400,14 @@ def test_leader_and_dbscan_match_post_level_definitions(spark):
             assert db == dens, (seed, min_samples)
 
 
-def test_similarity_join_exact_against_brute_force(spark):
+import pytest  # noqa: E402
+
+
+@pytest.mark.parametrize("seed", [5, 11, 23])
+def test_similarity_join_exact_against_brute_force(spark, seed):
     import numpy as np
     from murmur.operators import similarity as SIM
-    rng = np.random.default_rng(5)
+    rng = np.random.default_rng(seed)
     n, m = 70, 30
     dense = np.where(rng.random((n, m)) < 0.25, rng.normal(0.8, 0.7, (n, m)), 0.0)
     dense[3] = dense[4]                      # an exact copy
@@ -415,7 +419,7 @@ def test_similarity_join_exact_against_brute_force(spark):
     norms = np.linalg.norm(dense, axis=1)
     unit = np.divide(dense, norms[:, None], out=np.zeros_like(dense), where=norms[:, None] > 0)
     cos = unit @ unit.T
-    for t in (0.3, 0.6, 0.9):
+    for t in (0.1, 0.3, 0.6, 0.9, 0.95):
         got = {(r.i, r.j) for r in SIM.similar_pairs(weights, vocab, t).collect()}
         want = {(i, j) for i in range(n) for j in range(i + 1, n)
                 if norms[i] > 0 and norms[j] > 0 and cos[i, j] >= t - 1e-9}
