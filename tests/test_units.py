@@ -495,3 +495,31 @@ def test_silence_state_across_epochs(spark, tmp_path):
     path = ST.run_silenced_alerts(stream, {"keyword_trigger": 1})
     got = {r.source_id: r.suppressed for r in spark.read.parquet(path).collect()}
     assert got == {3: False, 7: True, 9: True, 11: False, 12: True}
+
+
+def test_fallback_paths_above_broadcast_bounds(spark, monkeypatch):
+    """The shuffle-join branches used above the broadcast bounds give the
+    same results as the broadcast branches."""
+    import numpy as np
+    from murmur.operators import similarity as SIM
+    ex = spark.createDataFrame([("weibo", "a", "x", 1, dt.datetime(2024, 1, 1))],
+                               "platform string, post_id string, author string, likes int, crawl_time timestamp_ntz")
+    inc = spark.createDataFrame([("weibo", "a", "y", 5, dt.datetime(2024, 1, 2)),
+                                 ("weibo", "b", "z", 2, dt.datetime(2024, 1, 2)),
+                                 ("weibo", "b", "w", 3, dt.datetime(2024, 1, 3))], ex.schema)
+    rng = np.random.default_rng(3)
+    dense = np.where(rng.random((40, 20)) < 0.3, rng.normal(1.0, 0.5, (40, 20)), 0.0)
+    weights = spark.createDataFrame([(i, f"t{k}", float(dense[i, k])) for i in range(40) for k in range(20)
+                                     if dense[i, k] != 0.0], "uid long, term string, weight double")
+    vocab = spark.createDataFrame([(f"t{k}", k + 1) for k in range(20)], "term string, df long")
+
+    def run():
+        ign = sorted(tuple(r) for r in I.ingest_ignore(ex, inc).select("post_id", "author", "likes").collect())
+        ups = sorted(tuple(r) for r in I.ingest_upsert(ex, inc).select("post_id", "author", "likes").collect())
+        sim = sorted((r.i, r.j, round(r.similarity, 9)) for r in SIM.similar_pairs(weights, vocab, 0.5).collect())
+        return ign, ups, sim
+
+    small = run()
+    monkeypatch.setattr(I, "BROADCAST_BATCH_KEYS", 0)
+    monkeypatch.setattr(SIM, "BROADCAST_VECTOR_BYTES", 0)
+    assert run() == small and len(small[2]) > 0
