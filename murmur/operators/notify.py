@@ -37,7 +37,7 @@ def type_label(c: Column) -> Column:
     return _label(c, TYPE_LABELS)
 
 
-def java_datetime_text(ts: Column) -> Column:
+def iso_time_text(ts: Column) -> Column:
     """ISO text of a wall-clock time as the alert messages print it:
     ``yyyy-MM-ddTHH:mm``, then ``:ss`` unless seconds and fraction are zero,
     then ``.SSS`` or ``.SSSSSS`` (shortest exact)."""
@@ -61,7 +61,7 @@ def notification_outbox(alerts: DataFrame, webhook_type: str = "wechat",
     """One row per (alert, channel): info -> nothing; critical -> e-mail;
     warning and critical -> webhook in the chosen chat dialect."""
     sev = F.col("severity")
-    when_ = _text(java_datetime_text(F.col("created_at")))
+    when_ = _text(iso_time_text(F.col("created_at")))
     slabel, tlabel = severity_label(sev), type_label(F.col("alert_type"))
     desc = _text(F.col("description"))
     email_body = F.concat(F.lit(EMAIL_HEADER),

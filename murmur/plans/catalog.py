@@ -597,7 +597,7 @@ def q_negative_surge_backtest(spark, d):
     return AL.negative_surge_backtest(_E(spark, d), 60, 0.6, 5)
 
 
-_JDT = """(strftime(created_at, '%Y-%m-%dT%H:%M') ||
+_ISO_TIME = """(strftime(created_at, '%Y-%m-%dT%H:%M') ||
   CASE WHEN strftime(created_at, '%S') = '00' AND strftime(created_at, '%f') = '000000' THEN ''
        WHEN strftime(created_at, '%f') = '000000' THEN ':' || strftime(created_at, '%S')
        WHEN substr(strftime(created_at, '%f'), 4, 3) = '000'
@@ -615,14 +615,14 @@ SELECT id AS alert_id, 'email' AS channel,
                         'text', '舆情分析平台预警通知' || chr(10) || '========================' || chr(10) || chr(10)
                           || '级别: ' || {_SEV} || chr(10) || '类型: ' || {_TYP} || chr(10)
                           || '标题: ' || title || chr(10) || '详情: ' || description || chr(10)
-                          || '时间: ' || {_JDT} || chr(10) || chr(10) || '请及时处理。' || chr(10)) AS VARCHAR) AS payload
+                          || '时间: ' || {_ISO_TIME} || chr(10) || chr(10) || '请及时处理。' || chr(10)) AS VARCHAR) AS payload
 FROM alerts WHERE severity = 'critical'
 UNION ALL
 SELECT id AS alert_id, 'webhook' AS channel,
        CAST(json_object('msgtype', 'markdown', 'markdown', json_object('content',
             '### ' || CASE WHEN severity = 'critical' THEN '🔴' ELSE '🟡' END || ' 舆情预警' || chr(10)
             || '> 级别: **' || {_SEV} || '**' || chr(10) || '> 类型: ' || {_TYP} || chr(10)
-            || '> 详情: ' || description || chr(10) || '> 时间: ' || {_JDT})) AS VARCHAR) AS payload
+            || '> 详情: ' || description || chr(10) || '> 时间: ' || {_ISO_TIME})) AS VARCHAR) AS payload
 FROM alerts WHERE severity IN ('warning', 'critical')""", "alerts"))
 def q_notification_outbox(spark, d):
     return N.notification_outbox(TB.alerts(spark, d), "wechat")

@@ -197,7 +197,7 @@ def test_outbox_routing(spark):
                                "created_at timestamp_ntz")
     out = sorted((r.alert_id, r.channel) for r in N.notification_outbox(al).collect())
     assert out == [(1, "email"), (1, "webhook"), (2, "webhook")]
-    txt = al.select(N.java_datetime_text(F.col("created_at")).alias("x")).first().x
+    txt = al.select(N.iso_time_text(F.col("created_at")).alias("x")).first().x
     assert txt == "2024-01-02T03:04:05.123"
 
 
