@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, simhash
+from . import decontaminate, quality, simhash
 from .common import read
 
 QUERIES: dict = {}
@@ -68,3 +68,27 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        AND 100 * covered_words <= 45 * n_words AND longest_repeat <= 200 AS kept
 FROM s
 """
+
+
+@query
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold at least 80 % of a benchmark item's five-word
+    shingles: one row per document and item."""
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+_WORDS = (r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+          r"'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\v\f\r]+'), x -> x <> '')")
+
+ORACLE["op4_decontaminate"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents),
+b AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
+bs AS (SELECT DISTINCT item_id, list_aggregate(ws[i + 1:i + 5], 'string_agg', ' ') AS g
+       FROM (SELECT item_id, ws, unnest(range(greatest(1, len(ws) - 4))) AS i FROM b WHERE len(ws) > 0)),
+ds AS (SELECT DISTINCT r, doc_id, list_aggregate(ws[i + 1:i + 5], 'string_agg', ' ') AS g
+       FROM (SELECT r, doc_id, ws, unnest(range(greatest(1, len(ws) - 4))) AS i FROM d WHERE len(ws) > 0)),
+m AS (SELECT item_id, count(*) AS n_shingles FROM bs GROUP BY item_id),
+f AS (SELECT r, doc_id, item_id, count(*) AS n_found FROM ds JOIN bs USING (g) GROUP BY r, doc_id, item_id)
+SELECT doc_id, item_id, n_shingles::INT AS n_shingles, n_found::INT AS n_found, n_found / n_shingles AS containment
+FROM f JOIN m USING (item_id) WHERE n_found >= ceil(0.8 * n_shingles - 1e-9)
+"""
