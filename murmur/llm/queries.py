@@ -26,47 +26,40 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word, symbol, line and repetition counts of all documents, and what the
     repetition rules keep."""
-    return quality.quality(read(spark, sf_dir, "documents"))
+    return quality.quality(read(spark, sf_dir, "documents")).drop("covered_words", "longest_repeat")
 
 
 # Positions in a repeat of at least 10 words are those in a 10-word window that
-# occurs twice; a repeat longer than 200 words is a 201-word window that does.
+# occurs twice; a repeat of over 200 words is a run of at least 192 positions whose
+# 10-word windows occur again at one same distance.
 ORACLE["op10_quality"] = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
-w AS (SELECT r, list_filter(regexp_split_to_array(text, '[ \t\n\v\f\r]+'), x -> x <> '') AS ws FROM d),
+w AS (SELECT r, list_filter(regexp_split_to_array(text, '[ \t\n\v\f\r]+'), lambda x: x <> '') AS ws FROM d),
 p AS (SELECT r, ws, unnest(range(len(ws))) AS i FROM w),
-g3 AS (SELECT r, i, list_aggregate(ws[i + 1:i + 3], 'string_agg', ' ') AS g FROM p WHERE i + 3 <= len(ws)),
-c3 AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g3),
+c3 AS (SELECT r, i, count(*) OVER (PARTITION BY r, ws[i + 1], ws[i + 2], ws[i + 3]) AS n FROM p WHERE i + 3 <= len(ws)),
 rep3 AS (SELECT r, count(DISTINCT j) AS n_repeat_words
          FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM c3 WHERE n > 1) GROUP BY r),
-g10 AS (SELECT r, i, list_aggregate(ws[i + 1:i + 10], 'string_agg', ' ') AS g FROM p WHERE i + 10 <= len(ws)),
-c10 AS (SELECT r, i, g, count(*) OVER (PARTITION BY r, g) AS n FROM g10),
-rep10 AS (SELECT r, count(DISTINCT j) AS covered_words
-          FROM (SELECT r, unnest(range(i, i + 10)) AS j FROM c10 WHERE n > 1) GROUP BY r),
--- runs of positions whose 10-word windows repeat together with the same partner: longest repeat
-pair AS (SELECT a.r, a.i, b.i - a.i AS gap, a.i - row_number() OVER (PARTITION BY a.r, b.i - a.i ORDER BY a.i) AS run
-         FROM (SELECT * FROM c10 WHERE n > 1) a JOIN (SELECT * FROM c10 WHERE n > 1) b
-           ON a.r = b.r AND a.g = b.g AND a.i < b.i),
-longest AS (SELECT r, max(n) AS longest_repeat FROM (SELECT r, count(*) + 9 AS n FROM pair GROUP BY r, gap, run) GROUP BY r),
 lines AS (SELECT r, unnest(string_split(text, chr(10))) AS l FROM d),
 dup AS (SELECT r, count(*) - count(DISTINCT l) AS n_dup_lines FROM lines
         WHERE regexp_replace(l, '[ \t\n\v\f\r]+', '', 'g') <> '' GROUP BY r),
-short AS (  -- repeats of under 10 words: longest length with a repeated window
-  SELECT r, max(k) AS k FROM (
-    SELECT p.r, k, p.i, list_aggregate(ws[i + 1:i + k], 'string_agg', ' ') AS g, count(*) OVER (PARTITION BY p.r, k, g) AS n
-    FROM p, (SELECT unnest(range(1, 10)) AS k) WHERE i + k <= len(ws)) WHERE n > 1 GROUP BY r),
-s AS (
-  SELECT d.doc_id, len(ws) AS n_words,
+base AS (
+  SELECT r, doc_id, len(ws) AS n_words,
          length(regexp_replace(text, '[ \t\n\v\f\r]+', '', 'g')) AS word_chars,
          length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
          coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
-         coalesce(covered_words, 0) AS covered_words, coalesce(longest.longest_repeat, short.k, 0) AS longest_repeat
-  FROM d JOIN w USING (r) LEFT JOIN dup USING (r) LEFT JOIN rep3 USING (r) LEFT JOIN rep10 USING (r)
-  LEFT JOIN longest USING (r) LEFT JOIN short USING (r))
-SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
-       AND 100 * covered_words <= 45 * n_words AND longest_repeat <= 200 AS kept
-FROM s
+         len(ws) < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * len(ws) AS base_failed
+  FROM d JOIN w USING (r) LEFT JOIN dup USING (r) LEFT JOIN rep3 USING (r)),
+g10 AS (SELECT r, i, list_aggregate(ws[i + 1:i + 10], 'string_agg', ' ') AS g
+        FROM p JOIN base USING (r) WHERE NOT base_failed AND i + 10 <= len(ws)),
+c10 AS (SELECT r, i, g FROM (SELECT *, count(*) OVER (PARTITION BY r, g) AS n FROM g10) WHERE n > 1),
+cover AS (SELECT r, count(DISTINCT j) AS covered_words
+          FROM (SELECT r, unnest(range(i, i + 10)) AS j FROM c10) GROUP BY r),
+pair AS (SELECT a.r, b.i - a.i AS gap, a.i - row_number() OVER (PARTITION BY a.r, b.i - a.i ORDER BY a.i) AS run
+         FROM c10 a JOIN c10 b ON a.r = b.r AND a.g = b.g AND a.i < b.i),
+long AS (SELECT DISTINCT r FROM (SELECT r FROM pair GROUP BY r, gap, run HAVING count(*) >= 192))
+SELECT base.* EXCLUDE (r),
+       NOT base_failed AND 100 * coalesce(covered_words, 0) <= 45 * n_words AND long.r IS NULL AS kept
+FROM base LEFT JOIN cover USING (r) LEFT JOIN long USING (r)
 """
 
 
@@ -78,7 +71,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WORDS = (r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
-          r"'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\v\f\r]+'), x -> x <> '')")
+          r"'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\v\f\r]+'), lambda x: x <> '')")
 
 ORACLE["op4_decontaminate"] = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents),
