@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, quality, simhash
-from .common import read
+from ..session import scratch_path
+from . import decontaminate, quality, simhash, tokenfile
+from .common import cut, read
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -85,3 +86,11 @@ f AS (SELECT r, doc_id, item_id, count(*) AS n_found FROM ds JOIN bs USING (g) G
 SELECT doc_id, item_id, n_shingles::INT AS n_shingles, n_found::INT AS n_found, n_found / n_shingles AS containment
 FROM f JOIN m USING (item_id) WHERE n_found >= ceil(0.8 * n_shingles - 1e-9)
 """
+
+
+@query
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents written as range-coded files and read back."""
+    path = scratch_path(spark, "tokens")
+    tokenfile.write_tokens(read(spark, sf_dir, "documents"), path)
+    return tokenfile.document_digests(cut(tokenfile.read_tokens(spark, path)))
