@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
-from . import decontaminate, quality, simhash, tokenfile
+from . import decontaminate, packing, quality, simhash, tokenfile
 from .common import cut, read
 
 QUERIES: dict = {}
@@ -94,3 +94,9 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     tokenfile.write_tokens(read(spark, sf_dir, "documents"), path)
     return tokenfile.document_digests(cut(tokenfile.read_tokens(spark, path)))
+
+
+@query
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 token ids."""
+    return packing.pack(read(spark, sf_dir, "documents"))
