@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
-from . import decontaminate, packing, quality, simhash, tokenfile
+from . import chat, decontaminate, packing, quality, simhash, tokenfile, warc
 from .common import cut, read
 
 QUERIES: dict = {}
@@ -100,3 +100,41 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 token ids."""
     return packing.pack(read(spark, sf_dir, "documents"))
+
+
+@query
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC archives with revisits, read back and resolved."""
+    path = scratch_path(spark, "warc")
+    warc.write_archives(read(spark, sf_dir, "pages"), path)
+    return warc.resolve(cut(warc.read_archives(spark, path)))
+
+
+ORACLE["op7_warc"] = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+q AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to
+FROM q
+"""
+
+
+@query
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The maximal conversations in chat format, one row per turn."""
+    return chat.render(read(spark, sf_dir, "conversations"))
+
+
+ORACLE["op8_chat"] = """
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+c AS (SELECT conv_id, list({'r': role, 't': text} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS l
+      FROM t GROUP BY conv_id),
+k AS (SELECT conv_id, l FROM c WHERE NOT EXISTS (
+        SELECT 1 FROM c o WHERE o.l[1] = c.l[1] AND o.conv_id <> c.conv_id AND len(o.l) >= len(c.l)
+          AND o.l[1:len(c.l)] = c.l AND (len(o.l) > len(c.l) OR o.conv_id < c.conv_id))),
+u AS (SELECT conv_id, len(l) AS n_turns, unnest(range(1, len(l) + 1)) AS position, l FROM k)
+SELECT conv_id, position, n_turns, l[position].r AS role,
+       '<|im_start|>' || coalesce(l[position].r, '') || chr(10) || coalesce(l[position].t, '') || '<|im_end|>' || chr(10) AS rendered
+FROM u
+"""
