@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
-from . import chat, decontaminate, packing, quality, simhash, tokenfile, warc
+from . import chat, decontaminate, packing, quality, sharding, simhash, tokenfile, warc
 from .common import cut, read
 
 QUERIES: dict = {}
@@ -138,3 +138,10 @@ SELECT conv_id, position, n_turns, l[position].r AS role,
        '<|im_start|>' || coalesce(l[position].r, '') || chr(10) || coalesce(l[position].t, '') || '<|im_end|>' || chr(10) AS rendered
 FROM u
 """
+
+
+@query
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in shards 0 to 39 of equal row counts, equal texts together
+    as far as the counts allow."""
+    return sharding.shard_documents(read(spark, sf_dir, "documents"))
