@@ -5,9 +5,9 @@ Linked documents (equal texts) should share a shard.  Rows start on hashed
 shards; in every round each linked document looks at where its neighbours are
 (a join of the members with the counts by group and shard), proposes to move to
 the fullest shard of its group, and the proposals are accepted, largest groups
-first, as far as a shard's quota of incoming rows allows.  Rounds end when
-hardly anything moves; a last exchange of rows, unlinked ones first, makes the
-counts even.  Cut edges (linked pairs in different shards) only shrink while
+first, as far as the shard's quota allows: its even share, less the linked rows
+that it has.  Rounds end when hardly anything moves; a last exchange of rows,
+unlinked ones first, makes the counts even.  Cut edges (linked pairs in different shards) only shrink while
 groups gather; a group larger than a shard fills whole shards.
 
 What is decided on the driver is bounded: quotas by shard and by a fixed number
@@ -31,7 +31,6 @@ from .common import cut
 SHARDS = 40
 BUCKETS = 1024          # hash buckets of a priority class: the grain of the quotas
 CLASSES = 64            # priority classes by group size (powers of two)
-SLACK = 0.02            # room over the even share while rows move
 SEED = 17
 
 
@@ -82,8 +81,7 @@ def _round(m: DataFrame, shards: int, target: float):
              .drop("to", "wanted"))
     prop = cut(prop.withColumn("klass", _class(F.col("n"))).withColumn("bucket", _bucket()))
     asked = (prop.filter("goal <> shard").groupBy("goal", "klass", "bucket").agg(F.count(F.lit(1)).alias("k")).collect())
-    loads = _loads(m, shards)
-    room = np.maximum(0, np.floor(target * (1 + SLACK)) - loads).astype(np.int64)
+    room = np.maximum(0, np.floor(target) - _loads(linked, shards)).astype(np.int64)
     cutoff = {}         # per shard: proposals up to this priority are accepted
     for s in range(shards):
         left, last = int(room[s]), -1
