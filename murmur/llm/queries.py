@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
-from . import chat, decontaminate, packing, quality, sharding, simhash, tokenfile, warc
+from . import chat, decontaminate, packing, quality, sharding, simhash, substrings, tokenfile, warc
 from .common import cut, read
 
 QUERIES: dict = {}
@@ -145,3 +145,9 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 39 of equal row counts, equal texts together
     as far as the counts allow."""
     return sharding.shard_documents(read(spark, sf_dir, "documents"))
+
+
+@query
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of all documents without repeated strings of 100 bytes."""
+    return substrings.dedup_substrings(read(spark, sf_dir, "documents"))
