@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
-from . import chat, decontaminate, packing, quality, sharding, simhash, substrings, tokenfile, warc
+from . import chat, decontaminate, lines, packing, quality, sharding, simhash, substrings, tokenfile, warc
 from .common import cut, read
 
 QUERIES: dict = {}
@@ -151,3 +151,33 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of all documents without repeated strings of 100 bytes."""
     return substrings.dedup_substrings(read(spark, sf_dir, "documents"))
+
+
+@query
+def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all documents that are at least 0.8 similar to an earlier line."""
+    return lines.line_report(read(spark, sf_dir, "documents"))
+
+
+# Pairs that share one of the prefix tokens in hash order are enough (any total
+# order of the tokens gives an exact prefix filter).
+ORACLE["op1_lines"] = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                  generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS n FROM documents),
+t AS (SELECT doc_id, n, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(line), '[ \t\v\f\r]+'), lambda x: x <> ''))) AS w
+      FROM l),
+c AS (SELECT w, min((doc_id, n)) AS p FROM t WHERE len(w) > 0 GROUP BY w),
+f AS (SELECT x, count(*) AS df FROM (SELECT unnest(w) AS x FROM c) GROUP BY x),
+o AS (SELECT w, p, list(x ORDER BY df, x) AS s
+      FROM (SELECT w, p, unnest(w) AS x FROM c) JOIN f USING (x) GROUP BY w, p),
+px AS (SELECT w, p, unnest(s[1:len(s) - ((4 * len(s) + 4) // 5) + 1]) AS x FROM o),
+near AS (SELECT DISTINCT a.p FROM px a JOIN px b ON a.x = b.x AND b.p < a.p
+           AND 5 * len(a.w) >= 4 * len(b.w) AND 5 * len(b.w) >= 4 * len(a.w)
+         WHERE 5 * len(list_intersect(a.w, b.w))
+               >= 4 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))),
+gone AS (SELECT doc_id, n FROM t JOIN c USING (w)
+         WHERE len(w) > 0 AND (c.p <> (doc_id, n) OR c.p IN (SELECT p FROM near)))
+SELECT d.doc_id, len(string_split(coalesce(text, ''), chr(10))) AS n_lines, count(g.n) AS n_removed,
+       coalesce(list(g.n::INT ORDER BY g.n) FILTER (WHERE g.n IS NOT NULL), []) AS removed_lines
+FROM documents d LEFT JOIN gone g ON g.doc_id = d.doc_id GROUP BY d.doc_id, d.text
+"""
