@@ -177,8 +177,9 @@ def dedup_lines(docs: DataFrame, **threshold) -> DataFrame:
     base = docs.withColumn("_m_key", F.coalesce(
         F.col("doc_id").cast("long"),
         F.lit(-(2**62)) - F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 2)))
-    per = removed_lines(docs, **threshold).groupBy("doc").agg(F.collect_list("line").alias("_m_gone"))
-    j = base.join(per, base["_m_key"] == per["doc"], "left")
+    per = (removed_lines(docs, **threshold).groupBy(F.col("doc").alias("_m_doc"))
+           .agg(F.collect_list("line").alias("_m_gone")))
+    j = base.join(per, F.col("_m_key") == F.col("_m_doc"), "left")
     kept = F.expr("array_join(transform(filter(sequence(0, size(_m_parts) - 1), i -> NOT array_contains(_m_gone, i)), "
                   "i -> _m_parts[i]), '\n')")
     j = j.withColumn("_m_parts", F.split("text", "\n"))

@@ -118,11 +118,19 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
     return (docs.select("_m_doc", "_m_text").mapInArrow(run, "key long, seg long, doc long, pack long, done boolean"))
 
 
+def _not_repeated(*cols) -> np.ndarray:
+    """Rows that differ from the row before: a repeated row is one document."""
+    out = np.ones(len(cols[0]), dtype=bool)
+    out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
+    return out
+
+
 def _local(key, seg, lo, hi, sel, text, at, base, of, length):
     doc = of[text]
     place = lo - at[text] + base[text]
     pack = (place << 14) | ((hi - lo) << 7) | (sel - lo)
     order = np.lexsort((pack, doc, seg, key))
+    order = order[_not_repeated(key[order], seg[order], doc[order], pack[order])]
     k, s = key[order], seg[order]
     again = np.zeros(len(order), dtype=bool)
     again[1:] = (k[1:] == k[:-1]) & (s[1:] == s[:-1])
@@ -158,12 +166,19 @@ def _classes(anchors: DataFrame, length: int) -> DataFrame:
 
     def run(batches):
         last = None         # (key, seg, row that stands for the class, whether the key has others)
+        before = None       # the row before this batch
         for b in batches:
             key, seg, doc, pack = (b.column(i).to_numpy() for i in range(4))
             done = b.column(4).to_numpy(zero_copy_only=False)
             if done.any():
                 yield covered(doc[done], pack[done], seg[done])
                 key, seg, doc, pack = (x[~done] for x in (key, seg, doc, pack))
+            if not len(key):
+                continue
+            fresh = _not_repeated(key, seg, doc, pack)
+            fresh[0] = (key[0], seg[0], doc[0], pack[0]) != before
+            before = (key[-1], seg[-1], doc[-1], pack[-1])
+            key, seg, doc, pack = (x[fresh] for x in (key, seg, doc, pack))
             if not len(key):
                 continue
             new = np.ones(len(key), dtype=bool)
