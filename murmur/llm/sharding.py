@@ -68,8 +68,11 @@ def _round(m: DataFrame, shards: int, target: float):
     """One round: (members after it, rows moved)."""
     linked = m.filter("n > 1")
     by = linked.groupBy("g", "shard", "n").agg(F.count(F.lit(1)).alias("here"))
-    # the fullest shard of a group; a group larger than the target gathers on several
-    w = Window.partitionBy("g").orderBy(F.col("here").desc(), F.xxhash64("g", "shard"))
+    room = np.maximum(0, np.floor(target) - _loads(linked, shards)).astype(np.int64)
+    has = F.element_at(F.array(*[F.lit(int(x)) for x in room]), F.col("shard") + 1)
+    # the fullest shard of a group that has room for the rest of it; a group larger than the target gathers on several
+    fits = (has >= F.least(F.col("n") - F.col("here"), F.lit(1) + F.floor(F.lit(target) / 8))).cast("int")
+    w = Window.partitionBy("g").orderBy(fits.desc(), F.col("here").desc(), F.xxhash64("g", "shard"))
     places = (by.withColumn("place", F.row_number().over(w))
                 .withColumn("wanted", F.ceil(F.col("n") / F.lit(target)).cast("int")).filter("place <= wanted"))
     want = places.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("place", "shard"))).alias("to"),
@@ -81,7 +84,6 @@ def _round(m: DataFrame, shards: int, target: float):
              .drop("to", "wanted"))
     prop = cut(prop.withColumn("klass", _class(F.col("n"))).withColumn("bucket", _bucket()))
     asked = (prop.filter("goal <> shard").groupBy("goal", "klass", "bucket").agg(F.count(F.lit(1)).alias("k")).collect())
-    room = np.maximum(0, np.floor(target) - _loads(linked, shards)).astype(np.int64)
     cutoff = {}         # per shard: proposals up to this priority are accepted
     for s in range(shards):
         left, last = int(room[s]), -1
