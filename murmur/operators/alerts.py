@@ -7,16 +7,12 @@ loop, no all-pairs join.
 
 from __future__ import annotations
 
-import datetime as _dt
-import json
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import schema as S
 from ..functions.timefmt import hours_before, minutes_before, percent_1dp, round_half_up, ts_lit
+from ..session import cut
 
 # Alert titles and message formats of the studied system.
 SURGE_TITLE = "负面舆情突增预警"
@@ -27,54 +23,26 @@ KEYWORD_DESC_TAIL = "」: "
 GROWTH_TITLE = "话题异常增长: "
 GROWTH_DESC = "话题「%s」在%d小时内帖子数增长 %.0f%% (%d→%d), 超过阈值 %.0f%%"
 
-# Above this many words the first-match uses an Aho-Corasick automaton in an
-# Arrow-batched UDF instead of a chain of JVM `contains` tests.
-CASE_CHAIN_LIMIT = 64
-# Keyword tables are configuration; a broadcast copy is checked against this.
-MAX_BROADCAST_KEYWORDS = 10_000
-
 ALERT_COLUMNS = ["alert_type", "severity", "title", "description", "related_topic_id",
                  "trigger_data", "created_at", "source_id"]
 
 
 # ---------------------------------------------------------------- matching
 
-def _ac_first_match(words: list[str]):
-    @F.pandas_udf(T.StringType())
-    def first_word(content: pd.Series) -> pd.Series:
-        import ahocorasick
-        auto = ahocorasick.Automaton()
-        for i, w in enumerate(words):
-            auto.add_word(w, (i, w))
-        auto.make_automaton()
-
-        def one(text):
-            if text is None:
-                return None
-            best = None
-            for _, (i, w) in auto.iter(text):
-                if best is None or i < best[0]:
-                    best = (i, w)
-                    if i == 0:
-                        break
-            return None if best is None else best[1]
-        return content.map(one)
-    return first_word
-
-
-def first_match(content: Column, words: list[str]) -> Column:
+def _words(words) -> Column:
+    """The words as an array literal, blank ones left out."""
+    return F.array(*[F.lit(w) for w in words if w and w.strip()]).cast("array<string>")
+
+
+def all_matches(content: Column, words) -> Column:
+    """The words (list order) that ``content`` contains, case-sensitive."""
+    return F.filter(_words(words), lambda w: F.contains(content, w))
+
+
+def first_match(content: Column, words) -> Column:
     """The first word of ``words`` (list order) that ``content`` contains,
-    case-sensitive; NULL when none does."""
-    words = [w for w in words if w]
-    if not words:
-        return F.lit(None).cast("string")
-    if len(words) > CASE_CHAIN_LIMIT:
-        return _ac_first_match(list(words))(content)
-    expr = None
-    for w in words:
-        cond = content.contains(w)
-        expr = F.when(cond, F.lit(w)) if expr is None else expr.when(cond, F.lit(w))
-    return expr
+    case-sensitive; NULL when none does.  Blank words never match."""
+    return F.get(all_matches(content, words), F.lit(0))
 
 
 def keyword_hits(posts: DataFrame, words: list[str]) -> DataFrame:
@@ -83,95 +51,110 @@ def keyword_hits(posts: DataFrame, words: list[str]) -> DataFrame:
                  .filter(F.col("matched_word").isNotNull()))
 
 
-def _ac_all_matches(words: list[str]):
-    """Indices of every word of ``words`` occurring in a text (each once)."""
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def found(content: pd.Series) -> pd.Series:
-        import ahocorasick
-        auto = ahocorasick.Automaton()
-        for i, w in enumerate(words):
-            auto.add_word(w, i)
-        auto.make_automaton()
-        return content.map(lambda t: [] if t is None else sorted({i for _, i in auto.iter(t)}))
-    return found
-
-
-def monitored_posts(posts: DataFrame, keywords: DataFrame, method: str = "auto") -> DataFrame:
+def monitored_posts(posts: DataFrame, keywords: DataFrame) -> DataFrame:
     """Hits per monitored keyword and post platform.
 
     A keyword applies to a post when its platform is ``all`` or the post's
-    platform and the content contains it (ignoring case).  The enabled
-    keyword table is counted first and only broadcast under a fixed bound.
-    Up to 64 keywords the posts are scanned against the broadcast table;
-    beyond that one Aho-Corasick pass per post finds every keyword and the
-    matches equi-join the keyword table.
+    platform and the content contains it (ignoring case); blank keywords apply
+    to none.  One pass over the posts names the words that each contains, and
+    the matches are joined with the keyword table by the word.
     """
-    kw = keywords.filter(F.col("enabled")).select(
-        F.col("keyword"), F.lower("keyword").alias("_kw"), F.col("platform").alias("_kp"))
-    n = kw.count()
-    if n > MAX_BROADCAST_KEYWORDS:
-        raise ValueError(f"{n} monitored keywords exceed the broadcast bound")
-    rule = F.col("_kp").isin("all") | (F.col("_kp") == F.col("platform"))
-    if method == "scan" or (method == "auto" and n <= CASE_CHAIN_LIMIT):
-        p = posts.select(F.lower("content").alias("_c"), F.col("platform"))
-        hits = p.join(F.broadcast(kw), rule & F.col("_c").contains(F.col("_kw")))
-    else:
-        words = sorted({r._kw for r in kw.select("_kw").distinct().collect() if r._kw})
-        widx = kw.join(F.broadcast(posts.sparkSession.createDataFrame(
-            list(enumerate(words)), "_wi int, _kw string")), "_kw")
-        found = posts.select("platform", F.explode(_ac_all_matches(words)(F.lower("content"))).alias("_wi"))
-        hits = found.join(F.broadcast(widx), "_wi").filter(rule)
-    return hits.groupBy("keyword", "platform").agg(F.count(F.lit(1)).alias("hits"))
+    kw = (keywords.filter(F.col("enabled") & (F.trim("keyword") != ""))
+                  .select("keyword", F.lower("keyword").alias("_kw"), F.col("platform").alias("_kp")))
+    words = sorted(r[0] for r in kw.select("_kw").distinct().collect())      # configuration
+    found = posts.select("platform", F.explode(all_matches(F.lower("content"), words)).alias("_kw"))
+    counts = found.groupBy("platform", "_kw").agg(F.count(F.lit(1)).alias("n"))
+    hits = counts.join(kw, "_kw").filter((F.col("_kp") == "all") | (F.col("_kp") == F.col("platform")))
+    return hits.groupBy("keyword", "platform").agg(F.sum("n").alias("hits"))
 
 
 # ----------------------------------------------------------------- rules
 
 def parse_rules(rules: DataFrame) -> DataFrame:
-    """Enabled rules with their JSON config parsed by a declared schema per type."""
-    out = rules.filter(F.col("enabled"))
+    """(rule_id, rule_type, silence_hours and one struct per rule type) of
+    the enabled rules, their JSON config parsed by a declared schema per type."""
+    out = rules.filter(F.col("enabled")).withColumnRenamed("id", "rule_id")
     for rtype, sch in S.RULE_CONFIGS.items():
         out = out.withColumn(rtype, F.when(F.col("rule_type") == rtype, F.from_json("config", sch)))
-    return out
+    hours = F.coalesce(*[F.col(f"{t}.silenceHours") for t in S.RULE_CONFIGS], F.lit(0))
+    return out.select("rule_id", "rule_type", hours.cast("int").alias("silence_hours"), *S.RULE_CONFIGS)
 
 
-def negative_surge(posts: DataFrame, as_of, threshold: float = 0.6, min_posts: int = 20,
-                   window_hours: int = 1) -> DataFrame:
-    """L1: one alert row when, among posts crawled in the window, analysed
-    posts >= ``min_posts`` and the negative share >= ``threshold``."""
-    start = hours_before(as_of, window_hours)
-    agg = (posts.filter(F.col("crawl_time") >= start)
-                .agg(F.count_if(F.col("sentiment").isNotNull()).cast("long").alias("total_posts"),
-                     F.count_if(F.col("sentiment") == 0).cast("long").alias("negative_posts")))
+def _hours_back(column: str, as_of) -> Column:
+    """The smallest whole number of hours h >= 0 with time >= as_of - h hours."""
+    us = F.timestamp_diff("MICROSECOND", F.col(column), ts_lit(as_of))
+    return F.greatest(F.lit(0), F.ceil(us / F.lit(3_600_000_000))).cast("int")
+
+
+def _per_hour_of(rules: DataFrame, window: str) -> DataFrame:
+    """Every rule once for each hour back that its window holds."""
+    return rules.withColumn("_h", F.explode(F.sequence(F.lit(0), F.col(window))))
+
+
+def _widest(rules: DataFrame, window: str) -> int:
+    return int(rules.agg(F.max(window)).first()[0] or 0)
+
+
+def surge_candidates(posts: DataFrame, rules: DataFrame, as_of) -> DataFrame:
+    """L1 for every rule (rule_id, silence_hours, threshold, min_posts,
+    window_hours): one alert row when, among posts crawled in the window,
+    analysed posts >= ``min_posts`` and the negative share >= ``threshold``.
+    One pass over the posts, counted by hour back, serves all rules."""
+    recent = posts.filter(F.col("crawl_time") >= hours_before(as_of, _widest(rules, "window_hours")))
+    per = (recent.groupBy(_hours_back("crawl_time", as_of).alias("_h"))
+                 .agg(F.count_if(F.col("sentiment").isNotNull()).alias("n"), F.count_if(F.col("sentiment") == 0).alias("neg")))
+    names = ["rule_id", "silence_hours", "threshold", "min_posts", "window_hours"]
+    agg = (per.join(_per_hour_of(rules, "window_hours"), "_h").groupBy(*names)
+              .agg(F.sum("n").cast("long").alias("total_posts"), F.sum("neg").cast("long").alias("negative_posts")))
     ratio = F.col("negative_posts") / F.col("total_posts")
-    fired = agg.filter((F.col("total_posts") >= min_posts) & (F.col("total_posts") > 0)
-                       & (ratio >= threshold))
+    fired = agg.filter((F.col("total_posts") > 0) & (F.col("total_posts") >= F.col("min_posts"))
+                       & (ratio >= F.col("threshold")))
     pct = percent_1dp(ratio)
     return fired.select(
         F.lit("negative_surge").alias("alert_type"),
         F.when(ratio >= 0.8, "critical").otherwise("warning").alias("severity"),
-        "total_posts", "negative_posts",
-        pct.alias("negative_ratio"),
+        "total_posts", "negative_posts", pct.alias("negative_ratio"),
         F.lit(SURGE_TITLE).alias("title"),
-        F.format_string(SURGE_DESC, F.lit(window_hours), ratio * 100, F.col("negative_posts"),
-                        F.col("total_posts"), F.lit(threshold * 100)).alias("description"),
+        F.format_string(SURGE_DESC, "window_hours", ratio * 100, F.col("negative_posts"),
+                        F.col("total_posts"), F.col("threshold") * 100).alias("description"),
         F.lit(None).cast("long").alias("related_topic_id"),
         F.lit(None).cast("long").alias("source_id"),
         F.to_json(F.struct(F.col("total_posts").alias("totalPosts"),
                            F.col("negative_posts").alias("negativePosts"),
                            pct.alias("negativeRatio"),
-                           F.lit(threshold * 100).alias("threshold"),
-                           F.lit(window_hours).alias("windowHours"))).alias("trigger_data"),
-        ts_lit(as_of).alias("created_at"),
-    )
+                           (F.col("threshold") * 100).alias("threshold"),
+                           F.col("window_hours").alias("windowHours"))).alias("trigger_data"),
+        ts_lit(as_of).alias("created_at"), "rule_id", "silence_hours")
+
+
+def negative_surge(posts: DataFrame, as_of, threshold: float = 0.6, min_posts: int = 20,
+                   window_hours: int = 1) -> DataFrame:
+    """L1 for one rule given by its values."""
+    rule = posts.sparkSession.createDataFrame([(0, 0, float(threshold), min_posts, window_hours)],
+                                              "rule_id long, silence_hours int, threshold double, min_posts long, window_hours int")
+    return surge_candidates(posts, rule, as_of).drop("rule_id", "silence_hours")
 
 
 def keyword_alerts(posts: DataFrame, words: list[str], as_of, lookback_minutes: int = 5) -> DataFrame:
-    """L2: one warning per post crawled in the lookback that contains a
-    sensitive word (first word in list order)."""
+    """L2 for one word list: one warning per post crawled in the lookback that
+    contains a sensitive word (first word in list order)."""
+    rows = [(0, 0, list(words))]
+    rule = posts.sparkSession.createDataFrame(rows, "rule_id long, silence_hours int, words array<string>")
+    return keyword_candidates(posts, rule, as_of, lookback_minutes).drop("rule_id", "silence_hours")
+
+
+def keyword_candidates(posts: DataFrame, rules: DataFrame, as_of, lookback_minutes: int = 5) -> DataFrame:
+    """L2 for every rule (rule_id, silence_hours, words).  One pass over the
+    recent posts names the words that each contains; the first in a rule's
+    list is found after a join of the matches with the rules' words."""
+    listed = (rules.select("rule_id", "silence_hours", F.posexplode("words").alias("_i", "_w"))
+                   .filter(F.trim("_w") != ""))
+    words = sorted(r[0] for r in listed.select("_w").distinct().collect())     # configuration
     recent = posts.filter(F.col("crawl_time") >= minutes_before(as_of, lookback_minutes))
-    m = recent.select("id", "platform", "content",
-                      first_match(F.col("content"), words).alias("matched_word")) \
-              .filter(F.col("matched_word").isNotNull())
+    found = recent.select("id", "platform", "content", F.explode(all_matches(F.col("content"), words)).alias("_w"))
+    m = (found.join(listed, "_w").groupBy("id", "rule_id", "silence_hours")
+              .agg(F.min_by(F.struct(F.col("_w").alias("matched_word"), "platform", "content"), "_i").alias("_m"))
+              .select("id", "rule_id", "silence_hours", "_m.*"))
     prev80 = F.substring("content", 1, 80)
     return m.select(
         "id", "matched_word",
@@ -186,57 +169,78 @@ def keyword_alerts(posts: DataFrame, words: list[str], as_of, lookback_minutes:
         F.to_json(F.struct(F.col("id").alias("postId"), F.col("platform"),
                            F.col("matched_word").alias("matchedWord"),
                            prev80.alias("contentPreview"))).alias("trigger_data"),
-        ts_lit(as_of).alias("created_at"),
-    )
-
-
-def topic_growth_alerts(topics: DataFrame, posts: DataFrame, as_of, rate: float = 3.0,
-                        window_hours: int = 24, min_previous: int = 5) -> DataFrame:
-    """L3: topics whose posts since the cutoff / posts before it >= 1 + rate;
-    critical from 1 + 2 * rate."""
-    from .reports import topic_growth
-    g = topic_growth(topics, posts, window_hours, as_of, min_previous)
-    g = g.filter(F.col("growth") >= 1 + rate)
+        ts_lit(as_of).alias("created_at"), "rule_id", "silence_hours")
+
+
+def growth_candidates(topics: DataFrame, posts: DataFrame, rules: DataFrame, as_of, min_previous: int = 5) -> DataFrame:
+    """L3 for every rule (rule_id, silence_hours, rate > -1, window_hours):
+    topics whose posts since the cutoff / posts before it >= 1 + rate; critical
+    from 1 + 2 * rate.  Posts are counted once by topic and hour back."""
+    per = (posts.filter(F.col("topic_id").isNotNull())
+                .groupBy("topic_id", F.least(_hours_back("crawl_time", as_of),
+                                             F.lit(_widest(rules, "window_hours") + 1)).alias("_h"))
+                .agg(F.count(F.lit(1)).alias("n")))
+    total = per.groupBy("topic_id").agg(F.sum("n").alias("_all"))
+    now = (per.join(_per_hour_of(rules, "window_hours"), "_h")
+              .groupBy("topic_id", "rule_id", "silence_hours", "rate", "window_hours")
+              .agg(F.sum("n").cast("long").alias("current_count")))
+    g = now.join(total, "topic_id").withColumn("previous_count", (F.col("_all") - F.col("current_count")).cast("long"))
+    t = (topics.filter((F.col("status") == "active") & F.col("first_seen").isNotNull())
+               .select(F.col("id").alias("topic_id"), "topic_name", _hours_back("last_updated", as_of).alias("_updated")))
+    g = (g.join(t, "topic_id").filter(F.col("_updated") <= F.col("window_hours"))
+          .filter(F.col("previous_count") >= F.greatest(F.lit(min_previous), F.lit(1)))
+          .withColumn("growth", F.col("current_count") / F.col("previous_count"))
+          .filter(F.col("growth") >= 1 + F.col("rate")))
     growth_r = round_half_up(F.col("growth"), 2)
     return g.select(
         "topic_id",
         F.lit("topic_growth").alias("alert_type"),
-        F.when(F.col("growth") >= 1 + 2 * rate, "critical").otherwise("warning").alias("severity"),
+        F.when(F.col("growth") >= 1 + 2 * F.col("rate"), "critical").otherwise("warning").alias("severity"),
         "current_count", "previous_count",
         growth_r.alias("growth_rate"),
         F.concat(F.lit(GROWTH_TITLE), F.col("topic_name")).alias("title"),
-        F.format_string(GROWTH_DESC, F.col("topic_name"), F.lit(window_hours),
+        F.format_string(GROWTH_DESC, F.col("topic_name"), F.col("window_hours"),
                         (F.col("growth") - 1) * 100, F.col("previous_count"),
-                        F.col("current_count"), F.lit(rate * 100)).alias("description"),
+                        F.col("current_count"), F.col("rate") * 100).alias("description"),
         F.col("topic_id").alias("related_topic_id"),
         F.col("topic_id").alias("source_id"),
         F.to_json(F.struct(F.col("topic_id").alias("topicId"), F.col("topic_name").alias("topicName"),
                            F.col("current_count").alias("currentCount"),
                            F.col("previous_count").alias("previousCount"),
                            growth_r.alias("growthRate"))).alias("trigger_data"),
-        ts_lit(as_of).alias("created_at"),
-    )
+        ts_lit(as_of).alias("created_at"), "rule_id", "silence_hours")
+
+
+def topic_growth_alerts(topics: DataFrame, posts: DataFrame, as_of, rate: float = 3.0,
+                        window_hours: int = 24, min_previous: int = 5) -> DataFrame:
+    """L3 for one rule given by its values."""
+    rule = posts.sparkSession.createDataFrame([(0, 0, float(rate), window_hours)],
+                                              "rule_id long, silence_hours int, rate double, window_hours int")
+    return growth_candidates(topics, posts, rule, as_of, min_previous).drop("rule_id", "silence_hours")
 
 
 # ---------------------------------------------------------------- silence
 
-def silence(candidates: DataFrame, prior: DataFrame, silence_hours, null_safe: bool = True) -> DataFrame:
+def _hours_by_type(silence_hours: dict) -> Column:
+    hours = F.lit(None).cast("int")
+    for k, v in silence_hours.items():
+        hours = F.when(F.col("alert_type") == k, F.lit(v)).otherwise(hours)
+    return hours
+
+
+def silence(candidates: DataFrame, prior: DataFrame, silence_hours=None, null_safe: bool = True) -> DataFrame:
     """Mark candidates that an alert of the same type and topic
     silences (created at or after ``candidate time - silence_hours``).
 
-    ``silence_hours`` is a number or a ``{alert_type: hours}`` mapping.  The
+    ``silence_hours`` is a number, a ``{alert_type: hours}`` mapping, or None:
+    then every candidate carries its own in a column of that name.  The
     prior alerts are reduced to their latest time per (type, topic) before the
     join, so a hot key costs one row, never a pair per earlier alert.
     ``null_safe=False`` reproduces the original ``=`` that never matches a
     NULL topic.
     """
-    if isinstance(silence_hours, dict):
-        hours = None
-        for k, v in silence_hours.items():
-            c = F.col("alert_type") == k
-            hours = F.when(c, F.lit(v)) if hours is None else hours.when(c, F.lit(v))
-    else:
-        hours = F.lit(silence_hours)
+    hours = (F.col("silence_hours") if silence_hours is None else
+             _hours_by_type(silence_hours) if isinstance(silence_hours, dict) else F.lit(silence_hours))
     last = (prior.groupBy(F.col("alert_type").alias("_pt"), F.col("related_topic_id").alias("_ptopic"))
                  .agg(F.max("created_at").alias("_last")))
     topic_eq = (F.col("related_topic_id").eqNullSafe(F.col("_ptopic")) if null_safe
@@ -249,6 +253,60 @@ def silence(candidates: DataFrame, prior: DataFrame, silence_hours, null_safe: b
     return j.withColumn("suppressed", suppressed).drop("_pt", "_ptopic", "_last")
 
 
+_NO_TOPIC = -(1 << 62)
+
+
+def _micros(column: str) -> Column:
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(column))
+
+
+def replay(history: DataFrame, silence_hours: dict, seed: DataFrame | None = None) -> DataFrame:
+    """L5 over a history: ``history`` (id, alert_type, related_topic_id,
+    created_at, ..) with ``suppressed``.  Alerts are taken in time order; one
+    fires unless an alert of its type and topic fired within its type's silence
+    before it (bounds included), and of one time only the smallest id fires.
+    ``seed`` (alert_type, related_topic_id, last) holds earlier firings.
+
+    The fired times of a key are a chain: the first time, then the first time
+    later than the silence after it, and so on.  Every distinct time gets a
+    pointer to its successor -- found inside a block of the time axis, or as
+    the start of the next block that has a time -- and the chain is marked by
+    pointer doubling, so no key is walked in one task and the rounds grow with
+    the logarithm of the chain."""
+    key = ["alert_type", "_k"]
+    hours = _hours_by_type(silence_hours)
+    h = history.withColumn("_k", F.coalesce("related_topic_id", F.lit(_NO_TOPIC))).withColumn("_t", _micros("created_at"))
+    # of one time, the smallest id stands for all
+    times = h.groupBy(*key, "_t").agg(F.min("id").alias("_first"))
+    times = times.withColumn("_s", F.coalesce(hours, F.lit(0)).cast("long") * 3_600_000_000)
+    if seed is not None:
+        s = seed.select("alert_type", F.coalesce("related_topic_id", F.lit(_NO_TOPIC)).alias("_k"), _micros("last").alias("_last"))
+        times = times.join(s, key, "left").filter(F.col("_last").isNull() | (F.col("_t") > F.col("_last") + F.col("_s")))
+    times = cut(times.select(*key, "_t", "_s", "_first"))
+    width = F.greatest(F.col("_s"), F.lit(3_600_000_000))
+    rows = (times.select(*key, "_s", F.col("_t").alias("at"), F.lit(1).alias("is_time"), F.lit(None).cast("long").alias("of"))
+                 .unionByName(times.select(*key, "_s", (F.col("_t") + F.col("_s")).alias("at"), F.lit(0).alias("is_time"),
+                                           F.col("_t").alias("of")))
+                 .withColumn("block", F.floor(F.col("at") / width)))
+    inside = Window.partitionBy(*key, "block").orderBy(F.col("at").desc(), "is_time").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("here", F.min(F.when(F.col("is_time") == 1, F.col("at"))).over(inside))
+    later = Window.partitionBy(*key).orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    starts = (rows.groupBy(*key, "block").agg(F.min(F.when(F.col("is_time") == 1, F.col("at"))).alias("_b"))
+                  .withColumn("there", F.min("_b").over(later)).drop("_b"))
+    step = cut(rows.filter("is_time = 0").join(starts, [*key, "block"])
+                   .select(*key, F.col("of").alias("_t"), F.coalesce("here", "there").alias("_n")))
+    fired = cut(times.groupBy(*key).agg(F.min("_t").alias("_t")))
+    while not step.filter("_n IS NOT NULL").isEmpty():
+        fired = cut(fired.unionByName(fired.join(step, [*key, "_t"]).filter("_n IS NOT NULL")
+                                           .select(*key, F.col("_n").alias("_t"))).distinct())
+        onward = step.select(*key, F.col("_t").alias("_n"), F.col("_n").alias("_n2"))
+        step = cut(step.filter("_n IS NOT NULL").join(onward, [*key, "_n"]).select(*key, "_t", F.col("_n2").alias("_n")))
+    won = fired.join(times, [*key, "_t"]).select("alert_type", "_k", "_t", "_first", F.lit(True).alias("_won"))
+    return (h.join(won, [*key, "_t"], "left")
+             .withColumn("suppressed", ~(F.coalesce("_won", F.lit(False)) & (F.col("id") == F.coalesce("_first", "id"))))
+             .drop("_k", "_t", "_first", "_won"))
+
+
 # -------------------------------------------------------------- backtest
 
 def negative_surge_backtest(posts: DataFrame, window_minutes: int = 60, threshold: float = 0.6,
@@ -278,52 +336,44 @@ def negative_surge_backtest(posts: DataFrame, window_minutes: int = 60, threshol
 
 # -------------------------------------------------------------- dispatch
 
-def rule_rows(rules: DataFrame) -> list[dict]:
-    """The enabled rules of a (small, configuration) rules table."""
-    return [dict(r.asDict()) for r in rules.filter(F.col("enabled")).collect()]
-
-
 def evaluate_rules(posts: DataFrame, topics: DataFrame, rules: DataFrame, prior: DataFrame | None,
                    as_of, keyword_lookback_minutes: int = 5, null_safe: bool = True) -> DataFrame:
-    """L4: every enabled rule evaluated as one plan per rule, unioned, then
-    silenced against ``prior`` alerts and against earlier alerts of the same
-    run: all candidates carry the run time, so within one (type, topic) key
-    only the first candidate in source order (post id, topic id) can fire --
-    found with a per-key ``min``, no per-key ordering.  ``null_safe=False``
-    reproduces the original, where a NULL topic never silences anything."""
-    frames = []
-    silence_by_type = {}
-    for r in rule_rows(rules):
-        cfg = json.loads(r["config"])
-        t = r["rule_type"]
-        silence_by_type[t] = int(cfg.get("silenceHours", 0))
-        if t == "negative_surge":
-            f = negative_surge(posts, as_of, float(cfg["negativeRatioThreshold"]),
-                               int(cfg["minPostCount"]), int(cfg["windowHours"]))
-        elif t == "keyword_trigger":
-            f = keyword_alerts(posts, list(cfg["sensitiveWords"]), as_of, keyword_lookback_minutes)
-        elif t == "topic_growth":
-            f = topic_growth_alerts(topics, posts, as_of, float(cfg["growthRateThreshold"]),
-                                    int(cfg["windowHours"]))
-        else:
-            continue
-        frames.append(f.select(*ALERT_COLUMNS))
-    if not frames:
-        return posts.sparkSession.createDataFrame([], S.ALERTS).select(*ALERT_COLUMNS)
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
+    """L4: every enabled rule, one pass over the posts per rule type, silenced
+    by the rule's own hours against ``prior`` alerts and by earlier alerts of the
+    same run: all candidates carry the run time, so of the candidates of one
+    (type, topic) key that no prior alert silences, only the first by rule and
+    source (post id, topic id) fires -- found with a per-key ``min``.
+    ``null_safe=False`` reproduces the original, where a NULL topic never
+    silences anything."""
+    r = cut(parse_rules(rules))
+
+    def of(kind, **fields):
+        return (r.filter(F.col("rule_type") == kind)
+                 .select("rule_id", "silence_hours", *[F.col(f"{kind}.{f}").cast(t).alias(n) for n, (f, t) in fields.items()]))
+
+    frames = [
+        surge_candidates(posts, of("negative_surge", threshold=("negativeRatioThreshold", "double"),
+                                   min_posts=("minPostCount", "long"), window_hours=("windowHours", "int")), as_of),
+        keyword_candidates(posts, of("keyword_trigger", words=("sensitiveWords", "array<string>")), as_of,
+                           keyword_lookback_minutes),
+        growth_candidates(topics, posts, of("topic_growth", rate=("growthRateThreshold", "double"),
+                                            window_hours=("windowHours", "int")), as_of)]
+    out = None
+    for f in frames:
+        f = f.select(*ALERT_COLUMNS, "rule_id", "silence_hours")
+        out = f if out is None else out.unionByName(f)
     if prior is not None:
-        out = silence(out, prior.select("alert_type", "related_topic_id", "created_at"),
-                      silence_by_type, null_safe)
+        out = silence(out, prior.select("alert_type", "related_topic_id", "created_at"), None, null_safe)
     else:
         out = out.withColumn("suppressed", F.lit(False))
-    order = F.coalesce(F.col("source_id"), F.lit(-(1 << 62)))
-    first = (out.groupBy(F.col("alert_type").alias("_ft"), F.col("related_topic_id").alias("_fk"))
+    out = cut(out)
+    order = F.struct("rule_id", F.coalesce("source_id", F.lit(_NO_TOPIC)).alias("source"))
+    first = (out.filter(~F.col("suppressed"))
+                .groupBy(F.col("alert_type").alias("_ft"), F.col("related_topic_id").alias("_fk"))
                 .agg(F.min(order).alias("_first")))
     j = out.join(first, (F.col("alert_type") == F.col("_ft"))
-                 & F.col("related_topic_id").eqNullSafe(F.col("_fk")))
-    later = order > F.col("_first")
+                 & F.col("related_topic_id").eqNullSafe(F.col("_fk")), "left")
+    later = F.coalesce(order > F.col("_first"), F.lit(False))
     if not null_safe:
         later = later & F.col("related_topic_id").isNotNull()
     return j.withColumn("suppressed", F.col("suppressed") | later).drop("_ft", "_fk", "_first")
@@ -341,7 +391,3 @@ def upsert_config(table: DataFrame, changes: DataFrame, key: list[str]) -> DataF
     kept = table.join(dele, key, "left_anti").join(upd, key, "left")
     kept = kept.select(*key, *[F.coalesce(F.col("_n_" + c), F.col(c)).alias(c) for c in cols])
     return kept.unionByName(ins)
-
-
-def as_timestamp(x) -> _dt.datetime:
-    return _dt.datetime.fromisoformat(x) if isinstance(x, str) else x

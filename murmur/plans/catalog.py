@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import listing as L
 from ..operators import reports as R
+from ..session import cut, finish, scratch_path
 from ..sources import tables as TB
 from . import oracle as O
 
@@ -23,9 +24,10 @@ ORACLE: dict[str, str] = {}
 AS_OF = TB.AS_OF
 
 
-def register(name: str, sql: str | None = None):
+def register(name: str, sql: str | None = None, scoped: bool = False):
+    """``scoped``: the query's intermediate tables are dropped when its result is written."""
     def deco(fn):
-        QUERIES[name] = fn
+        QUERIES[name] = (lambda spark, d: finish(spark, lambda: fn(spark, d))) if scoped else fn
         if sql is not None:
             ORACLE[name] = sql
         return fn
@@ -271,27 +273,39 @@ from ..sources import ingest as I  # noqa: E402
 _INGEST_SQL = """,
 existing AS (SELECT platform, post_id, author, likes, crawl_time FROM posts_doc
              WHERE crawl_time < TIMESTAMP '2024-01-10 00:00:00'),
-incoming AS (SELECT platform, post_id, author, likes, crawl_time FROM posts_doc
+arriving AS (SELECT platform, post_id, author, likes, crawl_time FROM posts_doc
              WHERE crawl_time >= TIMESTAMP '2024-01-07 00:00:00'
              UNION ALL
              SELECT platform, post_id, author, likes + 1, crawl_time + INTERVAL 1 HOUR FROM posts_doc
-             WHERE crawl_time >= TIMESTAMP '2024-01-12 00:00:00'),
+             WHERE crawl_time >= TIMESTAMP '2024-01-12 00:00:00'
+             UNION ALL
+             SELECT platform, post_id, concat('a', author), likes + 2,
+                    CASE WHEN likes % 5 = 0 THEN NULL ELSE crawl_time END FROM posts_doc
+             WHERE crawl_time >= TIMESTAMP '2024-01-18 00:00:00'),
+incoming AS (SELECT platform, post_id, author, likes,
+                    coalesce(crawl_time, TIMESTAMP '2024-01-30 12:00:00') AS crawl_time FROM arriving),
 firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY platform, post_id
-                                                        ORDER BY crawl_time) AS rn FROM incoming)
+                                                        ORDER BY crawl_time, author, likes) AS rn FROM incoming)
            WHERE rn = 1),
-lasts AS (SELECT platform, post_id, arg_max(likes, crawl_time) AS last_likes
-          FROM incoming GROUP BY platform, post_id)
+lasts AS (SELECT platform, post_id, likes AS last_likes FROM (
+            SELECT *, row_number() OVER (PARTITION BY platform, post_id
+                                         ORDER BY crawl_time DESC, author DESC, likes DESC) AS rn FROM incoming)
+          WHERE rn = 1)
 """
 
 
 def _ingest_inputs(spark, d):
+    """Stored posts, and a batch with posts crawled again later, others crawled
+    twice at the same time with other values, and some without a crawl time."""
     p = _D(spark, d).select("platform", "post_id", "author", "likes", "crawl_time")
+    since = lambda t: p.filter(F.col("crawl_time") >= F.lit(t).cast("timestamp_ntz"))
     existing = p.filter(F.col("crawl_time") < F.lit("2024-01-10 00:00:00").cast("timestamp_ntz"))
-    first = p.filter(F.col("crawl_time") >= F.lit("2024-01-07 00:00:00").cast("timestamp_ntz"))
-    recrawl = (p.filter(F.col("crawl_time") >= F.lit("2024-01-12 00:00:00").cast("timestamp_ntz"))
-                .select("platform", "post_id", "author", (F.col("likes") + 1).alias("likes"),
-                        F.expr("crawl_time + INTERVAL 1 HOUR").alias("crawl_time")))
-    return existing, first.unionByName(recrawl)
+    recrawl = since("2024-01-12 00:00:00").select("platform", "post_id", "author", (F.col("likes") + 1).alias("likes"),
+                                                  F.expr("crawl_time + INTERVAL 1 HOUR").alias("crawl_time"))
+    same = since("2024-01-18 00:00:00").select(
+        "platform", "post_id", F.concat(F.lit("a"), "author").alias("author"), (F.col("likes") + 2).alias("likes"),
+        F.when(F.col("likes") % 5 != 0, F.col("crawl_time")).alias("crawl_time"))
+    return existing, since("2024-01-07 00:00:00").unionByName(recrawl).unionByName(same)
 
 
 def _ingest_sql(body):
@@ -301,25 +315,25 @@ def _ingest_sql(body):
 
 
 @register("ingest_ignore", _ingest_sql("""
-SELECT platform, post_id, author, likes FROM existing
+SELECT platform, post_id, author, likes, crawl_time FROM existing
 UNION ALL
-SELECT platform, post_id, author, likes FROM firsts f
+SELECT platform, post_id, author, likes, crawl_time FROM firsts f
 WHERE NOT EXISTS (SELECT 1 FROM existing e WHERE e.platform = f.platform AND e.post_id = f.post_id)"""))
 def q_ingest_ignore(spark, d):
     existing, incoming = _ingest_inputs(spark, d)
-    return I.ingest_ignore(existing, incoming).select("platform", "post_id", "author", "likes")
+    return I.ingest_ignore(existing, incoming, AS_OF)
 
 
 @register("ingest_upsert", _ingest_sql("""
-SELECT e.platform, e.post_id, e.author, coalesce(l.last_likes, e.likes) AS likes
+SELECT e.platform, e.post_id, e.author, coalesce(l.last_likes, e.likes) AS likes, e.crawl_time
 FROM existing e LEFT JOIN lasts l ON l.platform = e.platform AND l.post_id = e.post_id
 UNION ALL
-SELECT f.platform, f.post_id, f.author, l.last_likes AS likes
+SELECT f.platform, f.post_id, f.author, l.last_likes AS likes, f.crawl_time
 FROM firsts f JOIN lasts l ON l.platform = f.platform AND l.post_id = f.post_id
 WHERE NOT EXISTS (SELECT 1 FROM existing e WHERE e.platform = f.platform AND e.post_id = f.post_id)"""))
 def q_ingest_upsert(spark, d):
     existing, incoming = _ingest_inputs(spark, d)
-    return I.ingest_upsert(existing, incoming, ["likes"]).select("platform", "post_id", "author", "likes")
+    return I.ingest_upsert(existing, incoming, ["likes"], AS_OF)
 
 
 @register("ingest_delta", _ingest_sql("""
@@ -334,7 +348,24 @@ JOIN (SELECT platform, COUNT(*) AS after FROM (
   ON a.platform = b.platform"""))
 def q_ingest_delta(spark, d):
     existing, incoming = _ingest_inputs(spark, d)
-    return I.ingest_delta(existing, I.ingest_ignore(existing, incoming))
+    return I.ingest_delta(existing, I.ingest_ignore(existing, incoming, AS_OF))
+
+
+@register("ingest_written", _ingest_sql("""
+SELECT strftime(crawl_time, '%Y-%m-%d') AS crawl_day, COUNT(*) AS posts, CAST(SUM(likes) AS BIGINT) AS likes
+FROM (SELECT likes, crawl_time FROM existing
+      UNION ALL
+      SELECT likes, crawl_time FROM firsts f
+      WHERE NOT EXISTS (SELECT 1 FROM existing e WHERE e.platform = f.platform AND e.post_id = f.post_id))
+GROUP BY 1"""))
+def q_ingest_written(spark, d):
+    """S5 + S12: the posts after an ingest run written by crawl date, read back
+    and counted by their partition."""
+    existing, incoming = _ingest_inputs(spark, d)
+    path = scratch_path(spark, "posts")
+    I.write_posts(I.ingest_ignore(existing, incoming, AS_OF), path)
+    return (spark.read.parquet(path).groupBy(F.date_format("crawl_date", "yyyy-MM-dd").alias("crawl_day"))
+                 .agg(F.count(F.lit(1)).alias("posts"), F.sum("likes").alias("likes")))
 
 
 @register("ingest_defaults", O.with_ctes("""
@@ -583,6 +614,37 @@ def q_alert_silence(spark, d):
     return AL.silence(cand, prior, SILENCE_HOURS).select("id", "alert_type", "related_topic_id", "suppressed")
 
 
+REPLAY_HOURS = {"negative_surge": 24, "keyword_trigger": 1, "topic_growth": 48}
+
+
+def _replay_sql(source: str) -> str:
+    """Every fired alert silences its key; ``source``: CTE (id, alert_type,
+    related_topic_id, created_at)."""
+    return f"""WITH RECURSIVE {source},
+times AS (SELECT alert_type, related_topic_id, created_at AS t, min(id) AS first,
+                 CASE alert_type WHEN 'negative_surge' THEN 24 WHEN 'keyword_trigger' THEN 1 ELSE 48 END * INTERVAL 1 HOUR AS s
+          FROM hist GROUP BY 1, 2, 3),
+walk(alert_type, related_topic_id, t) AS (
+  SELECT alert_type, related_topic_id, min(t) FROM times GROUP BY 1, 2
+  UNION ALL
+  SELECT w.alert_type, w.related_topic_id, (SELECT min(x.t) FROM times x WHERE x.alert_type = w.alert_type
+           AND x.related_topic_id IS NOT DISTINCT FROM w.related_topic_id AND x.t > w.t + x.s)
+  FROM walk w WHERE w.t IS NOT NULL)
+SELECT h.id, h.alert_type, h.related_topic_id,
+       NOT EXISTS (SELECT 1 FROM walk w JOIN times x ON x.alert_type = w.alert_type AND x.t = w.t
+                     AND x.related_topic_id IS NOT DISTINCT FROM w.related_topic_id
+                   WHERE w.alert_type = h.alert_type AND w.t = h.created_at AND x.first = h.id
+                     AND w.related_topic_id IS NOT DISTINCT FROM h.related_topic_id) AS suppressed
+FROM hist h"""
+
+
+@register("alert_replay", _replay_sql(O.with_ctes("", "alerts").removeprefix("WITH ").rstrip()
+                                      + ",\nhist AS (SELECT * FROM alerts)"), scoped=True)
+def q_alert_replay(spark, d):
+    """L5 over the whole alert history: every fired alert silences later ones."""
+    return AL.replay(TB.alerts(spark, d), REPLAY_HOURS).select("id", "alert_type", "related_topic_id", "suppressed")
+
+
 @register("negative_surge_backtest", O.with_ctes("""
 SELECT e.minute, CAST(SUM(m.n) AS BIGINT) AS total, CAST(SUM(m.neg) AS BIGINT) AS negative,
        round(SUM(m.neg) / SUM(m.n), 6) AS ratio,
@@ -635,50 +697,70 @@ ORACLE_RULES = [
      '{"sensitiveWords": ["error", "purchase"], "silenceHours": 1}', True),
     (3, "Topic Growth", "topic_growth",
      '{"growthRateThreshold": 1.1, "windowHours": 480, "silenceHours": 48}', True),
+    (4, "Topic Growth Fast", "topic_growth",
+     '{"growthRateThreshold": 0.2, "windowHours": 400, "silenceHours": 2}', True),
+    (5, "Surge Wide", "negative_surge",
+     '{"negativeRatioThreshold": 0.3, "minPostCount": 5, "windowHours": 240, "silenceHours": 1}', True),
+    (6, "Off", "keyword_trigger", '{"sensitiveWords": ["view"], "silenceHours": 1}', False),
 ]
 
 
-@register("alerts_all", O.with_ctes("""
-SELECT c.alert_type, c.severity, c.title, c.related_topic_id, TIMESTAMP '2024-01-30 12:00:00' AS created_at,
-       c.source_id,
-       EXISTS (SELECT 1 FROM alerts a WHERE a.alert_type = c.alert_type
-               AND a.related_topic_id IS NOT DISTINCT FROM c.related_topic_id
-               AND a.created_at >= TIMESTAMP '2024-01-30 12:00:00' - c.silence * INTERVAL 1 HOUR)
-       OR coalesce(c.source_id, -4611686018427387904) >
-          min(coalesce(c.source_id, -4611686018427387904)) OVER (PARTITION BY c.alert_type, c.related_topic_id)
-         AS suppressed
-FROM (
-  SELECT 'negative_surge' AS alert_type,
+def _surge_sql(rule, ratio, least, hours, silence):
+    return f"""SELECT {rule} AS rule_id, 'negative_surge' AS alert_type,
          CASE WHEN negative_posts / total_posts >= 0.8 THEN 'critical' ELSE 'warning' END AS severity,
-         '负面舆情突增预警' AS title, CAST(NULL AS BIGINT) AS related_topic_id, 24 AS silence,
+         '负面舆情突增预警' AS title, CAST(NULL AS BIGINT) AS related_topic_id, {silence} AS silence,
          CAST(NULL AS BIGINT) AS source_id
   FROM (SELECT COUNT(sentiment) AS total_posts, COUNT(*) FILTER (WHERE sentiment = 0) AS negative_posts
-        FROM posts_event WHERE crawl_time >= TIMESTAMP '2024-01-29 12:00:00')
-  WHERE total_posts >= 5 AND negative_posts / total_posts >= 0.4
+        FROM posts_event WHERE crawl_time >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL {hours} HOUR)
+  WHERE total_posts >= {least} AND negative_posts / total_posts >= {ratio}"""
+
+
+def _growth_sql(rule, rate, hours, silence):
+    return f"""SELECT {rule}, 'topic_growth', CASE WHEN g >= 1 + 2 * {rate} THEN 'critical' ELSE 'warning' END,
+         concat('话题异常增长: ', topic_name), topic_id, {silence}, topic_id
+  FROM (SELECT t.id AS topic_id, t.topic_name, c.current_count / c.previous_count AS g, c.previous_count
+        FROM hot_topics t
+        JOIN (SELECT topic_id,
+                     COUNT(*) FILTER (WHERE crawl_time >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL {hours} HOUR) AS current_count,
+                     COUNT(*) FILTER (WHERE crawl_time < TIMESTAMP '2024-01-30 12:00:00' - INTERVAL {hours} HOUR) AS previous_count
+              FROM posts_event WHERE topic_id IS NOT NULL GROUP BY topic_id) c ON c.topic_id = t.id
+        WHERE t.status = 'active' AND t.last_updated >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL {hours} HOUR
+          AND t.first_seen IS NOT NULL)
+  WHERE previous_count >= 5 AND g >= 1 + {rate}"""
+
+
+_PRIOR = "TIMESTAMP '2024-01-29 13:00:00'"    # alerts before this time are the stored ones
+
+
+@register("alerts_all", O.with_ctes(f"""
+SELECT rule_id, alert_type, severity, title, related_topic_id, TIMESTAMP '2024-01-30 12:00:00' AS created_at, source_id,
+       prior OR coalesce((rule_id, coalesce(source_id, -4611686018427387904)) >
+                min(CASE WHEN NOT prior THEN (rule_id, coalesce(source_id, -4611686018427387904)) END)
+                  OVER (PARTITION BY alert_type, related_topic_id), false) AS suppressed
+FROM (SELECT c.*, EXISTS (SELECT 1 FROM alerts a WHERE a.alert_type = c.alert_type AND a.created_at < {_PRIOR}
+               AND a.related_topic_id IS NOT DISTINCT FROM c.related_topic_id
+               AND a.created_at >= TIMESTAMP '2024-01-30 12:00:00' - c.silence * INTERVAL 1 HOUR) AS prior
+FROM (
+  {_surge_sql(1, 0.4, 5, 24, 24)}
   UNION ALL
-  SELECT 'keyword_trigger', 'warning', concat('敏感词触发: ', w), CAST(NULL AS BIGINT), 1, id
+  SELECT 2, 'keyword_trigger', 'warning', concat('敏感词触发: ', w), CAST(NULL AS BIGINT), 1, id
   FROM (SELECT id, CASE WHEN contains(content, 'error') THEN 'error'
                         WHEN contains(content, 'purchase') THEN 'purchase' END AS w
         FROM posts_event WHERE crawl_time >= TIMESTAMP '2024-01-29 12:00:00')
   WHERE w IS NOT NULL
   UNION ALL
-  SELECT 'topic_growth', CASE WHEN g >= 1 + 2 * 1.1 THEN 'critical' ELSE 'warning' END,
-         concat('话题异常增长: ', topic_name), topic_id, 48, topic_id
-  FROM (SELECT t.id AS topic_id, t.topic_name, c.current_count / c.previous_count AS g, c.previous_count
-        FROM hot_topics t
-        JOIN (SELECT topic_id,
-                     COUNT(*) FILTER (WHERE crawl_time >= TIMESTAMP '2024-01-10 12:00:00') AS current_count,
-                     COUNT(*) FILTER (WHERE crawl_time < TIMESTAMP '2024-01-10 12:00:00') AS previous_count
-              FROM posts_event WHERE topic_id IS NOT NULL GROUP BY topic_id) c ON c.topic_id = t.id
-        WHERE t.status = 'active' AND t.last_updated >= TIMESTAMP '2024-01-10 12:00:00'
-          AND t.first_seen IS NOT NULL)
-  WHERE previous_count >= 5 AND g >= 1 + 1.1) c""", "hot_topics", "alerts"))
+  {_growth_sql(3, 1.1, 480, 48)}
+  UNION ALL
+  {_growth_sql(4, 0.2, 400, 2)}
+  UNION ALL
+  {_surge_sql(5, 0.3, 5, 240, 1)}) c)""", "hot_topics", "alerts"), scoped=True)
 def q_alerts_all(spark, d):
     """L4: all enabled rules over the posts, silenced against the alerts table."""
     rules = TB.rules_table(spark, ORACLE_RULES)
-    out = AL.evaluate_rules(_E(spark, d), TB.hot_topics(spark, d), rules, TB.alerts(spark, d),
+    prior = TB.alerts(spark, d).filter(F.col("created_at") < F.lit("2024-01-29 13:00:00").cast("timestamp_ntz"))
+    out = AL.evaluate_rules(_E(spark, d), TB.hot_topics(spark, d), rules, prior,
                             AS_OF, keyword_lookback_minutes=24 * 60)
-    return out.select("alert_type", "severity", "title", "related_topic_id", "created_at", "source_id",
+    return out.select(F.col("rule_id").cast("int").alias("rule_id"), "alert_type", "severity", "title", "related_topic_id", "created_at", "source_id",
                       "suppressed")
 
 
@@ -705,7 +787,7 @@ TOK_KEYWORD = _duck_tokens("content", TX.STOP_WORDS_KEYWORD)
 _TOKS = f"""toks AS (SELECT id, unnest({TOK_TOPIC}) AS term FROM posts_doc),
 ptf AS (SELECT id, term, COUNT(*) AS tf FROM toks GROUP BY id, term),
 pdf AS (SELECT term, COUNT(*) AS df FROM ptf GROUP BY term),
-vocab AS (SELECT term, df FROM pdf WHERE df >= 2 ORDER BY df DESC, term LIMIT 5000)"""
+vocab AS (SELECT term, df FROM pdf WHERE df >= 2)"""
 
 
 @register("tokens", O.with_ctes("SELECT id, term, tf FROM ptf", "posts_doc", extra=_TOKS))
@@ -715,12 +797,12 @@ def q_tokens(spark, d):
 
 @register("doc_freq", O.with_ctes("SELECT term, df FROM pdf", "posts_doc", extra=_TOKS))
 def q_doc_freq(spark, d):
-    return TF.doc_freq(TF.text_stats(_D(spark, d)))
+    return TF.doc_freq(_D(spark, d))
 
 
 @register("vocabulary", O.with_ctes("SELECT term, df FROM vocab", "posts_doc", extra=_TOKS))
 def q_vocabulary(spark, d):
-    return TF.vocabulary(TF.doc_freq(TF.text_stats(_D(spark, d))))
+    return TF.vocabulary(TF.doc_freq(_D(spark, d)))
 
 
 @register("tfidf", O.with_ctes("""
@@ -730,7 +812,7 @@ FROM ptf t JOIN (SELECT id, max(tf) AS mc FROM ptf GROUP BY id) m ON m.id = t.id
 JOIN vocab v ON v.term = t.term""", "posts_doc", extra=_TOKS))
 def q_tfidf(spark, d):
     st = TF.text_stats(_D(spark, d))
-    w = TF.tfidf(st, TF.vocabulary(TF.doc_freq(st)))
+    w = TF.tfidf(st, TF.vocabulary(TF.doc_freq(_D(spark, d))))
     return TF.expand_to_posts(w.select("h", "term", F.round("weight", 6).alias("weight")), st)
 
 
@@ -752,7 +834,7 @@ def _cluster_ctes(threshold: float, min_samples: int, p: str = "", src: str = "p
 {p}tf AS (SELECT uid, term, COUNT(*) AS c FROM {p}ttok GROUP BY uid, term),
 {p}mx AS (SELECT uid, max(c) AS mc FROM {p}tf GROUP BY uid),
 {p}df AS (SELECT f.term, SUM(t.mult) AS df FROM {p}tf f JOIN {p}texts t ON t.uid = f.uid GROUP BY f.term),
-{p}vocab AS (SELECT term, df FROM {p}df WHERE df >= 2 ORDER BY df DESC, term LIMIT 5000),
+{p}vocab AS (SELECT term, df FROM {p}df WHERE df >= 2),
 {p}w AS (SELECT f.uid, f.term,
              (0.5 + 0.5 * f.c / m.mc) * ln((SELECT COUNT(*) FROM {src}) / (1 + v.df)) AS w
       FROM {p}tf f JOIN {p}mx m ON m.uid = f.uid JOIN {p}vocab v ON v.term = f.term),
@@ -797,7 +879,6 @@ def _cluster_sql(body: str, threshold: float, min_samples: int) -> str:
 
 
 from . import clustering as PL  # noqa: E402
-from ..session import cut  # noqa: E402
 
 
 def _clusters(spark, d, eps, min_samples, method):
@@ -806,17 +887,16 @@ def _clusters(spark, d, eps, min_samples, method):
 
 
 @register("similar_pairs", _cluster_sql(
-    "SELECT i, j, round(sim, 6) AS similarity FROM pairs", 0.7, 5))
+    "SELECT i, j, round(sim, 6) AS similarity FROM pairs", 0.7, 5), scoped=True)
 def q_similar_pairs(spark, d):
     st = TF.text_stats(_D(spark, d))
-    vocab = TF.vocabulary(TF.doc_freq(st))
-    pairs = SIM.similar_pairs(TF.tfidf(st, vocab), vocab, 0.7)
+    pairs = SIM.similar_pairs(TF.tfidf(st, TF.vocabulary(TF.doc_freq(_D(spark, d)))), 0.7)
     return pairs.select("i", "j", F.round("similarity", 6).alias("similarity"))
 
 
 @register("core_posts", _cluster_sql(
     "SELECT p.id, CAST(d.degree AS BIGINT) AS degree FROM post_uid p JOIN deg d ON d.uid = p.uid WHERE d.degree >= 5",
-    0.7, 5))
+    0.7, 5), scoped=True)
 def q_core_posts(spark, d):
     p = PL.prepare(_D(spark, d), 0.3)
     deg = CL.degrees(p.stats.texts, p.nonzero, p.pairs).filter(F.col("degree") >= 5)
@@ -824,32 +904,32 @@ def q_core_posts(spark, d):
 
 
 @register("dbscan_clusters", _cluster_sql(
-    "SELECT p.id, l.label FROM post_uid p JOIN db_labels l ON l.uid = p.uid", 0.7, 5))
+    "SELECT p.id, l.label FROM post_uid p JOIN db_labels l ON l.uid = p.uid", 0.7, 5), scoped=True)
 def q_dbscan_clusters(spark, d):
     return _clusters(spark, d, 0.3, 5, "dbscan")[1]
 
 
 @register("leader_clusters", _cluster_sql(
-    "SELECT p.id, l.label FROM post_uid p JOIN ld_labels l ON l.uid = p.uid", 0.7, 5))
+    "SELECT p.id, l.label FROM post_uid p JOIN ld_labels l ON l.uid = p.uid", 0.7, 5), scoped=True)
 def q_leader_clusters(spark, d):
     return _clusters(spark, d, 0.3, 5, "leader")[1]
 
 
 @register("dbscan_clusters_wide", _cluster_sql(
-    "SELECT p.id, l.label FROM post_uid p JOIN db_labels l ON l.uid = p.uid", 0.3, 3))
+    "SELECT p.id, l.label FROM post_uid p JOIN db_labels l ON l.uid = p.uid", 0.3, 3), scoped=True)
 def q_dbscan_clusters_wide(spark, d):
     return _clusters(spark, d, 0.7, 3, "dbscan")[1]
 
 
 @register("leader_clusters_wide", _cluster_sql(
-    "SELECT p.id, l.label FROM post_uid p JOIN ld_labels l ON l.uid = p.uid", 0.3, 3))
+    "SELECT p.id, l.label FROM post_uid p JOIN ld_labels l ON l.uid = p.uid", 0.3, 3), scoped=True)
 def q_leader_clusters_wide(spark, d):
     return _clusters(spark, d, 0.7, 3, "leader")[1]
 
 
 @register("cluster_summary", _cluster_sql("""
 SELECT l.label, COUNT(*) AS size FROM post_uid p JOIN db_labels l ON l.uid = p.uid
-GROUP BY l.label HAVING COUNT(*) >= 5""", 0.7, 5))
+GROUP BY l.label HAVING COUNT(*) >= 5""", 0.7, 5), scoped=True)
 def q_cluster_summary(spark, d):
     return CL.cluster_summary(_clusters(spark, d, 0.3, 5, "dbscan")[1], 5)
 
@@ -895,7 +975,7 @@ def _kw_sql(labels: str, min_size: int, p: str = "", src: str = "posts_doc") ->
 
 
 @register("topic_terms", _cluster_sql(
-    "SELECT label, topic_name, keywords FROM " + _kw_sql("db_labels", 5), 0.7, 5))
+    "SELECT label, topic_name, keywords FROM " + _kw_sql("db_labels", 5), 0.7, 5), scoped=True)
 def q_topic_terms(spark, d):
     p = PL.prepare(_D(spark, d), 0.3)
     named, _ = PL.named_clusters(p, PL.labels(p, 5, "dbscan"), 5)
@@ -906,7 +986,7 @@ def q_topic_terms(spark, d):
 SELECT a.label, b.label AS topic_id,
        round(len(list_intersect(a.kws, b.kws)) / len(list_distinct(list_concat(a.kws, b.kws))), 6) AS jaccard
 FROM {_kw_sql("db_labels", 3)} a, {_kw_sql("ld_labels", 3)} b
-WHERE len(list_intersect(a.kws, b.kws)) / len(list_distinct(list_concat(a.kws, b.kws))) >= 0.5""", 0.3, 3))
+WHERE len(list_intersect(a.kws, b.kws)) / len(list_distinct(list_concat(a.kws, b.kws))) >= 0.5""", 0.3, 3), scoped=True)
 def q_topic_similarity(spark, d):
     p = PL.prepare(_D(spark, d), 0.7)
     new = PL.named_clusters(p, PL.labels(p, 3, "dbscan"), 3)[0]
@@ -990,7 +1070,7 @@ def _merge_run(spark, d):
 
 @register("merge_topics", _merge_sql("""
 SELECT id, topic_name, CAST(post_count AS BIGINT) AS post_count, round(sentiment_ratio, 6) AS sentiment_ratio,
-       round(heat_score, 6) AS heat_score, status FROM merged"""))
+       round(heat_score, 6) AS heat_score, status FROM merged"""), scoped=True)
 def q_merge_topics(spark, d):
     _, _, merged, _ = _merge_run(spark, d)
     return merged.select("id", "topic_name", "post_count", F.round("sentiment_ratio", 6).alias("sentiment_ratio"),
@@ -1001,7 +1081,7 @@ def q_merge_topics(spark, d):
 SELECT s.id, a.topic_id FROM posts_doc s
 LEFT JOIN post_uid pu ON pu.id = s.id
 LEFT JOIN db_labels l ON l.uid = pu.uid
-LEFT JOIN assign a ON a.label = l.label"""))
+LEFT JOIN assign a ON a.label = l.label"""), scoped=True)
 def q_link_topics(spark, d):
     posts, post_labels, _, assign = _merge_run(spark, d)
     return TP.link_topics(posts, post_labels, assign)

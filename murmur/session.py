@@ -6,8 +6,11 @@ a convenience for tests, the bench and scripts.
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
+import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -46,9 +49,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the session.
 
     The cluster names it in ``spark.checkpoint.dir``.  Only a local-mode
-    session without that setting (tests, the bench) gets a scratch folder of
-    its own; on a cluster a missing setting is an error, because a
-    machine-local folder would not survive the loss of an executor.
+    session without that setting (a quick trial) gets a folder of its own,
+    which goes when the process ends; on a cluster a missing setting is an
+    error, because a machine-local folder would not survive the loss of an
+    executor.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -58,16 +62,55 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not conf:
         if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        conf = tempfile.mkdtemp(prefix="murmur-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        conf = tempfile.mkdtemp(prefix="murmur-ckpt-")
+        atexit.register(shutil.rmtree, conf, ignore_errors=True)
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
 
 
+# Folders of the runs that are open, innermost last (see ``run_scope``).
+_open_runs: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint location for written tables."""
-    base = checkpoint_dir(spark).rstrip("/")
-    import uuid
-    return f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh folder under the shared checkpoint location for written tables;
+    inside a ``run_scope`` it lies in the run's folder."""
+    base = _open_runs[-1] if _open_runs else checkpoint_dir(spark).rstrip("/") + "/tables"
+    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of written tables, wherever Spark keeps it."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+@contextmanager
+def run_scope(spark: SparkSession):
+    """Tables that are cut inside the scope are dropped when it ends.  A result
+    that outlives the scope is written with ``finish`` before."""
+    path = scratch_path(spark, "run")
+    _open_runs.append(path)
+    try:
+        yield path
+    finally:
+        _open_runs.remove(path)
+        remove_path(spark, path)
+
+
+def finish(spark: SparkSession, job):
+    """Run ``job()`` in a scope, write the DataFrame it returns, drop the run's
+    own tables and return a read of the result."""
+    out = scratch_path(spark, "result")
+    with run_scope(spark):
+        job().write.mode("overwrite").parquet(out)
+    return spark.read.parquet(out)
 
 
 def cut(df):

@@ -11,88 +11,73 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timefmt import ts_lit
+from ..session import cut
 
 KEY = ["platform", "post_id"]
-# A batch whose distinct keys number at most this many is broadcast, so the
-# (much larger) existing table streams through a hash join without a
-# shuffle; above it both sides shuffle on the key.
-BROADCAST_BATCH_KEYS = 2_000_000
-
 # Defaults the collectors filled in for missing fields.
 DEFAULT_AUTHOR = {"weibo": "未知用户", "xiaohongshu": "小红书用户"}
 UNKNOWN_PLACE = "未知"
 CONTENT_ID_PREFIX = "wb_"
-NOTE_ID_PREFIX = "xhs_"
 NOTE_ID_PATTERN = r"^[a-f0-9]{24}$"
 
 
-def _first_per_key(df: DataFrame, order: list[str], key=KEY) -> DataFrame:
-    cols = [c for c in df.columns if c not in key]
-    rec = F.min_by(F.struct(*cols), F.struct(*order)).alias("_r")
-    return df.groupBy(*key).agg(rec).select(*key, "_r.*")
+def _prepared(existing: DataFrame, incoming: DataFrame, as_of) -> DataFrame:
+    """A missing crawl time becomes ``as_of``; new rows have status 0."""
+    if as_of is not None and "crawl_time" in incoming.columns:
+        incoming = incoming.withColumn("crawl_time", F.coalesce(F.col("crawl_time"), ts_lit(as_of)))
+    if "analyze_status" in existing.columns and "analyze_status" not in incoming.columns:
+        incoming = incoming.withColumn("analyze_status", F.lit(0))
+    return incoming
+
+
+def _total_order(df: DataFrame, order: list[str]) -> Column:
+    """``order``, then every other column by name: rows that tie are equal."""
+    rest = sorted(c for c in df.columns if c not in KEY and c not in order)
+    return F.struct(*order, *rest)
 
 
 def ingest_ignore(existing: DataFrame, incoming: DataFrame, as_of=None,
                   order: list[str] | None = None) -> DataFrame:
     """S3 + S12: keep unseen ``(platform, post_id)`` keys of the batch, first
-    write wins (earliest ``order``), known keys dropped; new rows get status 0
-    and a default crawl time."""
-    order = order or ["crawl_time"]
-    inc = incoming
-    if as_of is not None and "crawl_time" in inc.columns:
-        inc = inc.withColumn("crawl_time", F.coalesce(F.col("crawl_time"), ts_lit(as_of)))
-    if "analyze_status" in existing.columns and "analyze_status" not in inc.columns:
-        inc = inc.withColumn("analyze_status", F.lit(0))
-    firsts = _first_per_key(inc, order)
-    if firsts.count() <= BROADCAST_BATCH_KEYS:
-        # keys of the batch already present: existing streamed against the broadcast batch keys
-        known = existing.select(*KEY).join(F.broadcast(firsts.select(*KEY)), KEY, "left_semi")
-        new = firsts.join(known, KEY, "left_anti")
-    else:
-        new = firsts.join(existing.select(*KEY), KEY, "left_anti")
-    return existing.unionByName(new, allowMissingColumns=True)
-
-
-def ingest_upsert(existing: DataFrame, incoming: DataFrame, update=("likes",),
+    write wins (earliest ``order``, ties by the other columns), known keys
+    dropped; new rows get status 0 and a default crawl time.  The batch is
+    reduced and written once; the stored table only meets the batch's keys,
+    which Spark broadcasts when the written table is small."""
+    return existing.unionByName(new_posts(existing, incoming, as_of, order), allowMissingColumns=True)
+
+
+def new_posts(existing: DataFrame, incoming: DataFrame, as_of=None, order: list[str] | None = None) -> DataFrame:
+    """The rows that ``ingest_ignore`` adds."""
+    inc = _prepared(existing, incoming, as_of)
+    cols = [c for c in inc.columns if c not in KEY]
+    firsts = cut(inc.groupBy(*KEY).agg(F.min_by(F.struct(*cols), _total_order(inc, order or ["crawl_time"])).alias("_r"))
+                    .select(*KEY, "_r.*"))
+    known = existing.select(*KEY).join(firsts.select(*KEY), KEY, "left_semi")
+    return firsts.join(known, KEY, "left_anti")
+
+
+def ingest_upsert(existing: DataFrame, incoming: DataFrame, update=("likes",), as_of=None,
                   order: list[str] | None = None) -> DataFrame:
     """Unseen keys are inserted (first row of the batch); for every key the
-    ``update`` columns take the batch's last value (later duplicates overwrite)."""
-    order = order or ["crawl_time"]
+    ``update`` columns take the batch's last value (later duplicates overwrite).
+    Ties in ``order`` are broken by the other columns."""
     update = list(update)
-    cols = [c for c in incoming.columns if c not in KEY]
-    ordk = F.struct(*order)
-    agg = [F.min_by(F.struct(*cols), ordk).alias("_first")]
-    agg += [F.max_by(F.col(u), ordk).alias(f"_last_{u}") for u in update]
-    inc = incoming.groupBy(*KEY).agg(*agg)
-    if inc.count() <= BROADCAST_BATCH_KEYS:
-        # existing rows stream past the broadcast batch (no shuffle of the
-        # large side); unseen keys are appended
-        b = F.broadcast(inc)
-        updated = existing.join(b, KEY, "left").select(*[
-            F.coalesce(F.col(f"_last_{c}"), F.col(c)).alias(c) if c in update else F.col(c)
-            for c in existing.columns])
-        known = existing.select(*KEY).join(F.broadcast(inc.select(*KEY)), KEY, "left_semi")
-        fresh = inc.join(known, KEY, "left_anti")
-        new = fresh.select(*[
-            F.col(c) if c in KEY else
-            F.col(f"_last_{c}").alias(c) if c in update else
-            F.col(f"_first.{c}").alias(c) if c in cols else
-            F.lit(None).cast(existing.schema[c].dataType).alias(c)
-            for c in existing.columns])
-        return updated.unionByName(new)
-    old = existing.withColumn("_old", F.lit(True))
-    j = old.join(inc, KEY, "full_outer")
-    out = []
-    for c in existing.columns:
-        if c in KEY:
-            out.append(F.col(c))
-        elif c in update:
-            out.append(F.coalesce(F.col(f"_last_{c}"), F.col(c)).alias(c))
-        elif c in cols:
-            out.append(F.when(F.col("_old"), F.col(c)).otherwise(F.col(f"_first.{c}")).alias(c))
-        else:
-            out.append(F.col(c))
-    return j.select(*out)
+    inc = _prepared(existing, incoming, as_of)
+    cols = [c for c in inc.columns if c not in KEY]
+    ordk = _total_order(inc, order or ["crawl_time"])
+    inc = cut(inc.groupBy(*KEY).agg(F.min_by(F.struct(*cols), ordk).alias("_first"),
+                                    F.max_by(F.struct(*update), ordk).alias("_last")))
+    last = inc.select(*KEY, "_last")
+    updated = existing.join(last, KEY, "left").select(*[
+        F.coalesce(F.col(f"_last.{c}"), F.col(c)).alias(c) if c in update else F.col(c) for c in existing.columns])
+    known = existing.select(*KEY).join(last.select(*KEY), KEY, "left_semi")
+    new = inc.join(known, KEY, "left_anti").select(*[
+        F.col(c) if c in KEY else
+        F.col(f"_last.{c}").alias(c) if c in update else
+        F.col(f"_first.{c}").alias(c) if c in cols else
+        F.lit(None).cast(existing.schema[c].dataType).alias(c)
+        for c in existing.columns])
+    return updated.unionByName(new)
 
 
 def with_defaults(df: DataFrame) -> DataFrame:

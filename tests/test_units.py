@@ -414,13 +414,13 @@ def test_similarity_join_exact_against_brute_force(spark, seed):
     dense[7] = 0.0                           # a zero vector
     dense[8] = dense[9] * 2.5                # same direction
     rows = [(i, f"t{k}", float(dense[i, k])) for i in range(n) for k in range(m) if dense[i, k] != 0.0]
-    weights = spark.createDataFrame(rows, "uid long, term string, weight double")
     vocab = spark.createDataFrame([(f"t{k}", int(rng.integers(1, 50))) for k in range(m)], "term string, df long")
+    weights = spark.createDataFrame(rows, "uid long, term string, weight double").join(vocab, "term")
     norms = np.linalg.norm(dense, axis=1)
     unit = np.divide(dense, norms[:, None], out=np.zeros_like(dense), where=norms[:, None] > 0)
     cos = unit @ unit.T
     for t in (0.1, 0.3, 0.6, 0.9, 0.95):
-        got = {(r.i, r.j) for r in SIM.similar_pairs(weights, vocab, t).collect()}
+        got = {(r.i, r.j) for r in SIM.similar_pairs(weights, t).collect()}
         want = {(i, j) for i in range(n) for j in range(i + 1, n)
                 if norms[i] > 0 and norms[j] > 0 and cos[i, j] >= t - 1e-9}
         assert got == want, t
@@ -497,29 +497,30 @@ def test_silence_state_across_epochs(spark, tmp_path):
     assert got == {3: False, 7: True, 9: True, 11: False, 12: True}
 
 
-def test_fallback_paths_above_broadcast_bounds(spark, monkeypatch):
-    """The shuffle-join branches used above the broadcast bounds give the
-    same results as the broadcast branches."""
+def test_posting_lists_far_longer_than_a_block(spark, monkeypatch):
+    """One term in every text: its list is cut into pairs of blocks, same pairs."""
     import numpy as np
     from murmur.operators import similarity as SIM
-    ex = spark.createDataFrame([("weibo", "a", "x", 1, dt.datetime(2024, 1, 1))],
-                               "platform string, post_id string, author string, likes int, crawl_time timestamp_ntz")
-    inc = spark.createDataFrame([("weibo", "a", "y", 5, dt.datetime(2024, 1, 2)),
-                                 ("weibo", "b", "z", 2, dt.datetime(2024, 1, 2)),
-                                 ("weibo", "b", "w", 3, dt.datetime(2024, 1, 3))], ex.schema)
     rng = np.random.default_rng(3)
-    dense = np.where(rng.random((40, 20)) < 0.3, rng.normal(1.0, 0.5, (40, 20)), 0.0)
-    weights = spark.createDataFrame([(i, f"t{k}", float(dense[i, k])) for i in range(40) for k in range(20)
-                                     if dense[i, k] != 0.0], "uid long, term string, weight double")
-    vocab = spark.createDataFrame([(f"t{k}", k + 1) for k in range(20)], "term string, df long")
-
-    def run():
-        ign = sorted(tuple(r) for r in I.ingest_ignore(ex, inc).select("post_id", "author", "likes").collect())
-        ups = sorted(tuple(r) for r in I.ingest_upsert(ex, inc).select("post_id", "author", "likes").collect())
-        sim = sorted((r.i, r.j, round(r.similarity, 9)) for r in SIM.similar_pairs(weights, vocab, 0.5).collect())
-        return ign, ups, sim
-
-    small = run()
-    monkeypatch.setattr(I, "BROADCAST_BATCH_KEYS", 0)
-    monkeypatch.setattr(SIM, "BROADCAST_VECTOR_BYTES", 0)
-    assert run() == small and len(small[2]) > 0
+    dense = np.where(rng.random((120, 20)) < 0.3, rng.normal(1.0, 0.5, (120, 20)), 0.0)
+    dense[:, 0] = 2.0
+    weights = spark.createDataFrame([(i, f"t{k}", k + 1, float(dense[i, k])) for i in range(120) for k in range(20)
+                                     if dense[i, k] != 0.0], "uid long, term string, df long, weight double")
+    run = lambda: sorted((r.i, r.j, round(r.similarity, 9)) for r in SIM.similar_pairs(weights, 0.5).collect())
+    whole = run()
+    monkeypatch.setattr(SIM, "BLOCK", 10)
+    nv = SIM.normalized(weights, 0.5)
+    units = SIM.posting_units(nv).groupBy("t", "lo", "hi").count()
+    assert units.agg(F.max("count")).first()[0] <= 40 and units.agg(F.max("hi")).first()[0] >= 11
+    assert run() == whole and len(whole) > 100
+
+
+def test_run_scope_leaves_only_the_result(spark, sf_small):
+    import glob
+    from murmur.plans import catalog as CT
+    from murmur.session import checkpoint_dir
+    base = checkpoint_dir(spark).removeprefix("file:") + "/tables"
+    before = set(glob.glob(base + "/*"))
+    CT.QUERIES["similar_pairs"](spark, sf_small)
+    left = set(glob.glob(base + "/*")) - before
+    assert len(left) == 1 and "/result-" in left.pop()
