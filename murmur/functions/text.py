@@ -87,8 +87,3 @@ def char_encode(text: Column, seq_len: int = CHAR_SEQ_LEN, vocab: int = CHAR_VOC
     codes = F.transform(chars, lambda c: (F.ascii(c) % (vocab - 2)) + 2)
     pad = F.array_repeat(F.lit(0), F.lit(seq_len) - F.size(codes))
     return F.concat(codes, pad)
-
-
-def content_preview(content: Column, n: int) -> Column:
-    """First ``n`` characters."""
-    return F.substring(content, 1, n)

@@ -45,10 +45,28 @@ def search_filter(posts: DataFrame, platform=None, sentiment=None, keyword=None,
 
 
 def search_posts(posts: DataFrame, platform=None, sentiment=None, keyword=None,
-                 start=None, end=None, page: int = 1, size: int = 20) -> DataFrame:
-    """F1 + P1: filtered posts, newest first (id breaks ties)."""
+                 start=None, end=None, page: int = 1, size: int = 20, after=None) -> DataFrame:
+    """F1 + P1: filtered posts, newest first (id breaks ties).
+
+    ``after``: (publish_time, id) of the last row that the reader has; the
+    listing goes on behind it, and a task holds ``size`` rows however deep the
+    page is.  Pages counted from the start ask for the key of every page before.
+    """
     f = search_filter(posts, platform, sentiment, keyword, start, end)
-    return paginate(f, [F.col("publish_time").desc(), F.col("id").desc()], page, size)
+    newest = [F.col("publish_time").desc(), F.col("id").desc()]
+    for _ in range(int(page) - 1):
+        last = _after(f, after).select("publish_time", "id").orderBy(*newest).limit(size).tail(1)
+        if not last:
+            return f.limit(0)
+        after = tuple(last[0])
+    return _after(f, after).orderBy(*newest).limit(size)
+
+
+def _after(posts: DataFrame, after) -> DataFrame:
+    if after is None:
+        return posts
+    t, i = ts_lit(after[0]), F.lit(int(after[1]))
+    return posts.filter((F.col("publish_time") < t) | ((F.col("publish_time") == t) & (F.col("id") < i)))
 
 
 def pending(posts: DataFrame, limit: int = 64) -> DataFrame:

@@ -12,11 +12,13 @@ from collections.abc import Callable
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
+from pyspark.ml.feature import HashingTF, IDF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import tokenize
+from ..session import cut
 from .tfidf import post_keywords
 
 NUM_FEATURES = 1 << 18
@@ -28,87 +30,118 @@ def decide(p_neg: Column, p_pos: Column) -> Column:
                     F.greatest(p_pos, p_neg).cast("float").alias("sentiment_score"))
 
 
-def build_pipeline(text_col: str = "content", label_col: str = "label") -> Pipeline:
-    tok = RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"[^\p{L}\p{N}]+", toLowercase=True)
+def with_tokens(posts: DataFrame, text_col: str = "content") -> DataFrame:
+    """The classifier's input: the library's tokens (Han runs as bigrams), none
+    taken out as stop words."""
+    return posts.withColumn("_tok", tokenize(F.col(text_col), []))
+
+
+def build_pipeline(label_col: str = "label") -> Pipeline:
     tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=NUM_FEATURES)
     idf = IDF(inputCol="_tf", outputCol="_features", minDocFreq=2)
     lr = LogisticRegression(featuresCol="_features", labelCol=label_col, maxIter=30, regParam=0.01)
-    return Pipeline(stages=[tok, tf, idf, lr])
+    return Pipeline(stages=[tf, idf, lr])
 
 
 def train(labelled: DataFrame, text_col: str = "content", label_col: str = "label") -> PipelineModel:
     """M3: fit the default classifier (distributed MLlib training)."""
-    return build_pipeline(text_col, label_col).fit(labelled.select(text_col, F.col(label_col).cast("double").alias(label_col)))
+    data = labelled.select(text_col, F.col(label_col).cast("double").alias(label_col))
+    return build_pipeline(label_col).fit(with_tokens(data, text_col))
 
 
-def evaluate(model: PipelineModel, test: DataFrame, label_col: str = "label") -> DataFrame:
-    """M3: area under ROC and accuracy on a held-out set, one row."""
-    pred = model.transform(test.withColumn(label_col, F.col(label_col).cast("double")))
+def evaluate(model: PipelineModel, test: DataFrame, text_col: str = "content", label_col: str = "label") -> DataFrame:
+    """M3: area under ROC, accuracy and size of a held-out set, one row."""
+    labelled = with_tokens(test.withColumn(label_col, F.col(label_col).cast("double")), text_col)
+    pred = cut(model.transform(labelled).select(label_col, "rawPrediction", "prediction"))
     auc = BinaryClassificationEvaluator(rawPredictionCol="rawPrediction", labelCol=label_col,
                                         metricName="areaUnderROC").evaluate(pred)
-    acc = pred.agg(F.avg((F.col("prediction") == F.col(label_col)).cast("double")).alias("accuracy"))
-    return acc.select(F.lit(auc).alias("auc"), "accuracy",
-                      F.lit(test.count()).alias("n_test"))
+    return pred.agg(F.lit(auc).alias("auc"), F.avg((F.col("prediction") == F.col(label_col)).cast("double")).alias("accuracy"),
+                    F.count(F.lit(1)).alias("n_test"))
+
+
+def model_scorer(model: PipelineModel, text_col: str = "content") -> Callable[[DataFrame], DataFrame]:
+    """M1 with the MLlib model: posts -> (id, sentiment, sentiment_score,
+    analyze_status, error)."""
+    def score(posts: DataFrame) -> DataFrame:
+        out = model.transform(with_tokens(posts.select("id", text_col), text_col))
+        p = vector_to_array("probability")
+        return (out.select("id", decide(p[0], p[1]).alias("_d"))
+                   .select("id", "_d.*", F.lit(1).alias("analyze_status"), F.lit(None).cast("string").alias("error")))
+
+    return score
 
 
 def score_posts(posts: DataFrame, model: PipelineModel) -> DataFrame:
-    """M1 with the MLlib scorer: adds sentiment and sentiment_score."""
-    cols = [c for c in posts.columns if c not in ("sentiment", "sentiment_score")]
-    out = model.transform(posts.select(*cols))
-    p = vector_to_array("probability")
-    return out.select(*cols, decide(p[0], p[1]).alias("_d")).select(*cols, "_d.*")
-
-
-def score_with(posts: DataFrame, scorer: Callable, text_col: str = "content") -> DataFrame:
-    """M1 with a user scorer: ``scorer(pd.Series[str]) -> (p_neg, p_pos)`` arrays,
-    called per Arrow batch (``spark.sql.execution.arrow.maxRecordsPerBatch``).
-    A batch whose scorer raises is kept with status 2 (failed)."""
-    import numpy as np
-    import pandas as pd
-
-    base = posts.select("id", text_col)
-
-    def run(it):
-        for pdf in it:
-            try:
-                neg, pos = scorer(pdf[text_col])
-                neg, pos = np.asarray(neg, dtype="float64"), np.asarray(pos, dtype="float64")
-                status = np.ones(len(pdf), dtype="int32")
-            except Exception:  # noqa: BLE001
-                neg = pos = np.full(len(pdf), np.nan)
-                status = np.full(len(pdf), 2, dtype="int32")
-            yield pd.DataFrame({"id": pdf["id"].values, "p_neg": neg, "p_pos": pos, "analyze_status": status})
-
-    s = base.mapInPandas(run, "id long, p_neg double, p_pos double, analyze_status int")
-    d = decide(F.col("p_neg"), F.col("p_pos"))
-    return s.select("id", F.when(F.col("analyze_status") == 1, d["sentiment"]).alias("sentiment"),
-                    F.when(F.col("analyze_status") == 1, d["sentiment_score"]).alias("sentiment_score"),
-                    "analyze_status")
-
-
-def analyze_batch(posts: DataFrame, model: PipelineModel, top_n: int = 5, limit: int | None = None) -> DataFrame:
-    """M4: pending posts scored, keyworded (top ``top_n`` terms) and merged
-    back: sentiment, score, status 1 and keywords; other posts unchanged.
-    ``limit`` takes the oldest pending ids first, as the polling loop did."""
-    pend = posts.filter(F.col("analyze_status") == 0)
-    if limit:
-        pend = pend.orderBy("id").limit(limit)
-    scored = score_posts(pend.select("id", "content"), model).select("id", "sentiment", "sentiment_score")
-    kw = (post_keywords(pend.select("id", "content"), top_n)
+    """M1 with the MLlib model: (id, sentiment, sentiment_score)."""
+    return model_scorer(model)(posts).select("id", "sentiment", "sentiment_score")
+
+
+def function_scorer(scorer: Callable, text_col: str = "content") -> Callable[[DataFrame], DataFrame]:
+    """M1 with a user function ``scorer(pd.Series[str]) -> (p_neg, p_pos)``,
+    called per Arrow batch.  Where it raises, the batch is scored row by row:
+    only the rows that fail have status 2, with the error's message."""
+    def score(posts: DataFrame) -> DataFrame:
+        import numpy as np
+        import pandas as pd
+
+        def rows(texts):
+            neg, pos = scorer(texts)
+            return np.asarray(neg, dtype="float64"), np.asarray(pos, dtype="float64")
+
+        def run(it):
+            for pdf in it:
+                n = len(pdf)
+                status, error = np.ones(n, dtype="int32"), [None] * n
+                try:
+                    neg, pos = rows(pdf[text_col])
+                except Exception:  # noqa: BLE001  (a text the scorer cannot take: find it)
+                    neg, pos = np.full(n, np.nan), np.full(n, np.nan)
+                    for i in range(n):
+                        try:
+                            a, b = rows(pdf[text_col].iloc[i:i + 1])
+                            neg[i], pos[i] = a[0], b[0]
+                        except Exception as e:  # noqa: BLE001  (kept with the row)
+                            status[i], error[i] = 2, f"{type(e).__name__}: {e}"
+                yield pd.DataFrame({"id": pdf["id"].values, "p_neg": neg, "p_pos": pos, "analyze_status": status,
+                                    "error": error})
+
+        s = posts.select("id", text_col).mapInPandas(run, "id long, p_neg double, p_pos double, analyze_status int, error string")
+        d, ok = decide(F.col("p_neg"), F.col("p_pos")), F.col("analyze_status") == 1
+        return s.select("id", F.when(ok, d["sentiment"]).alias("sentiment"),
+                        F.when(ok, d["sentiment_score"]).alias("sentiment_score"), "analyze_status", "error")
+
+    return score
+
+
+def analyse(posts: DataFrame, score: Callable[[DataFrame], DataFrame], top_n: int = 5) -> DataFrame:
+    """Scores and top keywords of posts: (id, sentiment, sentiment_score,
+    analyze_status, keywords)."""
+    kw = (post_keywords(posts.select("id", "content"), top_n)
           .groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", "term"))).alias("_k"))
-          .select("id", F.transform("_k", lambda x: x["term"]).alias("_kw")))
-    upd = scored.join(kw, "id", "left").withColumnRenamed("sentiment", "_s") \
-                .withColumnRenamed("sentiment_score", "_ss")
+          .select("id", F.transform("_k", lambda x: x["term"]).alias("keywords")))
+    none = F.array().cast("array<string>")
+    return (score(posts).join(kw, "id", "left")
+            .select("id", "sentiment", "sentiment_score", "analyze_status", F.coalesce("keywords", none).alias("keywords")))
+
+
+def analyze_batch(posts: DataFrame, score: Callable[[DataFrame], DataFrame], top_n: int = 5,
+                  limit: int | None = None) -> DataFrame:
+    """M4: pending posts scored and keyworded; the others as they are.  The
+    table is split by status and put together again, only the pending part is
+    joined with its results.  ``limit`` takes the oldest pending ids first, as the
+    polling loop did (the others stay pending)."""
     base = posts
-    for c, default in (("sentiment_score", "float"), ("keywords", "array<string>")):
+    for c, kind in (("sentiment_score", "float"), ("keywords", "array<string>")):
         if c not in base.columns:
-            base = base.withColumn(c, F.lit(None).cast(default))
-    j = base.join(upd, "id", "left")
-    hit = F.col("_s").isNotNull()
-    return j.select(*[
-        (F.when(hit, F.col("_s")).otherwise(F.col("sentiment")).alias("sentiment") if c == "sentiment" else
-         F.when(hit, F.col("_ss")).otherwise(F.col("sentiment_score")).alias(c) if c == "sentiment_score" else
-         F.when(hit, F.lit(1)).otherwise(F.col("analyze_status")).alias(c) if c == "analyze_status" else
-         F.when(hit, F.coalesce(F.col("_kw"), F.array().cast("array<string>"))).otherwise(F.col("keywords")).alias(c)
-         if c == "keywords" else F.col(c))
-        for c in base.columns])
+            base = base.withColumn(c, F.lit(None).cast(kind))
+    is_pending = F.coalesce(F.col("analyze_status") == 0, F.lit(False))
+    pend, rest = base.filter(is_pending), base.filter(~is_pending)
+    if limit is not None:
+        ids = cut(pend.select("id").orderBy("id").limit(limit))
+        rest = rest.unionByName(pend.join(ids, "id", "left_anti").select(*base.columns))
+        pend = pend.join(ids, "id", "left_semi").select(*base.columns)
+    new = analyse(pend, score, top_n)
+    fields = ["sentiment", "sentiment_score", "analyze_status", "keywords"]
+    done = pend.drop(*fields).join(new, "id").select(
+        *[F.col(c).cast(base.schema[c].dataType).alias(c) for c in base.columns])
+    return rest.unionByName(done)

@@ -7,6 +7,7 @@ mappings and runs over whole tables.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -690,6 +691,20 @@ def q_notification_outbox(spark, d):
     return N.notification_outbox(TB.alerts(spark, d), "wechat")
 
 
+@register("notified_flags", O.with_ctes("""
+SELECT id AS alert_id, coalesce(bool_or(d.ok), false) AS notified
+FROM alerts a LEFT JOIN (SELECT event_id + 1 AS alert_id, value > 50 AS ok FROM events
+                         UNION ALL SELECT event_id + 2, user_id % 7 = 0 FROM events) d ON d.alert_id = a.id
+GROUP BY id""", "alerts"))
+def q_notified_flags(spark, d):
+    """Alerts with what their deliveries (two channels, mapped from the
+    events) came to."""
+    e = TB.read(spark, d, "events")
+    sent = e.select((F.col("event_id") + 1).alias("alert_id"), F.lit("email").alias("channel"), (F.col("value") > 50).alias("ok"))
+    hook = e.select((F.col("event_id") + 2).alias("alert_id"), F.lit("webhook").alias("channel"), (F.col("user_id") % 7 == 0).alias("ok"))
+    return N.notified_flags(TB.alerts(spark, d), sent.unionByName(hook))
+
+
 ORACLE_RULES = [
     (1, "Negative Surge", "negative_surge",
      '{"negativeRatioThreshold": 0.4, "minPostCount": 5, "windowHours": 24, "silenceHours": 24}', True),
@@ -1036,9 +1051,11 @@ assign AS (SELECT label, topic_id FROM matched
 inc AS (SELECT a.topic_id, SUM(c.post_count) AS m, SUM(c.sentiment_ratio * c.post_count) AS rm,
                max(c.heat_score) AS h
         FROM clusters c JOIN assign a ON a.label = c.label GROUP BY a.topic_id),
-all_topics AS (SELECT id, topic_name, post_count, sentiment_ratio, heat_score FROM topics
+all_topics AS (SELECT id, topic_name, post_count, sentiment_ratio, heat_score,
+                      '"2024-01-29 23:00:00":0.2500,"2024-01-30 11:00:00":' || CAST(sentiment_ratio AS DECIMAL(9,4)) AS trend
+               FROM topics
                UNION ALL
-               SELECT (SELECT b FROM base) + c.label, c.topic_name, 0, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)
+               SELECT (SELECT b FROM base) + c.label, c.topic_name, 0, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), NULL
                FROM clusters c WHERE c.label IN (SELECT label FROM creators)),
 merged AS (SELECT t.id, t.topic_name,
                   CASE WHEN i.m IS NULL THEN t.post_count ELSE t.post_count + i.m END AS post_count,
@@ -1047,7 +1064,10 @@ merged AS (SELECT t.id, t.topic_name,
                     AS sentiment_ratio,
                   CASE WHEN i.m IS NULL THEN t.heat_score ELSE greatest(coalesce(t.heat_score, i.h), i.h) END
                     AS heat_score,
-                  'active' AS status
+                  'active' AS status,
+                  CASE WHEN i.m IS NULL THEN '{{' || t.trend || '}}'
+                       ELSE '{{' || coalesce(t.trend || ',', '') || '"2024-01-30 12:00:00":' || CAST(i.rm / i.m AS DECIMAL(9,4)) || '}}' END
+                    AS sentiment_trend
            FROM all_topics t LEFT JOIN inc i ON i.topic_id = t.id)"""
     extra = ",\n".join([early, _cluster_ctes(0.3, 3, "e_", "posts_early"), _cluster_ctes(0.3, 3), merge])
     q = O.with_ctes(body, "posts_doc", extra=extra)
@@ -1062,7 +1082,11 @@ def _merge_run(spark, d):
     old, _ = PL.cluster_topics(posts, PL.prepare(early, 0.7), 3, "leader")
     topics = cut(old.select(F.col("label").alias("id"), "topic_name", "keywords", "keyword_list", "post_count",
                             "sentiment_ratio", "heat_score", "first_seen", "last_updated",
-                            F.lit("active").alias("status")))
+                            F.lit("active").alias("status"),
+                            # trends that grew by an entry an hour so far
+                            F.concat(F.lit('{"2024-01-29 23:00:00":0.2500,"2024-01-30 11:00:00":'),
+                                     F.col("sentiment_ratio").cast("decimal(9,4)").cast("string"), F.lit("}"))
+                            .alias("sentiment_trend")))
     clusters, post_labels = PL.cluster_topics(posts, PL.prepare(posts, 0.7), 3, "dbscan")
     merged, assign = TP.merge_topics(cut(clusters), topics, AS_OF, threshold=0.5)
     return posts, post_labels, merged, assign
@@ -1070,20 +1094,22 @@ def _merge_run(spark, d):
 
 @register("merge_topics", _merge_sql("""
 SELECT id, topic_name, CAST(post_count AS BIGINT) AS post_count, round(sentiment_ratio, 6) AS sentiment_ratio,
-       round(heat_score, 6) AS heat_score, status FROM merged"""), scoped=True)
+       round(heat_score, 6) AS heat_score, status, sentiment_trend FROM merged"""), scoped=True)
 def q_merge_topics(spark, d):
     _, _, merged, _ = _merge_run(spark, d)
     return merged.select("id", "topic_name", "post_count", F.round("sentiment_ratio", 6).alias("sentiment_ratio"),
-                         F.round("heat_score", 6).alias("heat_score"), "status")
+                         F.round("heat_score", 6).alias("heat_score"), "status", "sentiment_trend")
 
 
 @register("link_topics", _merge_sql("""
-SELECT s.id, a.topic_id FROM posts_doc s
+SELECT s.id, coalesce(a.topic_id, CASE WHEN s.likes % 3 = 0 THEN s.likes END) AS topic_id FROM posts_doc s
 LEFT JOIN post_uid pu ON pu.id = s.id
 LEFT JOIN db_labels l ON l.uid = pu.uid
 LEFT JOIN assign a ON a.label = l.label"""), scoped=True)
 def q_link_topics(spark, d):
     posts, post_labels, _, assign = _merge_run(spark, d)
+    # a third of the posts has a topic from an earlier run: noise keeps it
+    posts = posts.withColumn("topic_id", F.when(F.col("likes") % 3 == 0, F.col("likes")).cast("long"))
     return TP.link_topics(posts, post_labels, assign)
 
 
@@ -1092,23 +1118,42 @@ def q_link_topics(spark, d):
 from ..streaming import streams as ST  # noqa: E402
 
 
+def _event_files(spark, d, parts: int = 4) -> str:
+    """The events cut by time into ``parts`` files that arrive one after the
+    other (stand-in for a feed; the ranges overlap by nothing)."""
+    path = scratch_path(spark, "feed")
+    ev = TB.read(spark, d, "events")
+    cuts = ev.selectExpr(f"percentile_approx(unix_micros(cast(ts as timestamp)), array({', '.join(str(k / parts) for k in range(1, parts))})) AS c").first()[0]
+    t = F.expr("unix_micros(cast(ts as timestamp))")
+    part = sum((F.when(t >= c, 1).otherwise(0) for c in cuts), F.lit(0))
+    ev = cut(ev.withColumn("_part", part))
+    for k in range(parts):
+        ev.filter(F.col("_part") == k).drop("_part").coalesce(1).write.parquet(f"{path}/part{k}")
+    return path
+
+
+def _event_feed(spark, d) -> DataFrame:
+    files = (spark.readStream.schema(ST.EVENTS_SCHEMA).option("recursiveFileLookup", "true")
+                  .option("maxFilesPerTrigger", 1).parquet(_event_files(spark, d)))
+    return TB.events_to_posts(files, TB._nations(spark, d))
+
+
 @register("stream_dedup", O.with_ctes(
     "SELECT platform, post_id, author, likes FROM posts_event", "posts_event"))
 def q_stream_dedup(spark, d):
-    """ST1: the events stream read twice (every post delivered twice), deduplicated."""
-    s = ST.event_posts_stream(spark, d).unionByName(ST.event_posts_stream(spark, d))
-    out = ST.run_append(ST.stream_dedup(s).select("platform", "post_id", "author", "likes", "crawl_time"),
-                        "stream_dedup")
-    return spark.read.parquet(out).select("platform", "post_id", "author", "likes")
+    """ST1: the events in several files, the whole table delivered twice; every
+    post is stored once."""
+    cols = ["platform", "post_id", "author", "likes", "crawl_time"]
+    s = _event_feed(spark, d).select(*cols).unionByName(ST.event_posts_stream(spark, d).select(*cols))
+    return spark.read.parquet(ST.run_dedup(s)).select("platform", "post_id", "author", "likes")
 
 
 @register("stream_trend", ORACLE["sentiment_trend"])
 def q_stream_trend(spark, d):
     """ST3: equals ``sentiment_trend`` (168 h) computed as a stream."""
     from datetime import timedelta
-    out = ST.run_update(ST.stream_trend(ST.event_posts_stream(spark, d), AS_OF - timedelta(hours=168)),
-                        "stream_trend")
-    return ST.latest(spark, out, ["hour"]).select("hour", "total", "positive", "negative")
+    out = ST.run_counts(ST.stream_trend(_event_feed(spark, d), AS_OF - timedelta(hours=168)), "trend", "hour")
+    return ST.total_counts(spark, out, "hour").select("hour", "total", "positive", "negative")
 
 
 @register("stream_surge", O.with_ctes("""
@@ -1121,9 +1166,9 @@ GROUP BY e.minute""", "posts_event", extra="""mins AS (
          COUNT(*) FILTER (WHERE sentiment = 0) AS neg
   FROM posts_event WHERE sentiment IS NOT NULL GROUP BY 1)"""))
 def q_stream_surge(spark, d):
-    """ST4: equals ``negative_surge_backtest`` computed on sliding stream windows."""
-    out = ST.run_update(ST.stream_surge(ST.event_posts_stream(spark, d), 60), "stream_surge")
-    r = ST.latest(spark, out, ["minute"])
+    """ST4: equals ``negative_surge_backtest`` on the stream's minute counts."""
+    out = ST.run_counts(ST.stream_surge(_event_feed(spark, d)), "surge", "minute")
+    r = ST.surge_windows(ST.total_counts(spark, out, "minute"), 60)
     return r.select("minute", "total", "negative",
                     F.round(F.col("negative") / F.col("total"), 6).alias("ratio"))
 
@@ -1133,8 +1178,15 @@ SELECT id, publish_time, sentiment FROM posts_event
 ORDER BY publish_time DESC, id DESC LIMIT 200""", "posts_event"))
 def q_live_feed(spark, d):
     """ST6: rolling buffer of the 200 newest posts fed by the events stream."""
-    path = ST.live_feed(ST.event_posts_stream(spark, d), 200)
-    return spark.read.parquet(path)
+    return spark.read.parquet(ST.live_feed(_event_feed(spark, d), 200))
+
+
+@register("live_feed_filtered", O.with_ctes("""
+SELECT id, publish_time, sentiment FROM posts_event WHERE platform = 'weibo' AND sentiment = 0
+ORDER BY publish_time DESC, id DESC LIMIT 50""", "posts_event"))
+def q_live_feed_filtered(spark, d):
+    """the live feed of one platform and sentiment."""
+    return spark.read.parquet(ST.live_feed(_event_feed(spark, d), 50, platform="weibo", sentiment=0))
 
 
 # ----------------------------------------------------------------- scoring (M*)
@@ -1172,16 +1224,77 @@ def q_score_posts(spark, d):
 def q_analyze_batch(spark, d):
     """M4: pending posts scored and given keywords, merged into the posts table."""
     model = SC.train(_labelled(spark, d))
-    out = SC.analyze_batch(_D(spark, d), model, 5)
+    out = SC.analyze_batch(_D(spark, d), SC.model_scorer(model), 5)
     return out.select("id", "sentiment", "sentiment_score", "analyze_status", "keywords")
 
 
+def _fixed_weights(texts):
+    """A scorer of fixed weights: P(pos) from the text's length; a text of 7 mod 50
+    characters is one it cannot take."""
+    n = texts.str.len()
+    if (n % 50 == 7).any():
+        raise ValueError("unsupported length")
+    pos = (n % 10) / 10.0
+    return 1 - pos, pos
+
+
+_FIXED = """CASE WHEN length(content) % 50 = 7 THEN NULL WHEN {p} > 1 - {p} THEN 1 ELSE 0 END AS sentiment,
+       CASE WHEN length(content) % 50 = 7 THEN NULL ELSE round(greatest({p}, 1 - {p}), 4) END AS sentiment_score"""
+_FIXED = _FIXED.replace("{p}", "((length(content) % 10) / 10.0::DOUBLE)")
+
+
+@register("score_fixed", O.with_ctes(f"""
+SELECT id, {_FIXED}, CASE WHEN length(content) % 50 = 7 THEN 2 ELSE 1 END AS analyze_status,
+       CASE WHEN length(content) % 50 = 7 THEN 'ValueError: unsupported length' END AS error
+FROM posts_doc""", "posts_doc"))
+def q_score_fixed(spark, d):
+    """M1: a plugged-in scorer over all posts; a text that it rejects fails alone."""
+    s = SC.function_scorer(_fixed_weights)(_D(spark, d))
+    return s.withColumn("sentiment_score", F.round(F.col("sentiment_score").cast("double"), 4))
+
+
+@register("analyze_fixed", O.with_ctes(f"""
+SELECT id, CASE WHEN analyze_status = 0 THEN s.sentiment ELSE p.sentiment END AS sentiment,
+       CASE WHEN analyze_status = 0 THEN s.sentiment_score END AS sentiment_score,
+       CASE WHEN analyze_status <> 0 THEN analyze_status WHEN length(content) % 50 = 7 THEN 2 ELSE 1 END AS analyze_status
+FROM posts_doc p JOIN (SELECT id, {_FIXED} FROM posts_doc) s USING (id)""", "posts_doc"))
+def q_analyze_fixed(spark, d):
+    """M4 with the plugged-in scorer: pending posts scored, the others untouched."""
+    out = SC.analyze_batch(_D(spark, d), SC.function_scorer(_fixed_weights), 5)
+    return out.select("id", "sentiment", F.round(F.col("sentiment_score").cast("double"), 4).alias("sentiment_score"),
+                      "analyze_status")
+
+
+@register("decide", """
+SELECT event_id AS id, CASE WHEN p > 1 - p THEN 1 ELSE 0 END AS sentiment, round(greatest(p, 1 - p), 4) AS sentiment_score
+FROM (SELECT event_id, (user_id % 101) / 100.0::DOUBLE AS p FROM events)""")
+def q_decide(spark, d):
+    """M2: the decision step over probabilities taken from the events (ties included)."""
+    p = (F.col("user_id") % 101) / 100.0
+    x = TB.read(spark, d, "events").select(F.col("event_id").alias("id"), SC.decide(1 - p, p).alias("_d"))
+    return x.select("id", "_d.sentiment", F.round(F.col("_d.sentiment_score").cast("double"), 4).alias("sentiment_score"))
+
+
 # ------------------------------------------------------------- html pages
 
 from ..sources import html as H  # noqa: E402
 
 
-@register("extract_posts")
+@register("extract_posts", r"""
+WITH a AS (SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS art FROM pages
+           WHERE contains(html, '<article>')),
+t AS (SELECT page_id, url, regexp_extract(art, '(?s)<h1>(.*?)</h1>', 1) AS h1,
+             replace(regexp_replace(art, '(?s)^.*?</h1>', ''), '<p>', ' ') AS body FROM a),
+c AS (SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(h1, '(?s)<[^>]*>', '', 'g'),
+               '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS title,
+             trim(regexp_replace(replace(replace(replace(replace(regexp_replace(body, '(?s)<[^>]*>', '', 'g'),
+               '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS text
+      FROM t)
+SELECT page_id, CAST(0 AS BIGINT) AS card, 'weibo' AS platform,
+       concat('wb_', md5(concat('weibo_', '未知用户', '_', coalesce(nullif(text, ''), title)))) AS post_id,
+       '未知用户' AS author, title, CAST(length(coalesce(nullif(text, ''), title)) AS INT) AS content_chars,
+       CAST(0 AS INT) AS likes, url
+FROM c WHERE text <> '' OR title <> ''""")
 def q_extract_posts(spark, d):
     """Posts parsed from every raw page (article cards)."""
     pages = TB.spread(TB.read(spark, d, "pages"), "page_id")
@@ -1190,19 +1303,12 @@ def q_extract_posts(spark, d):
                     F.length("content").alias("content_chars"), "likes", "url")
 
 
-@register("stream_keyword", O.with_ctes("""
-SELECT id, matched_word, 'warning' AS severity, concat('敏感词触发: ', matched_word) AS title,
-       substr(content, 1, 80) AS content_preview
-FROM (SELECT id, content,
-             CASE WHEN contains(content, 'error') THEN 'error'
-                  WHEN contains(content, 'purchase') THEN 'purchase' END AS matched_word
-      FROM posts_event)
-WHERE matched_word IS NOT NULL""", "posts_event"))
+@register("stream_keyword", ORACLE["alert_keyword"])
 def q_stream_keyword(spark, d):
-    """ST7: sensitive-word alerts on the events stream, one check per post."""
-    out = ST.run_append(ST.stream_keyword_alerts(ST.event_posts_stream(spark, d), ["error", "purchase"]),
-                        "stream_keyword")
-    return spark.read.parquet(out)
+    """ST7: sensitive-word alerts on the events stream for posts crawled in the
+    last day before the fixed clock."""
+    return spark.read.parquet(ST.run_append(
+        ST.stream_keyword_alerts(_event_feed(spark, d), ["error", "purchase"], 24 * 60, AS_OF), "keyword")).drop("_epoch")
 
 
 DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -1210,13 +1316,13 @@ DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long
 
 @register("stream_score")
 def q_stream_score(spark, d):
-    """ST2: documents arriving as a file stream, joined to their event and
-    scored per micro-batch with the classifier trained on labelled posts."""
+    """ST2: documents arriving as a file stream, scored and given keywords per
+    micro-batch with the classifier trained on labelled posts."""
     model = SC.train(_labelled(spark, d))
     docs = (spark.readStream.schema(DOC_SCHEMA).option("pathGlobFilter", "documents.parquet")
                  .option("maxFilesPerTrigger", 1).parquet(d))
     posts = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
-    return spark.read.parquet(ST.run_scoring(posts, model))
+    return spark.read.parquet(ST.run_scoring(posts, SC.model_scorer(model))).drop("_epoch")
 
 
 @register("stream_heartbeats")
@@ -1227,32 +1333,26 @@ def q_stream_heartbeats(spark, d):
     hb = ST.HeartbeatListener()
     spark.streams.addListener(hb.listener)
     try:
-        ST.run_update(ST.stream_trend(ST.event_posts_stream(spark, d), AS_OF - timedelta(hours=168)),
-                      "stream_trend")
+        ST.run_counts(ST.stream_trend(ST.event_posts_stream(spark, d), AS_OF - timedelta(hours=168)),
+                      "stream_trend", "hour")
+        for _ in range(100):        # progress events arrive on the listener's own thread
+            if hb.beats:
+                break
+            time.sleep(0.1)
     finally:
         spark.streams.removeListener(hb.listener)
     return R.health_status(hb.frame(spark).select("module_name", "status", "ts"))
 
 
-@register("stream_silence", O.with_ctes("""
-SELECT 'keyword_trigger' AS alert_type, CAST(NULL AS BIGINT) AS related_topic_id, id AS source_id,
-       concat('敏感词触发: ', w) AS title, max(crawl_time) OVER () AS created_at,
-       id > min(id) OVER () AS suppressed
-FROM (SELECT id, crawl_time, CASE WHEN contains(content, 'error') THEN 'error'
-                                  WHEN contains(content, 'purchase') THEN 'purchase' END AS w
-      FROM posts_event)
-WHERE w IS NOT NULL""", "posts_event"))
+@register("stream_silence", _replay_sql(O.with_ctes("", "posts_event").removeprefix("WITH ").rstrip() + """,
+hist AS (SELECT id, 'keyword_trigger' AS alert_type, CAST(NULL AS BIGINT) AS related_topic_id, publish_time AS created_at
+         FROM posts_event WHERE contains(content, 'error') OR contains(content, 'purchase'))"""))
 def q_stream_silence(spark, d):
-    """ST5: keyword alerts from the events stream with per-key silence state."""
-    posts = ST.event_posts_stream(spark, d)
-    # candidates keep their event time: the tick clock of each micro-batch
-    cand = (posts.select("id", "platform", "content", "crawl_time")
-                 .select("crawl_time", F.col("id").alias("source_id"),
-                         AL.first_match(F.col("content"), ["error", "purchase"]).alias("_w"))
-                 .filter(F.col("_w").isNotNull())
-                 .select(F.lit("keyword_trigger").alias("alert_type"),
-                         F.lit(None).cast("long").alias("related_topic_id"), "source_id",
-                         F.concat(F.lit(AL.KEYWORD_TITLE), F.col("_w")).alias("title"), "crawl_time"))
-    path = ST.run_silenced_alerts(cand, SILENCE_HOURS)
-    return spark.read.parquet(path).select("alert_type", "related_topic_id", "source_id", "title",
-                                           "created_at", "suppressed")
+    """ST5: keyword alerts from the events stream, created at publish time, with
+    the silence state carried over several files."""
+    posts = _event_feed(spark, d)
+    cand = (posts.filter(AL.first_match(F.col("content"), ["error", "purchase"]).isNotNull())
+                 .select("id", F.lit("keyword_trigger").alias("alert_type"),
+                         F.lit(None).cast("long").alias("related_topic_id"), F.col("publish_time").alias("created_at")))
+    path = ST.run_silenced_alerts(cand, REPLAY_HOURS)
+    return spark.read.parquet(path).select("id", "alert_type", "related_topic_id", "suppressed")

@@ -1,20 +1,26 @@
-"""Structured Streaming twins of the batch operators (ST1, ST3, ST4, ST6).
+"""Structured Streaming twins of the batch operators (ST1-ST8).
 
-Sources are file streams over the driver tables; sinks write to the shared
-checkpoint folder (never the driver's memory).  Aggregates run in update
-mode and land through ``foreachBatch`` in one folder per epoch, so a retried
-epoch overwrites its own output; ``latest`` reads the newest row per key.
+Sources are file streams; sinks write to the shared checkpoint folder (never
+the driver's memory) through ``foreachBatch``, one folder per epoch, so a
+retried epoch overwrites its own output.  Every job takes ``out`` (its results
+and state) and ``checkpoint``: a second call with both goes on where the first
+stopped; without them a call is a run of its own under a fresh folder.
+
+No watermark drops late rows: trend and surge keep additive counts per epoch,
+deduplication asks the stored keys.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint_dir
+from ..functions.timefmt import ts_lit
+from ..session import path_exists, scratch_path
 from ..sources.tables import _nations, events_to_posts
 
 EVENTS_SCHEMA = T.StructType([
@@ -27,9 +33,48 @@ EVENTS_SCHEMA = T.StructType([
 ])
 
 
-def _paths(spark: SparkSession, name: str):
-    base = checkpoint_dir(spark).rstrip("/") + f"/streams/{name}-{uuid.uuid4().hex[:12]}"
-    return base + "/_checkpoint", base + "/out"
+def _paths(spark: SparkSession, name: str, out: str | None, checkpoint: str | None) -> tuple[str, str]:
+    """(out, checkpoint); a checkpoint without an output folder (or the other
+    way round) could not go on with what an earlier run left."""
+    if (out is None) != (checkpoint is None):
+        raise ValueError("give both out and checkpoint, or neither")
+    if out is None:
+        base = scratch_path(spark, f"stream-{name}")
+        return base + "/out", base + "/checkpoint"
+    return out.rstrip("/"), checkpoint
+
+
+def _run(df: DataFrame, name: str, sink, checkpoint: str) -> None:
+    """Feed everything that has arrived to ``sink(batch, epoch)``."""
+    def persisted(batch: DataFrame, epoch: int):
+        batch = batch.persist()
+        try:
+            sink(batch, epoch)
+        finally:
+            batch.unpersist()
+
+    q = (df.writeStream.queryName(f"{name}_{uuid.uuid4().hex[:6]}").foreachBatch(persisted)
+           .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def _epochs(spark: SparkSession, out: str) -> list[int]:
+    """The epochs that have a folder ``_epoch=N`` in ``out``, ascending.  A folder that
+    is not there yet is empty; any other failure is the caller's."""
+    if not path_exists(spark, out):
+        return []
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(out)
+    names = [f.getPath().getName() for f in p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)]
+    return sorted(int(m.group(1)) for n in names if (m := re.fullmatch(r"_epoch=(\d+)", n)))
+
+
+def _before(spark: SparkSession, out: str, epoch: int, schema: str, newest: bool = False) -> DataFrame:
+    """What epochs before ``epoch`` wrote (all of them, or the newest one)."""
+    past = [e for e in _epochs(spark, out) if e < epoch]
+    if not past:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{out}/_epoch={e}" for e in (past[-1:] if newest else past)])
 
 
 def event_posts_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
@@ -43,136 +88,122 @@ def event_posts_stream(spark: SparkSession, sf_dir: str, max_files: int | None =
     return events_to_posts(ev, _nations(spark, sf_dir))
 
 
-def run_append(df: DataFrame, name: str) -> str:
-    """Run an append-mode stream to completion into parquet; returns the folder."""
-    spark = df.sparkSession
-    ck, out = _paths(spark, name)
-    q = (df.writeStream.queryName(f"{name}_{uuid.uuid4().hex[:6]}").format("parquet")
-           .option("checkpointLocation", ck)
-           .outputMode("append").trigger(availableNow=True).start(out))
-    q.awaitTermination()
+def run_append(df: DataFrame, name: str, out: str | None = None, checkpoint: str | None = None) -> str:
+    """Append every batch to Parquet, one folder per epoch; returns the folder."""
+    out, checkpoint = _paths(df.sparkSession, name, out, checkpoint)
+    _run(df, name, lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{out}/_epoch={epoch}"), checkpoint)
     return out
 
 
-def run_update(df: DataFrame, name: str) -> str:
-    """Run an update-mode aggregate to completion; each epoch's changed rows
-    go to ``out/_epoch=N`` (idempotent on retry)."""
-    spark = df.sparkSession
-    ck, out = _paths(spark, name)
+def run_counts(df: DataFrame, name: str, key: str, out: str | None = None, checkpoint: str | None = None) -> str:
+    """Per epoch the counts by ``key`` of its batch (``df``: key and 0/1 or
+    count columns); ``total_counts`` adds the epochs up, so a late row counts in
+    its own hour whenever it comes."""
+    out, checkpoint = _paths(df.sparkSession, name, out, checkpoint)
 
     def sink(batch: DataFrame, epoch: int):
-        batch.write.mode("overwrite").parquet(f"{out}/_epoch={epoch}")
+        sums = [F.sum(c).cast("long").alias(c) for c in batch.columns if c != key]
+        batch.groupBy(key).agg(*sums).write.mode("overwrite").parquet(f"{out}/_epoch={epoch}")
 
-    q = (df.writeStream.queryName(f"{name}_{uuid.uuid4().hex[:6]}").foreachBatch(sink)
-           .option("checkpointLocation", ck).outputMode("update").trigger(availableNow=True).start())
-    q.awaitTermination()
+    _run(df, name, sink, checkpoint)
     return out
 
 
-def latest(spark: SparkSession, out: str, key: list[str]) -> DataFrame:
-    """The newest version of every key written by ``run_update``."""
-    df = spark.read.parquet(out)
-    cols = [c for c in df.columns if c not in key and c != "_epoch"]
-    return (df.groupBy(*key).agg(F.max_by(F.struct(*cols), "_epoch").alias("_r"))
-              .select(*key, "_r.*"))
+def total_counts(spark: SparkSession, out: str, key: str) -> DataFrame:
+    """The counts of all epochs by ``key``."""
+    df = spark.read.parquet(out).drop("_epoch")
+    return df.groupBy(key).agg(*[F.sum(c).cast("long").alias(c) for c in df.columns if c != key])
 
 
-def _event_time(c: str):
-    """Watermarks need a zoned TIMESTAMP: the wall-clock value cast in the
-    session zone (formatting back in the same zone restores the wall clock)."""
-    return F.col(c).cast("timestamp")
+def run_dedup(posts: DataFrame, out: str | None = None, checkpoint: str | None = None, as_of=None) -> str:
+    """ST1: every batch through the batch job ``new_posts`` against the keys
+    stored so far: a key is taken once, however late or often it comes."""
+    from ..sources.ingest import new_posts
+    spark = posts.sparkSession
+    out, checkpoint = _paths(spark, "dedup", out, checkpoint)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in posts.schema)
 
+    def sink(batch: DataFrame, epoch: int):
+        stored = _before(spark, out, epoch, schema)
+        new_posts(stored, batch, as_of).select(*batch.columns).write.mode("overwrite").parquet(f"{out}/_epoch={epoch}")
+
+    _run(posts, "dedup", sink, checkpoint)
+    return out
 
-def stream_dedup(posts: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """ST1: drop repeated (platform, post_id) within the watermark delay."""
-    return (posts.withColumn("_et", _event_time("crawl_time")).withWatermark("_et", watermark)
-                 .dropDuplicatesWithinWatermark(["platform", "post_id"]).drop("_et"))
 
+def _one(condition):
+    return F.when(condition, 1).otherwise(0)
 
-def stream_trend(posts: DataFrame, start, watermark: str = "2 hours") -> DataFrame:
-    """ST3: hourly tumbling sentiment counts on publish time."""
-    from ..functions.timefmt import ts_lit
+
+def stream_trend(posts: DataFrame, start) -> DataFrame:
+    """ST3: what ``run_counts`` sums by ``hour``: sentiment by publish time."""
     p = posts.filter((F.col("publish_time") >= ts_lit(start)) & F.col("sentiment").isNotNull())
-    return (p.withColumn("_et", _event_time("publish_time")).withWatermark("_et", watermark)
-             .groupBy(F.window("_et", "1 hour"))
-             .agg(F.count(F.lit(1)).alias("total"),
-                  F.count_if(F.col("sentiment") == 1).cast("long").alias("positive"),
-                  F.count_if(F.col("sentiment") == 0).cast("long").alias("negative"))
-             .select(F.date_format("window.start", "yyyy-MM-dd HH:00:00").alias("hour"),
-                     "total", "positive", "negative"))
-
-
-def stream_surge(posts: DataFrame, window_minutes: int = 60, watermark: str = "2 hours") -> DataFrame:
-    """ST4: the surge rule on a sliding window (length ``window_minutes``,
-    slide 1 minute) of crawl time; ``minute`` is the window's last minute."""
+    return p.select(F.date_format("publish_time", "yyyy-MM-dd HH:00:00").alias("hour"), F.lit(1).alias("total"),
+                    _one(F.col("sentiment") == 1).alias("positive"), _one(F.col("sentiment") == 0).alias("negative"))
+
+
+def stream_surge(posts: DataFrame) -> DataFrame:
+    """ST4: what ``run_counts`` sums by ``minute`` of crawl time; ``surge_windows``
+    makes the sliding windows of it."""
     p = posts.filter(F.col("sentiment").isNotNull())
-    return (p.withColumn("_et", _event_time("crawl_time")).withWatermark("_et", watermark)
-             .groupBy(F.window("_et", f"{window_minutes} minutes", "1 minute"))
-             .agg(F.count(F.lit(1)).alias("total"),
-                  F.count_if(F.col("sentiment") == 0).cast("long").alias("negative"))
-             .select(F.expr("timestampadd(MINUTE, -1, window.end)").cast("timestamp_ntz").alias("minute"),
-                     "total", "negative"))
-
-
-def live_feed(posts: DataFrame, buffer: int = 200, out: str | None = None) -> str:
-    """ST6: a rolling buffer of the newest ``buffer`` posts.  Epoch N writes
-    ``out/v=N`` = top-k of (its batch + ``out/v=N-1``); the previous version is
-    found by its path, so a query restarted from its checkpoint continues the
-    buffer and a retried epoch rewrites its own folder."""
+    return p.select(F.date_trunc("minute", "crawl_time").cast("timestamp_ntz").alias("minute"),
+                    F.lit(1).alias("total"), _one(F.col("sentiment") == 0).alias("negative"))
+
+
+def surge_windows(per_minute: DataFrame, window_minutes: int = 60) -> DataFrame:
+    """Counts of the ``window_minutes`` minutes that end with each minute."""
+    fan = per_minute.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(window_minutes - 1))))
+    ends = fan.select(F.expr("timestampadd(MINUTE, _k, minute)").alias("minute"), "total", "negative")
+    return ends.groupBy("minute").agg(F.sum("total").cast("long").alias("total"), F.sum("negative").cast("long").alias("negative"))
+
+
+def live_feed(posts: DataFrame, buffer: int = 200, platform: str | None = None, sentiment: int | None = None,
+              out: str | None = None, checkpoint: str | None = None) -> str:
+    """ST6 with F7: a rolling buffer of the newest ``buffer`` posts of a platform
+    and sentiment (None: any).  An epoch writes the top of its batch and of
+    the newest earlier version."""
+    from ..operators.listing import feed_filter
     spark = posts.sparkSession
-    ck, default_out = _paths(spark, "live_feed")
-    out = out or default_out
+    out, checkpoint = _paths(spark, "live_feed", out, checkpoint)
     cols = ["id", "publish_time", "sentiment"]
+    schema = "id long, publish_time timestamp_ntz, sentiment int"
 
     def sink(batch: DataFrame, epoch: int):
-        cur = batch.select(*cols)
-        if epoch > 0:
-            try:
-                cur = cur.unionByName(spark.read.parquet(f"{out}/v={epoch - 1}"))
-            except Exception:  # noqa: BLE001  (no earlier version: first epoch after a fresh start)
-                pass
+        new = feed_filter(batch, platform, sentiment).select(*cols)
+        cur = new.unionByName(_before(spark, out, epoch, schema, newest=True))
         top = cur.orderBy(F.col("publish_time").desc(), F.col("id").desc()).limit(buffer)
-        top.write.mode("overwrite").parquet(f"{out}/v={epoch}")
-
-    q = (posts.writeStream.queryName(f"live_feed_{uuid.uuid4().hex[:6]}").foreachBatch(sink)
-              .option("checkpointLocation", ck).trigger(availableNow=True).start())
-    q.awaitTermination()
-    last = q.lastProgress["batchId"] if q.lastProgress else 0
-    return f"{out}/v={last}"
-
-
-def stream_keyword_alerts(posts: DataFrame, words: list[str]) -> DataFrame:
-    """ST7: every streamed post is checked once against the sensitive words
-    (static rule list, first word in list order); a post alerts at most once."""
-    from ..operators.alerts import first_match
-    m = posts.select("id", "platform", "content", "crawl_time",
-                     first_match(F.col("content"), words).alias("matched_word"))
+        top.write.mode("overwrite").parquet(f"{out}/_epoch={epoch}")
+
+    _run(posts, "live_feed", sink, checkpoint)
+    last = _epochs(spark, out)
+    return f"{out}/_epoch={last[-1]}" if last else out
+
+
+def stream_keyword_alerts(posts: DataFrame, words: list[str], lookback_minutes: int, now=None) -> DataFrame:
+    """ST7: posts crawled in the last ``lookback_minutes`` before ``now`` (None:
+    the time of the batch) are checked against the sensitive words (first word
+    in list order); a post alerts at most once."""
+    from ..operators.alerts import KEYWORD_TITLE, first_match
+    clock = ts_lit(now) if now is not None else F.localtimestamp()
+    recent = posts.filter(F.col("crawl_time") >= clock - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(lookback_minutes)))
+    m = recent.select("id", "platform", "content", "crawl_time",
+                      first_match(F.col("content"), words).alias("matched_word"))
     return (m.filter(F.col("matched_word").isNotNull())
              .select("id", "matched_word", F.lit("warning").alias("severity"),
-                     F.concat(F.lit("敏感词触发: "), F.col("matched_word")).alias("title"),
+                     F.concat(F.lit(KEYWORD_TITLE), F.col("matched_word")).alias("title"),
                      F.substring("content", 1, 80).alias("content_preview")))
 
 
-def run_scoring(posts: DataFrame, model, top_n: int = 5, name: str = "stream_score") -> str:
-    """ST2: score every micro-batch of posts with ``model`` and attach the top
-    keywords; each epoch lands in its own folder (idempotent on retry)."""
-    from ..operators.score import score_posts
-    from ..operators.tfidf import post_keywords
-    spark = posts.sparkSession
-    ck, out = _paths(spark, name)
+def run_scoring(posts: DataFrame, score, top_n: int = 5, out: str | None = None, checkpoint: str | None = None) -> str:
+    """ST2: every batch of posts through the analysis job: ``score`` (see
+    ``operators.score``) and the top keywords."""
+    from ..operators.score import analyse
+    out, checkpoint = _paths(posts.sparkSession, "score", out, checkpoint)
 
     def sink(batch: DataFrame, epoch: int):
-        b = batch.select("id", "content")
-        scored = score_posts(b, model).select("id", "sentiment", "sentiment_score")
-        kw = (post_keywords(b, top_n).groupBy("id")
-              .agg(F.sort_array(F.collect_list(F.struct("rank", "term"))).alias("_k"))
-              .select("id", F.transform("_k", lambda x: x["term"]).alias("keywords")))
-        (scored.join(kw, "id", "left").withColumn("analyze_status", F.lit(1))
-               .write.mode("overwrite").parquet(f"{out}/_epoch={epoch}"))
-
-    q = (posts.writeStream.foreachBatch(sink).option("checkpointLocation", ck)
-              .trigger(availableNow=True).start())
-    q.awaitTermination()
+        analyse(batch.select("id", "content"), score, top_n).write.mode("overwrite").parquet(f"{out}/_epoch={epoch}")
+
+    _run(posts, "score", sink, checkpoint)
     return out
 
 
@@ -210,63 +241,29 @@ class HeartbeatListener:
         return df.withColumn("ts", F.to_timestamp("ts_text").cast("timestamp_ntz")).drop("ts_text")
 
 
-def run_silenced_alerts(candidates: DataFrame, silence_hours: dict, event_col: str = "crawl_time",
-                        out: str | None = None) -> str:
-    """ST5: silence state per (alert_type, related_topic_id) across micro-batches.
+def run_silenced_alerts(candidates: DataFrame, silence_hours: dict, out: str | None = None,
+                        checkpoint: str | None = None) -> str:
+    """ST5: silence state per (alert_type, related_topic_id) across batches.
 
-    Each micro-batch is one evaluation tick: its alerts are created at the
-    batch's latest ``event_col`` time.  Within a key only the first candidate
-    (smallest ``source_id``) can fire, and only when the key's last fired time
-    is older than its silence period.  The state -- last fired time per key --
-    is a table written per epoch (``out/_state/v=N``) and read back by path, so
-    a restarted query resumes it; updates are per-key max aggregates, never an
-    ordered walk over one key's alerts.  Outputs go to ``out/alerts/_epoch=N``.
-    """
+    Each batch of candidates (id, alert_type, related_topic_id, created_at, ..)
+    is replayed in time order (``alerts.replay``) on top of the state, the
+    last fired time of every key; so the answer does not depend on how the
+    alerts are cut into files, as long as they come in time order.  An alert
+    older than its key's last firing came too late to fire.  Every epoch writes
+    its state, also without candidates; alerts go to ``out/alerts``."""
+    from ..operators.alerts import replay
     spark = candidates.sparkSession
-    ck, default_out = _paths(spark, "silenced_alerts")
-    out = out or default_out
-    hours = None
-    for k, v in silence_hours.items():
-        c = F.col("alert_type") == k
-        hours = F.when(c, F.lit(v)) if hours is None else hours.when(c, F.lit(v))
-    state_schema = "alert_type string, related_topic_id long, last timestamp_ntz"
+    out, checkpoint = _paths(spark, "silenced_alerts", out, checkpoint)
+    schema = "alert_type string, related_topic_id long, last timestamp_ntz"
 
     def sink(batch: DataFrame, epoch: int):
-        tick = batch.agg(F.max(event_col)).first()[0]
-        if tick is None:
-            return
-        try:
-            state = spark.read.parquet(f"{out}/_state/v={epoch - 1}") if epoch > 0 else None
-        except Exception:  # noqa: BLE001  (no earlier state: fresh start)
-            state = None
-        if state is None:
-            state = spark.createDataFrame([], state_schema)
-        now = F.lit(tick).cast("timestamp_ntz")
-        cand = batch.drop(event_col).withColumn("created_at", now)
-        order = F.coalesce(F.col("source_id"), F.lit(-(1 << 62)))
-        first = (cand.groupBy(F.col("alert_type").alias("_ft"), F.col("related_topic_id").alias("_fk"))
-                     .agg(F.min(order).alias("_first")))
-        st = state.select(F.col("alert_type").alias("_st"), F.col("related_topic_id").alias("_sk"), "last")
-        j = (cand.join(first, (F.col("alert_type") == F.col("_ft"))
-                       & F.col("related_topic_id").eqNullSafe(F.col("_fk")))
-                 .join(st, (F.col("alert_type") == F.col("_st"))
-                       & F.col("related_topic_id").eqNullSafe(F.col("_sk")), "left"))
-        silenced = F.coalesce(F.col("last") >= now - F.make_dt_interval(F.lit(0), hours.cast("int")), F.lit(False))
-        res = j.withColumn("suppressed", silenced | (order > F.col("_first"))) \
-               .drop("_ft", "_fk", "_first", "_st", "_sk", "last")
-        res = cut_to(res, f"{out}/alerts/_epoch={epoch}")
-        fired = res.filter(~F.col("suppressed")).select("alert_type", "related_topic_id",
-                                                         F.col("created_at").alias("last"))
+        state = _before(spark, f"{out}/state", epoch, schema, newest=True)
+        path = f"{out}/alerts/_epoch={epoch}"
+        replay(batch, silence_hours, state).write.mode("overwrite").parquet(path)
+        fired = (spark.read.parquet(path).filter(~F.col("suppressed"))
+                      .select("alert_type", "related_topic_id", F.col("created_at").alias("last")))
         (state.unionByName(fired).groupBy("alert_type", "related_topic_id").agg(F.max("last").alias("last"))
-              .write.mode("overwrite").parquet(f"{out}/_state/v={epoch}"))
+              .write.mode("overwrite").parquet(f"{out}/state/_epoch={epoch}"))
 
-    q = (candidates.writeStream.queryName(f"silenced_alerts_{uuid.uuid4().hex[:6]}").foreachBatch(sink)
-                   .option("checkpointLocation", ck).trigger(availableNow=True).start())
-    q.awaitTermination()
+    _run(candidates, "silenced_alerts", sink, checkpoint)
     return f"{out}/alerts"
-
-
-def cut_to(df: DataFrame, path: str) -> DataFrame:
-    """Write ``df`` to ``path`` (overwrite) and return a read of it."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)

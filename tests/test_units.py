@@ -209,14 +209,30 @@ def test_html_cards():
     cards = parse_cards(page, ARTICLES)
     assert len(cards) == 1 and cards[0]["title"] == "T & U"
     assert cards[0]["text"] == "Hello world & more second"
-    search = ('<div class="card-wrap"><div class="content"><a class="name">作者</a>'
-              '<p class="txt">内容 一</p><p class="from"><a>5分钟前</a></p></div>'
-              '<div class="card-act"><ul><li>a</li><li>转发 3</li><li>评论 1,234</li><li>1.2万</li></ul></div></div>'
-              '<div class="card-wrap"><div class="content"><a class="name">x</a></div></div>')
+    act = ('<div class="card-act"><ul><li>a</li><li><a>转发 3</a></li><li><a>评论 1,234</a></li><li><a>1.2万</a></li></ul></div>')
+    search = ('<div class="card-wrap"><div class="menu"><ul><li>举报</li></ul></div><div class="content"><a class="name">作者</a>'
+              '<p class="txt">内容 <em>一</em></p><p class="from"><a>5分钟前</a> 来自 <a>iPhone 13</a></p></div>' + act + '</div>'
+              '<div class="card-wrap"><div class="content"><a class="name">x</a></div></div>'
+              '<div class="card-wrap"><div class="content"><a nick-name="n">别名</a><p class="txt">login-container 也行</p></div></div>')
     c = parse_cards(search, SEARCH_CARDS)
-    assert len(c) == 1 and c[0]["author"] == "作者" and c[0]["text"] == "内容 一"
+    assert len(c) == 2 and c[0]["author"] == "作者" and c[0]["text"] == "内容 一"
     assert c[0]["time"] == "5分钟前" and c[0]["likes_text"] == "1.2万" and c[0]["comments"] == "评论 1,234"
-    assert parse_cards('<div class="login-container"></div>' + search, SEARCH_CARDS) == []
+    assert c[1]["author"] == "别名" and c[1]["time"] is None and c[1]["shares"] is None
+
+
+def test_note_cards(spark):
+    from murmur.sources.html import NOTE_CARDS, extract_posts, parse_cards
+    note = ('<section class="note-item"><a href="%s"><span class="title">标题</span></a><div class="author"><i class="name">某人</i></div>'
+            '<div class="like-wrapper"><b class="count">1.5万</b></div></section>')
+    page = (note % "/explore/0123456789abcdef01234567?x=1" + note.replace('href="%s"', 'rel="x"')
+            + note % "https://h.example/discovery/item/7")
+    cards = parse_cards(page, NOTE_CARDS)
+    assert [c["link"] for c in cards] == ["https://www.xiaohongshu.com/explore/0123456789abcdef01234567?x=1",
+                                          "https://h.example/discovery/item/7"]      # a card without a link is skipped
+    assert parse_cards('<div class="login-container"></div>' + page, NOTE_CARDS) == []
+    r = extract_posts(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string"), AS_OF, NOTE_CARDS).collect()
+    assert r[0].post_id == "xhs_0123456789abcdef01234567" and r[0].likes == 15000 and r[0].content == "标题"
+    assert r[0].author == "某人" and r[0].platform == "xiaohongshu" and r[1].post_id.startswith("xhs_")
 
 
 def test_extract_posts_job(spark):
@@ -230,21 +246,6 @@ def test_extract_posts_job(spark):
     assert r.publish_time == dt.datetime(2024, 6, 20, 8, 30) and r.post_id.startswith("wb_")
 
 
-def test_generate_posts_proportions_and_partition_invariance(spark):
-    from murmur.sources.generate import generate_posts
-    a = generate_posts(spark, 20000, 42, AS_OF, partitions=3)
-    b = generate_posts(spark, 20000, 42, AS_OF, partitions=7)
-    assert a.exceptAll(b).count() == 0
-    s = a.agg(F.avg((F.col("platform") == "weibo").cast("double")).alias("wb"),
-              F.avg((F.col("sentiment") == 1).cast("double")).alias("pos"),
-              F.avg(F.col("sentiment").isNull().cast("double")).alias("pending"),
-              F.min("publish_time").alias("t0"), F.max("crawl_time").alias("t1"),
-              F.max(F.col("comments") / F.greatest(F.col("likes"), F.lit(1))).alias("cr")).first()
-    assert abs(s.wb - 0.6) < 0.02 and abs(s.pos - 0.535) < 0.02 and abs(s.pending - 0.03) < 0.01
-    assert s.t0 >= AS_OF - dt.timedelta(days=7) and s.t1 <= AS_OF + dt.timedelta(minutes=30)
-    assert s.cr <= 0.25
-
-
 def test_notified_flags_and_rule_config(spark):
     al = spark.createDataFrame([(1, False), (2, False), (3, True)], "id long, notified boolean")
     dl = spark.createDataFrame([(1, "email", False), (1, "webhook", True), (2, "webhook", False)],
@@ -263,14 +264,33 @@ def test_score_with_user_function(spark):
     posts = spark.createDataFrame([(1, "good"), (2, "bad"), (3, "meh")], "id long, content string")
 
     def scorer(texts):
-        pos = np.where(texts == "good", 0.9, np.where(texts == "bad", 0.2, 0.5))
+        if (texts == "bad").any():
+            raise RuntimeError("cannot read it")
+        pos = np.where(texts == "good", 0.9, 0.5)
         return 1 - pos, pos
-    got = {r.id: (r.sentiment, r.analyze_status) for r in SC.score_with(posts, scorer).collect()}
-    assert got == {1: (1, 1), 2: (0, 1), 3: (0, 1)}
+    got = {r.id: (r.sentiment, r.analyze_status, r.error) for r in SC.function_scorer(scorer)(posts.coalesce(1)).collect()}
+    assert got == {1: (1, 1, None), 2: (None, 2, "RuntimeError: cannot read it"), 3: (0, 1, None)}
+
+
+def test_classifier_learns_han_text(spark):
+    """Clauses without spaces: the classifier sees their bigrams."""
+    good, bad = ["今天体验非常好", "服务非常好推荐", "质量非常好喜欢"], ["今天体验非常差", "服务非常差投诉", "质量非常差退货"]
+    rows = [(i, t, int(t in good)) for i, t in enumerate((good + bad) * 5)]
+    train = spark.createDataFrame(rows, "id long, content string, label int")
+    new = spark.createDataFrame([(1, "环境非常好"), (2, "环境非常差")], "id long, content string")
+    assert {r.id: r.sentiment for r in SC.score_posts(new, SC.train(train)).collect()} == {1: 1, 2: 0}
+
 
-    def broken(texts):
-        raise RuntimeError("model down")
-    assert {r.analyze_status for r in SC.score_with(posts, broken).collect()} == {2}
+def test_analyse_batch_takes_the_oldest_pending(spark):
+    rows = [(i, f"text number {i}", 0 if i % 2 else 1, None if i % 2 else 1) for i in range(8)]
+    posts = spark.createDataFrame(rows, "id long, content string, analyze_status int, sentiment int")
+
+    def score(p):
+        return p.select("id", F.lit(0).alias("sentiment"), F.lit(0.5).cast("float").alias("sentiment_score"),
+                        F.lit(1).alias("analyze_status"), F.lit(None).cast("string").alias("error"))
+    out = {r.id: (r.analyze_status, r.sentiment, r.keywords) for r in SC.analyze_batch(posts, score, limit=2).collect()}
+    assert len(out) == 8 and out[1][:2] == (1, 0) and out[3][:2] == (1, 0) and out[5][:2] == (0, None)
+    assert out[0] == (1, 1, None) and "number" in out[1][2]
 
 
 def test_partition_count_invariance(spark, sf_small):
@@ -426,37 +446,92 @@ def test_similarity_join_exact_against_brute_force(spark, seed):
         assert got == want, t
 
 
-def test_monitored_posts_automaton_equals_scan(spark, sf_small):
+def test_monitored_posts_many_and_blank_keywords(spark, sf_small):
     from murmur.sources import tables as TB
     posts = TB.posts_event(spark, sf_small)
-    rows = [("purchase", "all", True), ("Error", "weibo", True), ('"k": 1', "xiaohongshu", True),
-            ("view", "all", False), ("人工智能", "all", True)] + [(f'"k": {i}', "all", True) for i in range(70)]
-    kw = TB.keywords_table(spark, rows)
-    a = sorted(tuple(r) for r in AL.monitored_posts(posts, kw, "scan").collect())
-    b = sorted(tuple(r) for r in AL.monitored_posts(posts, kw, "automaton").collect())
-    assert a == b and len(a) > 10
+    rows = [("purchase", "all", True), ("Error", "weibo", True), ('"k": 1', "xiaohongshu", True), ("", "all", True),
+            ("  ", "all", True), ("view", "all", False), ("人工智能", "all", True)] + [(f'"k": {i}', "all", True) for i in range(70)]
+    got = sorted(tuple(r) for r in AL.monitored_posts(posts, TB.keywords_table(spark, rows)).collect())
+    want = {}
+    for p in posts.select("platform", "content").collect():
+        for k, where, on in rows:
+            if on and k.strip() and where in ("all", p.platform) and k.lower() in p.content.lower():
+                want[(k, p.platform)] = want.get((k, p.platform), 0) + 1
+    assert got == sorted((*k, n) for k, n in want.items()) and len(got) > 10
+    assert [r.m for r in posts.limit(1).select(AL.first_match(F.col("content"), ["", " "]).alias("m")).collect()] == [None]
+
+
+def test_keyset_pages_follow_each_other(spark):
+    from murmur.operators import listing as L
+    t = dt.datetime(2024, 1, 1)
+    posts = spark.createDataFrame([(i, t + dt.timedelta(hours=i // 4)) for i in range(23)], "id long, publish_time timestamp_ntz")
+    want = sorted(range(23), key=lambda i: (i // 4, i), reverse=True)
+    seen, after = [], None
+    while page := L.search_posts(posts, size=5, after=after).collect():
+        seen += [r.id for r in page]
+        after = (page[-1].publish_time, page[-1].id)
+    assert seen == want
+    assert [r.id for r in L.search_posts(posts, page=3, size=5).collect()] == want[10:15]
+    assert L.search_posts(posts, page=9, size=5).count() == 0
+
+
+def _files(spark, folder, schema, batches):
+    """One Parquet file per batch, arriving one after the other."""
+    import time
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/b{k}")
+        time.sleep(0.02)
+
 
+def _feed(spark, folder, schema):
+    return (spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(folder))
 
-def test_live_feed_across_epochs(spark, tmp_path):
+
+def test_stream_dedup_late_post_and_restart(spark, tmp_path):
+    """A late post is kept, a duplicate after 30 hours is not, and a second call
+    with the same folders goes on where the first stopped."""
     from murmur.streaming import streams as ST
-    src = str(tmp_path / "src")
-    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=(i * 37) % 101), i % 2) for i in range(30)]
-    for k in range(3):
-        spark.createDataFrame(rows[k * 10:(k + 1) * 10], "id long, publish_time timestamp_ntz, sentiment int") \
-             .coalesce(1).write.mode("overwrite").parquet(f"{src}/part{k}")
-    import glob
-    import shutil
-    flat = str(tmp_path / "flat")
-    import os
-    os.makedirs(flat)
-    for k, f in enumerate(sorted(glob.glob(f"{src}/part*/*.parquet"))):
-        shutil.copy(f, f"{flat}/f{k}.parquet")
-    stream = (spark.readStream.schema("id long, publish_time timestamp_ntz, sentiment int")
-                   .option("maxFilesPerTrigger", 1).parquet(flat))
-    path = ST.live_feed(stream, buffer=5)
-    got = sorted(r.id for r in spark.read.parquet(path).collect())
-    want = sorted(i for i, _, _ in sorted(rows, key=lambda r: (r[1], r[0]), reverse=True)[:5])
-    assert path.endswith("v=2") and got == want
+    t0 = dt.datetime(2024, 1, 1, 10)
+    schema = "platform string, post_id string, likes int, crawl_time timestamp_ntz"
+    src, out, ck = (str(tmp_path / x) for x in ("src", "out", "ck"))
+    row = lambda p, h, n: ("weibo", p, n, t0 + dt.timedelta(hours=h))      # noqa: E731
+    _files(spark, src + "/first", schema, [[row("a", 0, 1), row("b", 9, 1)], [row("late", -50, 1), row("a", 30, 2)]])
+    ST.run_dedup(_feed(spark, src, schema), out, ck)
+    _files(spark, src + "/second", schema, [[row("b", 60, 3), row("c", 61, 1)], [row("c", 62, 2)]])
+    ST.run_dedup(_feed(spark, src, schema), out, ck)
+    got = sorted((r.post_id, r.likes) for r in spark.read.parquet(out).collect())
+    assert got == [("a", 1), ("b", 1), ("c", 1), ("late", 1)]
+    assert ST._epochs(spark, out) == [0, 1, 2, 3]
+    with pytest.raises(ValueError):
+        ST.run_dedup(_feed(spark, src, schema), out)
+
+
+def test_stream_counts_keep_late_rows(spark, tmp_path):
+    from murmur.streaming import streams as ST
+    schema = "publish_time timestamp_ntz, sentiment int"
+    t0 = dt.datetime(2024, 1, 5, 10)
+    src, out, ck = (str(tmp_path / x) for x in ("src", "out", "ck"))
+    _files(spark, src + "/a", schema, [[(t0, 1), (t0 + dt.timedelta(days=2), 0)], [(t0, 0)]])
+    ST.run_counts(ST.stream_trend(_feed(spark, src, schema), dt.datetime(2024, 1, 1)), "t", "hour", out, ck)
+    _files(spark, src + "/b", schema, [[(t0, 0), (t0, None)]])
+    ST.run_counts(ST.stream_trend(_feed(spark, src, schema), dt.datetime(2024, 1, 1)), "t", "hour", out, ck)
+    got = {r.hour: (r.total, r.positive, r.negative) for r in ST.total_counts(spark, out, "hour").collect()}
+    assert got == {"2024-01-05 10:00:00": (3, 1, 2), "2024-01-07 10:00:00": (1, 0, 1)}
+
+
+def test_live_feed_across_epochs_and_restart(spark, tmp_path):
+    from murmur.streaming import streams as ST
+    schema = "id long, platform string, publish_time timestamp_ntz, sentiment int"
+    rows = [(i, "weibo" if i % 3 else "x", dt.datetime(2024, 1, 1) + dt.timedelta(minutes=(i * 37) % 101), i % 2) for i in range(30)]
+    src, out, ck = (str(tmp_path / x) for x in ("src", "out", "ck"))
+    _files(spark, src + "/a", schema, [rows[:10], rows[10:20]])
+    ST.live_feed(_feed(spark, src, schema), 5, out=out, checkpoint=ck)
+    _files(spark, src + "/b", schema, [rows[20:]])
+    path = ST.live_feed(_feed(spark, src, schema), 5, out=out, checkpoint=ck)
+    newest = lambda rs: sorted(r[0] for r in sorted(rs, key=lambda r: (r[2], r[0]), reverse=True)[:5])      # noqa: E731
+    assert path.endswith("_epoch=2") and sorted(r.id for r in spark.read.parquet(path).collect()) == newest(rows)
+    some = ST.live_feed(_feed(spark, src, schema), 5, platform="weibo", sentiment=1)
+    assert sorted(r.id for r in spark.read.parquet(some).collect()) == newest([r for r in rows if r[1] == "weibo" and r[3] == 1])
 
 
 def test_rules_silence_within_one_run(spark):
@@ -475,26 +550,65 @@ def test_rules_silence_within_one_run(spark):
     assert compat == {3: False, 5: False}
 
 
+def test_two_rules_of_one_type_use_their_own_hours(spark):
+    """An alert 5 hours old silences the rule of 24 hours, not the one of 1 hour;
+    of two that may fire, the first rule's candidate does."""
+    from murmur.sources.tables import rules_table
+    t = AS_OF - dt.timedelta(minutes=1)
+    posts = spark.createDataFrame([(i, "weibo", "x", t, 0, None) for i in range(10)],
+                                  "id long, platform string, content string, crawl_time timestamp_ntz, sentiment int, topic_id long")
+    topics = spark.createDataFrame([], "id long, topic_name string, status string, last_updated timestamp_ntz, "
+                                       "first_seen timestamp_ntz")
+    cfg = '{"negativeRatioThreshold": 0.5, "minPostCount": 5, "windowHours": %d, "silenceHours": %d}'
+    rules = rules_table(spark, [(1, "a", "negative_surge", cfg % (1, 24), True), (2, "b", "negative_surge", cfg % (2, 1), True),
+                                (3, "c", "negative_surge", cfg % (3, 1), True), (4, "d", "negative_surge", cfg % (3, 1), False)])
+    prior = spark.createDataFrame([("negative_surge", None, AS_OF - dt.timedelta(hours=5))],
+                                  "alert_type string, related_topic_id long, created_at timestamp_ntz")
+    run = lambda p: {r.rule_id: r.suppressed for r in AL.evaluate_rules(posts, topics, rules, p, AS_OF).collect()}
+    assert run(prior) == {1: True, 2: False, 3: True}
+    assert run(None) == {1: False, 2: True, 3: True}
+
+
+def test_replay_equals_a_walk_in_time_order(spark):
+    import random
+    rnd = random.Random(4)
+    t0 = dt.datetime(2024, 1, 1)
+    hours = {"keyword_trigger": 1, "topic_growth": 48, "negative_surge": 0}
+    rows = [(i, k, rnd.choice([None, 1]), t0 + dt.timedelta(minutes=rnd.choice([0, 15, 30, 60, 61]) * rnd.randint(0, 60)))
+            for i, k in enumerate(rnd.choice(list(hours)) for _ in range(300))]
+    hist = spark.createDataFrame(rows, "id long, alert_type string, related_topic_id long, created_at timestamp_ntz")
+
+    def walk(rows, last):
+        out = {}
+        for i, k, topic, t in sorted(rows, key=lambda r: (r[3], r[0])):
+            f = last.get((k, topic))
+            out[i] = f is not None and t <= f + dt.timedelta(hours=hours[k])
+            if not out[i]:
+                last[(k, topic)] = t
+        return out
+    assert {r.id: r.suppressed for r in AL.replay(hist, hours).collect()} == walk(rows, {})
+    seed = [("keyword_trigger", None, t0 + dt.timedelta(hours=20)), ("topic_growth", 1, t0 - dt.timedelta(hours=40))]
+    df = spark.createDataFrame(seed, "alert_type string, related_topic_id long, last timestamp_ntz")
+    assert ({r.id: r.suppressed for r in AL.replay(hist, hours, df).collect()}
+            == walk(rows, {(k, topic): t for k, topic, t in seed}))
+
+
 def test_silence_state_across_epochs(spark, tmp_path):
-    import os
-    import shutil
-    import glob
+    """Alerts at 10:00, nothing in the next file, 10:30, then a later file after
+    a restart: the answer is that of one replay over all."""
     from murmur.streaming import streams as ST
     t0 = dt.datetime(2024, 1, 1, 10, 0)
-    batches = [[(7, t0), (3, t0)], [(9, t0 + dt.timedelta(minutes=30))], [(12, t0 + dt.timedelta(hours=2)), (11, t0)]]
-    flat = str(tmp_path / "flat")
-    os.makedirs(flat)
-    for k, rows in enumerate(batches):
-        d = str(tmp_path / f"b{k}")
-        spark.createDataFrame([("keyword_trigger", None, s, "t", c) for s, c in rows],
-                              "alert_type string, related_topic_id long, source_id long, title string, "
-                              "crawl_time timestamp_ntz").coalesce(1).write.parquet(d)
-        shutil.copy(glob.glob(f"{d}/*.parquet")[0], f"{flat}/f{k}.parquet")
-    stream = (spark.readStream.schema("alert_type string, related_topic_id long, source_id long, title string, "
-                                      "crawl_time timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(flat))
-    path = ST.run_silenced_alerts(stream, {"keyword_trigger": 1})
-    got = {r.source_id: r.suppressed for r in spark.read.parquet(path).collect()}
-    assert got == {3: False, 7: True, 9: True, 11: False, 12: True}
+    at = lambda i, m: (i, "keyword_trigger", None, t0 + dt.timedelta(minutes=m))      # noqa: E731
+    schema = "id long, alert_type string, related_topic_id long, created_at timestamp_ntz"
+    first, second = [[at(7, 0), at(3, 0)], [], [at(9, 30)]], [[at(12, 120), at(11, 61), at(13, 130)]]
+    src, out, ck = (str(tmp_path / x) for x in ("src", "out", "ck"))
+    _files(spark, src + "/a", schema, first)
+    ST.run_silenced_alerts(_feed(spark, src, schema), {"keyword_trigger": 1}, out, ck)
+    _files(spark, src + "/b", schema, second)
+    path = ST.run_silenced_alerts(_feed(spark, src, schema), {"keyword_trigger": 1}, out, ck)
+    got = {r.id: r.suppressed for r in spark.read.parquet(path).collect()}
+    assert got == {3: False, 7: True, 9: True, 11: False, 12: True, 13: False}
+    assert len(ST._epochs(spark, out + "/state")) == 4
 
 
 def test_posting_lists_far_longer_than_a_block(spark, monkeypatch):
