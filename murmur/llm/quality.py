@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import documents_of, input_tasks
 from .suffix_words import adjacent_lcp, covered, longest_repeat_at, suffix_array
-from .textvec import PolyHash, join_texts, text_batches, word_hashes, word_spans
+from .textvec import PolyHash, join_texts, text_batches, text_slices, word_hashes, word_spans
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50     # words in repeated 3-word windows
@@ -103,16 +103,8 @@ def keep_good(docs: DataFrame, **limits) -> DataFrame:
 
     def run(batches):
         poly = PolyHash(11)
-        for b in batches:
-            texts, keep = b.column(text).to_pylist(), []
-            lo = size = 0
-            for hi in range(1, len(texts) + 1):
-                size += len(texts[hi - 1] or "") + 16
-                if size >= (1 << 22) or hi == len(texts):
-                    part = texts[lo:hi]
-                    keep.append(judge([None] * len(part), part, poly, minr, cov, lon).column(7))
-                    lo, size = hi, 0
-            if keep:
-                yield b.filter(pa.concat_arrays(keep))
+        for b in text_slices(batches, text):
+            verdict = judge([None] * b.num_rows, b.column(text).to_pylist(), poly, minr, cov, lon)
+            yield b.filter(verdict.column(7))
 
     return spread.mapInArrow(run, docs.schema)

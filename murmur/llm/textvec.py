@@ -7,8 +7,9 @@ single bytes in UTF-8, so bytes and characters split at the same places.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow.compute as pc
 
-PIECE = 1 << 22   # bytes hashed at a time (bounds the scratch arrays, not the text)
+PIECE = 1 << 20   # bytes hashed at a time (bounds the scratch arrays, not the text)
 _MASK = (1 << 64) - 1
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -100,18 +101,19 @@ def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray, poly: PolyHas
     return mix64(out)
 
 
-def text_batches(batches, columns: int, text: int, limit: int = 1 << 22):
-    """Regroup Arrow record batches into lists of columns whose texts hold
-    about ``limit`` bytes (one longer text is a group of its own)."""
-    held, size = [[] for _ in range(columns)], 0
+def text_slices(batches, text: int, limit: int = 1 << 21):
+    """Slices of Arrow record batches whose texts (column ``text``) hold about
+    ``limit`` bytes; one longer text is a slice of its own."""
     for b in batches:
-        cols = [b.column(k).to_pylist() for k in range(columns)]
-        for row in zip(*cols):
-            for h, v in zip(held, row):
-                h.append(v)
-            size += len(row[text] or "") + 16
-            if size >= limit:
-                yield held
-                held, size = [[] for _ in range(columns)], 0
-    if held[0]:
-        yield held
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False) + 16)
+        lo = 0
+        while lo < b.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + limit, "right")))
+            yield b.slice(lo, hi - lo)
+            lo = hi
+
+
+def text_batches(batches, columns: int, text: int, limit: int = 1 << 21):
+    """The first ``columns`` columns of such slices as Python lists."""
+    for b in text_slices(batches, text, limit):
+        yield [b.column(k).to_pylist() for k in range(columns)]

@@ -9,15 +9,16 @@ from __future__ import annotations
 
 import sys
 import types
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .textvec import PolyHash, mix64, text_slices
+
 END_ID = 0
-MEMO_PIECES = 1_200_000     # distinct pieces that a worker remembers before it starts afresh
-MEMO_CHARS = 48 << 20       # and about how many characters
+MEMO_PIECES = 4_000_000     # distinct pieces that a worker remembers before it starts afresh
+MEMO_IDS = 24_000_000       # and how many ids of them
 
 _WHITE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _ODD = rf" [{_WHITE}]|[{_WHITE}] |\A | \z"
@@ -45,13 +46,15 @@ class Encoder:
         self.bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, i in vocabulary.items():         # byte-level: one character of the token for each byte
             self.bytes[i] = len(token)
+        self.poly = (PolyHash(21), PolyHash(22))
         self._reset()
 
     def _reset(self):
-        self.memo = ({}, {})            # pieces at the start of a text, pieces after a space
+        # pieces at the start of a text, pieces after a space: sorted hashes and codes
+        self.memo = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))] * 2
         self.ids = np.zeros(1 << 16, dtype=np.int32)
-        self.off, self.len = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
-        self.n = self.used = self.chars = 0
+        self.off, self.len = np.zeros(1 << 14, dtype=np.int32), np.zeros(1 << 14, dtype=np.int32)
+        self.n = self.used = 0
 
     def _learn(self, pieces: pa.Array, spaced: int):
         """Encode new pieces: those that follow a space many at a time as one
@@ -77,26 +80,51 @@ class Encoder:
             self.off, self.len = (np.concatenate((a, np.zeros_like(a))) for a in (self.off, self.len))
         self.ids[self.used:self.used + len(ids)] = ids
         self.off[self.n:self.n + k], self.len[self.n:self.n + k] = at[:-1] + self.used, np.diff(at)
-        self.memo[spaced].update(zip(part, range(self.n, self.n + k)))
         self.n += k
         self.used += len(ids)
-        self.chars += int(end[-1])
+
+    def _hashes(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of every piece."""
+        end = np.cumsum(pc.binary_length(pieces).to_numpy(zero_copy_only=False))
+        start = np.concatenate(([0], end[:-1]))
+        raw = pa.concat_arrays([pieces.cast(pa.large_binary())]).buffers()
+        first = np.frombuffer(raw[1], np.int64)[pieces.offset] if len(pieces) else 0
+        data = np.frombuffer(raw[2], np.uint8)[first:first + end[-1]]
+        out = np.empty((2, len(pieces)), np.uint64)
+        i = 0
+        while i < len(pieces):
+            j = max(i + 1, int(np.searchsorted(end, start[i] + (1 << 20), "right")))
+            part = data[start[i]:end[j - 1]]
+            for k, poly in enumerate(self.poly):
+                s = poly.prefix(part)
+                out[k, i:j] = mix64(poly.spans(s, start[i:j] - start[i], end[i:j] - start[i]))
+            i = j
+        return out[0], out[1]
 
     def _codes(self, pieces: pa.Array, spaced: int) -> np.ndarray:
-        """Codes of distinct pieces."""
-        memo = self.memo[spaced]
-        codes = np.fromiter(map(memo.get, pieces.to_pylist(), repeat(-1)), dtype=np.int64, count=len(pieces))
+        """Codes of distinct pieces: those met before are found by their hashes."""
+        h1, h2 = self._hashes(pieces)
+        k1, k2, known = self.memo[spaced]
+        codes = np.full(len(h1), -1, dtype=np.int64)
+        if len(k1):
+            at = np.minimum(np.searchsorted(k1, h1), len(k1) - 1)
+            codes = np.where((k1[at] == h1) & (k2[at] == h2), known[at], -1)
         gap = np.flatnonzero(codes < 0)
         for p in range(0, len(gap), 40_000):
             at = gap[p:p + 40_000]
             codes[at] = np.arange(self.n, self.n + len(at))
             self._learn(pieces.take(pa.array(at)), spaced)
+        if len(gap):
+            order = gap[np.argsort(h1[gap])]
+            k1, k2, known = (np.concatenate(x) for x in ((k1, h1[order]), (k2, h2[order]), (known, codes[order])))
+            order = np.argsort(k1, kind="stable")       # two sorted runs
+            self.memo[spaced] = (k1[order], k2[order], known[order])
         return codes
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by END_ID, and the number of ids of
         each with it (null: empty text)."""
-        if self.chars > MEMO_CHARS or self.n > MEMO_PIECES:
+        if self.used > MEMO_IDS or self.n > MEMO_PIECES:
             self._reset()
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if not len(texts):
@@ -126,7 +154,7 @@ class Encoder:
             if len(used):
                 table[used] = self._codes(words.take(pa.array(used)), spaced)
             codes[mine] = table[own]
-        lens = self.len[codes]
+        lens = self.len[codes].astype(np.int64)
         till = np.concatenate(([0], np.cumsum(lens)))
         n = till[start[1:]] - till[start[:-1]] + 1
         if whole is not None:
@@ -135,8 +163,9 @@ class Encoder:
         at = np.cumsum(n) - n
         # a piece's ids go to its place in its text
         piece_at = np.repeat(at - till[start[:-1]], np.diff(start)) + till[:-1]
-        to = np.repeat(piece_at - till[:-1], lens) + np.arange(till[-1])
-        out[to] = self.ids[np.repeat(self.off[codes] - till[:-1], lens) + np.arange(till[-1])]
+        step = np.arange(till[-1], dtype=np.int32)
+        src = self.ids[np.repeat((self.off[codes] - till[:-1]).astype(np.int32), lens) + step]
+        out[np.repeat((piece_at - till[:-1]).astype(np.int32), lens) + step] = src
         for i, x in zip(odd.tolist(), whole or ()):
             out[at[i]:at[i] + len(x)] = x
         return out, n
@@ -146,16 +175,11 @@ def encoder(path: str) -> Encoder:
     return per_worker(("encoder", path), lambda: Encoder(path))
 
 
-def slices(batches, limit: int = 8 << 20):
+def slices(batches, limit: int = 4 << 20):
     """(ids column, texts column) of Arrow batches of (_m_id, _m_text), in slices
-    of about ``limit`` bytes of text (one longer text is a slice of its own)."""
-    for b in batches:
-        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False) + 16)
-        lo = 0
-        while lo < b.num_rows:
-            hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + limit, "right")))
-            yield b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo)
-            lo = hi
+    of about ``limit`` bytes of text."""
+    for b in text_slices(batches, 1, limit):
+        yield b.column(0), b.column(1)
 
 
 def default_tokenizer() -> str:
