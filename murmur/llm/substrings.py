@@ -38,9 +38,9 @@ from .textvec import PolyHash, join_texts, mix64, text_batches
 
 LENGTH = 100
 GRAM = 32
-GROUP = 256             # classes of one gram in one suffix array
+GROUP = 32              # classes of one gram in one suffix array
 STRIDE = 16             # window offsets that a divided gram keeps together
-BUFFER = 1 << 22        # bytes hashed at a time
+BUFFER = 1 << 21        # bytes hashed at a time
 _POS = 24               # bits of a place in a buffer
 
 
@@ -258,7 +258,8 @@ def _small_groups(segments: DataFrame, length: int):
                                                  F.col("r.rel").alias("rel"), "bytes"))
         segments = cut(segments)
     # after the last division a group is one window; its copies are merged, nothing is left to compare
-    return segments, spans
+    several = segments.groupBy("key", "sub").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1")
+    return segments.join(several.select("key", "sub"), ["key", "sub"], "left_semi"), spans
 
 
 def equal_windows(strings: list, length: int):
