@@ -144,9 +144,15 @@ def present_topics(topics: DataFrame) -> DataFrame:
     )
 
 
-def preview(content: Column, n: int = 100) -> Column:
-    """The first ``n`` characters, for display."""
-    return F.substring(content, 1, n)
+def present_posts(posts: DataFrame) -> DataFrame:
+    """Display fields of a post: 100-character preview, month-day-hour
+    and hour text of its publish time, sentiment label."""
+    t = F.date_format("publish_time", "yyyy-MM-dd HH:mm:ss")
+    return posts.select(
+        "id", F.substring("content", 1, 100).alias("preview"),
+        F.substring(t, 6, 11).alias("short_time"), F.substring(t, 12, 5).alias("hour_time"),
+        F.when(F.col("sentiment") == 1, "positive").when(F.col("sentiment") == 0, "negative")
+         .otherwise("pending").alias("label"))
 
 
 def mark_all_read(alerts: DataFrame) -> DataFrame:

@@ -100,10 +100,10 @@ def health_status(heartbeats: DataFrame) -> DataFrame:
     """Fold heartbeats into the latest state per module.
 
     ``last_success`` is the latest healthy beat (default); the latest beat of
-    any kind decides ``status``.
+    any kind decides ``status`` (of one time, the largest status text).
     """
     return (heartbeats.groupBy("module_name")
-                      .agg(F.max_by("status", "ts").alias("status"),
+                      .agg(F.max_by("status", F.struct("ts", "status")).alias("status"),
                            F.max(F.when(F.col("status") == "healthy", F.col("ts"))).alias("last_success"),
                            F.max("ts").alias("last_heartbeat")))
 

@@ -115,7 +115,7 @@ def q_topic_growth(spark, d):
 
 
 @register("health_status", O.with_ctes("""
-SELECT module_name, arg_max(status, ts) AS status,
+SELECT module_name, arg_max(status, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || status) AS status,
        max(CASE WHEN status = 'healthy' THEN ts END) AS last_success,
        max(ts) AS last_heartbeat
 FROM heartbeats GROUP BY module_name""", "heartbeats"))
@@ -247,6 +247,15 @@ def q_present_topics(spark, d):
     return L.present_topics(TB.hot_topics(spark, d))
 
 
+@register("present_posts", O.with_ctes("""
+SELECT id, substr(content, 1, 100) AS preview, strftime(publish_time, '%m-%d %H:%M') AS short_time,
+       strftime(publish_time, '%H:%M') AS hour_time,
+       CASE sentiment WHEN 1 THEN 'positive' WHEN 0 THEN 'negative' ELSE 'pending' END AS label
+FROM posts_doc""", "posts_doc"))
+def q_present_posts(spark, d):
+    return L.present_posts(_D(spark, d))
+
+
 @register("cool_topics", O.with_ctes("""
 SELECT id, CASE WHEN status = 'active' AND last_updated < TIMESTAMP '2024-01-30 23:30:00'
                 THEN 'cold' ELSE status END AS status
