@@ -19,7 +19,8 @@ import zlib
 import numpy as np
 
 MAGIC = b"MTB1"
-LANE_STEPS = 512
+HEAD = 24
+LANE_STEPS = 256
 MAX_LANES = 8192
 HASH_BITS = 18
 MIX_BITS = 12
@@ -35,7 +36,7 @@ class _Model:
     def __init__(self, vocabulary: int, decoding: bool):
         self.v, self.decoding = vocabulary, decoding
         self.bits = max(16, (vocabulary - 1).bit_length() + 2)
-        self.p1, self.p2 = np.zeros(vocabulary, np.int64), np.zeros(1 << HASH_BITS, np.int64)
+        self.p1, self.p2 = np.zeros(vocabulary, np.int32), np.zeros(1 << HASH_BITS, np.int32)
         self.mix = np.ones((32, 3))
         self.mix[1::2, 1] = 0           # both predict the same id: the second cannot be it alone
         self.count0 = np.zeros(vocabulary, np.int64)
@@ -58,25 +59,30 @@ class _Model:
         self.freq, self.cum = f.astype(np.uint64), c[:-1].astype(np.uint64)
         if self.decoding:
             f[-1] += total - c[-1]
-            self.slot = np.repeat(np.arange(self.v), f)
+            self.slot = np.repeat(np.arange(self.v, dtype=np.int32), f)
 
     def predict(self, a: np.ndarray, b: np.ndarray):
         """For the ids before (a) and before that (b)."""
         self.i1 = a
-        self.i2 = (a * 40503 + b * 30011 + (b >> 5)) & ((1 << HASH_BITS) - 1)
+        self.i2 = (a * 40503 + b * 30011) & ((1 << HASH_BITS) - 1)
         self.v1, self.v2 = self.p1[a], self.p2[self.i2]
         self.s1, self.s2 = self.v1 & 3, self.v2 & 3
         self.c1, self.c2 = self.v1 >> 2, self.v2 >> 2
-        self.ctx = self.s2 * 8 + self.s1 * 2 + (self.c1 == self.c2)
+        self.ctx = (self.s2 << 3) + (self.s1 << 1) + (self.c1 == self.c2)
         return self.f2[self.ctx], self.f1[self.ctx]
 
-    def learn(self, ids: np.ndarray, event: np.ndarray, hit1: np.ndarray, hit2: np.ndarray, escaped: np.ndarray):
-        new = ids * 4
-        for pred, at, v, s, hit in ((self.p1, self.i1, self.v1, self.s1, hit1), (self.p2, self.i2, self.v2, self.s2, hit2)):
-            pred[at] = np.where(hit, v + (s < 3), np.where(s > 1, v - s + 1, new + (s >> 1)))
-        self.mix += np.bincount(self.ctx * 3 + event, minlength=96).reshape(32, 3)
+    def learn(self, ids: np.ndarray, hit1: np.ndarray, hit2: np.ndarray, escape: np.ndarray, escaped: np.ndarray):
+        """A prediction that held gains confidence, one that failed loses it and
+        gives way when it has little.  Order 1 and order 2 learn from every other
+        step, in turn, the weights from every fourth."""
+        if self.steps & 1:
+            self.p1[self.i1] = np.where(hit1, self.v1 + (self.s1 < 3), np.where(self.s1 > 1, self.v1 - self.s1 + 1, ids << 2))
+        else:
+            self.p2[self.i2] = np.where(hit2, self.v2 + (self.s2 < 3), np.where(self.s2 > 1, self.v2 - self.s2 + 1, ids << 2))
         self.steps += 1
-        if self.steps < 8 or self.steps % 8 == 0:
+        if self.steps < 16 or self.steps % 4 == 0:
+            event = np.where(hit2, 0, 1 + escape)
+            self.mix += np.bincount(self.ctx * 3 + event, minlength=96).reshape(32, 3)
             self._weights()
         self.pending.append(escaped)
         self.n_pending += len(escaped)
@@ -104,13 +110,13 @@ def encode(ids: np.ndarray) -> bytes:
     n = len(ids)
     lanes, steps = _layout(n)
     vocabulary = int(ids.max()) + 1 if n else 1
-    grid = np.zeros(lanes * steps, dtype=np.int64)
+    grid = np.zeros(lanes * steps, dtype=np.int32)
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T) if steps else grid.reshape(0, lanes)
     m = _Model(vocabulary, False)
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
     words, ptr = np.zeros((lanes, steps + 2), np.uint32), np.zeros(lanes, np.int64)
-    a = b = np.zeros(lanes, np.int64)
+    a = b = np.zeros(lanes, np.int32)
     for x in grid:
         f2, f1 = m.predict(a, b)
         hit2, hit1 = x == m.c2, x == m.c1
@@ -130,7 +136,7 @@ def encode(ids: np.ndarray) -> bytes:
         ptr[at] += 1
         rng[at] = _narrow(z, rng[at]) << _U(32)
         low[at] = z << _U(32)
-        m.learn(x, np.where(hit2, 0, 1 + escape), hit1, hit2, y)
+        m.learn(x, hit1, hit2, escape, y)
         a, b = x, a
     everyone = np.arange(lanes)
     words[everyone, ptr] = low >> _U(32)
@@ -138,32 +144,35 @@ def encode(ids: np.ndarray) -> bytes:
     ptr += 2
     body = words[np.arange(words.shape[1])[None, :] < ptr[:, None]].astype("<u4").tobytes()
     raw = np.asarray(ids).astype("<u4").tobytes()
-    head = MAGIC + struct.pack("<IIII", n, vocabulary, zlib.crc32(raw), len(body))
-    return head + ptr.astype("<u4").tobytes() + body
+    coded = ptr.astype("<u4").tobytes() + body
+    return MAGIC + struct.pack("<IIIII", n, vocabulary, zlib.crc32(raw), len(body), zlib.crc32(coded)) + coded
 
 
 def block_size(data, at: int = 0) -> int:
     """Bytes of the block that starts at ``at``."""
-    magic, (n, _, _, body) = bytes(data[at:at + 4]), struct.unpack_from("<IIII", data, at + 4)
+    magic, (n, _, _, body, _) = bytes(data[at:at + 4]), struct.unpack_from("<IIIII", data, at + 4)
     if magic != MAGIC:
         raise ValueError("not a token block")
-    return 20 + 4 * _layout(n)[0] + body
+    return HEAD + 4 * _layout(n)[0] + body
 
 
 def decode(data: bytes) -> np.ndarray:
-    """The ids of one block; ValueError if the checksum does not hold."""
-    n, vocabulary, crc, body = struct.unpack_from("<IIII", data, 4)
+    """The ids of one block; ValueError if a checksum (of the coded bytes, of the
+    ids) does not hold."""
+    n, vocabulary, crc, body, coded = struct.unpack_from("<IIIII", data, 4)
+    if len(data) < block_size(data) or zlib.crc32(memoryview(data)[HEAD:block_size(data)]) != coded:
+        raise ValueError("token block is damaged")
     lanes, steps = _layout(n)
-    count = np.frombuffer(data, "<u4", lanes, 20).astype(np.int64)
-    words = np.frombuffer(data, "<u4", body // 4, 20 + 4 * lanes).astype(np.uint64)
+    count = np.frombuffer(data, "<u4", lanes, HEAD).astype(np.int64)
+    words = np.frombuffer(data, "<u4", body // 4, HEAD + 4 * lanes).astype(np.uint64)
     words = np.concatenate((words, np.zeros(2, np.uint64)))
     ptr = np.concatenate(([0], np.cumsum(count)[:-1]))
     x = (words[ptr] << _U(32)) | words[ptr + 1]
     ptr += 2
     m = _Model(vocabulary, True)
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    a = b = np.zeros(lanes, np.int64)
-    out = np.zeros((steps, lanes), np.int64)
+    a = b = np.zeros(lanes, np.int32)
+    out = np.zeros((steps, lanes), np.int32)
     top = _U((1 << m.bits) - 1)
     for t in range(steps):              # x: what the stream has above low
         f2, f1 = m.predict(a, b)
@@ -178,7 +187,7 @@ def decode(data: bytes) -> np.ndarray:
         ids = np.where(hit2, m.c2, m.c1)
         esc = np.flatnonzero(escape)
         r = rng[esc] >> _U(m.bits)
-        y = m.slot[np.minimum(x[esc] // r, top).astype(np.int64)]
+        y = m.slot[np.minimum(x[esc] // r, top).view(np.int64)]
         ids[esc] = y
         add = r * m.cum[y]
         low[esc] += add
@@ -190,7 +199,7 @@ def decode(data: bytes) -> np.ndarray:
         low[at] = z << _U(32)
         x[at] = (x[at] << _U(32)) | words[np.minimum(ptr[at], len(words) - 1)]
         ptr[at] += 1
-        m.learn(ids, np.where(hit2, 0, 1 + escape), ids == m.c1, hit2, y)
+        m.learn(ids, ids == m.c1, hit2, escape, y)
         out[t] = ids
         a, b = ids, a
     flat = out.T.reshape(-1)[:n].astype(np.uint32)

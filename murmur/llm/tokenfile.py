@@ -31,8 +31,8 @@ from .common import documents_of
 from .tokens import default_tokenizer, encoder, slices
 
 MAGIC = b"MTF1"
-BLOCK_IDS = 1 << 22         # ids of a block, at most
-BLOCKS_PER_FILE = 8
+BLOCK_IDS = 1 << 21         # ids of a block, at most
+BLOCKS_PER_FILE = 16
 
 
 def _record(table: list, ids: np.ndarray) -> bytes:

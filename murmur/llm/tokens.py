@@ -17,8 +17,8 @@ import pyarrow.compute as pc
 from .textvec import PolyHash, mix64, text_slices
 
 END_ID = 0
-MEMO_PIECES = 4_000_000     # distinct pieces that a worker remembers before it starts afresh
-MEMO_IDS = 24_000_000       # and how many ids of them
+MEMO_PIECES = 1_500_000     # distinct pieces that a worker remembers before it starts afresh
+MEMO_IDS = 8_000_000       # and how many ids of them
 
 _WHITE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _ODD = rf" [{_WHITE}]|[{_WHITE}] |\A | \z"
@@ -175,7 +175,7 @@ def encoder(path: str) -> Encoder:
     return per_worker(("encoder", path), lambda: Encoder(path))
 
 
-def slices(batches, limit: int = 4 << 20):
+def slices(batches, limit: int = 2 << 20):
     """(ids column, texts column) of Arrow batches of (_m_id, _m_text), in slices
     of about ``limit`` bytes of text."""
     for b in text_slices(batches, 1, limit):

@@ -52,10 +52,11 @@ def test_range_coder_compresses_and_finds_damage():
     ids = np.tile(np.arange(500, dtype=np.int32), 100)
     block = rangecoder.encode(ids)
     assert len(block) < len(ids) // 4
-    bad = bytearray(block)
-    bad[-9] ^= 4
-    with pytest.raises(ValueError):
-        rangecoder.decode(bytes(bad))
+    for place in (40, 400, len(block) // 2, len(block) - 1):
+        bad = bytearray(block)
+        bad[place] ^= 4
+        with pytest.raises(ValueError):
+            rangecoder.decode(bytes(bad))
 
 
 def test_crc_of_joined_parts():
