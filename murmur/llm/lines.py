@@ -30,11 +30,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import remove_path, scratch_path
 from .common import cut, documents_of, input_tasks
 
 NUM, DEN = 4, 5
 RANK_BITS = 16          # hash buckets in which token frequencies are counted: 2^16
-LOOK_BACK = 4
+LOOK_BACK = 2
+FILTER_BITS = 20
 
 
 def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -43,8 +45,13 @@ def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return d.select(F.coalesce("_m_id", low).alias("doc"), "_m_id", F.coalesce("_m_text", F.lit("")).alias("_m_text"))
 
 
+def _words(line):
+    return F.split(F.lower(line), r"[ \t\x0B\f\r]+")
+
+
 def _tokens(line):
-    return F.array_distinct(F.array_remove(F.split(F.lower(line), r"[ \t\x0B\f\r]+"), ""))
+    """Hashes of the distinct words; a blank line has none."""
+    return F.array_remove(F.array_distinct(F.transform(_words(line), lambda t: F.xxhash64(t))), F.xxhash64(F.lit("")))
 
 
 def _lines(d: DataFrame) -> DataFrame:
@@ -52,11 +59,11 @@ def _lines(d: DataFrame) -> DataFrame:
 
 
 def token_ranks(d: DataFrame):
-    """An array literal: the rank of every hash bucket by the number of lines
-    with a token in it, the rarest first.  2^RANK_BITS numbers for any corpus."""
-    seen = (_lines(d).select(F.explode(_tokens(F.col("text"))).alias("t"))
-                     .groupBy(F.shiftrightunsigned(F.xxhash64("t"), 64 - RANK_BITS).alias("b"))
-                     .agg(F.count(F.lit(1)).alias("n")))
+    """An array literal: the rank of every hash bucket by how often its words
+    occur in all documents, the rarest first.  2^RANK_BITS numbers for any corpus."""
+    seen = (d.select(F.explode(F.split(F.lower("_m_text"), r"[ \n\t\x0B\f\r]+")).alias("t"))
+             .groupBy(F.shiftrightunsigned(F.xxhash64("t"), 64 - RANK_BITS).alias("b"))
+             .agg(F.count(F.lit(1)).alias("n")))
     count = dict(seen.collect())
     order = sorted(range(1 << RANK_BITS), key=lambda b: (count.get(b, 0), b))
     rank = [0] * len(order)
@@ -70,38 +77,43 @@ def _coded(d: DataFrame, num: int, den: int) -> DataFrame:
     a token's rank, then the rest of its hash: sorted codes are rarest first."""
     ranks = token_ranks(d)
     low = 63 - RANK_BITS
-    x = _lines(d).select("doc", "line", F.transform(_tokens(F.col("text")), lambda t: F.xxhash64(t)).alias("hashes"))
+    x = _lines(d).select("doc", "line", _tokens(F.col("text")).alias("hashes"))
     x = x.filter(F.size("hashes") > 0)
     code = lambda h: F.shiftleft(F.element_at(ranks, (F.shiftrightunsigned(h, 64 - RANK_BITS) + 1).cast("int")), low).bitwiseOR(
         h.bitwiseAND(F.lit((1 << low) - 1)))
     x = x.select("doc", "line", F.sort_array(F.transform("hashes", code)).alias("codes"))
     size = F.size("codes")
+    first = F.slice("codes", 1, size - F.expr(f"({num} * size(codes) + {den - 1}) div {den}").cast("int") + 1)
     return x.select("doc", "line", F.xxhash64("codes").alias("h1"), F.xxhash64(F.lit(9), "codes").alias("h2"),
                     size.alias("size"),
                     F.expr("aggregate(codes, 0L, (a, c) -> a ^ shiftleft(1L, cast(c & 63 as int)))").alias("sig"),
-                    F.slice("codes", 1, size - F.expr(f"({num} * size(codes) + {den - 1}) div {den}").cast("int") + 1).alias("prefix"))
+                    # the leading 31 bits keep the order, and equal tokens equal; others that they
+                    # merge only add candidates, which are verified on whole lines
+                    F.transform(first, lambda c: F.shiftright(c, 32).cast("int")).alias("prefix"))
 
 
-def _passes(x: str, y: str, num: int, den: int):
-    """Length, positional and signature filters for prefix rows under the names
-    ``x`` and ``y`` at a shared token, which is taken as the first shared one."""
-    c = lambda side, name: F.col(f"{side}.{name}")     # noqa: E731
-    a, b = c(x, "size"), c(y, "size")
-    least = F.ceil((a + b) * num / (num + den) - 1e-9)
-    return ((den * a >= num * b) & (den * b >= num * a)
-            & (1 + F.least(a - c(x, "i") - 1, b - c(y, "i") - 1) >= least)
-            & (F.bit_count(c(x, "sig").bitwiseXOR(c(y, "sig"))) <= a + b - 2 * least))
+def _passes(x: str, y: str, num: int, den: int) -> str:
+    """Length, signature and positional filters for prefix rows under the names
+    ``x`` and ``y`` at a shared token, which is taken as the first shared one;
+    whole-number SQL, the cheapest tests first."""
+    both = f"({x}.size + {y}.size)"
+    least = f"(({num} * {both} + {num + den - 1}) div {num + den})"
+    return (f"{den} * {x}.size >= {num} * {y}.size AND {den} * {y}.size >= {num} * {x}.size"
+            f" AND bit_count({x}.sig ^ {y}.sig) <= {both} - 2 * {least}"
+            f" AND 1 + least({x}.size - {x}.i, {y}.size - {y}.i) - 1 >= {least}")
 
 
 def _prefix_rows(reps: DataFrame) -> DataFrame:
-    return reps.select("doc", "line", "size", "sig", F.posexplode("prefix").alias("i", "code")).repartition("code")
+    rows = reps.select("doc", "line", "size", "sig", F.posexplode("prefix").alias("i", "code"))
+    # stated here, so that no reader of the rows adds them and all share one exchange
+    return rows.filter(" AND ".join(f"{c} IS NOT NULL" for c in rows.columns)).repartition("code")
 
 
 def _pairs_of(x: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
     """(doc, line, doc2, line2): prefix rows of ``x`` with all earlier rows that
     pass the filters."""
-    earlier = F.struct("y.doc", "y.line") < F.struct("x.doc", "x.line")
-    j = x.alias("x").join(rows.alias("y"), (F.col("x.code") == F.col("y.code")) & earlier & _passes("x", "y", num, den))
+    earlier = "(y.doc < x.doc OR (y.doc = x.doc AND y.line < x.line))"
+    j = x.alias("x").join(rows.alias("y"), F.expr(f"x.code = y.code AND {_passes('x', 'y', num, den)} AND {earlier}"))
     return j.select("x.doc", "x.line", F.col("y.doc").alias("doc2"), F.col("y.line").alias("line2"))
 
 
@@ -112,48 +124,85 @@ def _candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
     me = F.struct("doc", "line", "size", "sig", "i")
     x = rows.select("doc", "line", "size", "sig", "i", "code", *[F.lag(me, k).over(w).alias(f"y{k}") for k in range(1, LOOK_BACK + 1)])
     x = x.withColumn("x", me)
-    near = F.coalesce(*[F.when(_passes("x", f"y{k}", num, den), F.col(f"y{k}")) for k in range(1, LOOK_BACK + 1)])
+    near = F.coalesce(*[F.expr(f"CASE WHEN {_passes('x', f'y{k}', num, den)} THEN y{k} END") for k in range(1, LOOK_BACK + 1)])
     x = x.withColumn("near", near).drop("x", *[f"y{k}" for k in range(1, LOOK_BACK + 1)])
     found = _pairs_of(x.filter("near IS NULL"), rows, num, den)
     likely = x.filter("near IS NOT NULL").select("doc", "line", F.col("near.doc").alias("doc2"), F.col("near.line").alias("line2"))
     return found.unionByName(likely).distinct()
 
 
+def _only(d: DataFrame, asked: DataFrame) -> DataFrame:
+    """``d`` without most of the rows whose doc is not in ``asked``: a filter of
+    2^FILTER_BITS bits (hash of the doc), so the texts of others stay where they are.
+    Rows of ``asked`` always pass."""
+    bit = F.pmod(F.xxhash64("doc"), F.lit(1 << FILTER_BITS))
+    words = (asked.select(bit.alias("b")).groupBy((F.col("b") / 64).cast("int").alias("w"))
+                  .agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("m")).collect())
+    table = [0] * (1 << (FILTER_BITS - 6))
+    for w, m in words:
+        table[w] = m
+    bits = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
+    word = F.get(bits, (bit / 64).cast("int"))
+    return d.withColumn("_b", (bit % 64).cast("int")).withColumn("_w", word).filter("getbit(_w, _b) = 1").drop("_b", "_w")
+
+
 def _verified(d: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs whose lines have the similarity, on their words."""
+    """(doc, line) of the lines that have the similarity with a partner of theirs,
+    on the 64-bit hashes of all words."""
     ends = (pairs.select("doc", "line").unionByName(pairs.select(F.col("doc2").alias("doc"), F.col("line2").alias("line")))
                  .distinct())
-    asked = ends.groupBy("doc").agg(F.collect_list("line").alias("wanted"))
-    text = d.select("doc", "_m_text").join(asked, "doc")
+    asked = cut(ends.groupBy("doc").agg(F.collect_list("line").alias("wanted")))
+    text = _only(d.select("doc", "_m_text"), asked).join(asked, "doc")
     parts = F.split("_m_text", "\n")
+    line = F.element_at("parts", F.col("line") + 1)
     words = cut(text.select("doc", F.explode("wanted").alias("line"), parts.alias("parts"))
-                    .select("doc", "line", _tokens(F.element_at("parts", F.col("line") + 1)).alias("words")).distinct())
+                    .select("doc", "line", _tokens(line).alias("words")).distinct())
     x = words.select("doc", "line", F.col("words").alias("wx"))
     y = words.select(F.col("doc").alias("doc2"), F.col("line").alias("line2"), F.col("words").alias("wy"))
     both = F.size(F.array_intersect("wx", "wy"))
-    return (pairs.join(x, ["doc", "line"]).join(y, ["doc2", "line2"])
-                 .filter(den * both >= num * (F.size("wx") + F.size("wy") - both)).select("doc", "line", "doc2", "line2"))
+
+    def hold(some):
+        return (some.join(x, ["doc", "line"]).join(y, ["doc2", "line2"])
+                    .filter(den * both >= num * (F.size("wx") + F.size("wy") - both)).select("doc", "line").distinct())
+
+    # four times the signature, for long lines, before any pair carries its words
+    parts = [F.expr(f"aggregate(filter(words, w -> ((w >> 6) & 3) = {k}), 0L, (a, w) -> a ^ shiftleft(1L, cast(w & 63 as int)))")
+             .alias(f"s{k}") for k in range(4)]
+    signs = cut(words.select("doc", "line", F.size("words").alias("n"), *parts))
+    other = signs.select(*[F.col(c).alias(c + "2") for c in signs.columns])
+    differ = " + ".join(f"bit_count(s{k} ^ s{k}2)" for k in range(4))
+    pairs = cut(pairs.join(signs, ["doc", "line"]).join(other, ["doc2", "line2"])
+                     .filter(f"{differ} <= n + n2 - 2 * (({num} * (n + n2) + {num + den - 1}) div {num + den})")
+                     .select("doc", "line", "doc2", "line2"))
+    # one match is enough: first a single partner of every line, then all others of the lines that it did not settle
+    first = cut(pairs.groupBy("doc", "line").agg(F.min(F.struct("doc2", "line2")).alias("p")).select("doc", "line", "p.*"))
+    settled = cut(hold(first))
+    rest = pairs.join(settled, ["doc", "line"], "left_anti").join(first, ["doc", "line", "doc2", "line2"], "left_anti")
+    return settled.unionByName(hold(rest))
 
 
 def removed_lines(docs: DataFrame, num: int = NUM, den: int = DEN, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
     """(doc, line): the lines to remove, counted from 0; ``doc`` as in ``_identified``."""
     d = input_tasks(_identified(docs, id_col, text_col))
-    coded = cut(_coded(d, num, den))
+    path = scratch_path(d.sparkSession, "lines")
+    _coded(d, num, den).write.mode("overwrite").parquet(path)
+    coded = d.sparkSession.read.parquet(path)
     place = F.struct("doc", "line")
     reps = cut(coded.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line", "size", "sig", "prefix")).alias("r"),
                                              F.count(F.lit(1)).alias("copies")))
-    again = (coded.select("h1", "h2", "doc", "line")
-                  .join(reps.filter("copies > 1").select("h1", "h2", F.struct("r.doc", "r.line").alias("p")), ["h1", "h2"])
-                  .filter(place != F.col("p")).select("doc", "line"))
+    again = cut(coded.select("h1", "h2", "doc", "line")
+                     .join(reps.filter("copies > 1").select("h1", "h2", F.struct("r.doc", "r.line").alias("p")), ["h1", "h2"])
+                     .filter(place != F.col("p")).select("doc", "line"))
+    remove_path(d.sparkSession, path)       # every line's prefix: the classes' are enough from here
     reps = reps.select("r.*")
     rows = _prefix_rows(reps)
     pairs = cut(_candidates(rows, num, den))
-    good = cut(_verified(d, pairs, num, den).select("doc", "line").distinct())
+    good = cut(_verified(d, pairs, num, den))
     # lines whose likely matches failed: the wide join without the shortcut
     failed = cut(pairs.select("doc", "line").distinct().join(good, ["doc", "line"], "left_anti"))
     more = _verified(d, cut(_pairs_of(_prefix_rows(reps.join(failed, ["doc", "line"], "left_semi")), rows, num, den).distinct()),
-                     num, den).select("doc", "line")
+                     num, den)
     return again.unionByName(good).unionByName(more).distinct()
 
 
