@@ -128,7 +128,8 @@ def _candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
     x = x.withColumn("near", near).drop("x", *[f"y{k}" for k in range(1, LOOK_BACK + 1)])
     found = _pairs_of(x.filter("near IS NULL"), rows, num, den)
     likely = x.filter("near IS NOT NULL").select("doc", "line", F.col("near.doc").alias("doc2"), F.col("near.line").alias("line2"))
-    return found.unionByName(likely).distinct()
+    both = found.withColumn("likely", F.lit(False)).unionByName(likely.withColumn("likely", F.lit(True)))
+    return both.groupBy("doc", "line", "doc2", "line2").agg(F.max("likely").alias("likely"))
 
 
 def _only(d: DataFrame, asked: DataFrame) -> DataFrame:
@@ -198,9 +199,9 @@ def removed_lines(docs: DataFrame, num: int = NUM, den: int = DEN, id_col: str =
     reps = reps.select("r.*")
     rows = _prefix_rows(reps)
     pairs = cut(_candidates(rows, num, den))
-    good = cut(_verified(d, pairs, num, den))
-    # lines whose likely matches failed: the wide join without the shortcut
-    failed = cut(pairs.select("doc", "line").distinct().join(good, ["doc", "line"], "left_anti"))
+    good = cut(_verified(d, pairs.drop("likely"), num, den))
+    # lines with a likely match of which none held: the wide join without the shortcut
+    failed = cut(pairs.filter("likely").select("doc", "line").distinct().join(good, ["doc", "line"], "left_anti"))
     more = _verified(d, cut(_pairs_of(_prefix_rows(reps.join(failed, ["doc", "line"], "left_semi")), rows, num, den).distinct()),
                      num, den)
     return again.unionByName(good).unionByName(more).distinct()
