@@ -3,7 +3,8 @@
 A byte-level BPE of this kind splits a text before its merges, and never joins
 anything over a single space that has a non-space character on either side.  So
 a text is cut at those spaces, every distinct cut piece is encoded by the
-library once, and its ids are reused wherever the piece comes again."""
+library once, and its ids are reused wherever the piece comes again.  A text
+that holds the string of an added token goes to the library whole."""
 
 from __future__ import annotations
 
@@ -41,7 +42,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True               # their strings are ordinary text
+        added = [t.content for t in self.tok.get_added_tokens_decoder().values() if t.content]
+        self.odd = "|".join([_ODD, *("".join(rf"\x{{{ord(c):x}}}" for c in t) for t in added)])
         vocabulary = self.tok.get_vocab()
         self.bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, i in vocabulary.items():         # byte-level: one character of the token for each byte
@@ -129,8 +131,8 @@ class Encoder:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if not len(texts):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        # a text with a space beside white space or at an end goes to the library whole
-        odd = np.flatnonzero(pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False))
+        # a text with a space beside white space or at an end, or with an added token, goes to the library whole
+        odd = np.flatnonzero(pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False))
         whole = None
         if len(odd):
             whole = [np.array(e.ids, dtype=np.int32) for e in

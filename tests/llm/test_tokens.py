@@ -153,3 +153,22 @@ def test_token_files_of_odd_rows_over_small_blocks(spark, odd_docs, odd_rows, no
         assert g.start == at
         at += g.n_tokens
     assert digests(spark, no_docs, str(tmp_path / "none")) == []
+
+
+ADDED = ["<|endoftext|>", "one<|endoftext|>two", "a text <|endoftext|> and more", "<|endoftext|><|endoftext|> x", "<|endoftext|",
+         "two  spaces <|endoftext|>\n", "plain words only"]
+
+
+def test_added_tokens_as_the_library_has_them(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(default_tokenizer())
+    want = [fresh.encode(t, add_special_tokens=False).ids + [0] for t in ADDED]
+    assert sum(50256 in w for w in want) == 5
+    got, n = Encoder(default_tokenizer()).encode(pa.array(ADDED))
+    assert n.tolist() == [len(w) for w in want] and got.tolist() == sum(want, [])
+    crc = [zlib.crc32(np.array(w, "<u4").tobytes()) for w in want]
+    docs = spark.createDataFrame(list(enumerate(ADDED)), "doc_id long, text string").repartition(2)
+    at = np.concatenate(([0], np.cumsum([len(w) for w in want])[:-1])).tolist()
+    assert [tuple(g) for g in digests(spark, docs, str(tmp_path / "t"))] == list(zip(range(len(ADDED)), at, map(len, want), crc))
+    assert {(r.doc_id, r.length, r.ids_crc32) for r in packing.pack(docs).collect()} == set(zip(range(len(ADDED)), map(len, want), crc))
