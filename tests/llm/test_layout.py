@@ -49,6 +49,32 @@ def test_copies_share_shards(spark):
     assert lost < linked
 
 
+def shards_of(spark, texts, shards):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = sharding.shard_documents(df, shards=shards)
+    rows = got.collect()
+    check_shards(rows, shards)
+    where = {}
+    for x in rows:
+        where.setdefault(texts[x.doc_id], Counter())[x.shard] += 1
+    return where, sharding.cut_edges(got).first()
+
+
+def test_a_group_larger_than_a_shard_fills_whole_shards(spark):
+    r = random.Random(2)
+    texts = [f"copy {g}" for g in range(30) for _ in range(r.randint(2, 6))] + ["big"] * 260 + [f"single {i}" for i in range(600)]
+    where, _ = shards_of(spark, texts, 10)
+    assert sum(k for _, k in where["big"].most_common(3)) >= 0.95 * 260       # a shard holds 98 rows
+    assert sum(len(v) > 1 for k, v in where.items() if k.startswith("copy")) <= 3
+
+
+def test_groups_gather_where_every_row_is_linked(spark):
+    """No rows without links make room: shards exchange groups until none can move."""
+    texts = [f"copy {g}" for g in range(1500) for _ in range(2 + g % 3)]
+    where, (linked, lost) = shards_of(spark, texts, 10)
+    assert sum(len(v) > 1 for v in where.values()) <= 30 and 50 * lost <= linked
+
+
 def test_sharding_of_odd_rows(spark, odd_docs, odd_rows, no_docs):
     rows = sharding.shard_documents(odd_docs).collect()
     check_shards(rows)
