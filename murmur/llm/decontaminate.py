@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents_of, input_tasks
-from .textvec import PolyHash, join_texts, mix64, text_batches, word_hashes, word_spans
+from .textvec import PolyHash, join_texts, mix64, text_batches, text_slices, word_hashes, word_spans
 
 SHINGLE_WORDS = 5
 CONTAINMENT = 0.8
@@ -167,3 +167,25 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame
     only if no contaminated document lacks its id), columns as in ``docs``."""
     bad = contaminated(docs, items, **options).select(F.col("doc_id").alias("_m_bad")).distinct()
     return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_m_bad")), "left_anti")
+
+
+def clean_rows(docs: DataFrame, items: DataFrame, shingle_words: int = SHINGLE_WORDS,
+               containment: float = CONTAINMENT) -> DataFrame:
+    """The rows of ``docs`` whose own text holds no item, columns as in ``docs``:
+    each row is decided where it was read, whatever its doc_id, so nothing is
+    joined or shuffled."""
+    out, text = input_tasks(docs), docs.columns.index("text")
+    for rows in _blocks(documents_of(items, "item_id", "text")):
+        out = out.mapInArrow(_clean(rows, shingle_words, containment, text), docs.schema)
+    return out
+
+
+def _clean(rows, n, t, text):
+    def run(batches):
+        block = _Items(rows, n, t)
+        for b in text_slices(batches, text):
+            keep = np.ones(b.num_rows, dtype=bool)
+            keep[[x[0] for x in block.matches(range(b.num_rows), b.column(text).to_pylist())]] = False
+            yield b.filter(pa.array(keep))
+
+    return run

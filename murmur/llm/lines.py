@@ -22,8 +22,9 @@ matches all fail is joined again without that shortcut, so the result is exact.
 Edge cases: a null text has no lines with words; repeated rows (same id and
 text) are one document, reported as often as they come; rows without doc_id
 come before all others in the order of a hash of their text; different texts
-must have different ids; an empty table gives no rows; other columns of the
-input are ignored."""
+must have different ids (``dedup_lines`` takes those that have not for rows
+without id); an empty table gives no rows; other columns of the input are
+ignored."""
 
 from __future__ import annotations
 
@@ -224,10 +225,14 @@ def dedup_lines(docs: DataFrame, **threshold) -> DataFrame:
     """``docs`` with the removed lines cut out of ``text`` (and n_chars, where
     there is such a column, counted anew); all documents stay, columns as in
     ``docs``."""
-    base = docs.withColumn("_m_key", F.coalesce(
-        F.col("doc_id").cast("long"),
-        F.lit(-(2**62)) - F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 2)))
-    per = (removed_lines(docs, **threshold).groupBy(F.col("doc").alias("_m_doc"))
+    own = F.xxhash64(F.coalesce("text", F.lit("")))
+    # different texts under one id are documents of their own, known by their text like rows without id
+    twice = (docs.groupBy(F.col("doc_id").cast("long").alias("_m_twice")).agg(F.min(own).alias("a"), F.max(own).alias("b"))
+                 .filter("a <> b AND _m_twice IS NOT NULL").select("_m_twice"))
+    base = docs.join(cut(twice), docs["doc_id"].cast("long") == F.col("_m_twice"), "left")
+    base = base.withColumn("_m_named", F.when(F.col("_m_twice").isNull(), F.col("doc_id").cast("long"))).drop("_m_twice")
+    base = base.withColumn("_m_key", F.coalesce("_m_named", F.lit(-(2**62)) - F.shiftrightunsigned(own, 2)))
+    per = (removed_lines(base, id_col="_m_named", **threshold).groupBy(F.col("doc").alias("_m_doc"))
            .agg(F.collect_list("line").alias("_m_gone")))
     j = base.join(per, F.col("_m_key") == F.col("_m_doc"), "left")
     kept = F.expr("array_join(transform(filter(sequence(0, size(_m_parts) - 1), i -> NOT array_contains(_m_gone, i)), "

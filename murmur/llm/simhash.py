@@ -20,9 +20,11 @@ columns of the input are ignored."""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, documents_of, input_tasks
@@ -221,8 +223,33 @@ def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
     rows of one doc_id reduced to one (the first in the order of all columns);
     rows without doc_id stay.  Columns as in ``docs``."""
     first = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_m_keep")).distinct()
-    from pyspark.sql import Window
     w = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in docs.columns])
     held = docs.join(first, docs["doc_id"] == F.col("_m_keep"), "left_semi")
     one = held.withColumn("_m_rn", F.row_number().over(w)).filter("_m_rn = 1").drop("_m_rn")
     return one.unionByName(docs.filter("doc_id IS NULL"))
+
+
+def keep_one_text(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """Of each group of near-duplicate texts the row with the smallest doc_id
+    (rows without one last, then by the text's SHA-256), of its repeated rows the
+    first in the order of all columns.  Decided by doc_id and text: rows without
+    doc_id are compared like any other, and different texts under one doc_id both
+    stay unless they are near-duplicates.  Columns as in ``docs``."""
+    sha = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+
+    def run(batches):
+        for ids, texts in text_batches(batches, 2, 1):
+            fp = np.array([_fingerprint(t, shingle_words) for t in texts], dtype=np.uint64).view(np.int64)
+            own = [hashlib.sha256((t or "").encode("utf-8", "surrogatepass")).hexdigest() for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(own, pa.string()), pa.array(fp)],
+                                             names=["_m_id", "_m_first", "fp"])
+
+    rows = cut(input_tasks(documents_of(docs)).mapInArrow(run, "_m_id long, _m_first string, fp long"))
+    comp = components(links(cut(rows.select("fp").distinct()), max_bits).distinct()).withColumnRenamed("node", "fp")
+    place = F.struct(F.col("_m_id").isNull().alias("nameless"), "_m_id", "_m_first")
+    first = (rows.groupBy("fp").agg(F.min(place).alias("p")).join(comp, "fp", "left")
+                 .groupBy(F.coalesce("component", "fp").alias("group")).agg(F.min("p").alias("p")).select("p._m_id", "p._m_first"))
+    held = docs.withColumn("_m_sha", sha)
+    held = held.join(first, held["doc_id"].cast("long").eqNullSafe(F.col("_m_id")) & (F.col("_m_sha") == F.col("_m_first")), "left_semi")
+    w = Window.partitionBy("doc_id", "_m_sha").orderBy(*[F.col(f"`{c}`") for c in docs.columns])
+    return held.withColumn("_m_rn", F.row_number().over(w)).filter("_m_rn = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

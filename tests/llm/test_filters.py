@@ -154,3 +154,27 @@ def test_pipeline_stages_on_odd_rows(spark, odd_docs, no_docs, sf_small):
                 assert out.columns == docs.columns, name
                 assert [f.dataType for f in out.schema] == [f.dataType for f in docs.schema], name
             out.collect()
+
+
+def test_pipeline_stages_decide_by_row(spark, tmp_path):
+    """Rows without doc_id or with one that comes again: every text has its own decision."""
+    import corpus_pipeline
+
+    r = random.Random(3)
+    text = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(60))      # noqa: E731
+    item, one, two, three, four = text(), text(), text(), text(), text()
+    rows = [(None, one), (None, item), (5, two), (5, "x " + item), (None, three), (None, three), (8, three), (9, four), (None, four)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    key = lambda d: sorted(map(tuple, d.collect()), key=str)      # noqa: E731
+    assert key(corpus_pipeline.decontamination(spark, docs, str(tmp_path))) == sorted([x for x in rows if item not in x[1]], key=str)
+    got = [x for x in rows if item not in x[1]]
+    want = sorted([(None, one), (5, two), (8, three), (9, four)], key=str)
+    assert key(corpus_pipeline.near_dedup(spark, spark.createDataFrame(got, "doc_id long, text string"), "")) == want
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(20)) for x in "abc")
+    rows = [(5, f"{a}\n{b}"), (5, c), (5, f"{c} more\nown"), (6, f"{b}\nlast")]
+    out = key(corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), ""))
+    left = Counter(x for _, t in out for x in t.split("\n"))
+    assert len(out) == 4 and {x: left[x] for x in (a, b, "own", "last")} == {a: 1, b: 1, "own": 1, "last": 1}
+    assert left[c] + left[f"{c} more"] == 1
