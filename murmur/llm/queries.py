@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
-from . import chat, decontaminate, lines, packing, quality, sharding, simhash, substrings, tokenfile, warc
+from . import chat, decontaminate, exact, lexical, lines, packing, quality, sharding, simhash, substrings, tokenfile, warc, whiten
 from .common import cut, read
 
 QUERIES: dict = {}
@@ -181,3 +181,48 @@ SELECT d.doc_id, len(string_split(coalesce(text, ''), chr(10))) AS n_lines, coun
        coalesce(list(g.n::INT ORDER BY g.n) FILTER (WHERE g.n IS NOT NULL), []) AS removed_lines
 FROM documents d LEFT JOIN gone g ON g.doc_id = d.doc_id GROUP BY d.doc_id, d.text
 """
+
+
+@query
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts among all documents, and the row that stays."""
+    return exact.exact_groups(read(spark, sf_dir, "documents")).drop("n_chars")
+
+
+ORACLE["op13_exact_dedup"] = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS size,
+                  regexp_replace(coalesce(text, ''), '[ \t\n\v\f\r]+', '', 'g') AS k FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY k) AS group_size,
+       row_number() OVER w = 1 AS kept, sha256(k) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY k ORDER BY size DESC, doc_id NULLS LAST)
+"""
+
+
+@query
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return lexical.ranked_search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("n_matched", "mask_bound")
+
+
+_TERMS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+          r"'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
+
+ORACLE["op12_ranked_search"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ts FROM documents),
+s AS (SELECT count(*) AS nn, sum(len(ts))::BIGINT AS ll FROM d WHERE len(ts) > 0),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS x FROM benchmark),
+tf AS (SELECT r, x, count(*) AS tf FROM (SELECT r, unnest(ts) AS x FROM d) WHERE x IN (SELECT x FROM q) GROUP BY r, x),
+w AS (SELECT x, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, s GROUP BY x, nn),
+m AS (SELECT r, doc_id, 10 + (90 * len(ts)::BIGINT * nn) // ll AS m FROM d, s),
+sc AS (SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+       FROM tf JOIN q USING (x) JOIN w USING (x) JOIN m USING (r) GROUP BY item_id, r, doc_id)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM sc WHERE score > 0)
+WHERE rank <= 10
+"""
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four leading whitened components of all embeddings."""
+    return whiten.whitened(read(spark, sf_dir, "embeddings"))
