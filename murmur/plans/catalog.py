@@ -1365,3 +1365,58 @@ def q_stream_silence(spark, d):
                          F.lit(None).cast("long").alias("related_topic_id"), F.col("publish_time").alias("created_at")))
     path = ST.run_silenced_alerts(cand, REPLAY_HOURS)
     return spark.read.parquet(path).select("id", "alert_type", "related_topic_id", "suppressed")
+
+
+# -------------------------------------------------------- dense vectors
+
+from ..operators import vectors as VEC  # noqa: E402
+
+_CLASSES = """classes AS (
+  SELECT min(vec_id) AS uid, COUNT(*) AS mult, bool_or(vec_id % 50 = 0) AS asks, embedding::DOUBLE[] AS e
+  FROM embeddings WHERE embedding IS NOT NULL GROUP BY embedding)"""
+
+
+def _embedding_index(spark, d):
+    """The index of all embeddings; rows whose id is divisible by 50 ask."""
+    units = VEC.unit_vectors(TB.read(spark, d, "embeddings"))
+    return VEC.build_index(VEC.classes_of(units, F.col("id") % 50 == 0)[0])
+
+
+@register("embedding_pairs", f"""WITH {_CLASSES}
+SELECT a.uid AS query_id, b.uid AS vec_id, b.mult AS copies, round(list_cosine_similarity(a.e, b.e), 6) AS similarity
+FROM classes a JOIN classes b ON a.uid <> b.uid AND list_cosine_similarity(a.e, b.e) >= 0.25
+WHERE a.asks""", scoped=True)
+def q_embedding_pairs(spark, d):
+    """All embeddings with cosine >= 0.25 to a query (exact range search)."""
+    r = VEC.similar_vectors(_embedding_index(spark, d), 0.25)
+    return r.select(F.col("qid").alias("query_id"), F.col("uid").alias("vec_id"), F.col("mult").alias("copies"),
+                    F.round("cosine", 6).alias("similarity"))
+
+
+@register("embedding_neighbours", scoped=True)
+def q_embedding_neighbours(spark, d):
+    """The ten nearest embeddings of every query from the nearest cells, as
+    many as hold nine tenths of the true neighbours of sampled queries."""
+    index = _embedding_index(spark, d)
+    probes, recall = VEC.probes_for(index, 10)
+    return (VEC.nearest_vectors(index, 10, probes)
+            .select(F.col("qid").alias("query_id"), "rank", F.col("uid").alias("vec_id"), F.round("cosine", 6).alias("similarity"),
+                    F.lit(probes).alias("probes"), F.lit(round(recall, 4)).alias("measured_recall")))
+
+
+DENSE_T, DENSE_MIN = 0.4, 3
+
+
+@register("embedding_clusters", f"""WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+pairs AS MATERIALIZED (SELECT a.vec_id AS i, b.vec_id AS j FROM v a JOIN v b ON list_cosine_similarity(a.e, b.e) >= {DENSE_T}),
+core AS (SELECT i FROM pairs GROUP BY i HAVING COUNT(*) >= {DENSE_MIN}),
+links AS MATERIALIZED (SELECT p.i, p.j FROM pairs p WHERE p.i IN (FROM core) AND p.j IN (FROM core)),
+reach(node, root) AS (SELECT i, i FROM core UNION SELECT l.j, r.root FROM reach r JOIN links l ON l.i = r.node),
+comp AS (SELECT node, min(root) AS label FROM reach GROUP BY node)
+SELECT node AS vec_id, label FROM comp
+UNION ALL
+SELECT p.j, min(c.label) FROM pairs p JOIN comp c ON c.node = p.i WHERE p.j NOT IN (FROM core) GROUP BY p.j""", scoped=True)
+def q_embedding_clusters(spark, d):
+    """C8 with C3: density clusters of all embeddings at cosine >= 0.4."""
+    return (VEC.dense_clusters(TB.read(spark, d, "embeddings"), DENSE_T, DENSE_MIN)
+            .select(F.col("id").alias("vec_id"), "label"))
