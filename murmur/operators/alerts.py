@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.timefmt import hours_before, minutes_before, percent_1dp, round_half_up, ts_lit
 from ..session import cut
+from .words import first_words, word_matches
 
 # Alert titles and message formats of the studied system.
 SURGE_TITLE = "负面舆情突增预警"
@@ -29,6 +30,8 @@ ALERT_COLUMNS = ["alert_type", "severity", "title", "description", "related_topi
 
 # ---------------------------------------------------------------- matching
 
+FEW_WORDS = 64    # a list up to this long is tested word by word
+
 def _words(words) -> Column:
     """The words as an array literal, blank ones left out."""
     return F.array(*[F.lit(w) for w in words if w and w.strip()]).cast("array<string>")
@@ -45,12 +48,28 @@ def first_match(content: Column, words) -> Column:
     return F.get(all_matches(content, words), F.lit(0))
 
 
-def keyword_hits(posts: DataFrame, words: list[str]) -> DataFrame:
-    """Posts containing a sensitive word, with the first word matched."""
+def keyword_hits(posts: DataFrame, words: list[str] | DataFrame) -> DataFrame:
+    """Posts containing a sensitive word, with the first word matched.  A
+    list is tested word by word; a table (pos, word) of any size goes through
+    an automaton, whose cost does not depend on the number of words."""
+    if isinstance(words, DataFrame):
+        return first_words(posts.select("id", "content"), words, "id", "content").select("id", F.col("word").alias("matched_word"))
     return (posts.select("id", first_match(F.col("content"), words).alias("matched_word"))
                  .filter(F.col("matched_word").isNotNull()))
 
 
+def held_words(texts: DataFrame, words: DataFrame, text_col: str) -> DataFrame:
+    """The other columns of ``texts`` and _w: one row per text and word of the
+    table ``words`` (_w) that it holds.  Up to FEW_WORDS are tested in the
+    projection, more by an automaton."""
+    few = sorted(r[0] for r in words.select("_w").distinct().limit(FEW_WORDS + 1).collect())
+    keep = [c for c in texts.columns if c != text_col]
+    if len(few) <= FEW_WORDS:
+        return texts.select(*keep, F.explode(all_matches(F.col(text_col), few)).alias("_w"))
+    listed = words.select(F.lit(0).cast("long").alias("pos"), F.col("_w").alias("word"))
+    return word_matches(texts, listed, text_col).select(*keep, F.col("word").alias("_w"))
+
+
 def monitored_posts(posts: DataFrame, keywords: DataFrame) -> DataFrame:
     """Hits per monitored keyword and post platform.
 
@@ -61,8 +80,8 @@ def monitored_posts(posts: DataFrame, keywords: DataFrame) -> DataFrame:
     """
     kw = (keywords.filter(F.col("enabled") & (F.trim("keyword") != ""))
                   .select("keyword", F.lower("keyword").alias("_kw"), F.col("platform").alias("_kp")))
-    words = sorted(r[0] for r in kw.select("_kw").distinct().collect())      # configuration
-    found = posts.select("platform", F.explode(all_matches(F.lower("content"), words)).alias("_kw"))
+    found = held_words(posts.select("platform", F.lower("content").alias("_text")), kw.select(F.col("_kw").alias("_w")), "_text")
+    found = found.withColumnRenamed("_w", "_kw")
     counts = found.groupBy("platform", "_kw").agg(F.count(F.lit(1)).alias("n"))
     hits = counts.join(kw, "_kw").filter((F.col("_kp") == "all") | (F.col("_kp") == F.col("platform")))
     return hits.groupBy("keyword", "platform").agg(F.sum("n").alias("hits"))
@@ -146,16 +165,17 @@ def keyword_alerts(posts: DataFrame, words: list[str], as_of, lookback_minutes:
 def keyword_candidates(posts: DataFrame, rules: DataFrame, as_of, lookback_minutes: int = 5) -> DataFrame:
     """L2 for every rule (rule_id, silence_hours, words).  One pass over the
     recent posts names the words that each contains; the first in a rule's
-    list is found after a join of the matches with the rules' words."""
+    list is found after a join of the matches with the rules' words.  Matches
+    carry the preview of their post, never its whole text."""
     listed = (rules.select("rule_id", "silence_hours", F.posexplode("words").alias("_i", "_w"))
                    .filter(F.trim("_w") != ""))
-    words = sorted(r[0] for r in listed.select("_w").distinct().collect())     # configuration
-    recent = posts.filter(F.col("crawl_time") >= minutes_before(as_of, lookback_minutes))
-    found = recent.select("id", "platform", "content", F.explode(all_matches(F.col("content"), words)).alias("_w"))
+    recent = (posts.filter(F.col("crawl_time") >= minutes_before(as_of, lookback_minutes))
+                   .select("id", "platform", F.substring("content", 1, 100).alias("_preview"), "content"))
+    found = held_words(recent, listed.select("_w"), "content")
     m = (found.join(listed, "_w").groupBy("id", "rule_id", "silence_hours")
-              .agg(F.min_by(F.struct(F.col("_w").alias("matched_word"), "platform", "content"), "_i").alias("_m"))
+              .agg(F.min_by(F.struct(F.col("_w").alias("matched_word"), "platform", "_preview"), "_i").alias("_m"))
               .select("id", "rule_id", "silence_hours", "_m.*"))
-    prev80 = F.substring("content", 1, 80)
+    prev80 = F.substring("_preview", 1, 80)
     return m.select(
         "id", "matched_word",
         F.lit("keyword_trigger").alias("alert_type"),
@@ -163,7 +183,7 @@ def keyword_candidates(posts: DataFrame, rules: DataFrame, as_of, lookback_minut
         F.concat(F.lit(KEYWORD_TITLE), F.col("matched_word")).alias("title"),
         prev80.alias("content_preview"),
         F.concat(F.lit(KEYWORD_DESC_HEAD), F.col("matched_word"), F.lit(KEYWORD_DESC_TAIL),
-                 F.substring("content", 1, 100)).alias("description"),
+                 F.col("_preview")).alias("description"),
         F.lit(None).cast("long").alias("related_topic_id"),
         F.col("id").alias("source_id"),
         F.to_json(F.struct(F.col("id").alias("postId"), F.col("platform"),

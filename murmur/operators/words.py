@@ -179,17 +179,18 @@ def word_matches(texts: DataFrame, words: DataFrame, text_col: str, most_states:
 
 
 def first_words(texts: DataFrame, words: DataFrame, id_col: str, text_col: str, most_states: int = MOST_STATES) -> DataFrame:
-    """(id_col, pos, word): for every text with a word of the list, the one with
-    the smallest place (equal places: by word).  With one automaton the rows
-    are not shuffled; with more, the firsts of each are compared by id."""
-    texts = texts.select(id_col, text_col)
+    """The other columns of ``texts``, pos, word: for every text with a word of
+    the list, the one with the smallest place (equal places: by word).  With one
+    automaton the rows are not shuffled; with more, the firsts of each are
+    compared by ``id_col``."""
     parts = [cut(group_matches(texts, g, text_col, first=True)) for g in word_groups(words, most_states)]
     if len(parts) < 2:
         return parts[0] if parts else _none(texts, text_col)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return (out.groupBy(id_col).agg(F.min(F.struct("pos", "word")).alias("_m")).select(id_col, "_m.pos", "_m.word"))
+    return (out.groupBy(id_col).agg(F.min_by(F.struct(*[c for c in out.columns if c != id_col]), F.struct("pos", "word")).alias("_m"))
+            .select(id_col, "_m.*").select(*out.columns))
 
 
 def _none(texts: DataFrame, text_col: str) -> DataFrame:

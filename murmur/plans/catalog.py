@@ -1420,3 +1420,43 @@ def q_embedding_clusters(spark, d):
     """C8 with C3: density clusters of all embeddings at cosine >= 0.4."""
     return (VEC.dense_clusters(TB.read(spark, d, "embeddings"), DENSE_T, DENSE_MIN)
             .select(F.col("id").alias("vec_id"), "label"))
+
+
+# ------------------------------------------------ word lists of real size (J3, ST7)
+
+# Every term of two posts or more is a sensitive word; rarer ones come first.
+_WORD_LIST = "SELECT df AS pos, term AS word FROM vocab"
+
+
+def _word_list(spark, d):
+    return TF.vocabulary(TF.doc_freq(_D(spark, d))).select(F.col("df").alias("pos"), F.col("term").alias("word"))
+
+
+@register("keyword_hits_many", O.with_ctes(f"""
+SELECT p.id, min({{'pos': w.pos, 'word': w.word}}).word AS matched_word
+FROM posts_doc p JOIN ({_WORD_LIST}) w ON contains(p.content, w.word)
+GROUP BY p.id""", "posts_doc", extra=_TOKS), scoped=True)
+def q_keyword_hits_many(spark, d):
+    """J3 with the whole vocabulary of the posts as word list (thousands of
+    words): the rarest word that each post holds, also inside other words."""
+    return AL.keyword_hits(_D(spark, d), cut(_word_list(spark, d)))
+
+
+@register("word_list_hits", O.with_ctes(f"""
+SELECT w.word, COUNT(*) AS posts FROM posts_doc p JOIN ({_WORD_LIST}) w ON contains(p.content, w.word)
+GROUP BY w.word""", "posts_doc", extra=_TOKS), scoped=True)
+def q_word_list_hits(spark, d):
+    """J2 with the whole vocabulary: the posts that hold each word."""
+    from ..operators.words import word_matches
+    found = word_matches(_D(spark, d).select("content"), cut(_word_list(spark, d)), "content")
+    return found.groupBy("word").agg(F.count(F.lit(1)).alias("posts"))
+
+
+@register("stream_keyword_many", O.with_ctes(f"""
+SELECT e.id, min({{'pos': w.pos, 'word': w.word}}).word AS matched_word
+FROM posts_event e JOIN (SELECT pos, word FROM ({_WORD_LIST}) UNION ALL SELECT 0, 'error') w ON contains(e.content, w.word)
+WHERE e.crawl_time >= TIMESTAMP '2024-01-29 12:00:00' GROUP BY e.id""", "posts_doc", "posts_event", extra=_TOKS), scoped=True)
+def q_stream_keyword_many(spark, d):
+    """ST7 on the events stream with the vocabulary of the posts and ``error``."""
+    words = cut(_word_list(spark, d).unionByName(spark.createDataFrame([(0, "error")], "pos long, word string")))
+    return spark.read.parquet(ST.run_keyword_alerts(_event_feed(spark, d), words, 24 * 60, AS_OF)).select("id", "matched_word")

@@ -179,19 +179,41 @@ def live_feed(posts: DataFrame, buffer: int = 200, platform: str | None = None,
     return f"{out}/_epoch={last[-1]}" if last else out
 
 
+def _recent(posts: DataFrame, lookback_minutes: int, now) -> DataFrame:
+    clock = ts_lit(now) if now is not None else F.localtimestamp()
+    return posts.filter(F.col("crawl_time") >= clock - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(lookback_minutes)))
+
+
+def _keyword_alert(word: str, preview) -> list:
+    from ..operators.alerts import KEYWORD_TITLE
+    return ["id", F.col(word).alias("matched_word"), F.lit("warning").alias("severity"),
+            F.concat(F.lit(KEYWORD_TITLE), F.col(word)).alias("title"), preview.alias("content_preview")]
+
+
 def stream_keyword_alerts(posts: DataFrame, words: list[str], lookback_minutes: int, now=None) -> DataFrame:
     """ST7: posts crawled in the last ``lookback_minutes`` before ``now`` (None:
     the time of the batch) are checked against the sensitive words (first word
     in list order); a post alerts at most once."""
-    from ..operators.alerts import KEYWORD_TITLE, first_match
-    clock = ts_lit(now) if now is not None else F.localtimestamp()
-    recent = posts.filter(F.col("crawl_time") >= clock - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(lookback_minutes)))
-    m = recent.select("id", "platform", "content", "crawl_time",
-                      first_match(F.col("content"), words).alias("matched_word"))
-    return (m.filter(F.col("matched_word").isNotNull())
-             .select("id", "matched_word", F.lit("warning").alias("severity"),
-                     F.concat(F.lit(KEYWORD_TITLE), F.col("matched_word")).alias("title"),
-                     F.substring("content", 1, 80).alias("content_preview")))
+    from ..operators.alerts import first_match
+    m = _recent(posts, lookback_minutes, now).select("id", "content", first_match(F.col("content"), words).alias("_word"))
+    return m.filter(F.col("_word").isNotNull()).select(*_keyword_alert("_word", F.substring("content", 1, 80)))
+
+
+def run_keyword_alerts(posts: DataFrame, words: DataFrame, lookback_minutes: int, now=None, out: str | None = None,
+                       checkpoint: str | None = None) -> str:
+    """ST7 for a word table (pos, word) of any size: every batch goes through the
+    automaton of the words, which are read anew for each batch, so a changed
+    list counts from the next batch on."""
+    from ..operators.words import first_words
+    out, checkpoint = _paths(posts.sparkSession, "keyword_table", out, checkpoint)
+
+    def sink(batch: DataFrame, epoch: int):
+        recent = _recent(batch, lookback_minutes, now).select("id", F.substring("content", 1, 80).alias("_preview"), "content")
+        (first_words(recent, words, "id", "content").select(*_keyword_alert("word", F.col("_preview")))
+         .write.mode("overwrite").parquet(f"{out}/_epoch={epoch}"))
+
+    _run(posts, "keyword_table", sink, checkpoint)
+    return out
 
 
 def run_scoring(posts: DataFrame, score, top_n: int = 5, out: str | None = None, checkpoint: str | None = None) -> str:
