@@ -1460,3 +1460,39 @@ def q_stream_keyword_many(spark, d):
     """ST7 on the events stream with the vocabulary of the posts and ``error``."""
     words = cut(_word_list(spark, d).unionByName(spark.createDataFrame([(0, "error")], "pos long, word string")))
     return spark.read.parquet(ST.run_keyword_alerts(_event_feed(spark, d), words, 24 * 60, AS_OF)).select("id", "matched_word")
+
+
+# ------------------------------------------------- dictionary segmentation
+
+from ..operators import segment as SG  # noqa: E402
+
+_GRAMS = r"""r AS (SELECT run, COUNT(*) AS n FROM (
+  SELECT unnest(regexp_split_to_array(lower(regexp_replace(coalesce(content, ''), '(\p{Han}+)', ' \1 ', 'g')), '[^\p{L}\p{N}]+')) AS run
+  FROM posts_doc) WHERE run <> '' GROUP BY run),
+g0 AS (SELECT run, n, unnest(range(1, length(run) + 1)) AS a FROM r),
+g1 AS (SELECT run, n, a, unnest(range(1, least(7, length(run) - a + 2))) AS k FROM g0),
+g AS (SELECT substr(run, a, k) AS gram, n, CASE WHEN a > 1 THEN substr(run, a - 1, 1) ELSE '' END AS lft, substr(run, a + k, 1) AS rgt FROM g1),
+side AS (SELECT gram, 0 AS s, lft AS ch, sum(n) AS c FROM g GROUP BY gram, lft
+         UNION ALL SELECT gram, 1, rgt, sum(n) FROM g GROUP BY gram, rgt),
+ent AS (SELECT gram, s, sum(c) AS freq, ln(sum(c)) - sum(c * ln(c)) / sum(c) AS h FROM side GROUP BY gram, s),
+st AS (SELECT gram, max(freq) AS freq, min(h) AS entropy FROM ent GROUP BY gram),
+able AS (SELECT * FROM st WHERE length(gram) > 1 AND freq >= 20 AND entropy >= 1.2),
+cuts AS (SELECT gram, freq, unnest(range(1, length(gram))) AS k FROM able),
+pm AS (SELECT c.gram, min(ln(c.freq * (SELECT sum(freq) FROM st WHERE length(gram) = 1) / a.freq / b.freq)) AS pmi
+       FROM cuts c JOIN st a ON a.gram = substr(c.gram, 1, c.k) JOIN st b ON b.gram = substr(c.gram, c.k + 1) GROUP BY c.gram)"""
+
+
+@register("dictionary_words", O.with_ctes("""
+SELECT a.gram AS word, CAST(a.freq AS BIGINT) AS freq, round(p.pmi, 5) AS pmi, round(a.entropy, 5) AS entropy
+FROM able a JOIN pm p ON p.gram = a.gram AND p.pmi >= 1.0
+UNION ALL SELECT gram, CAST(freq AS BIGINT), NULL, round(entropy, 5) FROM st WHERE length(gram) = 1""", "posts_doc", extra=_GRAMS), scoped=True)
+def q_dictionary_words(spark, d):
+    """The dictionary learned from all posts."""
+    words = SG.learn_dictionary(cut(SG.run_counts(_D(spark, d))))
+    return words.select("word", "freq", F.round("pmi", 5).alias("pmi"), F.round("entropy", 5).alias("entropy"))
+
+
+@register("tokens_dictionary", scoped=True)
+def q_tokens_dictionary(spark, d):
+    """The tokens of all posts along the best paths over the learned words."""
+    return SG.dictionary_tokens(_D(spark, d))
