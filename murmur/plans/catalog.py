@@ -17,6 +17,7 @@ from ..operators import listing as L
 from ..operators import reports as R
 from ..session import cut, finish, scratch_path
 from ..sources import tables as TB
+from ..sources.keyed import KeyedTable
 from . import oracle as O
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -378,6 +379,27 @@ def q_ingest_written(spark, d):
                  .agg(F.count(F.lit(1)).alias("posts"), F.sum("likes").alias("likes")))
 
 
+@register("ingest_keyed", ORACLE["ingest_ignore"])
+def q_ingest_keyed(spark, d):
+    """S3 on the keyed table: the stored posts, then the batch, twice."""
+    existing, incoming = _ingest_inputs(spark, d)
+    table = KeyedTable(spark, scratch_path(spark, "keyed"))
+    table.append(existing)
+    for _ in range(2):
+        table.insert_ignore(incoming, AS_OF)
+    return table.read()
+
+
+@register("upsert_keyed", ORACLE["ingest_upsert"])
+def q_upsert_keyed(spark, d):
+    """S4 on the keyed table."""
+    existing, incoming = _ingest_inputs(spark, d)
+    table = KeyedTable(spark, scratch_path(spark, "keyed"))
+    table.append(existing)
+    table.upsert(incoming, ["likes"], AS_OF)
+    return table.read()
+
+
 @register("ingest_defaults", O.with_ctes("""
 SELECT platform, post_id,
        coalesce(nullif(trim(CASE WHEN likes % 7 = 0 THEN ' ' ELSE author END), ''),
@@ -1127,24 +1149,28 @@ def q_link_topics(spark, d):
 from ..streaming import streams as ST  # noqa: E402
 
 
-def _event_files(spark, d, parts: int = 4) -> str:
-    """The events cut by time into ``parts`` files that arrive one after the
-    other (stand-in for a feed; the ranges overlap by nothing)."""
+def _event_files(spark, d, parts: int = 4) -> tuple[str, int]:
+    """The events cut by time into ``parts`` deliveries that arrive one after
+    the other (stand-in for a feed; the ranges overlap by nothing): the folder
+    and the files a delivery.  Every delivery is written by as many tasks as
+    hold its rows."""
     path = scratch_path(spark, "feed")
     ev = TB.read(spark, d, "events")
     cuts = ev.selectExpr(f"percentile_approx(unix_micros(cast(ts as timestamp)), array({', '.join(str(k / parts) for k in range(1, parts))})) AS c").first()[0]
     t = F.expr("unix_micros(cast(ts as timestamp))")
     part = sum((F.when(t >= c, 1).otherwise(0) for c in cuts), F.lit(0))
-    ev = cut(ev.withColumn("_part", part))
+    ev = cut(ev.withColumn("_part", part).repartitionByRange("ts"))
     for k in range(parts):
-        ev.filter(F.col("_part") == k).drop("_part").coalesce(1).write.parquet(f"{path}/part{k}")
-    return path
+        ev.filter(F.col("_part") == k).drop("_part").write.parquet(f"{path}/part{k}")
+    files = len(spark.read.option("recursiveFileLookup", "true").schema(ST.EVENTS_SCHEMA).parquet(path).inputFiles())
+    return path, max(1, files // parts)
 
 
 def _event_feed(spark, d) -> DataFrame:
-    files = (spark.readStream.schema(ST.EVENTS_SCHEMA).option("recursiveFileLookup", "true")
-                  .option("maxFilesPerTrigger", 1).parquet(_event_files(spark, d)))
-    return TB.events_to_posts(files, TB._nations(spark, d))
+    path, files = _event_files(spark, d)
+    feed = (spark.readStream.schema(ST.EVENTS_SCHEMA).option("recursiveFileLookup", "true")
+                 .option("maxFilesPerTrigger", files).parquet(path))
+    return TB.events_to_posts(feed, TB._nations(spark, d))
 
 
 @register("stream_dedup", O.with_ctes(
@@ -1359,12 +1385,15 @@ hist AS (SELECT id, 'keyword_trigger' AS alert_type, CAST(NULL AS BIGINT) AS rel
 def q_stream_silence(spark, d):
     """ST5: keyword alerts from the events stream, created at publish time, with
     the silence state carried over several files."""
-    posts = _event_feed(spark, d)
-    cand = (posts.filter(AL.first_match(F.col("content"), ["error", "purchase"]).isNotNull())
-                 .select("id", F.lit("keyword_trigger").alias("alert_type"),
-                         F.lit(None).cast("long").alias("related_topic_id"), F.col("publish_time").alias("created_at")))
-    path = ST.run_silenced_alerts(cand, REPLAY_HOURS)
-    return spark.read.parquet(path).select("id", "alert_type", "related_topic_id", "suppressed")
+    def alerts(posts):
+        return (posts.filter(AL.first_match(F.col("content"), ["error", "purchase"]).isNotNull())
+                     .select("id", F.lit("keyword_trigger").alias("alert_type"),
+                             F.lit(None).cast("long").alias("related_topic_id"), F.col("publish_time").alias("created_at")))
+
+    path, _ = ST.run_silenced_alerts(alerts(_event_feed(spark, d)), REPLAY_HOURS)
+    fired = spark.read.parquet(path).select("id", F.lit(False).alias("_quiet"))
+    return (alerts(_E(spark, d)).join(fired, "id", "left")
+            .select("id", "alert_type", "related_topic_id", F.coalesce("_quiet", F.lit(True)).alias("suppressed")))
 
 
 # -------------------------------------------------------- dense vectors

@@ -21,11 +21,11 @@ CONTENT_ID_PREFIX = "wb_"
 NOTE_ID_PATTERN = r"^[a-f0-9]{24}$"
 
 
-def _prepared(existing: DataFrame, incoming: DataFrame, as_of) -> DataFrame:
+def _prepared(existing: DataFrame | None, incoming: DataFrame, as_of) -> DataFrame:
     """A missing crawl time becomes ``as_of``; new rows have status 0."""
     if as_of is not None and "crawl_time" in incoming.columns:
         incoming = incoming.withColumn("crawl_time", F.coalesce(F.col("crawl_time"), ts_lit(as_of)))
-    if "analyze_status" in existing.columns and "analyze_status" not in incoming.columns:
+    if existing is not None and "analyze_status" in existing.columns and "analyze_status" not in incoming.columns:
         incoming = incoming.withColumn("analyze_status", F.lit(0))
     return incoming
 
@@ -46,12 +46,17 @@ def ingest_ignore(existing: DataFrame, incoming: DataFrame, as_of=None,
     return existing.unionByName(new_posts(existing, incoming, as_of, order), allowMissingColumns=True)
 
 
-def new_posts(existing: DataFrame, incoming: DataFrame, as_of=None, order: list[str] | None = None) -> DataFrame:
-    """The rows that ``ingest_ignore`` adds."""
+def first_rows(existing: DataFrame | None, incoming: DataFrame, as_of=None, order: list[str] | None = None) -> DataFrame:
+    """The batch reduced to the first row of each key, written once."""
     inc = _prepared(existing, incoming, as_of)
     cols = [c for c in inc.columns if c not in KEY]
-    firsts = cut(inc.groupBy(*KEY).agg(F.min_by(F.struct(*cols), _total_order(inc, order or ["crawl_time"])).alias("_r"))
-                    .select(*KEY, "_r.*"))
+    return cut(inc.groupBy(*KEY).agg(F.min_by(F.struct(*cols), _total_order(inc, order or ["crawl_time"])).alias("_r"))
+                  .select(*KEY, "_r.*").select(*inc.columns))
+
+
+def new_posts(existing: DataFrame, incoming: DataFrame, as_of=None, order: list[str] | None = None) -> DataFrame:
+    """The rows that ``ingest_ignore`` adds."""
+    firsts = first_rows(existing, incoming, as_of, order)
     known = existing.select(*KEY).join(firsts.select(*KEY), KEY, "left_semi")
     return firsts.join(known, KEY, "left_anti")
 

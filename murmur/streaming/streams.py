@@ -6,14 +6,16 @@ retried epoch overwrites its own output.  Every job takes ``out`` (its results
 and state) and ``checkpoint``: a second call with both goes on where the first
 stopped; without them a call is a run of its own under a fresh folder.
 
-No watermark drops late rows: trend and surge keep additive counts per epoch,
-deduplication asks the stored keys.
+Late rows are not lost: trend and surge keep additive counts per epoch (folded
+into one table every COMPACT epochs), deduplication asks the stored keys.  The
+silence of alerts is Spark's own keyed state with timers.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,8 +46,12 @@ def _paths(spark: SparkSession, name: str, out: str | None, checkpoint: str | No
     return out.rstrip("/"), checkpoint
 
 
-def _run(df: DataFrame, name: str, sink, checkpoint: str) -> None:
-    """Feed everything that has arrived to ``sink(batch, epoch)``."""
+COMPACT = 16    # epochs of counts that are folded into one table
+
+
+def _run(df: DataFrame, name: str, sink, checkpoint: str, mode: str = "append"):
+    """Feed everything that has arrived to ``sink(batch, epoch)``; the query,
+    which has ended."""
     def persisted(batch: DataFrame, epoch: int):
         batch = batch.persist()
         try:
@@ -53,9 +59,10 @@ def _run(df: DataFrame, name: str, sink, checkpoint: str) -> None:
         finally:
             batch.unpersist()
 
-    q = (df.writeStream.queryName(f"{name}_{uuid.uuid4().hex[:6]}").foreachBatch(persisted)
+    q = (df.writeStream.queryName(f"{name}_{uuid.uuid4().hex[:6]}").outputMode(mode).foreachBatch(persisted)
            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
+    return q
 
 
 def _epochs(spark: SparkSession, out: str) -> list[int]:
@@ -102,30 +109,51 @@ def run_counts(df: DataFrame, name: str, key: str, out: str | None = None, check
     out, checkpoint = _paths(df.sparkSession, name, out, checkpoint)
 
     def sink(batch: DataFrame, epoch: int):
-        sums = [F.sum(c).cast("long").alias(c) for c in batch.columns if c != key]
-        batch.groupBy(key).agg(*sums).write.mode("overwrite").parquet(f"{out}/_epoch={epoch}")
+        _summed(batch, key).write.mode("overwrite").parquet(f"{out}/_epoch={epoch}")
+        if epoch % COMPACT == COMPACT - 1:
+            whole = _summed(_counts_until(df.sparkSession, out, epoch), key)
+            whole.write.mode("overwrite").parquet(f"{out}/folded/_epoch={epoch}")
 
     _run(df, name, sink, checkpoint)
     return out
 
 
+def _summed(df: DataFrame, key: str) -> DataFrame:
+    return df.groupBy(key).agg(*[F.sum(c).cast("long").alias(c) for c in df.columns if c != key])
+
+
+def _counts_until(spark: SparkSession, out: str, epoch: int | None = None) -> DataFrame:
+    """The counts of all epochs up to ``epoch``: the newest folded table before
+    it and the epochs after that, fewer than 2 * COMPACT folders."""
+    past = [e for e in _epochs(spark, out) if epoch is None or e <= epoch]
+    whole = [e for e in _epochs(spark, f"{out}/folded") if epoch is None or e < epoch][-1:]
+    paths = [f"{out}/folded/_epoch={e}" for e in whole] + [f"{out}/_epoch={e}" for e in past if not whole or e > whole[0]]
+    return spark.read.parquet(*paths)
+
+
 def total_counts(spark: SparkSession, out: str, key: str) -> DataFrame:
     """The counts of all epochs by ``key``."""
-    df = spark.read.parquet(out).drop("_epoch")
-    return df.groupBy(key).agg(*[F.sum(c).cast("long").alias(c) for c in df.columns if c != key])
+    return _summed(_counts_until(spark, out), key)
 
 
 def run_dedup(posts: DataFrame, out: str | None = None, checkpoint: str | None = None, as_of=None) -> str:
-    """ST1: every batch through the batch job ``new_posts`` against the keys
-    stored so far: a key is taken once, however late or often it comes."""
-    from ..sources.ingest import new_posts
+    """ST1: of every key the first post, however late or often it comes; each
+    epoch writes its new posts.  The keys so far are a keyed table beside the
+    posts (``out`` + ``-keys``): a batch reads the keys of the buckets in which
+    a filter finds a likely match, and no earlier epoch's posts."""
+    from ..sources.ingest import KEY, first_rows
+    from ..sources.keyed import KeyedTable
     spark = posts.sparkSession
     out, checkpoint = _paths(spark, "dedup", out, checkpoint)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in posts.schema)
+    keys = KeyedTable(spark, f"{out}-keys")
 
     def sink(batch: DataFrame, epoch: int):
-        stored = _before(spark, out, epoch, schema)
-        new_posts(stored, batch, as_of).select(*batch.columns).write.mode("overwrite").parquet(f"{out}/_epoch={epoch}")
+        last = keys.mark()
+        if last is not None and epoch <= last:
+            return      # written before: the batch is tried again after its keys were stored
+        path = f"{out}/_epoch={epoch}"
+        keys.unknown(first_rows(None, batch, as_of)).select(*batch.columns).write.mode("overwrite").parquet(path)
+        keys.append(spark.read.parquet(path).select(*KEY), epoch)
 
     _run(posts, "dedup", sink, checkpoint)
     return out
@@ -263,29 +291,66 @@ class HeartbeatListener:
         return df.withColumn("ts", F.to_timestamp("ts_text").cast("timestamp_ntz")).drop("ts_text")
 
 
+def _fire(hours: dict):
+    """The state function of ``run_silenced_alerts``: the alerts of one key that
+    fire, in time order, on top of the key's last fired time."""
+    import numpy as np
+    import pandas as pd
+
+    def fire(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:       # silent for longer than its silence: any later alert fires anyway
+            state.remove()
+            return
+        silence = hours.get(key[0], 0) * 3_600_000_000
+        rows = [(p["t"].to_numpy(), p["id"].to_numpy()) for p in parts]
+        t, i = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
+        order = np.lexsort((i, t))
+        t, i = t[order], i[order]
+        last = state.get[0] if state.exists else None
+        at = 0 if last is None else int(np.searchsorted(t, last + silence, "right"))
+        fired = []
+        while at < len(t):          # one look-up a fired alert; of one time the smallest id
+            fired.append(at)
+            last = int(t[at])
+            at = int(np.searchsorted(t, last + silence, "right"))
+        if last is not None:
+            state.update((last,))
+            quiet = (last + silence) // 1000 + 1
+            state.setTimeoutTimestamp(max(quiet, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"id": i[fired], "alert_type": key[0], "related_topic_id": pd.array([key[1]] * len(fired), dtype="Int64"),
+                            "t": t[fired]})
+
+    return fire
+
+
 def run_silenced_alerts(candidates: DataFrame, silence_hours: dict, out: str | None = None,
-                        checkpoint: str | None = None) -> str:
-    """ST5: silence state per (alert_type, related_topic_id) across batches.
-
-    Each batch of candidates (id, alert_type, related_topic_id, created_at, ..)
-    is replayed in time order (``alerts.replay``) on top of the state, the
-    last fired time of every key; so the answer does not depend on how the
-    alerts are cut into files, as long as they come in time order.  An alert
-    older than its key's last firing came too late to fire.  Every epoch writes
-    its state, also without candidates; alerts go to ``out/alerts``."""
-    from ..operators.alerts import replay
+                        checkpoint: str | None = None, late: str = "1 hour") -> tuple[str, int]:
+    """ST5: the alerts that fire, with the silence of (alert_type,
+    related_topic_id) kept as Spark's keyed state: the last fired time of every
+    key, with a timer that ends it when the silence is over.  An epoch touches
+    only the keys of its batch.  Returns the folder of fired alerts (id,
+    alert_type, related_topic_id, created_at) and the number of keys in state.
+
+    Candidates (id, alert_type, related_topic_id, created_at) are taken batch by
+    batch, in a batch by time; the answer is that of one ``alerts.replay``
+    over all, however they are cut into files, as long as files come in time
+    order.  An alert older than its key's last firing, or than the watermark
+    (``late`` behind the newest alert of earlier batches), came too late to
+    fire.  A batch's alerts of one key meet in one task; ``maxFilesPerTrigger``
+    of the source bounds them."""
     spark = candidates.sparkSession
     out, checkpoint = _paths(spark, "silenced_alerts", out, checkpoint)
-    schema = "alert_type string, related_topic_id long, last timestamp_ntz"
+    t = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("created_at"))
+    rows = (candidates.select("id", "alert_type", "related_topic_id", t.alias("t"))
+                      .withColumn("event_time", F.timestamp_micros("t")).withWatermark("event_time", late))
+    fired = (rows.groupBy("alert_type", "related_topic_id")
+                 .applyInPandasWithState(_fire(dict(silence_hours)), "id long, alert_type string, related_topic_id long, t long",
+                                         "last long", "append", "EventTimeTimeout"))
 
     def sink(batch: DataFrame, epoch: int):
-        state = _before(spark, f"{out}/state", epoch, schema, newest=True)
-        path = f"{out}/alerts/_epoch={epoch}"
-        replay(batch, silence_hours, state).write.mode("overwrite").parquet(path)
-        fired = (spark.read.parquet(path).filter(~F.col("suppressed"))
-                      .select("alert_type", "related_topic_id", F.col("created_at").alias("last")))
-        (state.unionByName(fired).groupBy("alert_type", "related_topic_id").agg(F.max("last").alias("last"))
-              .write.mode("overwrite").parquet(f"{out}/state/_epoch={epoch}"))
-
-    _run(candidates, "silenced_alerts", sink, checkpoint)
-    return f"{out}/alerts"
+        (batch.withColumn("created_at", F.expr("timestampadd(MICROSECOND, t, TIMESTAMP_NTZ'1970-01-01 00:00:00')")).drop("t")
+              .write.mode("overwrite").parquet(f"{out}/alerts/_epoch={epoch}"))
+
+    q = _run(fired, "silenced_alerts", sink, checkpoint)
+    state = (q.lastProgress or {}).get("stateOperators") or [{}]
+    return f"{out}/alerts", int(state[0].get("numRowsTotal", 0))

@@ -605,10 +605,46 @@ def test_silence_state_across_epochs(spark, tmp_path):
     _files(spark, src + "/a", schema, first)
     ST.run_silenced_alerts(_feed(spark, src, schema), {"keyword_trigger": 1}, out, ck)
     _files(spark, src + "/b", schema, second)
-    path = ST.run_silenced_alerts(_feed(spark, src, schema), {"keyword_trigger": 1}, out, ck)
-    got = {r.id: r.suppressed for r in spark.read.parquet(path).collect()}
-    assert got == {3: False, 7: True, 9: True, 11: False, 12: True, 13: False}
-    assert len(ST._epochs(spark, out + "/state")) == 4
+    path, keys = ST.run_silenced_alerts(_feed(spark, src, schema), {"keyword_trigger": 1}, out, ck)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [3, 11, 13]    # 7 ties with 3, 9 and 12 are silenced
+    assert keys == 1
+
+
+def test_silence_state_equals_replay_and_ends_with_its_timer(spark, tmp_path):
+    """Many keys over several files: equal to one replay over all; a key whose
+    silence is over leaves the state."""
+    import random
+    from murmur.operators import alerts as AL
+    from murmur.streaming import streams as ST
+    r = random.Random(9)
+    t0 = dt.datetime(2024, 1, 1)
+    hours = {"keyword_trigger": 1, "topic_growth": 48}
+    rows = sorted([(i, r.choice(list(hours)), r.choice([None, 1, 2]), t0 + dt.timedelta(minutes=r.randrange(9000))) for i in range(600)],
+                  key=lambda x: x[3])
+    rows += [(900, "topic_growth", 7, t0 + dt.timedelta(days=30)), (901, "topic_growth", 7, t0 + dt.timedelta(days=31))]
+    schema = "id long, alert_type string, related_topic_id long, created_at timestamp_ntz"
+    src, out, ck = (str(tmp_path / x) for x in ("src", "out", "ck"))
+    _files(spark, src, schema, [rows[:200], rows[200:450], rows[450:600], rows[600:]])
+    path, keys = ST.run_silenced_alerts(_feed(spark, src, schema), hours, out, ck)
+    got = {x.id for x in spark.read.parquet(path).collect()}
+    want = {x.id for x in AL.replay(spark.createDataFrame(rows, schema), hours).collect() if not x.suppressed}
+    assert got == want and 50 < len(want) < 500
+    assert keys <= 2      # only the last key is still silent; the six before timed out
+
+
+def test_stream_counts_fold_their_epochs(spark, tmp_path, monkeypatch):
+    """Folding leaves the totals as they are and bounds the folders that are read."""
+    from murmur.streaming import streams as ST
+    monkeypatch.setattr(ST, "COMPACT", 2)
+    schema = "publish_time timestamp_ntz, sentiment int"
+    t0 = dt.datetime(2024, 1, 5, 10)
+    src, out, ck = (str(tmp_path / x) for x in ("src", "out", "ck"))
+    _files(spark, src, schema, [[(t0 + dt.timedelta(hours=k % 2), 1)] for k in range(5)])
+    ST.run_counts(ST.stream_trend(_feed(spark, src, schema), dt.datetime(2024, 1, 1)), "t", "hour", out, ck)
+    assert ST._epochs(spark, out + "/folded") == [1, 3]
+    got = {x.hour: x.total for x in ST.total_counts(spark, out, "hour").collect()}
+    assert got == {"2024-01-05 10:00:00": 3, "2024-01-05 11:00:00": 2}
+    assert len({f.split("/_epoch=")[1][0] for f in ST._counts_until(spark, out).inputFiles()}) == 2
 
 
 def test_posting_lists_far_longer_than_a_block(spark, monkeypatch):
