@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.timefmt import hours_before, minutes_before, percent_1dp, round_half_up, ts_lit
 from ..session import cut
+from .rolling import rolling_sums
 from .words import first_words, word_matches
 
 # Alert titles and message formats of the studied system.
@@ -333,22 +334,17 @@ def negative_surge_backtest(posts: DataFrame, window_minutes: int = 60, threshol
                             min_posts: int = 20) -> DataFrame:
     """The surge rule replayed at every minute.
 
-    Posts are pre-aggregated to one row per crawl minute, each minute row is
-    fanned out to the ``window_minutes`` windows ending at or after it, and
-    the windows are summed by their end minute: a hash-partitioned
-    aggregate, never a global ordered window.  One row per minute whose
-    trailing window holds an analysed post.
+    Posts are pre-aggregated to one row per crawl minute; the windows are
+    running totals of two signed rows a minute (``rolling_sums``), so the work
+    does not depend on the window's length.  One row per minute whose trailing
+    window holds an analysed post.
     """
     minute = F.date_trunc("minute", F.col("crawl_time")).cast("timestamp_ntz")
     per_min = (posts.filter(F.col("sentiment").isNotNull())
-                    .groupBy(minute.alias("m"))
-                    .agg(F.count(F.lit(1)).alias("n"),
-                         F.count_if(F.col("sentiment") == 0).cast("long").alias("neg")))
-    fan = per_min.select(
-        F.explode(F.sequence(F.lit(0), F.lit(window_minutes - 1))).alias("k"), "m", "n", "neg")
-    ends = fan.select(F.expr("timestampadd(MINUTE, k, m)").alias("minute"), "n", "neg")
-    out = ends.groupBy("minute").agg(F.sum("n").cast("long").alias("total"),
-                                     F.sum("neg").cast("long").alias("negative"))
+                    .groupBy(minute.alias("minute"))
+                    .agg(F.count(F.lit(1)).alias("total"),
+                         F.count_if(F.col("sentiment") == 0).cast("long").alias("negative")))
+    out = rolling_sums(per_min, window_minutes)
     ratio = F.col("negative") / F.col("total")
     return out.select("minute", "total", "negative", F.round(ratio, 6).alias("ratio"),
                       ((F.col("total") >= min_posts) & (ratio >= threshold)).alias("fires"))

@@ -1144,6 +1144,47 @@ def q_link_topics(spark, d):
     return TP.link_topics(posts, post_labels, assign)
 
 
+from ..operators import ledger as LG  # noqa: E402
+
+# Three runs over windows that overlap; the second one moves the liked posts to
+# the next topic.  A post belongs to the topic that the last run gave it.
+_RUNS = [("2024-01-01 00:00:00", "2024-01-12 00:00:00", False), ("2024-01-08 00:00:00", "2024-01-20 00:00:00", True),
+         ("2024-01-15 00:00:00", "2024-01-31 00:00:00", False)]
+_RUNS_SQL = " UNION ALL ".join(
+    f"SELECT {k} AS run, id, {'CASE WHEN likes >= 250 THEN (topic_id + 1) % 10 ELSE topic_id END' if moves else 'topic_id'} AS topic_id, "
+    f"sentiment, likes FROM posts_event WHERE crawl_time >= TIMESTAMP '{a}' AND crawl_time < TIMESTAMP '{b}'"
+    for k, (a, b, moves) in enumerate(_RUNS))
+
+
+@register("link_ledger", O.with_ctes(f"""
+SELECT topic_id, COUNT(*) AS post_count, round(COUNT(*) FILTER (WHERE sentiment = 1) / COUNT(*), 6) AS sentiment_ratio,
+       round(COUNT(*) * (1 + avg(likes) / 100.0), 4) AS heat_score
+FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY run DESC) AS rn FROM ({_RUNS_SQL})) WHERE rn = 1
+GROUP BY topic_id""", "posts_event"), scoped=True)
+def q_link_ledger(spark, d):
+    """The figures of every topic after three overlapping runs."""
+    posts, ledger = _E(spark, d), spark.createDataFrame([], LG.SCHEMA)
+    for k, (a, b, moves) in enumerate(_RUNS):
+        topic = F.when((F.col("likes") >= 250) & F.lit(moves), (F.col("topic_id") + 1) % 10).otherwise(F.col("topic_id"))
+        own = posts.filter((F.col("crawl_time") >= F.lit(a).cast("timestamp_ntz")) & (F.col("crawl_time") < F.lit(b).cast("timestamp_ntz")))
+        ledger = cut(ledger.unionByName(LG.link_changes(ledger, own.select("id", topic.alias("topic_id"), "sentiment", "likes"), k)))
+    return LG.topic_totals(ledger).select("topic_id", "post_count", F.round("sentiment_ratio", 6).alias("sentiment_ratio"),
+                                          F.round("heat_score", 4).alias("heat_score"))
+
+
+@register("surge_backtest_day", O.with_ctes("""
+SELECT e.minute, CAST(SUM(m.n) AS BIGINT) AS total, CAST(SUM(m.neg) AS BIGINT) AS negative,
+       round(SUM(m.neg) / SUM(m.n), 6) AS ratio, SUM(m.n) >= 20 AND SUM(m.neg) / SUM(m.n) >= 0.6 AS fires
+FROM (SELECT unnest(range((SELECT min(m) FROM mins), (SELECT max(m) FROM mins) + INTERVAL 1440 MINUTE, INTERVAL 1 MINUTE)) AS minute) e
+JOIN mins m ON m.m > e.minute - INTERVAL 1440 MINUTE AND m.m <= e.minute
+GROUP BY e.minute""", "posts_event", extra="""mins AS (
+  SELECT date_trunc('minute', crawl_time) AS m, COUNT(*) AS n, COUNT(*) FILTER (WHERE sentiment = 0) AS neg
+  FROM posts_event WHERE sentiment IS NOT NULL GROUP BY 1)"""))
+def q_surge_backtest_day(spark, d):
+    """W2 with a window of a day: as much work as with one of an hour."""
+    return AL.negative_surge_backtest(_E(spark, d), 1440, 0.6, 20)
+
+
 # --------------------------------------------------------------- streaming (ST*)
 
 from ..streaming import streams as ST  # noqa: E402

@@ -180,9 +180,8 @@ def stream_surge(posts: DataFrame) -> DataFrame:
 
 def surge_windows(per_minute: DataFrame, window_minutes: int = 60) -> DataFrame:
     """Counts of the ``window_minutes`` minutes that end with each minute."""
-    fan = per_minute.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(window_minutes - 1))))
-    ends = fan.select(F.expr("timestampadd(MINUTE, _k, minute)").alias("minute"), "total", "negative")
-    return ends.groupBy("minute").agg(F.sum("total").cast("long").alias("total"), F.sum("negative").cast("long").alias("negative"))
+    from ..operators.rolling import rolling_sums
+    return rolling_sums(per_minute, window_minutes)
 
 
 def live_feed(posts: DataFrame, buffer: int = 200, platform: str | None = None, sentiment: int | None = None,
