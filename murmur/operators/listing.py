@@ -50,23 +50,70 @@ def search_posts(posts: DataFrame, platform=None, sentiment=None, keyword=None,
 
     ``after``: (publish_time, id) of the last row that the reader has; the
     listing goes on behind it, and a task holds ``size`` rows however deep the
-    page is.  Pages counted from the start ask for the key of every page before.
+    page is.  A page counted from the start begins at the key that ``key_at``
+    finds from counts by hour, without a look at the pages before it.
     """
     f = search_filter(posts, platform, sentiment, keyword, start, end)
     newest = [F.col("publish_time").desc(), F.col("id").desc()]
-    for _ in range(int(page) - 1):
-        last = _after(f, after).select("publish_time", "id").orderBy(*newest).limit(size).tail(1)
-        if not last:
+    if int(page) > 1:
+        first = key_at(_after(f, after), (int(page) - 1) * size)
+        if first is None:
             return f.limit(0)
-        after = tuple(last[0])
+        return _after(f, first, inclusive=True).orderBy(*newest).limit(size)
     return _after(f, after).orderBy(*newest).limit(size)
 
 
-def _after(posts: DataFrame, after) -> DataFrame:
+def _after(posts: DataFrame, after, inclusive: bool = False) -> DataFrame:
+    """The posts behind the key ``after`` (from it on), newest first; those
+    without a publish time come last."""
     if after is None:
         return posts
-    t, i = ts_lit(after[0]), F.lit(int(after[1]))
-    return posts.filter((F.col("publish_time") < t) | ((F.col("publish_time") == t) & (F.col("id") < i)))
+    i = F.lit(int(after[1]))
+    behind = (F.col("id") <= i) if inclusive else (F.col("id") < i)
+    if after[0] is None:
+        return posts.filter(F.col("publish_time").isNull() & behind)
+    t = ts_lit(after[0])
+    return posts.filter((F.col("publish_time") < t) | ((F.col("publish_time") == t) & behind) | F.col("publish_time").isNull())
+
+
+SORTED = 100_000    # keys that are sorted to find one among them
+
+
+def hour_counts(posts: DataFrame) -> DataFrame:
+    """The page directory: (bucket, n), the posts of every hour of publish time.
+    Cut to a table it serves any number of pages of one listing."""
+    return _counts(posts, _LEVELS[0])
+
+
+# The order (publish_time desc, id desc) as whole numbers, from coarse to fine.
+_MICROS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', publish_time)"
+_LEVELS = [f"{_MICROS} div 3600000000", f"{_MICROS} div 1000000", _MICROS, "id div 65536"]
+
+
+def _counts(posts: DataFrame, level: str) -> DataFrame:
+    return posts.groupBy(F.expr(level).cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def key_at(posts: DataFrame, skip: int, directory: DataFrame | None = None, small: int = SORTED):
+    """(publish_time, id) of the post that ``skip`` others come before, newest
+    first, or None.  Counts by hour tell the hour it is in and its place there;
+    an hour of more than ``small`` posts is counted by second, time and id range
+    in turn, so only that many keys are ever sorted."""
+    left, own = int(skip), posts.select("publish_time", "id")
+    for k, level in enumerate(_LEVELS):
+        counts = directory if k == 0 and directory is not None else _counts(own, level)
+        newest = Window.orderBy(F.col("bucket").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)    # a row a bucket
+        row = (counts.withColumn("upto", F.sum("n").over(newest)).filter(F.col("upto") > left)
+                     .orderBy("upto").select("bucket", "n", "upto").limit(1).collect())
+        if not row:
+            return None
+        bucket, n, upto = row[0]
+        left -= upto - n
+        own = own.filter(F.expr(level).cast("long").eqNullSafe(F.lit(bucket).cast("long")))
+        if n <= small:
+            break
+    found = own.orderBy(F.col("publish_time").desc(), F.col("id").desc()).offset(left).limit(1).collect()
+    return tuple(found[0]) if found else None
 
 
 def pending(posts: DataFrame, limit: int = 64) -> DataFrame:

@@ -171,6 +171,15 @@ def q_search_posts(spark, d):
                           page=2, size=20).select(*_SEARCH_COLS)
 
 
+@register("deep_page", O.with_ctes("""
+SELECT id, platform, author, publish_time, sentiment FROM posts_event
+ORDER BY publish_time DESC, id DESC LIMIT 20 OFFSET (SELECT COUNT(*) // 40 * 20 FROM posts_event)""", "posts_event"))
+def q_deep_page(spark, d):
+    """The page in the middle of all event posts, by the page directory."""
+    posts = _E(spark, d)
+    return L.search_posts(posts, page=posts.count() // 40 + 1, size=20).select(*_SEARCH_COLS)
+
+
 @register("post_page", O.with_ctes("""
 SELECT id, platform, author, publish_time, sentiment FROM posts_doc
 ORDER BY publish_time DESC, id DESC LIMIT 20 OFFSET 40""", "posts_doc"))
@@ -1185,6 +1194,20 @@ def q_surge_backtest_day(spark, d):
     return AL.negative_surge_backtest(_E(spark, d), 1440, 0.6, 20)
 
 
+from ..operators import textindex as TI  # noqa: E402
+
+SEARCH_WORDS = ["The", "password", "tion is", "ñ", "zu", "no such words", "e"]
+
+
+@register("search_indexed", O.with_ctes(f"""
+SELECT k.keyword, p.id FROM posts_doc p, (SELECT unnest({SEARCH_WORDS}) AS keyword) k
+WHERE contains(lower(p.content), lower(k.keyword))""", "posts_doc"), scoped=True)
+def q_search_indexed(spark, d):
+    """substring search through the gram index of all posts."""
+    index = TI.build_text_index(_D(spark, d), scratch_path(spark, "grams"))
+    return TI.search_indexed(index, spark.createDataFrame([(w,) for w in SEARCH_WORDS], "keyword string"))
+
+
 # --------------------------------------------------------------- streaming (ST*)
 
 from ..streaming import streams as ST  # noqa: E402
