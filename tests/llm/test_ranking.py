@@ -134,7 +134,7 @@ def search_case(seed, n=400, vocabulary=60):
     return docs, [(i, pick(r.randint(0, 90))) for i in range(25)]
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 40])
+@pytest.mark.parametrize("block_bytes", [1 << 20, 700])
 def test_ranked_search_equals_brute_force(spark, block_bytes, monkeypatch):
     docs, items = search_case(5)
     monkeypatch.setattr(lexical, "EVALUATE", 3)
