@@ -119,16 +119,27 @@ def surge_candidates(posts: DataFrame, rules: DataFrame, as_of) -> DataFrame:
     """L1 for every rule (rule_id, silence_hours, threshold, min_posts,
     window_hours): one alert row when, among posts crawled in the window,
     analysed posts >= ``min_posts`` and the negative share >= ``threshold``.
+    Where rules have ``baseline_hours`` and ``baseline_threshold`` (null: no
+    condition), the share must also exceed that of the ``baseline_hours`` before
+    the window by the threshold; without analysed posts there, nothing is exceeded.
     One pass over the posts, counted by hour back, serves all rules."""
-    recent = posts.filter(F.col("crawl_time") >= hours_before(as_of, _widest(rules, "window_hours")))
+    baseline = "baseline_hours" in rules.columns
+    if not baseline:
+        rules = rules.withColumn("baseline_hours", F.lit(None).cast("int")).withColumn("baseline_threshold", F.lit(None).cast("double"))
+    rules = rules.withColumn("_reach", F.col("window_hours") + F.coalesce("baseline_hours", F.lit(0)))
+    recent = posts.filter(F.col("crawl_time") >= hours_before(as_of, _widest(rules, "_reach")))
     per = (recent.groupBy(_hours_back("crawl_time", as_of).alias("_h"))
                  .agg(F.count_if(F.col("sentiment").isNotNull()).alias("n"), F.count_if(F.col("sentiment") == 0).alias("neg")))
-    names = ["rule_id", "silence_hours", "threshold", "min_posts", "window_hours"]
-    agg = (per.join(_per_hour_of(rules, "window_hours"), "_h").groupBy(*names)
-              .agg(F.sum("n").cast("long").alias("total_posts"), F.sum("neg").cast("long").alias("negative_posts")))
+    names = ["rule_id", "silence_hours", "threshold", "min_posts", "window_hours", "baseline_threshold"]
+    own = F.col("_h") <= F.col("window_hours")
+    total = lambda c, when: F.sum(F.when(when, F.col(c)).otherwise(0)).cast("long")
+    agg = (per.join(_per_hour_of(rules, "_reach"), "_h").groupBy(*names)
+              .agg(total("n", own).alias("total_posts"), total("neg", own).alias("negative_posts"),
+                   total("n", ~own).alias("_bn"), total("neg", ~own).alias("_bneg")))
     ratio = F.col("negative_posts") / F.col("total_posts")
+    rises = F.col("baseline_threshold").isNull() | ((F.col("_bn") > 0) & (ratio - F.col("_bneg") / F.nullif("_bn", F.lit(0)) >= F.col("baseline_threshold")))
     fired = agg.filter((F.col("total_posts") > 0) & (F.col("total_posts") >= F.col("min_posts"))
-                       & (ratio >= F.col("threshold")))
+                       & (ratio >= F.col("threshold"))).filter(rises)
     pct = percent_1dp(ratio)
     return fired.select(
         F.lit("negative_surge").alias("alert_type"),
@@ -147,11 +158,12 @@ def surge_candidates(posts: DataFrame, rules: DataFrame, as_of) -> DataFrame:
         ts_lit(as_of).alias("created_at"), "rule_id", "silence_hours")
 
 
-def negative_surge(posts: DataFrame, as_of, threshold: float = 0.6, min_posts: int = 20,
-                   window_hours: int = 1) -> DataFrame:
-    """L1 for one rule given by its values."""
-    rule = posts.sparkSession.createDataFrame([(0, 0, float(threshold), min_posts, window_hours)],
-                                              "rule_id long, silence_hours int, threshold double, min_posts long, window_hours int")
+def negative_surge(posts: DataFrame, as_of, threshold: float = 0.6, min_posts: int = 20, window_hours: int = 1,
+                   baseline_hours: int | None = None, baseline_threshold: float | None = None) -> DataFrame:
+    """L1 for one rule given by its values; the baseline condition is off unless given."""
+    rule = posts.sparkSession.createDataFrame(
+        [(0, 0, float(threshold), min_posts, window_hours, baseline_hours, baseline_threshold)],
+        "rule_id long, silence_hours int, threshold double, min_posts long, window_hours int, baseline_hours int, baseline_threshold double")
     return surge_candidates(posts, rule, as_of).drop("rule_id", "silence_hours")
 
 
@@ -353,23 +365,25 @@ def negative_surge_backtest(posts: DataFrame, window_minutes: int = 60, threshol
 # -------------------------------------------------------------- dispatch
 
 def evaluate_rules(posts: DataFrame, topics: DataFrame, rules: DataFrame, prior: DataFrame | None,
-                   as_of, keyword_lookback_minutes: int = 5, null_safe: bool = True) -> DataFrame:
+                   as_of, keyword_lookback_minutes: int = 5, null_safe: bool = True, baseline: bool = False) -> DataFrame:
     """L4: every enabled rule, one pass over the posts per rule type, silenced
     by the rule's own hours against ``prior`` alerts and by earlier alerts of the
     same run: all candidates carry the run time, so of the candidates of one
     (type, topic) key that no prior alert silences, only the first by rule and
     source (post id, topic id) fires -- found with a per-key ``min``.
     ``null_safe=False`` reproduces the original, where a NULL topic never
-    silences anything."""
+    silences anything; ``baseline=True`` applies the baseline that surge rules
+    configure, which the original reads and never uses."""
     r = cut(parse_rules(rules))
 
     def of(kind, **fields):
         return (r.filter(F.col("rule_type") == kind)
                  .select("rule_id", "silence_hours", *[F.col(f"{kind}.{f}").cast(t).alias(n) for n, (f, t) in fields.items()]))
 
+    extra = {"baseline_hours": ("baselineHours", "int"), "baseline_threshold": ("baselineThreshold", "double")} if baseline else {}
     frames = [
         surge_candidates(posts, of("negative_surge", threshold=("negativeRatioThreshold", "double"),
-                                   min_posts=("minPostCount", "long"), window_hours=("windowHours", "int")), as_of),
+                                   min_posts=("minPostCount", "long"), window_hours=("windowHours", "int"), **extra), as_of),
         keyword_candidates(posts, of("keyword_trigger", words=("sensitiveWords", "array<string>")), as_of,
                            keyword_lookback_minutes),
         growth_candidates(topics, posts, of("topic_growth", rate=("growthRateThreshold", "double"),

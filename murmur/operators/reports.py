@@ -77,13 +77,15 @@ def negative_ratio(posts: DataFrame, hours: int, as_of) -> DataFrame:
 
 
 def topic_growth(topics: DataFrame, posts: DataFrame, hours: int, as_of,
-                 min_previous: int = 5) -> DataFrame:
-    """Per active topic, posts crawled since the cutoff vs all earlier posts.
+                 min_previous: int = 5, equal_window: bool = False) -> DataFrame:
+    """Per active topic, posts crawled since the cutoff vs all earlier posts
+    (``equal_window``: vs those of the window of ``hours`` before the cutoff).
 
     Posts are pre-aggregated per topic before meeting the (much smaller)
     topics table, replacing the reference's two COUNT queries per topic.
     """
     cutoff = hours_before(as_of, hours)
+    posts = posts.filter(F.col("crawl_time") >= hours_before(as_of, 2 * hours)) if equal_window else posts
     counts = (posts.filter(F.col("topic_id").isNotNull())
                    .groupBy("topic_id")
                    .agg(_cnt(F.col("crawl_time") >= cutoff).alias("current_count"),

@@ -11,10 +11,9 @@ from collections.abc import Callable
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import HashingTF, IDF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
@@ -49,14 +48,37 @@ def train(labelled: DataFrame, text_col: str = "content", label_col: str = "labe
     return build_pipeline(label_col).fit(with_tokens(data, text_col))
 
 
+SCORE_BINS = 1024
+
+
+def binary_metrics(pred: DataFrame, label_col: str = "label", score_col: str = "score", class_col: str = "prediction") -> DataFrame:
+    """M3: exact area under ROC, accuracy and size of predictions (label 0/1,
+    score in [0, 1], predicted class), one row; auc is null without both labels.
+
+    The area is the share of (positive, negative) pairs in which the positive
+    has the larger score, equal ones counting half: a running count of
+    negatives over the distinct scores, taken inside score bins of equal width
+    that each start from the count of the bins below (SCORE_BINS rows)."""
+    own = cut(pred.select(F.col(label_col).cast("int").alias("y"), F.col(score_col).cast("double").alias("s"),
+                          (F.col(class_col).cast("int") == F.col(label_col).cast("int")).cast("int").alias("hit")))
+    by = (own.groupBy("s").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
+          .withColumn("bin", F.least(F.floor(F.col("s") * SCORE_BINS), F.lit(SCORE_BINS - 1)).cast("int")))
+    under = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = by.groupBy("bin").agg(F.sum("neg").alias("n")).select("bin", F.coalesce(F.sum("n").over(under), F.lit(0)).alias("_below"))
+    inside = Window.partitionBy("bin").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    won = (by.withColumn("_in", F.coalesce(F.sum("neg").over(inside), F.lit(0))).join(bins, "bin")
+           .agg(F.sum(F.col("pos") * (F.col("_below") + F.col("_in") + F.col("neg") / 2)).alias("won"),
+                F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
+    size = own.agg(F.avg("hit").alias("accuracy"), F.count(F.lit(1)).alias("n_test"))
+    return (won.crossJoin(size)     # one row each
+               .select((F.col("won") / F.nullif(F.col("pos") * F.col("neg"), F.lit(0))).alias("auc"), "accuracy", "n_test"))
+
+
 def evaluate(model: PipelineModel, test: DataFrame, text_col: str = "content", label_col: str = "label") -> DataFrame:
     """M3: area under ROC, accuracy and size of a held-out set, one row."""
     labelled = with_tokens(test.withColumn(label_col, F.col(label_col).cast("double")), text_col)
-    pred = cut(model.transform(labelled).select(label_col, "rawPrediction", "prediction"))
-    auc = BinaryClassificationEvaluator(rawPredictionCol="rawPrediction", labelCol=label_col,
-                                        metricName="areaUnderROC").evaluate(pred)
-    return pred.agg(F.lit(auc).alias("auc"), F.avg((F.col("prediction") == F.col(label_col)).cast("double")).alias("accuracy"),
-                    F.count(F.lit(1)).alias("n_test"))
+    pred = model.transform(labelled).select(F.col(label_col).alias("label"), vector_to_array("probability")[1].alias("score"), "prediction")
+    return binary_metrics(pred)
 
 
 def model_scorer(model: PipelineModel, text_col: str = "content") -> Callable[[DataFrame], DataFrame]:

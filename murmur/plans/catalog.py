@@ -615,6 +615,34 @@ def q_alert_negative_surge(spark, d):
     return a.select("alert_type", "severity", "total_posts", "negative_posts", "negative_ratio")
 
 
+@register("alert_surge_baseline", O.with_ctes("""
+SELECT total_posts, negative_posts FROM (
+  SELECT COUNT(sentiment) FILTER (WHERE now) AS total_posts, COUNT(*) FILTER (WHERE now AND sentiment = 0) AS negative_posts,
+         COUNT(sentiment) FILTER (WHERE NOT now) AS bn, COUNT(*) FILTER (WHERE NOT now AND sentiment = 0) AS bneg
+  FROM (SELECT sentiment, crawl_time >= TIMESTAMP '2024-01-29 12:00:00' AS now FROM posts_event
+        WHERE crawl_time >= TIMESTAMP '2024-01-26 12:00:00'))
+WHERE total_posts >= 5 AND negative_posts / total_posts >= 0.3 AND bn > 0
+  AND negative_posts / total_posts - bneg / bn >= -0.1""", "posts_event"))
+def q_alert_surge_baseline(spark, d):
+    """L1 with its optional condition: the last day against the three days before."""
+    a = AL.negative_surge(_E(spark, d), AS_OF, threshold=0.3, min_posts=5, window_hours=24, baseline_hours=72, baseline_threshold=-0.1)
+    return a.select("total_posts", "negative_posts")
+
+
+@register("topic_growth_equal", O.with_ctes("""
+SELECT t.id AS topic_id, c.current_count, c.previous_count, round(c.current_count / c.previous_count, 6) AS growth
+FROM hot_topics t
+JOIN (SELECT topic_id, COUNT(*) FILTER (WHERE crawl_time >= TIMESTAMP '2024-01-25 12:00:00') AS current_count,
+             COUNT(*) FILTER (WHERE crawl_time < TIMESTAMP '2024-01-25 12:00:00') AS previous_count
+      FROM posts_event WHERE topic_id IS NOT NULL AND crawl_time >= TIMESTAMP '2024-01-20 12:00:00' GROUP BY topic_id) c ON c.topic_id = t.id
+WHERE t.status = 'active' AND t.last_updated >= TIMESTAMP '2024-01-25 12:00:00'
+  AND t.first_seen IS NOT NULL AND c.previous_count >= 5""", "hot_topics"))
+def q_topic_growth_equal(spark, d):
+    """A8 with the window of equal length: five days against the five before."""
+    g = R.topic_growth(TB.hot_topics(spark, d), _E(spark, d), 120, AS_OF, equal_window=True)
+    return g.select("topic_id", "current_count", "previous_count", F.round("growth", 6).alias("growth"))
+
+
 @register("alert_topic_growth", O.with_ctes("""
 SELECT topic_id, CASE WHEN g >= 1 + 2 * 0.6 THEN 'critical' ELSE 'warning' END AS severity,
        current_count, previous_count, floor(g * 100 + 0.5) / 100 AS growth_rate
@@ -1005,6 +1033,19 @@ def q_topic_metrics(spark, d):
                     F.round("heat_score", 6).alias("heat_score"))
 
 
+@register("topic_heat_decay", O.with_ctes("""
+SELECT topic_id, COUNT(*) AS post_count,
+       round(COUNT(*) * (1 + avg(coalesce(likes, 0)) / 100.0)
+             * pow(0.5, greatest(date_diff('second', date_trunc('second', max(crawl_time)), TIMESTAMP '2024-01-30 12:00:00') / 3600.0, 0) / 24.0), 3) AS heat_score
+FROM posts_event WHERE topic_id IS NOT NULL AND crawl_time < TIMESTAMP '2024-01-30 12:00:00' GROUP BY topic_id""", "posts_event"))
+def q_topic_heat_decay(spark, d):
+    """A7 with its documented time decay: heat halves with every day of silence."""
+    own = _E(spark, d).filter(F.col("topic_id").isNotNull() & (F.col("crawl_time") < F.lit("2024-01-30 12:00:00").cast("timestamp_ntz")))
+    own = own.withColumn("crawl_time", F.date_trunc("second", "crawl_time").cast("timestamp_ntz"))
+    m = TP.topic_metrics(own, "topic_id", AS_OF, 24.0)
+    return m.select("topic_id", "post_count", F.round("heat_score", 3).alias("heat_score"))
+
+
 @register("topic_trend", O.with_ctes("""
 SELECT topic_id, hour, ratio FROM (
   SELECT topic_id, hour, ratio, row_number() OVER (PARTITION BY topic_id ORDER BY hour DESC) AS rn
@@ -1374,6 +1415,20 @@ def q_decide(spark, d):
     return x.select("id", "_d.sentiment", F.round(F.col("_d.sentiment_score").cast("double"), 4).alias("sentiment_score"))
 
 
+@register("eval_fixed", O.with_ctes("""
+SELECT (SELECT SUM(CASE WHEN a.s > b.s THEN 1.0 WHEN a.s = b.s THEN 0.5 ELSE 0 END) / COUNT(*) FROM p a, p b WHERE a.y = 1 AND b.y = 0) AS auc,
+       (SELECT avg(CASE WHEN c = y THEN 1.0 ELSE 0.0 END) FROM p) AS accuracy, (SELECT COUNT(*) FROM p) AS n_test""", "posts_doc", extra="""
+p AS (SELECT sentiment AS y, (length(content) % 10) / 10.0::DOUBLE AS s,
+             CASE WHEN (length(content) % 10) / 10.0::DOUBLE > 1 - (length(content) % 10) / 10.0::DOUBLE THEN 1 ELSE 0 END AS c
+      FROM posts_doc WHERE sentiment IS NOT NULL)"""))
+def q_eval_fixed(spark, d):
+    """M3: area under ROC and accuracy of the scorer of fixed weights over all
+    labelled posts, ties included."""
+    p = (F.length("content") % 10) / 10.0
+    pred = _labelled(spark, d).select("label", p.alias("score"), F.when(p > 1 - p, 1).otherwise(0).alias("prediction"))
+    return SC.binary_metrics(pred)
+
+
 # ------------------------------------------------------------- html pages
 
 from ..sources import html as H  # noqa: E402
@@ -1424,6 +1479,38 @@ def q_stream_score(spark, d):
     return spark.read.parquet(ST.run_scoring(posts, SC.model_scorer(model))).drop("_epoch")
 
 
+@register("stream_score_fixed", O.with_ctes(f"""
+SELECT id, {_FIXED}, CASE WHEN length(content) % 50 = 7 THEN 2 ELSE 1 END AS analyze_status FROM posts_event""", "posts_event"))
+def q_stream_score_fixed(spark, d):
+    """ST2 with the scorer of fixed weights: the events in several files, at
+    least eight posts a batch."""
+    posts = _event_feed(spark, d).select("id", "content")
+    out = spark.read.parquet(ST.run_scoring(posts, SC.function_scorer(_fixed_weights), min_batch=8)).drop("_epoch")
+    return out.select("id", "sentiment", F.round(F.col("sentiment_score").cast("double"), 4).alias("sentiment_score"), "analyze_status")
+
+
+@register("stream_heartbeat_rows", """
+SELECT 'stream_trend' AS module_name, 'healthy' AS status, COUNT(*) AS rows FROM events""")
+def q_stream_heartbeat_rows(spark, d):
+    """ST8: the beats of the trend stream over several files name every row once."""
+    from datetime import timedelta
+    hb, trend = ST.HeartbeatListener(), ST.stream_trend(_event_feed(spark, d), AS_OF - timedelta(hours=168))
+    spark.streams.addListener(hb.listener)
+    try:
+        ST.run_counts(trend, "stream_trend", "hour")
+        told = -1
+        for _ in range(100):        # progress events arrive on the listener's own thread
+            if hb.beats and len(hb.beats) == told:
+                break
+            told = len(hb.beats)
+            time.sleep(0.5)
+    finally:
+        spark.streams.removeListener(hb.listener)
+    rows = F.get_json_object("metadata", "$.rows").cast("long")
+    name = F.regexp_replace("module_name", "_[0-9a-f]{6}$", "")
+    return (hb.frame(spark).groupBy(name.alias("module_name"), "status").agg(F.sum(rows).alias("rows")))
+
+
 @register("stream_heartbeats")
 def q_stream_heartbeats(spark, d):
     """ST8 + A11: heartbeats from the progress of the trend stream, folded to

@@ -49,9 +49,10 @@ def _paths(spark: SparkSession, name: str, out: str | None, checkpoint: str | No
 COMPACT = 16    # epochs of counts that are folded into one table
 
 
-def _run(df: DataFrame, name: str, sink, checkpoint: str, mode: str = "append"):
+def _run(df: DataFrame, name: str, sink, checkpoint: str, mode: str = "append", every: str | None = None):
     """Feed everything that has arrived to ``sink(batch, epoch)``; the query,
-    which has ended."""
+    which has ended.  ``every`` (such as ``30 seconds``): go on with a batch at
+    that interval; the query, which runs until it is stopped."""
     def persisted(batch: DataFrame, epoch: int):
         batch = batch.persist()
         try:
@@ -59,8 +60,11 @@ def _run(df: DataFrame, name: str, sink, checkpoint: str, mode: str = "append"):
         finally:
             batch.unpersist()
 
-    q = (df.writeStream.queryName(f"{name}_{uuid.uuid4().hex[:6]}").outputMode(mode).foreachBatch(persisted)
-           .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    w = (df.writeStream.queryName(f"{name}_{uuid.uuid4().hex[:6]}").outputMode(mode).foreachBatch(persisted)
+           .option("checkpointLocation", checkpoint))
+    if every is not None:
+        return w.trigger(processingTime=every).start()
+    q = w.trigger(availableNow=True).start()
     q.awaitTermination()
     return q
 
@@ -243,17 +247,37 @@ def run_keyword_alerts(posts: DataFrame, words: DataFrame, lookback_minutes: int
     return out
 
 
-def run_scoring(posts: DataFrame, score, top_n: int = 5, out: str | None = None, checkpoint: str | None = None) -> str:
-    """ST2: every batch of posts through the analysis job: ``score`` (see
-    ``operators.score``) and the top keywords."""
+def run_scoring(posts: DataFrame, score, top_n: int = 5, out: str | None = None, checkpoint: str | None = None,
+                min_batch: int = 1, limit: int | None = None, every: str | None = None):
+    """ST2: posts through the analysis job as they come: ``score`` (see
+    ``operators.score``) and the top keywords; returns the folder (with
+    ``every``: the folder and the running query).
+
+    As the polling loop did: while fewer than ``min_batch`` posts wait, nothing
+    is scored, and at most ``limit`` are scored at a time, the oldest ids first.
+    Those that wait are kept in ``out`` + ``-waiting``, one folder an epoch, and
+    join the next batch; a restart goes on with them."""
     from ..operators.score import analyse
-    out, checkpoint = _paths(posts.sparkSession, "score", out, checkpoint)
+    spark = posts.sparkSession
+    out, checkpoint = _paths(spark, "score", out, checkpoint)
+    schema = "id long, content string"
 
     def sink(batch: DataFrame, epoch: int):
-        analyse(batch.select("id", "content"), score, top_n).write.mode("overwrite").parquet(f"{out}/_epoch={epoch}")
-
-    _run(posts, "score", sink, checkpoint)
-    return out
+        waiting = _before(spark, f"{out}-waiting", epoch, schema, newest=True)
+        own = batch.select(F.col("id").cast("long").alias("id"), "content").unionByName(waiting)
+        few = min_batch > 1 and own.limit(min_batch).count() < min_batch
+        now = own.limit(0) if few else own if limit is None else own.orderBy("id").limit(limit)
+        if few or limit is not None:
+            now = now.persist()
+            rest = own if few else own.join(now.select("id"), "id", "left_anti")
+            rest.write.mode("overwrite").parquet(f"{out}-waiting/_epoch={epoch}")
+        elif min_batch > 1:
+            own.limit(0).write.mode("overwrite").parquet(f"{out}-waiting/_epoch={epoch}")
+        analyse(now, score, top_n).write.mode("overwrite").parquet(f"{out}/_epoch={epoch}")
+        now.unpersist()
+
+    q = _run(posts, "score", sink, checkpoint, every=every)
+    return out if every is None else (out, q)
 
 
 class HeartbeatListener:

@@ -52,13 +52,13 @@ def test_every_page_starts_at_its_key(spark, monkeypatch):
     rows = [(i * 40_000 + r.randint(0, 9), r.choice(times), "text") for i in range(90)]
     df = spark.createDataFrame(rows, "id long, publish_time timestamp_ntz, content string").repartition(3)
     want = sorted(rows, key=lambda x: (x[1] is not None, x[1] or t0, x[0]), reverse=True)
-    for small in (1, 5, 1000):
+    for small in (1, 1000):
         directory = L.hour_counts(df).cache()
-        for skip in (0, 1, 17, 44, 73, 89):
+        for skip in (0, 44, 89):
             assert L.key_at(df, skip, directory, small) == (want[skip][1], want[skip][0])
         assert L.key_at(df, 90, small=small) is None
     monkeypatch.setattr(L, "SORTED", 3)
-    for page in (1, 2, 5, 9, 10):
+    for page in (1, 5, 9, 10):
         got = [x.id for x in L.search_posts(df, page=page, size=10).collect()]
         assert got == [x[0] for x in want[(page - 1) * 10: page * 10]]
     assert [x.id for x in L.search_posts(df, keyword="TEXT", page=2, size=7, after=(want[9][1], want[9][0])).collect()] == [x[0] for x in want[17:24]]
