@@ -10,8 +10,9 @@ classes is split by hash.  Every row is indexed.
 Range search (``similar_vectors``) is exact: by the triangle inequality on the
 sphere, a vector within angle phi of a query whose angle to the centroid is
 theta lies in the rings from theta - phi to theta + phi, and only those are
-asked.  Nearest-neighbour search (``nearest_vectors``) asks the cells nearest
-to the query; how many is not guessed but measured (``probes_for``): true
+asked.  ``exact_neighbours`` finds the k nearest the same way, phi being the
+angle to the k-th best of the nearest cells.  Approximate search
+(``nearest_vectors``) asks the cells nearest to the query alone; how many is not guessed but measured (``probes_for``): true
 neighbours of a bounded sample of queries are found by brute force over all
 rows, and the least number of cells that holds the wanted share of them is used.
 
@@ -126,8 +127,9 @@ def build_index(classes: DataFrame, cells: int | None = None, sample: int = SAMP
 # ----------------------------------------------------------------------- search
 
 def _asked_rings(queries: DataFrame, index: Index, reach: float | None, probes: int | None) -> DataFrame:
-    """(qid, u, cell, ring) for queries (qid, u): within the angle ``reach``, or
-    all rings of the ``probes`` nearest cells."""
+    """(qid, cell, ring, piece) for queries (qid, u): what lies within the angle
+    ``reach`` (None: of every query its own, from its column ``least``, the
+    cosine of that angle), or all rings of the ``probes`` nearest cells."""
     centre = index.centre
     last = int(math.pi / RING) + 1
 
@@ -138,8 +140,9 @@ def _asked_rings(queries: DataFrame, index: Index, reach: float | None, probes:
                 a = _angles(_as_matrix(part.column("u")), centre)
                 if probes is None:
                     q, cell = np.nonzero(np.ones_like(a, dtype=bool))
-                    low = np.floor((a[q, cell] - reach - SLACK) / RING).clip(0)
-                    high = np.floor((a[q, cell] + reach + SLACK) / RING).clip(0, last)
+                    own = np.arccos(np.clip(part.column("least").to_numpy(), -1.0, 1.0))[q] if reach is None else reach
+                    low = np.floor((a[q, cell] - own - SLACK) / RING).clip(0)
+                    high = np.floor((a[q, cell] + own + SLACK) / RING).clip(0, last)
                 else:
                     near = np.argsort(a, axis=1, kind="stable")[:, :probes]
                     q, cell = np.repeat(np.arange(len(a)), near.shape[1]), near.ravel()
@@ -190,12 +193,13 @@ def similar_vectors(index: Index, threshold: float, block: int = BLOCK) -> DataF
     return found.filter("qid <> uid")
 
 
-def nearest_vectors(index: Index, k: int, probes: int, block: int = BLOCK) -> DataFrame:
-    """(qid, rank, uid, mult, cosine): for every asking class the ``k`` other
-    classes with the largest cosine (equal ones by uid) in the ``probes`` cells
-    nearest to it; with as many probes as cells, of all."""
-    queries = _queries(index)
+def _best(found: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("qid").orderBy(F.desc("cosine"), "uid")
+    return (found.filter("qid <> uid").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+            .select("qid", "rank", "uid", "mult", "cosine"))
 
+
+def _take_nearest(k: int):
     def take(cos, uid):
         if cos.shape[1] <= k + 1:
             return np.nonzero(np.ones_like(cos, dtype=bool))
@@ -207,10 +211,27 @@ def nearest_vectors(index: Index, k: int, probes: int, block: int = BLOCK) -> Da
         at = np.arange(len(q)) - np.repeat(start, np.diff(np.append(start, len(q))))
         return q[at <= k], x[at <= k]
 
-    found = _products(queries, index, _asked_rings(queries, index, None, probes), take, block).filter("qid <> uid")
-    w = Window.partitionBy("qid").orderBy(F.desc("cosine"), "uid")
-    return (found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-            .select("qid", "rank", "uid", "mult", "cosine"))
+    return take
+
+
+def nearest_vectors(index: Index, k: int, probes: int, block: int = BLOCK) -> DataFrame:
+    """(qid, rank, uid, mult, cosine): for every asking class the ``k`` other
+    classes with the largest cosine (equal ones by uid) in the ``probes`` cells
+    nearest to it; with as many probes as cells, of all."""
+    queries = _queries(index)
+    return _best(_products(queries, index, _asked_rings(queries, index, None, probes), _take_nearest(k), block), k)
+
+
+def exact_neighbours(index: Index, k: int, probes: int = 1, block: int = BLOCK) -> DataFrame:
+    """``nearest_vectors`` over all classes: the k-th best of the ``probes``
+    nearest cells bounds how far away the true neighbours can be, and only the
+    rings within that angle are asked."""
+    first = cut(nearest_vectors(index, k, probes, block))
+    bound = (first.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.min("cosine").alias("c"))
+             .select("qid", F.when(F.col("n") >= k, F.col("c")).otherwise(F.lit(-1.0)).alias("least")))
+    queries = cut(_queries(index).join(bound, "qid", "left").select("qid", "u", F.coalesce("least", F.lit(-1.0)).alias("least")))
+    asked = _asked_rings(queries, index, None, None)
+    return _best(_products(queries.select("qid", "u"), index, asked, _take_nearest(k), block), k)
 
 
 def true_neighbours(index: Index, k: int, sample: int = PROBE_SAMPLE) -> DataFrame:

@@ -1563,13 +1563,15 @@ def _embedding_index(spark, d):
 
 
 @register("embedding_pairs", f"""WITH {_CLASSES}
-SELECT a.uid AS query_id, b.uid AS vec_id, b.mult AS copies, round(list_cosine_similarity(a.e, b.e), 6) AS similarity
-FROM classes a JOIN classes b ON a.uid <> b.uid AND list_cosine_similarity(a.e, b.e) >= 0.25
-WHERE a.asks""", scoped=True)
+SELECT query_id, rank, vec_id, copies, round(s, 6) AS similarity
+FROM (SELECT query_id, vec_id, copies, s, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS INT) AS rank
+      FROM (SELECT a.uid AS query_id, b.uid AS vec_id, b.mult AS copies, list_cosine_similarity(a.e, b.e) AS s
+            FROM classes a JOIN classes b ON a.uid <> b.uid WHERE a.asks))
+WHERE rank <= 10""", scoped=True)
 def q_embedding_pairs(spark, d):
-    """All embeddings with cosine >= 0.25 to a query (exact range search)."""
-    r = VEC.similar_vectors(_embedding_index(spark, d), 0.25)
-    return r.select(F.col("qid").alias("query_id"), F.col("uid").alias("vec_id"), F.col("mult").alias("copies"),
+    """The ten nearest of all embeddings for every query (exact)."""
+    r = VEC.exact_neighbours(_embedding_index(spark, d), 10)
+    return r.select(F.col("qid").alias("query_id"), "rank", F.col("uid").alias("vec_id"), F.col("mult").alias("copies"),
                     F.round("cosine", 6).alias("similarity"))
 
 

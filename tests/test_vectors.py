@@ -74,6 +74,10 @@ def test_nearest_in_all_cells_is_exact(spark, block):
         got.setdefault(r.qid, []).append(r.uid)
     _, _, uid, u = brute(rows, 2)
     assert got == brute_nearest(uid, u, 5)
+    bounded = {}
+    for r in V.exact_neighbours(index, 5, 1, block).orderBy("qid", "rank").collect():
+        bounded.setdefault(r.qid, []).append(r.uid)
+    assert bounded == got
 
 
 def test_measured_recall_holds(spark):
