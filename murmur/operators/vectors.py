@@ -40,7 +40,7 @@ from ..sources.tables import spread
 MAX_CELLS = 4096
 SAMPLE = 65_536      # vectors that the centroids are fitted on, at most
 ROUNDS = 8
-RING = 0.04          # radians
+RING = 0.16          # radians
 BLOCK = 4096         # classes, and queries, of one matrix product
 PROBE_SAMPLE = 256   # queries whose true neighbours set the number of probes
 SLACK = 1e-6
@@ -158,19 +158,19 @@ def _asked_rings(queries: DataFrame, index: Index, reach: float | None, probes:
 
 def _products(queries: DataFrame, index: Index, asked: DataFrame, take, block: int) -> DataFrame:
     """(qid, uid, mult, cosine): ``take`` chooses from each product of a block
-    of queries and a block of the index."""
+    of queries (qid, u, least: no smaller cosine is of use) and a block of the index."""
     key = ["cell", "ring", "piece"]
     asked = cut(asked)
     parts = cut(asked.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts")))
     left = (asked.join(parts, key).withColumn("part", F.pmod(F.xxhash64("qid"), F.col("parts")).cast("int"))
-            .join(queries, "qid").select(*[F.col(c).alias(f"q_{c}") for c in (*key, "part")], "qid", F.col("u").alias("q_u")))
+            .join(queries, "qid").select(*[F.col(c).alias(f"q_{c}") for c in (*key, "part")], "qid", F.col("u").alias("q_u"), "least"))
     right = (index.rows.join(parts, key).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
              .select(*key, "part", "uid", "u", "mult"))
 
     def multiply(a: pa.Table, b: pa.Table) -> pa.Table:
         if a.num_rows and b.num_rows:
             cos = _as_matrix(a["q_u"]) @ _as_matrix(b["u"]).T
-            q, x = take(cos, b["uid"].to_numpy())
+            q, x = take(cos, b["uid"].to_numpy(), a["least"].to_numpy())
         else:
             cos, q, x = np.zeros((1, 1)), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         return pa.table([a["qid"].take(pa.array(q)), b["uid"].take(pa.array(x)), b["mult"].take(pa.array(x)), pa.array(cos[q, x])],
@@ -181,14 +181,14 @@ def _products(queries: DataFrame, index: Index, asked: DataFrame, take, block: i
 
 
 def _queries(index: Index) -> DataFrame:
-    return index.rows.filter("asks").select(F.col("uid").alias("qid"), "u")
+    return index.rows.filter("asks").select(F.col("uid").alias("qid"), "u", F.lit(-2.0).alias("least"))
 
 
 def similar_vectors(index: Index, threshold: float, block: int = BLOCK) -> DataFrame:
     """(qid, uid, mult, cosine): for every asking class the other classes with
     cosine of ``threshold`` (> -1) or more.  Exact."""
     queries = _queries(index)
-    take = lambda cos, _: np.nonzero(cos >= threshold)
+    take = lambda cos, *_: np.nonzero(cos >= threshold)
     found = _products(queries, index, _asked_rings(queries, index, math.acos(threshold), None), take, block)
     return found.filter("qid <> uid")
 
@@ -200,10 +200,10 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 
 
 def _take_nearest(k: int):
-    def take(cos, uid):
-        if cos.shape[1] <= k + 1:
-            return np.nonzero(np.ones_like(cos, dtype=bool))
-        least = np.partition(cos, -(k + 1), axis=1)[:, [-(k + 1)]]     # one more, as the query may find itself
+    def take(cos, uid, least):
+        least = least[:, None]
+        if cos.shape[1] > k + 1:
+            least = np.maximum(least, np.partition(cos, -(k + 1), axis=1)[:, [-(k + 1)]])    # one more, as the query may find itself
         q, x = np.nonzero(cos >= least)
         order = np.lexsort((uid[x], -cos[q, x], q))
         q, x = q[order], x[order]
@@ -229,9 +229,9 @@ def exact_neighbours(index: Index, k: int, probes: int = 1, block: int = BLOCK)
     first = cut(nearest_vectors(index, k, probes, block))
     bound = (first.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.min("cosine").alias("c"))
              .select("qid", F.when(F.col("n") >= k, F.col("c")).otherwise(F.lit(-1.0)).alias("least")))
-    queries = cut(_queries(index).join(bound, "qid", "left").select("qid", "u", F.coalesce("least", F.lit(-1.0)).alias("least")))
-    asked = _asked_rings(queries, index, None, None)
-    return _best(_products(queries.select("qid", "u"), index, asked, _take_nearest(k), block), k)
+    queries = cut(_queries(index).drop("least").join(bound, "qid", "left")
+                  .select("qid", "u", (F.coalesce("least", F.lit(-1.0)) - SLACK).alias("least")))
+    return _best(_products(queries, index, _asked_rings(queries, index, None, None), _take_nearest(k), block), k)
 
 
 def true_neighbours(index: Index, k: int, sample: int = PROBE_SAMPLE) -> DataFrame:
