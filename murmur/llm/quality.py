@@ -6,7 +6,9 @@ suffix array over the words of each text with its LCPs; the LCP intervals give
 the maximal repeated substrings, those of at least ``min_repeat`` words mark
 their spans (all occurrences, the first included), and a text is kept if the
 union of the spans covers at most ``max_covered`` percent of its words and the
-longest repeat has at most ``max_longest`` words.
+longest repeat has at most ``max_longest`` words and at most
+``max_longest_percent`` percent of the text's.  The defaults follow published
+practice for repeated 10-word strings (10 to 20 percent of a text).
 
 Edge cases: a null or empty text has no words and fails the base rule; rows
 without doc_id and repeated rows are judged like any other; empty input gives
@@ -26,8 +28,9 @@ from .textvec import PolyHash, join_texts, text_batches, text_slices, word_hashe
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50     # words in repeated 3-word windows
 MIN_REPEAT = 10             # words of a repeated substring that counts
-MAX_COVERED = 45            # percent of the words inside such substrings
-MAX_LONGEST = 200           # words of the longest repeat
+MAX_COVERED = 20            # percent of the words inside such substrings
+MAX_LONGEST = 200           # words of the longest such substring
+MAX_LONGEST_PERCENT = 10    # the same in percent of the text's words
 SYMBOLS = b"#*$%&|<>"
 
 SCHEMA = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -39,7 +42,7 @@ def _dup_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-def judge(ids, texts, poly, min_repeat, max_covered, max_longest) -> pa.RecordBatch:
+def judge(ids, texts, poly, min_repeat, max_covered, max_longest, max_longest_percent) -> pa.RecordBatch:
     n = len(texts)
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     data, at = join_texts(raw)
@@ -73,21 +76,23 @@ def judge(ids, texts, poly, min_repeat, max_covered, max_longest) -> pa.RecordBa
     symbols = np.array([len(r) - len(r.translate(None, SYMBOLS)) for r in raw], dtype=np.int64)
     dup = np.array([_dup_lines(r) for r in raw], dtype=np.int64)
     failed = (n_words < MIN_WORDS) | (100 * repeat > MAX_REPEAT_PERCENT * n_words)
-    kept = ~failed & (100 * cover <= max_covered * n_words) & (top <= max_longest)
+    short = (top < min_repeat) | ((top <= max_longest) & (100 * top <= max_longest_percent * n_words))
+    kept = ~failed & (100 * cover <= max_covered * n_words) & short
     cols = [pa.array(ids, pa.int64())] + [pa.array(x.astype(np.int64)) for x in (n_words, chars, symbols, dup, repeat)]
     cols += [pa.array(failed), pa.array(kept), pa.array(cover.astype(np.int64)), pa.array(top)]
     return pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in SCHEMA.split(", ")])
 
 
 def quality(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: int = MAX_COVERED,
-            max_longest: int = MAX_LONGEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+            max_longest: int = MAX_LONGEST, max_longest_percent: int = MAX_LONGEST_PERCENT,
+            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: the counts, the base verdict, and ``kept``, with
     the words inside maximal repeats and the longest repeat beside them.  No
     shuffle: each text is judged where it was read."""
     def run(batches):
         poly = PolyHash(11)
         for ids, texts in text_batches(batches, 2, 1):
-            yield judge(ids, texts, poly, min_repeat, max_covered, max_longest)
+            yield judge(ids, texts, poly, min_repeat, max_covered, max_longest, max_longest_percent)
 
     return input_tasks(documents_of(docs, id_col, text_col)).mapInArrow(run, SCHEMA)
 
@@ -97,14 +102,14 @@ def keep_good(docs: DataFrame, **limits) -> DataFrame:
     verdict is made where the row was read, so nothing is joined or shuffled."""
     names = docs.columns
     spread = input_tasks(docs)
-    minr, cov, lon = (limits.get(k, v) for k, v in (("min_repeat", MIN_REPEAT), ("max_covered", MAX_COVERED),
-                                                    ("max_longest", MAX_LONGEST)))
+    used = [limits.get(k, v) for k, v in (("min_repeat", MIN_REPEAT), ("max_covered", MAX_COVERED),
+                                          ("max_longest", MAX_LONGEST), ("max_longest_percent", MAX_LONGEST_PERCENT))]
     text = names.index("text")
 
     def run(batches):
         poly = PolyHash(11)
         for b in text_slices(batches, text):
-            verdict = judge([None] * b.num_rows, b.column(text).to_pylist(), poly, minr, cov, lon)
+            verdict = judge([None] * b.num_rows, b.column(text).to_pylist(), poly, *used)
             yield b.filter(verdict.column(7))
 
     return spread.mapInArrow(run, docs.schema)

@@ -31,8 +31,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Positions in a repeat of at least 10 words are those in a 10-word window that
-# occurs twice; a repeat of over 200 words is a run of at least 192 positions whose
-# 10-word windows occur again at one same distance.
+# occurs twice; a repeat of over k >= 10 words is a run of at least k - 8 positions
+# whose 10-word windows occur again at one same distance; k is a tenth of the words,
+# 200 at most.
 ORACLE["op10_quality"] = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, list_filter(regexp_split_to_array(text, '[ \t\n\v\f\r]+'), lambda x: x <> '') AS ws FROM d),
@@ -57,9 +58,10 @@ cover AS (SELECT r, count(DISTINCT j) AS covered_words
           FROM (SELECT r, unnest(range(i, i + 10)) AS j FROM c10) GROUP BY r),
 pair AS (SELECT a.r, b.i - a.i AS gap, a.i - row_number() OVER (PARTITION BY a.r, b.i - a.i ORDER BY a.i) AS run
          FROM c10 a JOIN c10 b ON a.r = b.r AND a.g = b.g AND a.i < b.i),
-long AS (SELECT DISTINCT r FROM (SELECT r FROM pair GROUP BY r, gap, run HAVING count(*) >= 192))
+run AS (SELECT r, max(n) AS n FROM (SELECT r, count(*) AS n FROM pair GROUP BY r, gap, run) GROUP BY r),
+long AS (SELECT r FROM run JOIN base USING (r) WHERE n >= greatest(1, least(200, n_words // 10) - 8))
 SELECT base.* EXCLUDE (r),
-       NOT base_failed AND 100 * coalesce(covered_words, 0) <= 45 * n_words AND long.r IS NULL AS kept
+       NOT base_failed AND 100 * coalesce(covered_words, 0) <= 20 * n_words AND long.r IS NULL AS kept
 FROM base LEFT JOIN cover USING (r) LEFT JOIN long USING (r)
 """
 

@@ -19,10 +19,10 @@ def brute_quality(text):
     rows = [x for x in text.split("\n") if re.sub("[ \t\n\x0b\x0c\r]", "", x)]
     repeat = len(marked(3))
     failed = n < 50 or 100 * repeat > 50 * n
-    longest = n > 200 and len(marked(201)) > 0
+    longest = len(marked(max(10, min(200, n // 10) + 1))) > 0
     return {"n_words": n, "word_chars": sum(map(len, w)), "n_symbols": sum(text.count(c) for c in "#*$%&|<>"),
             "n_dup_lines": len(rows) - len(set(rows)), "n_repeat_words": repeat, "base_failed": failed,
-            "kept": not failed and 100 * len(marked(10)) <= 45 * n and not longest}
+            "kept": not failed and 100 * len(marked(10)) <= 20 * n and not longest}
 
 
 def made_texts(seed, n=80):
@@ -49,6 +49,20 @@ def test_quality_equals_brute_force(spark):
     assert {(r.base_failed, r.kept) for r in rows} == {(True, False), (False, True), (False, False)}
 
 
+def test_each_repetition_limit_rejects_alone(spark):
+    """Texts that pass the base rule and all limits but one."""
+    w = [f"u{i}" for i in range(6000)]
+    texts = {"clean": w[:400], "covered": w[:264] + w[:12] + w[100:112] + w[200:212],
+             "longest percent": w[:264] + w[252:264] * 3, "longest": w + w[:210], "short repeat": w[:60] + w[:9]}
+    rows = quality.quality(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts.values())], "doc_id long, text string"))
+    got = {list(texts)[r.doc_id]: r for r in rows.collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert {k for k, r in got.items() if r.kept} == {"clean", "short repeat"}
+    over = {k: (100 * r.covered_words > 20 * r.n_words, 100 * r.longest_repeat > 10 * r.n_words, r.longest_repeat > 200)
+            for k, r in got.items() if not r.kept}
+    assert over == {"covered": (True, False, False), "longest percent": (False, True, False), "longest": (False, False, True)}
+
+
 def test_quality_of_odd_rows(spark, odd_docs, odd_rows, no_docs):
     got = quality.quality(odd_docs).collect()
     want = sorted(str((i, *brute_quality(t).values())) for i, t, *_ in odd_rows)
