@@ -73,16 +73,13 @@ class _Model:
 
     def learn(self, ids: np.ndarray, hit1: np.ndarray, hit2: np.ndarray, escape: np.ndarray, escaped: np.ndarray):
         """A prediction that held gains confidence, one that failed loses it and
-        gives way when it has little.  Order 1 and order 2 learn from every other
-        step, in turn, the weights from every fourth."""
-        if self.steps & 1:
-            self.p1[self.i1] = np.where(hit1, self.v1 + (self.s1 < 3), np.where(self.s1 > 1, self.v1 - self.s1 + 1, ids << 2))
-        else:
-            self.p2[self.i2] = np.where(hit2, self.v2 + (self.s2 < 3), np.where(self.s2 > 1, self.v2 - self.s2 + 1, ids << 2))
+        gives way when it has little.  Both orders learn from every id; the mixing
+        counts too, and the weights follow them every fourth step."""
+        self.p1[self.i1] = np.where(hit1, self.v1 + (self.s1 < 3), np.where(self.s1 > 1, self.v1 - self.s1 + 1, ids << 2))
+        self.p2[self.i2] = np.where(hit2, self.v2 + (self.s2 < 3), np.where(self.s2 > 1, self.v2 - self.s2 + 1, ids << 2))
         self.steps += 1
+        self.mix += np.bincount(self.ctx * 3 + np.where(hit2, 0, 1 + escape), minlength=96).reshape(32, 3)
         if self.steps < 16 or self.steps % 4 == 0:
-            event = np.where(hit2, 0, 1 + escape)
-            self.mix += np.bincount(self.ctx * 3 + event, minlength=96).reshape(32, 3)
             self._weights()
         self.pending.append(escaped)
         self.n_pending += len(escaped)
