@@ -7,8 +7,9 @@ similarity of at least ``num / den`` (4/5) with it.  Lines without words stay.
 
 DataFrame operations only.  Lines with the same token set are one class, known
 by its earliest line; every later one is removed.  Tokens are ordered by rarity
-(their frequency over all documents, counted in a fixed number of hash buckets,
-then the hash, so the order is total and the table of ranks has a fixed size).
+(the class of their frequency over all documents, counted in a fixed number of
+hash buckets, then the hash, so the order is total and the table of classes has
+a fixed size); a token that occurs once leads to no partner and is not joined.
 Two similar classes share a token in their prefixes of n - ceil(t * n) + 1
 tokens; the join on prefix tokens applies the length filter, the positional
 filter at the first shared token and a 64-bit parity signature, and what is left
@@ -35,7 +36,8 @@ from ..session import remove_path, scratch_path
 from .common import cut, documents_of, input_tasks
 
 NUM, DEN = 4, 5
-RANK_BITS = 16          # hash buckets in which token frequencies are counted: 2^16
+LONG_LINE = 64          # tokens from which a line has the wide signature too
+CLASS_BITS = 20         # hash buckets in which token frequencies are counted: 2^20
 LOOK_BACK = 2
 FILTER_BITS = 20
 
@@ -59,38 +61,46 @@ def _lines(d: DataFrame) -> DataFrame:
     return d.select("doc", F.posexplode(F.split("_m_text", "\n")).alias("line", "text"))
 
 
-def token_ranks(d: DataFrame):
-    """An array literal: the rank of every hash bucket by how often its words
-    occur in all documents, the rarest first.  2^RANK_BITS numbers for any corpus."""
-    seen = (d.select(F.explode(F.split(F.lower("_m_text"), r"[ \n\t\x0B\f\r]+")).alias("t"))
-             .groupBy(F.shiftrightunsigned(F.xxhash64("t"), 64 - RANK_BITS).alias("b"))
-             .agg(F.count(F.lit(1)).alias("n")))
-    count = dict(seen.collect())
-    order = sorted(range(1 << RANK_BITS), key=lambda b: (count.get(b, 0), b))
-    rank = [0] * len(order)
-    for r, b in enumerate(order):
-        rank[b] = r
-    return F.split(F.lit(",".join(map(str, rank))), ",").cast("array<bigint>")
+def token_classes(d: DataFrame):
+    """A binary literal: for every hash bucket the class of how often its words
+    occur in all documents, the rarest first.  2^CLASS_BITS bytes for any corpus;
+    class 1 holds the words that occur once, which no other line can share."""
+    page = 12
+    bucket = F.shiftrightunsigned(F.xxhash64("t"), 64 - CLASS_BITS)
+    seen = (d.select(F.explode(F.split(F.lower("_m_text"), r"[ \n\t\x0B\f\r]+")).alias("t")).filter("t <> ''")
+             .select(bucket.alias("b"), F.lit(1).cast("long").alias("k")))
+    every = d.sparkSession.range(1 << CLASS_BITS).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("k"))
+    # two classes for a word that occurs twice, three steps for every doubling from there
+    klass = F.when(F.col("n") < 2, 1).otherwise(F.least(F.lit(126), F.floor(3 * F.log2(F.col("n").cast("double"))) - 1))
+    pages = (seen.unionByName(every).groupBy("b").agg(F.sum("k").alias("n"))
+                 .select(F.shiftright("b", page).alias("page"),
+                         F.struct(F.col("b").bitwiseAND(F.lit((1 << page) - 1)).cast("short").alias("at"), klass.cast("byte").alias("c")).alias("e"))
+                 .groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: F.char(e["c"])), "").alias("s")))
+    return F.lit(bytearray("".join(s for _, s in sorted(map(tuple, pages.collect()))).encode("ascii")))
 
 
 def _coded(d: DataFrame, num: int, den: int) -> DataFrame:
-    """(doc, line, h1, h2, size, sig, prefix) of every line with words; a code is
-    a token's rank, then the rest of its hash: sorted codes are rarest first."""
-    ranks = token_ranks(d)
-    low = 63 - RANK_BITS
+    """(doc, line, h1, h2, size, sig, wide, skip, prefix) of every line with words; a code is
+    a token's class, then 56 bits of its hash: sorted codes are rarest first.  The first
+    ``skip`` tokens of the prefix occur in no other line and are left out of ``prefix``."""
+    classes = token_classes(d)
+    low = 56
     x = _lines(d).select("doc", "line", _tokens(F.col("text")).alias("hashes"))
     x = x.filter(F.size("hashes") > 0)
-    code = lambda h: F.shiftleft(F.element_at(ranks, (F.shiftrightunsigned(h, 64 - RANK_BITS) + 1).cast("int")), low).bitwiseOR(
-        h.bitwiseAND(F.lit((1 << low) - 1)))
+    klass = lambda h: F.ascii(F.substring(classes, (F.shiftrightunsigned(h, 64 - CLASS_BITS) + 1).cast("int"), F.lit(1)).cast("string"))
+    code = lambda h: F.shiftleft(klass(h).cast("long"), low).bitwiseOR(h.bitwiseAND(F.lit((1 << low) - 1)))      # noqa: E731
     x = x.select("doc", "line", F.sort_array(F.transform("hashes", code)).alias("codes"))
+    # long lines differ in more tokens than 64 bits can tell: four times the signature, empty for the others
+    parts = [f"aggregate(filter(codes, c -> (shiftright(c, 6) & 3) = {k}), 0L, (a, c) -> a ^ shiftleft(1L, cast(c & 63 as int)))" for k in range(4)]
     size = F.size("codes")
-    first = F.slice("codes", 1, size - F.expr(f"({num} * size(codes) + {den - 1}) div {den}").cast("int") + 1)
-    return x.select("doc", "line", F.xxhash64("codes").alias("h1"), F.xxhash64(F.lit(9), "codes").alias("h2"),
-                    size.alias("size"),
-                    F.expr("aggregate(codes, 0L, (a, c) -> a ^ shiftleft(1L, cast(c & 63 as int)))").alias("sig"),
-                    # the leading 31 bits keep the order, and equal tokens equal; others that they
-                    # merge only add candidates, which are verified on whole lines
-                    F.transform(first, lambda c: F.shiftright(c, 32).cast("int")).alias("prefix"))
+    x = x.select("doc", "line", F.xxhash64("codes").alias("h1"), F.xxhash64(F.lit(9), "codes").alias("h2"), size.alias("size"),
+                 F.expr("aggregate(codes, 0L, (a, c) -> a ^ shiftleft(1L, cast(c & 63 as int)))").alias("sig"),
+                 F.expr(f"CASE WHEN size(codes) > {LONG_LINE} THEN array({', '.join(parts)}) ELSE cast(array() as array<bigint>) END").alias("wide"),
+                 F.slice("codes", 1, size - F.expr(f"({num} * size(codes) + {den - 1}) div {den}").cast("int") + 1).alias("first"))
+    once = F.size(F.filter("first", lambda c: c < F.lit(2 << low)))
+    x = x.withColumn("skip", once)
+    return x.select("doc", "line", "h1", "h2", "size", "sig", "wide", "skip",
+                    F.slice("first", F.col("skip") + 1, F.size("first")).alias("prefix"))
 
 
 def _passes(x: str, y: str, num: int, den: int) -> str:
@@ -101,11 +111,14 @@ def _passes(x: str, y: str, num: int, den: int) -> str:
     least = f"(({num} * {both} + {num + den - 1}) div {num + den})"
     return (f"{den} * {x}.size >= {num} * {y}.size AND {den} * {y}.size >= {num} * {x}.size"
             f" AND bit_count({x}.sig ^ {y}.sig) <= {both} - 2 * {least}"
+            f" AND (size({x}.wide) = 0 OR size({y}.wide) = 0"
+            f" OR {' + '.join(f'bit_count(get({x}.wide, {k}) ^ get({y}.wide, {k}))' for k in range(4))} <= {both} - 2 * {least})"
             f" AND 1 + least({x}.size - {x}.i, {y}.size - {y}.i) - 1 >= {least}")
 
 
 def _prefix_rows(reps: DataFrame) -> DataFrame:
-    rows = reps.select("doc", "line", "size", "sig", F.posexplode("prefix").alias("i", "code"))
+    rows = reps.select("doc", "line", "size", "sig", "wide", "skip", F.posexplode("prefix").alias("i", "code"))
+    rows = rows.withColumn("i", F.col("i") + F.col("skip")).drop("skip")
     # stated here, so that no reader of the rows adds them and all share one exchange
     return rows.filter(" AND ".join(f"{c} IS NOT NULL" for c in rows.columns)).repartition("code")
 
@@ -122,8 +135,8 @@ def _candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
     """Likely matches among the nearest predecessors of the same token and size,
     and for the rows without one all that passes the filters."""
     w = Window.partitionBy("code", "size").orderBy("doc", "line")
-    me = F.struct("doc", "line", "size", "sig", "i")
-    x = rows.select("doc", "line", "size", "sig", "i", "code", *[F.lag(me, k).over(w).alias(f"y{k}") for k in range(1, LOOK_BACK + 1)])
+    me = F.struct("doc", "line", "size", "sig", "wide", "i")
+    x = rows.select("doc", "line", "size", "sig", "wide", "i", "code", *[F.lag(me, k).over(w).alias(f"y{k}") for k in range(1, LOOK_BACK + 1)])
     x = x.withColumn("x", me)
     near = F.coalesce(*[F.expr(f"CASE WHEN {_passes('x', f'y{k}', num, den)} THEN y{k} END") for k in range(1, LOOK_BACK + 1)])
     x = x.withColumn("near", near).drop("x", *[f"y{k}" for k in range(1, LOOK_BACK + 1)])
@@ -191,7 +204,7 @@ def removed_lines(docs: DataFrame, num: int = NUM, den: int = DEN, id_col: str =
     _coded(d, num, den).write.mode("overwrite").parquet(path)
     coded = d.sparkSession.read.parquet(path)
     place = F.struct("doc", "line")
-    reps = cut(coded.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line", "size", "sig", "prefix")).alias("r"),
+    reps = cut(coded.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line", "size", "sig", "wide", "skip", "prefix")).alias("r"),
                                              F.count(F.lit(1)).alias("copies")))
     again = cut(coded.select("h1", "h2", "doc", "line")
                      .join(reps.filter("copies > 1").select("h1", "h2", F.struct("r.doc", "r.line").alias("p")), ["h1", "h2"])

@@ -209,7 +209,7 @@ def test_near_copies_are_not_paired_all_with_all(spark):
     docs = [(i, " ".join(base[:k] + [f"new{i}"] + base[k + 1:])) for i in range(400) for k in [r.randrange(30)]]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     d = lines._identified(df, "doc_id", "text")
-    reps = lines._coded(d, 4, 5).select("doc", "line", "size", "sig", "prefix")
+    reps = lines._coded(d, 4, 5).select("doc", "line", "size", "sig", "wide", "skip", "prefix")
     pairs = lines._candidates(lines._prefix_rows(reps), 4, 5).count()
     assert pairs < 400 * 25 < 400 * 399 / 2
     got = {r.doc_id: list(r.removed_lines) for r in lines.line_report(df).collect()}
