@@ -1,7 +1,8 @@
 """WARC archives with revisit resolution (operator 7).
 
-``write_archives`` shuffles only headers by payload digest: of the records whose
-payloads are equal and have at least ``min_bytes`` bytes, the one with the
+``write_archives`` finds the originals on headers alone, shuffled by payload
+digest; the join that hands them to the records still moves the payloads.  Of the
+records whose payloads are equal and have at least ``min_bytes`` bytes, the one with the
 largest id stays a response, the others become revisit records that refer to it
 and carry no payload; all records get fresh headers.  ``read_archives`` parses
 the files back, checks every payload against its digest, and ``resolve`` joins
