@@ -1,12 +1,18 @@
 """WARC archives with revisit resolution (operator 7).
 
-``write_archives`` finds the originals on headers alone, shuffled by payload
-digest; the join that hands them to the records still moves the payloads.  Of the
-records whose payloads are equal and have at least ``min_bytes`` bytes, the one with the
-largest id stays a response, the others become revisit records that refer to it
-and carry no payload; all records get fresh headers.  ``read_archives`` parses
-the files back, checks every payload against its digest, and ``resolve`` joins
-revisits to their original responses.
+``write_archives`` shuffles headers only.  A first pass writes the headers (id,
+url, size, digest) as a table; joined with the originals by payload digest they
+give the verdicts.  Of the records whose payloads are equal and have at least
+``min_bytes`` bytes, the one with the largest id stays a response, the others
+become revisit records that refer to it and carry no payload: they are written
+from their headers.  The second pass reads the payloads where they lie and leaves
+out the revisits: a Bloom filter of their keys (at most exact.FILTER_WORDS words)
+lets all other rows pass, and the responses that it takes for revisits, known
+exactly from the headers, are let through as well (broadcast up to FEW rows;
+more of them, when the filter is too small for the table, are joined with
+the rows that the filter holds back).  All records get fresh headers.
+``read_archives`` parses the files back, checks every payload against its digest,
+and ``resolve`` joins revisits to their original responses.
 
 Files are gzip-compressed WARC/1.1; every record ends with CR LF CR LF, which is
 the line separator of Spark's text writer, so any file system that Spark writes
@@ -28,7 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut
+from .exact import FILTER_WORDS, bloom_bits, flagged, plan_filter
+
 MIN_BYTES = 1000
+FEW = 1 << 18               # responses named in a broadcast: at most 16 MB
+FILE_RECORDS = 50_000       # records of one archive file: read back whole, so far below 2 GB
 DATE = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
 SCHEMA = ("page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, "
@@ -58,28 +69,68 @@ def _line(name: str, value):
     return F.when(value.isNotNull(), F.concat(F.lit(name + ": "), value, F.lit(CRLF))).otherwise(F.lit(""))
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, date: str = DATE,
-                   id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
-    """Write one record per row of ``pages``, duplicates as revisits."""
-    rec = _records(pages, id_col, url_col, payload_col)
-    first = originals(rec.select("_m_id", "_m_bytes", "_m_digest"), min_bytes)
-    rec = rec.join(first, "_m_digest", "left")
-    revisit = F.col("_m_original").isNotNull() & ~F.col("_m_id").eqNullSafe(F.col("_m_original"))
+def revisits(headers: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
+    """The headers that repeat another record's payload, and _m_original.  Whether
+    a record is one follows from its digest and id."""
+    return (headers.filter(F.col("_m_bytes") >= min_bytes).join(originals(headers, min_bytes), "_m_digest")
+                   .filter(~F.col("_m_id").eqNullSafe(F.col("_m_original"))))
+
+
+def _key():
+    return F.xxhash64("_m_digest", "_m_id")
+
+
+def responses(records: DataFrame, headers: DataFrame, again: DataFrame, few: int = FEW,
+              most_words: int = FILTER_WORDS) -> DataFrame:
+    """``records`` (with payloads) without those whose header is in ``again``;
+    ``headers`` and ``again`` are written tables.  Payloads are not shuffled,
+    unless the filter holds back more than ``few`` responses."""
+    n = again.count()
+    if not n:
+        return records
+    words = min(plan_filter(n)[1], most_words)
+    bits = cut(bloom_bits(again.select(_key().alias("h")).distinct(), words, least=1))
+    same = ["_m_digest", "_m_key"]
+    named = F.coalesce(F.col("_m_id").cast("string"), F.lit("")).alias("_m_key")
+    back = flagged(headers.select("_m_digest", "_m_id", _key().alias("h")), bits, words).filter("maybe")
+    wrong = cut(back.select("_m_digest", named).join(again.select("_m_digest", named), same, "left_anti").distinct())
+    rows = flagged(records.withColumns({"h": _key(), "_m_key": named}), bits, words)
+    if wrong.count() <= few:
+        kept = (rows.join(F.broadcast(wrong.withColumn("_m_wrong", F.lit(True))), same, "left")
+                    .filter("NOT maybe OR _m_wrong"))
+    else:
+        kept = rows.filter("NOT maybe").unionByName(rows.filter("maybe").join(wrong, same, "left_semi"))
+    return kept.select(records.columns)
+
+
+def _lines(rec: DataFrame, revisit: bool, date: str) -> DataFrame:
+    """(value): the records of ``rec`` as text, revisits from headers alone."""
     url = F.regexp_replace("_m_url", r"[\x00-\x20\x7f]", "%20")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "),
                     F.col("_m_bytes").cast("string"), F.lit(CRLF + CRLF))
-    block = F.concat(http, F.when(revisit, F.lit("")).otherwise(F.col("_m_payload")))
+    block = http if revisit else F.concat(http, F.col("_m_payload"))
+    profile = F.concat(
+        F.lit(f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{CRLF}"),
+        _line("WARC-Refers-To", _uri(F.col("_m_original")))) if revisit else F.lit("")
     head = F.concat(
-        F.lit(f"WARC/1.1{CRLF}WARC-Type: "), F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")), F.lit(CRLF),
+        F.lit(f"WARC/1.1{CRLF}WARC-Type: {'revisit' if revisit else 'response'}{CRLF}"),
         _line("WARC-Record-ID", F.coalesce(_uri(F.col("_m_id")), F.lit("<urn:page:none>"))),
         F.lit(f"WARC-Date: {date}{CRLF}"), _line("WARC-Target-URI", url),
-        _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("_m_digest"))),
-        F.when(revisit, F.concat(
-            F.lit(f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{CRLF}"),
-            _line("WARC-Refers-To", _uri(F.col("_m_original"))))).otherwise(F.lit("")),
+        _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("_m_digest"))), profile,
         F.lit(f"Content-Type: application/http; msgtype=response{CRLF}Content-Length: "),
         F.octet_length(block).cast("string"), F.lit(CRLF + CRLF))
-    (rec.select(F.concat(head, block).alias("value")).write.mode("overwrite")
+    return rec.select(F.concat(head, block).alias("value"))
+
+
+def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, date: str = DATE,
+                   id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
+                   file_records: int = FILE_RECORDS) -> None:
+    """Write one record per row of ``pages``, duplicates as revisits."""
+    rec = _records(pages, id_col, url_col, payload_col)
+    headers = cut(rec.drop("_m_payload"))
+    again = cut(revisits(headers, min_bytes))
+    (_lines(responses(rec, headers, again), False, date).unionByName(_lines(again, True, date))
+        .write.mode("overwrite").option("maxRecordsPerFile", file_records)
         .option("lineSep", CRLF + CRLF).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
         .text(path))
 
