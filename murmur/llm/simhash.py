@@ -14,9 +14,9 @@ one is equal too: 24 equal bits, found under one of 8 keys.  The chain budgets
 prune what shares a key before the full Hamming check.
 
 Edge cases: a null text counts as empty; rows without a doc_id get a
-fingerprint, but a null component and no part in any group; repeated rows are
-in one group (their fingerprints are equal); empty input gives no rows; other
-columns of the input are ignored."""
+fingerprint and link the documents that are close to them, but have a null
+component themselves; repeated rows are in one group (their fingerprints are
+equal); empty input gives no rows; other columns of the input are ignored."""
 
 from __future__ import annotations
 
@@ -204,15 +204,12 @@ def simhash_groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits
     lead over other documents).  Equal fingerprints are one node of the graph,
     so copies cost one row each and no pairs."""
     fps = cut(fingerprints(docs, shingle_words, id_col, text_col))
-    node = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("uid")))
-    named = node.filter("uid IS NOT NULL")
-    edge = links(named.select("fp"), max_bits).distinct()
-    pairs = (edge.join(named.select(F.col("fp").alias("a"), F.col("uid").alias("ua")), "a")
-                 .join(named.select(F.col("fp").alias("b"), F.col("uid").alias("ub")), "b")
-                 .select(F.col("ua").alias("a"), F.col("ub").alias("b")))
-    comp = components(pairs)
-    label = node.join(comp.withColumnRenamed("node", "uid"), "uid", "left").select(
-        "fp", F.coalesce("component", "uid").alias("component_id"))
+    node = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    comp = components(links(node.select("fp"), max_bits).distinct()).withColumnRenamed("node", "fp")
+    # a component is named by a fingerprint first: rows without doc_id link, too, but name nothing
+    member = node.join(comp, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    named = member.groupBy("component").agg(F.min("least").alias("component_id"))
+    label = member.select("fp", "component").join(named, "component").select("fp", "component_id")
     return (fps.join(label, "fp")
                .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                        F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")))

@@ -146,7 +146,9 @@ def test_simhash_of_odd_rows(spark, odd_docs, odd_rows, no_docs):
     got = simhash.simhash_groups(odd_docs).collect()
     assert len(got) == len(odd_rows)
     prints = {i: brute_fingerprint(t) for i, t, *_ in odd_rows if i is not None}
-    want = brute_components(prints)
+    nameless = {10**9 + k: brute_fingerprint(t) for k, (i, t, *_) in enumerate(odd_rows) if i is None}
+    want = brute_components({**prints, **nameless})
+    want = {i: want[i] for i in prints}
     for r in got:
         assert r.component_id == (None if r.doc_id is None else want[r.doc_id])
         if r.doc_id is not None:
@@ -158,6 +160,16 @@ def test_simhash_of_odd_rows(spark, odd_docs, odd_rows, no_docs):
     assert sorted(i for i in ids if i is not None) == sorted(set(want.values())) and ids.count(None) == 2
 
 
+def test_rows_without_doc_id_link_others(spark, monkeypatch):
+    """A chain of 3-bit links over a row without doc_id is one component."""
+    made = [(1, 0), (None, 7), (2, 63), (3, 63), (None, 0xFF << 40), (4, (0xFF << 40) | (1 << 50)), (5, 0xFFFF << 12)]
+    df = spark.createDataFrame(made, "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *a: df)
+    got = simhash.simhash_groups(df).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id is not None) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 5)]
+    assert [r.component_id for r in got if r.doc_id is None] == [None, None]
+
+
 # --- lines -----------------------------------------------------------------
 
 def brute_lines(docs):
