@@ -153,9 +153,11 @@ def _round(m: DataFrame, shards: int, cap: int, anywhere: bool, number: int):
     want = by.groupBy("g", "n").agg(F.max(best).alias("best"))
     goal = F.col("best.shard")
     if anywhere:
-        other = F.element_at(F.array(*[F.lit(int(s)) for s in np.argsort(-room, kind="stable")[:8]]),
-                             F.pmod(F.xxhash64("g", F.lit(number)), F.lit(min(8, shards))).cast("int") + 1)
-        goal = F.when((F.col("best.fits") == 0) & (has(other) >= F.col("n")), other).otherwise(goal)
+        # one of all shards that have room for the group, by hash: roomiest first, so they are the first ``able``
+        able = sum((F.lit(int(x)) >= F.col("n")).cast("int") for x in room)
+        other = F.element_at(F.array(*[F.lit(int(s)) for s in np.argsort(-room, kind="stable")]),
+                             F.pmod(F.xxhash64("g", F.lit(number)), F.greatest(able, F.lit(1))).cast("int") + 1)
+        goal = F.when((F.col("best.fits") == 0) & (able > 0), other).otherwise(goal)
     prop = m.join(want.select("g", goal.alias("goal")), "g", "left").withColumn("goal", F.coalesce("goal", "shard"))
     # a group has one bucket: it is accepted as a whole
     prop = cut(prop.withColumn("klass", _class(F.col("n")))
