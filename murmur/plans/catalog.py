@@ -1468,14 +1468,20 @@ def q_stream_keyword(spark, d):
 DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+def _doc_feed(spark, d) -> DataFrame:
+    """The documents as a file stream, a file at a time: one file or a folder of
+    part files.  The path is a pattern that only ``documents.parquet`` fits: a
+    stream over a plain path must be over a folder."""
+    return (spark.readStream.schema(DOC_SCHEMA).option("maxFilesPerTrigger", 1)
+                 .parquet(f"{d.rstrip('/')}/documents.parque[t]"))
+
+
 @register("stream_score")
 def q_stream_score(spark, d):
     """ST2: documents arriving as a file stream, scored and given keywords per
     micro-batch with the classifier trained on labelled posts."""
     model = SC.train(_labelled(spark, d))
-    docs = (spark.readStream.schema(DOC_SCHEMA).option("pathGlobFilter", "documents.parquet")
-                 .option("maxFilesPerTrigger", 1).parquet(d))
-    posts = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    posts = _doc_feed(spark, d).select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
     return spark.read.parquet(ST.run_scoring(posts, SC.model_scorer(model))).drop("_epoch")
 
 

@@ -674,3 +674,19 @@ def test_run_scope_leaves_only_the_result(spark, sf_small):
     CT.QUERIES["similar_pairs"](spark, sf_small)
     left = set(glob.glob(base + "/*")) - before
     assert len(left) == 1 and "/result-" in left.pop()
+
+
+def test_document_stream_reads_a_file_and_a_folder(spark, tmp_path):
+    from murmur.plans import catalog as C
+    from murmur.streaming import streams as ST
+    rows = spark.createDataFrame([(k, f"good bad text{k}", "en", "s", 10) for k in range(40)], C.DOC_SCHEMA)
+    rows.repartition(3).write.parquet(f"{tmp_path}/folder/documents.parquet")
+    rows.filter("doc_id < 0").write.parquet(f"{tmp_path}/folder/labels.parquet")
+    (tmp_path / "file").mkdir()
+    rows.toPandas().to_parquet(tmp_path / "file" / "documents.parquet")
+    score = lambda posts: posts.selectExpr("id", "1 AS sentiment", "0.5F AS sentiment_score", "1 AS analyze_status", "CAST(NULL AS STRING) AS error")
+    for kind in ("folder", "file"):
+        posts = C._doc_feed(spark, f"{tmp_path}/{kind}").selectExpr("doc_id AS id", "text AS content")
+        out = spark.read.parquet(ST.run_scoring(posts, score))
+        assert sorted(r.id for r in out.collect()) == list(range(40))
+        assert out.select("_epoch").distinct().count() == (3 if kind == "folder" else 1)
