@@ -690,3 +690,35 @@ def test_document_stream_reads_a_file_and_a_folder(spark, tmp_path):
         out = spark.read.parquet(ST.run_scoring(posts, score))
         assert sorted(r.id for r in out.collect()) == list(range(40))
         assert out.select("_epoch").distinct().count() == (3 if kind == "folder" else 1)
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.7])
+def test_similarity_join_over_many_blocks(spark, monkeypatch, threshold):
+    """Short and long texts, many of one L1 norm, dealt to many blocks: the pairs
+    of brute force; texts that only share a term leave no rows."""
+    import numpy as np
+    import pyarrow as pa
+    from murmur.operators import similarity as SIM
+    rng = np.random.default_rng(8)
+    size = np.where(np.arange(150) < 60, 1, rng.integers(2, 20, 150))
+    dense = np.zeros((150, 60))
+    for i, n in enumerate(size):
+        dense[i, rng.choice(60, n, replace=False)] = rng.uniform(0.5, 2.0, n)
+    dense[140] = dense[141] * 3
+    weights = spark.createDataFrame([(i, f"t{k}", k + 1, float(dense[i, k])) for i, k in zip(*map(lambda x: x.tolist(), np.nonzero(dense)))],
+                                    "uid long, term string, df long, weight double")
+    monkeypatch.setattr(SIM, "LEAST_ENTRIES", 50)
+    monkeypatch.setattr(SIM, "BLOCKS", 1000)
+    deal, meet, pairs = SIM.block_table(SIM.packed(weights), threshold)
+    assert max(d[2] for d in deal) > 1 and pairs > 20
+    unit = dense / np.linalg.norm(dense, axis=1)[:, None]
+    cos = unit @ unit.T
+    want = {(i, j) for i in range(150) for j in range(i + 1, 150) if cos[i, j] >= threshold - 1e-9}
+    got = {(r.i, r.j): r.similarity for r in SIM.similar_pairs(weights, threshold).collect()}
+    assert set(got) == want and len(want) > 10
+    assert all(abs(s - cos[i, j]) < 1e-9 for (i, j), s in got.items())
+    # 300 texts that share the rarest term and nothing else: 44,850 pairs of postings, no candidate
+    keys = [[1, *range(i + 10, i + 3010, 300)] for i in range(300)]
+    rows = pa.table({"uid": range(300), "k": keys, "u": [[11 ** -0.5] * 11] * 300, "w1": [11 ** 0.5] * 300, "wx": [11 ** -0.5] * 300})
+    block = SIM._Texts(rows, threshold)
+    assert sum(len(i) for i, _ in SIM._candidates(block, block, threshold, True)) == 0
