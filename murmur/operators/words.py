@@ -9,8 +9,9 @@ the longest word, so no match is lost at a cut.
 
 The automaton travels to the tasks, so its size is checked: words are read in
 sorted order and dealt to groups of at most MOST_STATES states (words with the
-same first letters stay together), each an automaton and a pass of its own.
-The driver holds one group at a time.
+same first letters stay together), each an automaton and a pass of its own
+over the texts, which are computed and written once if there are several.
+The driver holds one group at a time (two at the first pass).
 
 Matching is by substring and case-sensitive, as in the batch rules.  Blank
 words match nothing; a word listed twice has its first place; null texts hold
@@ -19,6 +20,7 @@ no word."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -168,12 +170,21 @@ def group_matches(texts: DataFrame, group: list[tuple[int, str]], text_col: str,
     return texts.mapInArrow(match, schema)
 
 
+def _passes(texts: DataFrame, words: DataFrame, text_col: str, first: bool, most_states: int) -> Iterator[DataFrame]:
+    """The written matches of every group.  With more than one, the texts are
+    written before, so that no pass joins or shuffles them again."""
+    groups = word_groups(words, most_states)
+    ahead = list(islice(groups, 2))
+    own = cut(texts) if len(ahead) > 1 else texts
+    for group in chain(ahead, groups):
+        yield cut(group_matches(own, group, text_col, first))
+
+
 def word_matches(texts: DataFrame, words: DataFrame, text_col: str, most_states: int = MOST_STATES) -> DataFrame:
     """One row per text and word of ``words`` (pos, word) that it holds: the
     other columns of ``texts``, pos, word."""
     out = None
-    for group in word_groups(words, most_states):
-        part = cut(group_matches(texts, group, text_col, first=False))
+    for part in _passes(texts, words, text_col, False, most_states):
         out = part if out is None else out.unionByName(part)
     return _none(texts, text_col) if out is None else out
 
@@ -183,7 +194,7 @@ def first_words(texts: DataFrame, words: DataFrame, id_col: str, text_col: str,
     the list, the one with the smallest place (equal places: by word).  With one
     automaton the rows are not shuffled; with more, the firsts of each are
     compared by ``id_col``."""
-    parts = [cut(group_matches(texts, g, text_col, first=True)) for g in word_groups(words, most_states)]
+    parts = list(_passes(texts, words, text_col, True, most_states))
     if len(parts) < 2:
         return parts[0] if parts else _none(texts, text_col)
     out = parts[0]

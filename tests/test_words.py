@@ -92,3 +92,23 @@ def test_word_list_of_the_posts_is_long(spark):
     """The registered queries use lists far beyond what a rule lists by hand."""
     from murmur.plans import catalog
     assert catalog._word_list(spark, "/root/testdata/sf0.01").filter(F.length("word") >= 2).count() > 10_000
+
+
+def test_texts_are_computed_once_however_many_automata(spark):
+    from pyspark.sql import functions as F
+    from murmur.operators import words as W
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def say(k):
+        seen.add(1)
+        return f"word{k} and nothing"
+
+    texts = spark.range(20).select("id", say("id").alias("content"))
+    listed = spark.createDataFrame([(k, f"{'abcdefgh'[k % 8]}word{k}"[k < 20:]) for k in range(40)], "pos long, word string")
+    assert len(list(W.word_groups(listed, 30))) > 3
+    assert W.word_matches(texts, listed, "content", 30).count() == 30       # word1 is in word10 to word19, too
+    assert seen.value == 20
+    firsts = W.first_words(texts, listed, "id", "content", 30)
+    assert {r.id: r.word for r in firsts.collect()} == {k: f"word{1 if 9 < k else k}" for k in range(20)}
+    assert seen.value == 40
