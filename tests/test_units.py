@@ -722,3 +722,19 @@ def test_similarity_join_over_many_blocks(spark, monkeypatch, threshold):
     rows = pa.table({"uid": range(300), "k": keys, "u": [[11 ** -0.5] * 11] * 300, "w1": [11 ** 0.5] * 300, "wx": [11 ** -0.5] * 300})
     block = SIM._Texts(rows, threshold)
     assert sum(len(i) for i, _ in SIM._candidates(block, block, threshold, True)) == 0
+
+
+def test_terms_are_counted_where_their_text_lies(spark):
+    """Texts are shuffled by their hash, tokens not at all; copies count."""
+    from murmur.operators import tfidf as TF
+    posts = spark.createDataFrame([(1, "red red fox"), (2, "red red fox"), (3, "fox"), (4, None)], "id long, content string")
+    st = TF.text_stats(posts)
+    plan = st.tf._jdf.queryExecution().executedPlan().toString()
+    moves = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert moves and not any("term" in x for x in moves)
+    assert sorted((r.term, r.c) for r in st.tf.collect()) == [("fox", 1), ("fox", 2), ("red", 4)]
+    df = spark.createDataFrame([("fox", 3), ("red", 2)], "term string, df long")
+    got = {(r.id, r.term): round(r.weight, 6) for r in TF.expand_to_posts(TF.tfidf(st, df).select("uid", "term", "weight"), st).collect()}
+    import math
+    assert got == {(i, t): round(w * math.log(4 / (1 + n)), 6) for i, t, w, n in
+                   [(1, "red", 1.0, 2), (2, "red", 1.0, 2), (1, "fox", 0.75, 3), (2, "fox", 0.75, 3), (3, "fox", 1.0, 3)]}
