@@ -1334,10 +1334,10 @@ def q_live_feed_filtered(spark, d):
 from ..operators import score as SC  # noqa: E402
 
 
-def _labelled(spark, d):
-    """Posts of the documents with a quality label, used as the sentiment label."""
-    return _D(spark, d).filter(F.col("sentiment").isNotNull()) \
-                       .select("id", "content", F.col("sentiment").alias("label"))
+def _labelled(posts):
+    """Posts of the documents with a quality label, used as the sentiment label.
+    Training reads them several times, so ``posts`` should be a written table."""
+    return posts.filter(F.col("sentiment").isNotNull()).select("id", "content", F.col("sentiment").alias("label"))
 
 
 def _split(df):
@@ -1346,25 +1346,27 @@ def _split(df):
     return df.filter(h < 8), df.filter(h >= 8)
 
 
-@register("train_eval")
+@register("train_eval", scoped=True)
 def q_train_eval(spark, d):
     """M3: train the default classifier on 80 % of the labelled posts, evaluate on the rest."""
-    tr, te = _split(_labelled(spark, d))
+    tr, te = _split(cut(_labelled(_D(spark, d))))
     return SC.evaluate(SC.train(tr), te)
 
 
-@register("score_posts")
+@register("score_posts", scoped=True)
 def q_score_posts(spark, d):
     """M1: every post scored by the classifier trained on the labelled posts."""
-    model = SC.train(_labelled(spark, d))
-    return SC.score_posts(_D(spark, d).select("id", "content"), model).select("id", "sentiment", "sentiment_score")
+    posts = cut(_D(spark, d).select("id", "content", "sentiment"))
+    model = SC.train(_labelled(posts))
+    return SC.score_posts(posts.select("id", "content"), model).select("id", "sentiment", "sentiment_score")
 
 
-@register("analyze_batch")
+@register("analyze_batch", scoped=True)
 def q_analyze_batch(spark, d):
     """M4: pending posts scored and given keywords, merged into the posts table."""
-    model = SC.train(_labelled(spark, d))
-    out = SC.analyze_batch(_D(spark, d), SC.model_scorer(model), 5)
+    posts = cut(_D(spark, d))
+    model = SC.train(_labelled(posts))
+    out = SC.analyze_batch(posts, SC.model_scorer(model), 5)
     return out.select("id", "sentiment", "sentiment_score", "analyze_status", "keywords")
 
 
@@ -1425,7 +1427,7 @@ def q_eval_fixed(spark, d):
     """M3: area under ROC and accuracy of the scorer of fixed weights over all
     labelled posts, ties included."""
     p = (F.length("content") % 10) / 10.0
-    pred = _labelled(spark, d).select("label", p.alias("score"), F.when(p > 1 - p, 1).otherwise(0).alias("prediction"))
+    pred = _labelled(_D(spark, d)).select("label", p.alias("score"), F.when(p > 1 - p, 1).otherwise(0).alias("prediction"))
     return SC.binary_metrics(pred)
 
 
@@ -1480,7 +1482,7 @@ def _doc_feed(spark, d) -> DataFrame:
 def q_stream_score(spark, d):
     """ST2: documents arriving as a file stream, scored and given keywords per
     micro-batch with the classifier trained on labelled posts."""
-    model = SC.train(_labelled(spark, d))
+    model = SC.train(cut(_labelled(_D(spark, d))))
     posts = _doc_feed(spark, d).select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
     return spark.read.parquet(ST.run_scoring(posts, SC.model_scorer(model))).drop("_epoch")
 
