@@ -62,9 +62,11 @@ def _lines(d: DataFrame) -> DataFrame:
 
 
 def token_classes(d: DataFrame):
-    """A binary literal: for every hash bucket the class of how often its words
+    """One binary value: for every hash bucket the class of how often its words
     occur in all documents, the rarest first.  2^CLASS_BITS bytes for any corpus;
-    class 1 holds the words that occur once, which no other line can share."""
+    class 1 holds the words that occur once, which no other line can share.
+    A scalar subquery: a literal of that size would stand in hexadecimal in every
+    description of a plan that the driver keeps and sends to its listeners."""
     page = 12
     bucket = F.shiftrightunsigned(F.xxhash64("t"), 64 - CLASS_BITS)
     seen = (d.select(F.explode(F.split(F.lower("_m_text"), r"[ \n\t\x0B\f\r]+")).alias("t")).filter("t <> ''")
@@ -76,20 +78,26 @@ def token_classes(d: DataFrame):
                  .select(F.shiftright("b", page).alias("page"),
                          F.struct(F.col("b").bitwiseAND(F.lit((1 << page) - 1)).cast("short").alias("at"), klass.cast("byte").alias("c")).alias("e"))
                  .groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: F.char(e["c"])), "").alias("s")))
-    return F.lit(bytearray("".join(s for _, s in sorted(map(tuple, pages.collect()))).encode("ascii")))
+    return _in_order(pages, "page", "s", lambda s: F.array_join(s, "").cast("binary")).scalar()
+
+
+def _in_order(pages: DataFrame, key: str, value: str, join) -> DataFrame:
+    """One row: what ``join`` makes of the values of a few pages in order of their key."""
+    every = F.array_sort(F.collect_list(F.struct(key, value)))
+    return cut(pages.agg(join(F.transform(every, lambda x: x[value])).alias("v")))
 
 
 def _coded(d: DataFrame, num: int, den: int) -> DataFrame:
     """(doc, line, h1, h2, size, sig, wide, skip, prefix) of every line with words; a code is
     a token's class, then 56 bits of its hash: sorted codes are rarest first.  The first
     ``skip`` tokens of the prefix occur in no other line and are left out of ``prefix``."""
-    classes = token_classes(d)
     low = 56
-    x = _lines(d).select("doc", "line", _tokens(F.col("text")).alias("hashes"))
-    x = x.filter(F.size("hashes") > 0)
-    klass = lambda h: F.ascii(F.substring(classes, (F.shiftrightunsigned(h, 64 - CLASS_BITS) + 1).cast("int"), F.lit(1)).cast("string"))
+    # asked of the text: a filter on the tokens would be pushed down and make them twice
+    x = _lines(d).filter(F.col("text").rlike(r"[^ \t\x0B\f\r]")).select("doc", "line", _tokens(F.col("text")).alias("hashes"))
+    klass = lambda h: F.ascii(F.substring(F.col("classes"), (F.shiftrightunsigned(h, 64 - CLASS_BITS) + 1).cast("int"), F.lit(1)).cast("string"))
     code = lambda h: F.shiftleft(klass(h).cast("long"), low).bitwiseOR(h.bitwiseAND(F.lit((1 << low) - 1)))      # noqa: E731
-    x = x.select("doc", "line", F.sort_array(F.transform("hashes", code)).alias("codes"))
+    # the optimiser puts the subquery in place of the column, which is used once: no row carries it
+    x = x.withColumn("classes", token_classes(d)).select("doc", "line", F.sort_array(F.transform("hashes", code)).alias("codes"))
     # long lines differ in more tokens than 64 bits can tell: four times the signature, empty for the others
     parts = [f"aggregate(filter(codes, c -> (shiftright(c, 6) & 3) = {k}), 0L, (a, c) -> a ^ shiftleft(1L, cast(c & 63 as int)))" for k in range(4)]
     size = F.size("codes")
@@ -151,12 +159,11 @@ def _only(d: DataFrame, asked: DataFrame) -> DataFrame:
     2^FILTER_BITS bits (hash of the doc), so the texts of others stay where they are.
     Rows of ``asked`` always pass."""
     bit = F.pmod(F.xxhash64("doc"), F.lit(1 << FILTER_BITS))
-    words = (asked.select(bit.alias("b")).groupBy((F.col("b") / 64).cast("int").alias("w"))
-                  .agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("m")).collect())
-    table = [0] * (1 << (FILTER_BITS - 6))
-    for w, m in words:
-        table[w] = m
-    bits = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
+    held = asked.select((bit / 64).cast("long").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc), {1 << FILTER_BITS}) % 64 as int))").alias("m"))
+    every = d.sparkSession.range(1 << (FILTER_BITS - 6)).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("m"))
+    pages = (held.unionByName(every).groupBy("w").agg(F.bit_or("m").alias("m")).groupBy(F.shiftright("w", 7).alias("page"))
+                 .agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "m"))), lambda x: x["m"]).alias("words")))
+    bits = _in_order(pages, "page", "words", F.flatten).scalar()     # not a literal, see token_classes
     word = F.get(bits, (bit / 64).cast("int"))
     return d.withColumn("_b", (bit % 64).cast("int")).withColumn("_w", word).filter("getbit(_w, _b) = 1").drop("_b", "_w")
 

@@ -228,6 +228,19 @@ def test_near_copies_are_not_paired_all_with_all(spark):
     assert got == brute_lines(docs)
 
 
+def test_lines_ship_no_large_literals(spark):
+    """The table of classes (1 MB) and the filter of documents (128 KB) are not
+    spelt out in plans, which the driver describes again and again."""
+    df = spark.createDataFrame([(i, f"alpha beta w{i}\n \t\nx y z") for i in range(20)], "doc_id long, text string")
+    d = lines._identified(df, "doc_id", "text")
+    coded = lines._coded(d, 4, 5)
+    assert coded.count() == 40
+    only = lines._only(d, d.filter("doc % 2 = 0").select("doc"))
+    assert {r.doc for r in only.collect()} >= set(range(0, 20, 2))
+    for x in (coded, only):
+        assert len(x._jdf.queryExecution().toString()) < 100_000
+
+
 def test_lines_of_odd_rows(spark, odd_docs, odd_rows, no_docs):
     got = lines.line_report(odd_docs).collect()
     assert len(got) == len(odd_rows)
