@@ -234,13 +234,15 @@ def run_keyword_alerts(posts: DataFrame, words: DataFrame, lookback_minutes: int
                        checkpoint: str | None = None) -> str:
     """ST7 for a word table (pos, word) of any size: every batch goes through the
     automaton of the words, which are read anew for each batch, so a changed
-    list counts from the next batch on."""
+    list counts from the next batch on.  A batch without recent posts builds no
+    automaton."""
     from ..operators.words import first_words
     out, checkpoint = _paths(posts.sparkSession, "keyword_table", out, checkpoint)
 
     def sink(batch: DataFrame, epoch: int):
         recent = _recent(batch, lookback_minutes, now).select("id", F.substring("content", 1, 80).alias("_preview"), "content")
-        (first_words(recent, words, "id", "content").select(*_keyword_alert("word", F.col("_preview")))
+        asked = words.limit(0) if recent.isEmpty() else words
+        (first_words(recent, asked, "id", "content").select(*_keyword_alert("word", F.col("_preview")))
          .write.mode("overwrite").parquet(f"{out}/_epoch={epoch}"))
 
     _run(posts, "keyword_table", sink, checkpoint)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from murmur.operators import alerts as AL
 from murmur.operators import words as W
+from murmur.streaming import streams as ST
 
 
 def brute(texts, words):
@@ -112,3 +113,20 @@ def test_texts_are_computed_once_however_many_automata(spark):
     firsts = W.first_words(texts, listed, "id", "content", 30)
     assert {r.id: r.word for r in firsts.collect()} == {k: f"word{1 if 9 < k else k}" for k in range(20)}
     assert seen.value == 40
+
+
+def test_batches_without_recent_posts_build_no_automaton(spark, tmp_path, monkeypatch):
+    """Three deliveries, one of them recent: the word list becomes an automaton once."""
+    import datetime as dt
+    now = dt.datetime(2024, 1, 30, 12)
+    for k, day in enumerate((1, 30, 2)):
+        (spark.createDataFrame([(k, "a planted word", now.replace(day=day, hour=11))], "id long, content string, crawl_time timestamp_ntz")
+         .coalesce(1).write.parquet(f"{tmp_path}/in/part{k}"))
+    posts = (spark.readStream.schema("id long, content string, crawl_time timestamp_ntz").option("recursiveFileLookup", "true")
+             .option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"))
+    words = spark.createDataFrame([(0, "planted"), (1, "none")], "pos long, word string")
+    built = []
+    monkeypatch.setattr(W, "Automaton", lambda words, real=W.Automaton: built.append(words) or real(words))
+    out = ST.run_keyword_alerts(posts, words, 24 * 60, now)
+    assert [(r.id, r.matched_word) for r in spark.read.parquet(out).collect()] == [(1, "planted")]
+    assert len(built) == 1 and len(ST._epochs(spark, out)) == 3
