@@ -16,7 +16,9 @@ path of a run is found from its own matches, at most ``max_len`` a character."""
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,8 @@ MIN_ENTROPY = 1.2    # nats, on the poorer side
 UNIT = 1_000_000     # costs are whole millionths of a nat, so that paths compare exactly
 UNKNOWN = 30 * UNIT  # cost of a character that the dictionary lacks
 SALTS = 16
+TOGETHER = 256       # runs of at most so many characters are stepped through together
+CELLS = 1 << 21      # characters times longest word that are stepped through together
 
 
 def text_runs(text) -> F.Column:
@@ -118,6 +122,39 @@ def best_path(length: int, arcs) -> list[int]:
     return ends[::-1]
 
 
+def best_paths(lengths: np.ndarray, run: np.ndarray, start: np.ndarray, size: np.ndarray, cost: np.ndarray) -> list[list[int]]:
+    """``best_path`` of many runs, end by end for all of them at once; the arcs
+    are columns: run (number from 0), start (from 1), len, cost."""
+    base = np.cumsum(lengths + 1) - lengths - 1
+    inside = start + size - 1 <= lengths[run]
+    run, start, size, cost = run[inside], start[inside], size[inside], cost[inside]
+    back_by = np.arange(size.max(initial=1), 0, -1)     # the longest word first: it wins among equal costs
+    way = np.full((int((lengths + 1).sum()), len(back_by)), 1 << 60, dtype=np.int64)
+    way[:, -1] = UNKNOWN
+    at = base[run] + start + size - 1
+    way[at[size == 1], -1] = 1 << 60
+    np.minimum.at(way, (at, len(back_by) - size), cost)
+    best, back = np.zeros(len(way), dtype=np.int64), np.zeros(len(way), dtype=np.int64)
+    order = np.argsort(-lengths, kind="stable")
+    first, long = base[order], -lengths[order]
+    for end in range(1, int(lengths.max(initial=0)) + 1):
+        here = first[:np.searchsorted(long, -end, "right")] + end
+        total = way[here] + best[np.maximum(here[:, None] - back_by, 0)]
+        which = total.argmin(axis=1)
+        best[here] = total[np.arange(len(here)), which]
+        back[here] = end - back_by[which]
+    ends = np.zeros(len(way), dtype=bool)
+    left, to = base, lengths
+    while len(to):
+        left, to = left[to > 0], to[to > 0]
+        ends[left + to] = True
+        to = back[left + to]
+    where = np.flatnonzero(ends)
+    owner = np.searchsorted(base, where, "right") - 1
+    cuts = np.searchsorted(owner, np.arange(1, len(lengths)))
+    return [x.tolist() for x in np.split(where - base[owner], cuts)] if len(lengths) else []
+
+
 def segment_runs(runs: DataFrame, costs: DataFrame, max_len: int | None = None) -> DataFrame:
     """(run, words): every distinct run of ``runs`` (run) cut into words."""
     if max_len is None:
@@ -132,10 +169,27 @@ def segment_runs(runs: DataFrame, costs: DataFrame, max_len: int | None = None)
 
     def paths(batches):
         for b in batches:
-            words = []
-            for run, arcs in zip(b.column("run").to_pylist(), b.column("arcs").to_pylist()):
-                ends = best_path(len(run), [(a["start"], a["len"], a["cost"]) for a in arcs or ()])
-                words.append([run[a:z] for a, z in zip([0, *ends], ends)])
+            texts, arcs = b.column("run").to_pylist(), b.column("arcs")
+            lengths = np.array([len(t) for t in texts], dtype=np.int64)
+            count = pc.fill_null(pc.list_value_length(arcs), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat, stop = arcs.flatten(), np.cumsum(count)
+            start, size, cost = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+            ends, low = [], 0
+            while low < len(texts):
+                if lengths[low] > TOGETHER:
+                    of = slice(stop[low] - count[low], stop[low])
+                    ends.append(best_path(int(lengths[low]), zip(start[of].tolist(), size[of].tolist(), cost[of].tolist())))
+                    low += 1
+                    continue
+                high = low + 1
+                cells = lengths[low] + 1
+                while high < len(texts) and lengths[high] <= TOGETHER and (cells + lengths[high] + 1) * max_len <= CELLS:
+                    cells += lengths[high] + 1
+                    high += 1
+                of = slice(stop[low] - count[low], stop[high - 1])
+                ends += best_paths(lengths[low:high], np.repeat(np.arange(high - low), count[low:high]), start[of], size[of], cost[of])
+                low = high
+            words = [[t[a:z] for a, z in zip([0, *e], e)] for t, e in zip(texts, ends)]
             yield pa.record_batch([b.column("run"), pa.array(words, pa.list_(pa.string()))], names=["run", "words"])
 
     return whole.mapInArrow(paths, "run string, words array<string>")

@@ -4,6 +4,8 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+
 from murmur.operators import segment as SG
 
 
@@ -34,6 +36,25 @@ def test_paths_are_the_cheapest(spark):
     assert got == {x: cut_brute(x, cost, max(map(len, words))) for x in runs}
 
 
+def test_paths_together_equal_paths_alone(spark, monkeypatch):
+    r = random.Random(5)
+    for _ in range(20):
+        lengths = [r.choice([0, 1, 2, 5, 30]) for _ in range(r.randint(0, 60))]
+        arcs = [(k, a, n, r.choice([0, 1, 2, 3 * SG.UNKNOWN])) for k, length in enumerate(lengths)
+                for a in range(1, length + 1) for n in range(1, 5) if r.random() < 0.5]
+        columns = [np.array([x[c] for x in arcs], dtype=np.int64) for c in range(4)]
+        assert SG.best_paths(np.array(lengths, dtype=np.int64), *columns) == [
+            SG.best_path(length, [x[1:] for x in arcs if x[0] == k]) for k, length in enumerate(lengths)]
+    runs = spark.createDataFrame([("ab" * k + "c",) for k in range(200)] + [("",)], "run string").repartition(2)
+    costs = SG.word_costs(spark.createDataFrame([("ab", 5), ("abab", 3), ("a", 1)], "word string, freq long"))
+    want = {x.run: x.words for x in SG.segment_runs(runs, costs).collect()}      # together up to 256 characters, alone above
+    assert "".join(want["ab" * 199 + "c"]) == "ab" * 199 + "c" and want[""] == [] and len(want) == 201
+    monkeypatch.setattr(SG, "CELLS", 50)
+    assert {x.run: x.words for x in SG.segment_runs(runs, costs).collect()} == want
+    monkeypatch.setattr(SG, "TOGETHER", -1)
+    assert {x.run: x.words for x in SG.segment_runs(runs, costs).collect()} == want
+
+
 def learn_brute(runs, max_len, min_count, min_pmi, min_entropy):
     freq, near = Counter(), {}
     for run, n in runs.items():
