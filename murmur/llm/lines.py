@@ -15,10 +15,11 @@ tokens; the join on prefix tokens applies the length filter, the positional
 filter at the first shared token and a 64-bit parity signature, and what is left
 is verified on the words themselves.
 
-A group of near copies must not be paired all with all: a prefix row that
-already has a likely match among its nearest predecessors of the same token and
-size keeps that one pair and is left out of the wide join.  A line whose likely
-matches all fail is joined again without that shortcut, so the result is exact.
+A group of near copies must not be paired all with all, and one match is enough
+for a line.  So the nearest predecessors at a line's rarest tokens are tried
+first; then, where a token shows that a crowd of similar lines shares it, its open
+lines meet growing shares of all lines (by hash).  A line with a verified match
+asks no more; all others are joined with all earlier lines, so the result is exact.
 
 Edge cases: a null text has no lines with words; repeated rows (same id and
 text) are one document, reported as often as they come; rows without doc_id
@@ -38,7 +39,9 @@ from .common import cut, documents_of, input_tasks
 NUM, DEN = 4, 5
 LONG_LINE = 64          # tokens from which a line has the wide signature too
 CLASS_BITS = 20         # hash buckets in which token frequencies are counted: 2^20
-LOOK_BACK = 2
+FIRST, LOOK_BACK = 3, 2  # rarest tokens of a line, and predecessors at each, that are tried first
+CROWD, CROWD_HITS = 64, 4   # predecessors, and likely matches beyond so many, that make a crowd
+CROWD_STEP = 8          # by which the share of lines that a crowd meets grows
 FILTER_BITS = 20
 
 
@@ -124,34 +127,63 @@ def _passes(x: str, y: str, num: int, den: int) -> str:
             f" AND 1 + least({x}.size - {x}.i, {y}.size - {y}.i) - 1 >= {least}")
 
 
-def _prefix_rows(reps: DataFrame) -> DataFrame:
-    rows = reps.select("doc", "line", "size", "sig", "wide", "skip", F.posexplode("prefix").alias("i", "code"))
+def _prefix_rows(reps: DataFrame, first: int | None = None) -> DataFrame:
+    """A row for every token of the prefixes (the ``first`` ones), dealt by token;
+    a column ``asks`` of ``reps`` goes with them."""
+    prefix = F.slice("prefix", 1, first) if first else F.col("prefix")
+    rows = reps.select(*[c for c in reps.columns if c != "prefix"], F.posexplode(prefix).alias("i", "code"))
     rows = rows.withColumn("i", F.col("i") + F.col("skip")).drop("skip")
     # stated here, so that no reader of the rows adds them and all share one exchange
     return rows.filter(" AND ".join(f"{c} IS NOT NULL" for c in rows.columns)).repartition("code")
 
 
 def _pairs_of(x: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
-    """(doc, line, doc2, line2): prefix rows of ``x`` with all earlier rows that
-    pass the filters."""
+    """(doc, line, doc2, line2): prefix rows of ``x`` (those that ask, if it has
+    such a column) with all earlier rows that pass the filters."""
     earlier = "(y.doc < x.doc OR (y.doc = x.doc AND y.line < x.line))"
-    j = x.alias("x").join(rows.alias("y"), F.expr(f"x.code = y.code AND {_passes('x', 'y', num, den)} AND {earlier}"))
+    # y.size is never negative: a test of x alone would be made before the rows are dealt, and they would be dealt twice
+    asks = "(x.asks OR y.size < 0) AND " if "asks" in x.columns else ""
+    j = x.alias("x").join(rows.alias("y"), F.expr(f"x.code = y.code AND {asks}{_passes('x', 'y', num, den)} AND {earlier}"))
     return j.select("x.doc", "x.line", F.col("y.doc").alias("doc2"), F.col("y.line").alias("line2"))
 
 
 def _candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Likely matches among the nearest predecessors of the same token and size,
-    and for the rows without one all that passes the filters."""
-    w = Window.partitionBy("code", "size").orderBy("doc", "line")
-    me = F.struct("doc", "line", "size", "sig", "wide", "i")
-    x = rows.select("doc", "line", "size", "sig", "wide", "i", "code", *[F.lag(me, k).over(w).alias(f"y{k}") for k in range(1, LOOK_BACK + 1)])
-    x = x.withColumn("x", me)
+    """(doc, line, doc2, line2, code, place): a likely match among the nearest
+    predecessors at the same token, for the rows that have one; ``place`` counts
+    the token's rows up to this one."""
+    w = Window.partitionBy("code").orderBy("doc", "line")
+    x = rows.withColumn("x", F.struct("doc", "line", "size", "sig", "wide", "i"))
+    x = x.select("code", "x", F.row_number().over(w).alias("place"), *[F.lag("x", k).over(w).alias(f"y{k}") for k in range(1, LOOK_BACK + 1)])
     near = F.coalesce(*[F.expr(f"CASE WHEN {_passes('x', f'y{k}', num, den)} THEN y{k} END") for k in range(1, LOOK_BACK + 1)])
-    x = x.withColumn("near", near).drop("x", *[f"y{k}" for k in range(1, LOOK_BACK + 1)])
-    found = _pairs_of(x.filter("near IS NULL"), rows, num, den)
-    likely = x.filter("near IS NOT NULL").select("doc", "line", F.col("near.doc").alias("doc2"), F.col("near.line").alias("line2"))
-    both = found.withColumn("likely", F.lit(False)).unionByName(likely.withColumn("likely", F.lit(True)))
-    return both.groupBy("doc", "line", "doc2", "line2").agg(F.max("likely").alias("likely"))
+    return (x.withColumn("near", near).filter("near IS NOT NULL")
+             .select("x.doc", "x.line", F.col("near.doc").alias("doc2"), F.col("near.line").alias("line2"), "code", "place"))
+
+
+def _crowd_matches(d: DataFrame, reps: DataFrame, likely: DataFrame, good: DataFrame, num: int, den: int) -> list[DataFrame]:
+    """Lines with a verified match that are not in ``good`` yet, of those that
+    share a token with a crowd.  A line that is similar to many of them meets one
+    in a small share of all lines; only lines without go on to the next, larger
+    share, so the pairs grow with the lines and not with the square of a crowd.
+    Likely matches side by side far down a token's rows are a crowd's mark: lines
+    that share the token and no more seldom lie so."""
+    far = cut(likely.filter(f"place > {CROWD}").groupBy("code").agg(F.count(F.lit(1)).alias("hits"), F.max("place").alias("place"))
+                    .filter(f"hits >= {CROWD_HITS}").select("code", "place"))
+    top = far.agg(F.max("place")).first()[0]
+    if top is None:
+        return []
+    where = ["doc", "line"]
+    asks = cut(reps.select(*where, F.explode("prefix").alias("code")).join(far.select("code"), "code", "left_semi").select(*where).distinct()
+                   .join(good, where, "left_anti"))
+    found, share = [], CROWD_STEP
+    while share * CROWD < top:
+        share *= CROWD_STEP
+    while share > 1 and not asks.isEmpty():
+        some = reps.filter(F.pmod(F.xxhash64(*where), F.lit(share)) == 0)
+        pairs = cut(_pairs_of(_prefix_rows(reps.join(asks, where, "left_semi")), _prefix_rows(some), num, den).distinct())
+        found.append(cut(_verified(d, pairs, num, den)))
+        asks = cut(asks.join(found[-1], where, "left_anti"))
+        share //= CROWD_STEP
+    return found
 
 
 def _only(d: DataFrame, asked: DataFrame) -> DataFrame:
@@ -218,14 +250,14 @@ def removed_lines(docs: DataFrame, num: int = NUM, den: int = DEN, id_col: str =
                      .filter(place != F.col("p")).select("doc", "line"))
     remove_path(d.sparkSession, path)       # every line's prefix: the classes' are enough from here
     reps = reps.select("r.*")
-    rows = _prefix_rows(reps)
-    pairs = cut(_candidates(rows, num, den))
-    good = cut(_verified(d, pairs.drop("likely"), num, den))
-    # lines with a likely match of which none held: the wide join without the shortcut
-    failed = cut(pairs.filter("likely").select("doc", "line").distinct().join(good, ["doc", "line"], "left_anti"))
-    more = _verified(d, cut(_pairs_of(_prefix_rows(reps.join(failed, ["doc", "line"], "left_semi")), rows, num, den).distinct()),
-                     num, den)
-    return again.unionByName(good).unionByName(more).distinct()
+    likely = cut(_candidates(_prefix_rows(reps, FIRST), num, den))
+    good = cut(_verified(d, likely.select("doc", "line", "doc2", "line2").distinct(), num, den))
+    for more in _crowd_matches(d, reps, likely, good, num, den):
+        good = good.unionByName(more)
+    open_ = reps.join(good.withColumn("done", F.lit(True)), ["doc", "line"], "left")
+    rows = _prefix_rows(open_.withColumn("asks", F.col("done").isNull()).drop("done"))
+    rest = _verified(d, cut(_pairs_of(rows, rows, num, den).distinct()), num, den)
+    return again.unionByName(good).unionByName(rest).distinct()
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **threshold) -> DataFrame:

@@ -228,6 +228,20 @@ def test_near_copies_are_not_paired_all_with_all(spark):
     assert got == brute_lines(docs)
 
 
+def test_pairs_of_a_crowd_grow_with_its_lines(spark, monkeypatch):
+    """Copies of which few pairs are similar enough, so that neighbours seldom are."""
+    r = random.Random(4)
+    base, docs = [f"w{i}" for i in range(40)], []
+    for i in range(600):
+        gone = set(r.sample(range(40), r.choice((1, 2, 2, 3, 3, 4, 4, 4, 5, 5, 6, 6))))
+        docs.append((i, " ".join(f"new{i}x{k}" if k in gone else w for k, w in enumerate(base))))
+    seen, verified = [], lines._verified
+    monkeypatch.setattr(lines, "_verified", lambda d, pairs, *a: seen.append(pairs.count()) or verified(d, pairs, *a))
+    got = {x.doc_id: list(x.removed_lines) for x in lines.line_report(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute_lines(docs) and sum(map(len, got.values())) > 300
+    assert sum(seen) < 600 * 10, seen
+
+
 def test_lines_ship_no_large_literals(spark):
     """The table of classes (1 MB) and the filter of documents (128 KB) are not
     spelt out in plans, which the driver describes again and again."""
