@@ -16,6 +16,10 @@ angle to the k-th best of the nearest cells.  Approximate search
 neighbours of a bounded sample of queries are found by brute force over all
 rows, and the least number of cells that holds the wanted share of them is used.
 
+Clustering (``dense_clusters``) needs every pair within a wide angle, where rings
+leave little out: classes are dealt to blocks by hash, every pair of blocks is a
+task, and what leaves it are counts and spanning trees, never the pairs.
+
 Queries meet a block of the index as one matrix product.  Queries of a block
 are split by hash as well, so neither side of a product grows with the data,
 however many queries ask for the same cell.
@@ -44,6 +48,8 @@ RING = 0.16          # radians
 BLOCK = 4096         # classes, and queries, of one matrix product
 PROBE_SAMPLE = 256   # queries whose true neighbours set the number of probes
 SLACK = 1e-6
+PART = 1 << 21       # numbers in a block of clustering's vectors (16 MB), and in a piece of a matrix of cosines
+LEAST_PARTS = 10     # blocks of clustering, while those are smaller
 
 
 def _as_matrix(column) -> np.ndarray:
@@ -280,14 +286,122 @@ def probes_for(index: Index, k: int, recall: float = 0.9, sample: int = PROBE_SA
 
 # ------------------------------------------------------------------- clustering
 
+def _parts(classes: DataFrame, numbers: int) -> int:
+    """How many blocks hold ``classes`` with at most about ``numbers`` numbers in each."""
+    n = classes.agg(F.count(F.lit(1)), F.max(F.size("u"))).first()
+    return max(LEAST_PARTS, math.ceil(n[0] * (n[1] or 0) / numbers))
+
+
+def _block_pairs(left: DataFrame, right: DataFrame, work, schema: str, numbers: int, halves: bool) -> DataFrame:
+    """``work(a, b, same)`` of every pair of blocks of ``left`` and ``right`` (uid,
+    u, and one long ``with``).  ``halves``: both are one table, and a pair of blocks
+    is taken once, also that of a block with itself (``same``)."""
+    x, y = _parts(left, numbers), _parts(right, numbers)
+    own = lambda n: F.pmod(F.xxhash64("uid"), F.lit(n)).cast("int")
+    names = ["a", "b", "uid", "u", "with"]
+    a = (left.withColumn("a", own(x)).withColumn("b", F.explode(F.sequence(F.col("a") if halves else F.lit(0), F.lit(y - 1))))
+             .select(*[F.col(c).alias(f"l_{c}") for c in names]))
+    b = (right.withColumn("b", own(y)).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("b") if halves else F.lit(x - 1))))
+              .select(*[F.col(c).alias(f"r_{c}") for c in names]))
+
+    def meet(key, s: pa.Table, t: pa.Table) -> pa.Table:
+        s, t = s.rename_columns(names), t.rename_columns(names)
+        out = work(s, t, halves and key[0].as_py() == key[1].as_py()) if s.num_rows and t.num_rows else ([], [])
+        return pa.table([pa.array(c, type=pa.int64()) for c in out], names=["uid", "v"])
+
+    return a.groupBy("l_a", "l_b").cogroup(b.groupBy("r_a", "r_b")).applyInArrow(meet, schema)
+
+
+def _hits(a: np.ndarray, b: np.ndarray, threshold: float):
+    """(rows, columns) of the cosines of ``threshold`` or more, a piece of the matrix at a time."""
+    step = max(1, PART // len(b))
+    for at in range(0, len(a), step):
+        flat = np.flatnonzero(a[at:at + step] @ b.T >= threshold)
+        yield flat // len(b) + at, flat % len(b)
+
+
+def _unite(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``root`` (of every node, the smallest of its tree) once i and j are linked."""
+    while True:
+        low, high = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
+        apart = low != high
+        if not apart.any():
+            return root
+        i, j = i[apart], j[apart]
+        np.minimum.at(root, high[apart], low[apart])
+        while not np.array_equal(up := root[root], root):
+            root = up
+
+
+def neighbour_counts(classes: DataFrame, threshold: float, numbers: int = PART) -> DataFrame:
+    """(uid, mult, degree): rows within ``threshold`` of the class, its own included."""
+
+    def count(s, t, same):
+        n, m = s["with"].to_numpy(), t["with"].to_numpy()
+        of_a, of_b = np.zeros(len(n)), np.zeros(len(m))
+        ids = s["uid"].to_numpy(), t["uid"].to_numpy()
+        for i, j in _hits(_as_matrix(s["u"]), _as_matrix(t["u"]), threshold):
+            if same:
+                i, j = (x[ids[0][i] != ids[1][j]] for x in (i, j))
+            else:
+                of_b += np.bincount(j, n[i], len(m))
+            of_a += np.bincount(i, m[j], len(n))
+        at = of_a > 0, of_b > 0
+        return np.concatenate([ids[0][at[0]], ids[1][at[1]]]), np.concatenate([of_a[at[0]], of_b[at[1]]]).astype(np.int64)
+
+    x = classes.select("uid", "u", F.col("mult").alias("with"))
+    near = _block_pairs(x, x, count, "uid long, v long", numbers, True).groupBy("uid").agg(F.sum("v").alias("nb"))
+    return (classes.select("uid", "mult").join(near, "uid", "left")
+            .select("uid", "mult", (F.col("mult") + F.coalesce("nb", F.lit(0))).alias("degree")))
+
+
+def spanning_links(classes: DataFrame, threshold: float, numbers: int = PART) -> DataFrame:
+    """(i, j): links that connect what the pairs of ``threshold`` or more connect;
+    at most one a class and pair of blocks."""
+
+    def span(s, t, same):
+        ids = np.unique(np.concatenate([s["uid"].to_numpy(), t["uid"].to_numpy()]))
+        a, b = np.searchsorted(ids, s["uid"].to_numpy()), np.searchsorted(ids, t["uid"].to_numpy())
+        root = np.arange(len(ids))
+        for i, j in _hits(_as_matrix(s["u"]), _as_matrix(t["u"]), threshold):
+            root = _unite(root, a[i], b[j])
+        low = root != np.arange(len(ids))
+        return ids[root[low]], ids[low]
+
+    x = classes.select("uid", "u", F.lit(0).cast("long").alias("with"))
+    return _block_pairs(x, x, span, "uid long, v long", numbers, True).select(F.col("uid").alias("i"), F.col("v").alias("j"))
+
+
+def smallest_near(some: DataFrame, labelled: DataFrame, threshold: float, numbers: int = PART) -> DataFrame:
+    """(uid, label): for the classes of ``some`` (uid, u) with one of ``labelled``
+    (uid, u, label) within ``threshold``, the smallest label of those."""
+
+    def least(s, t, _):
+        label, none = t["with"].to_numpy(), np.iinfo(np.int64).max
+        best = np.full(s.num_rows, none)
+        for i, j in _hits(_as_matrix(s["u"]), _as_matrix(t["u"]), threshold):
+            np.minimum.at(best, i, label[j])
+        return s["uid"].to_numpy()[best < none], best[best < none]
+
+    x, y = some.select("uid", "u", F.lit(0).cast("long").alias("with")), labelled.select("uid", "u", F.col("label").alias("with"))
+    return _block_pairs(x, y, least, "uid long, v long", numbers, False).groupBy("uid").agg(F.min("v").alias("label"))
+
+
 def dense_clusters(vectors: DataFrame, threshold: float, min_samples: int, id_col: str = "vec_id",
-                   vec_col: str = "embedding", cells: int | None = None) -> DataFrame:
+                   vec_col: str = "embedding", numbers: int = PART) -> DataFrame:
     """C8 with C3: (id, label) by density clustering of dense vectors within
     cosine distance ``1 - threshold``; noise is left out.  Copies count as
-    neighbours, as in the text clustering."""
-    from .cluster import dbscan, labels_to_posts
+    neighbours, as in the text clustering.  All pairs are compared, so the work
+    grows with the square of the classes; what is shuffled and written does with
+    the number of blocks.  ``numbers`` bounds the size of a block."""
+    from .cluster import connected_components, labels_to_posts, undirected
     classes, members = classes_of(unit_vectors(vectors, id_col, vec_col))
-    pairs = (similar_vectors(build_index(classes, cells), threshold).filter("qid < uid")
-             .select(F.col("qid").alias("i"), F.col("uid").alias("j")))
-    labels = dbscan(classes.select("uid", "mult"), classes.select("uid"), pairs, min_samples)
-    return labels_to_posts(labels, members)
+    degree = cut(neighbour_counts(classes, threshold, numbers))
+    core = cut(classes.join(degree.filter(F.col("degree") >= min_samples).select("uid"), "uid").select("uid", "u"))
+    comp = connected_components(core.select("uid"), undirected(spanning_links(core, threshold, numbers)))
+    labels = comp.select("uid", F.col("comp").alias("label"))
+    # a class without other neighbours is noise
+    edge = cut(classes.join(degree.filter((F.col("degree") < min_samples) & (F.col("degree") > F.col("mult"))).select("uid"), "uid")
+               .select("uid", "u"))
+    border = smallest_near(edge, core.join(labels, "uid"), threshold, numbers)
+    return labels_to_posts(labels.unionByName(border), members)

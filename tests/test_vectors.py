@@ -104,3 +104,31 @@ def test_odd_vectors(spark):
         assert classes.count() == 0 and V.probes_for(index, 10) == (1, 1.0)
         assert V.similar_vectors(index, 0.5).count() == 0 and V.nearest_vectors(index, 10, 1).count() == 0
     assert V.dense_clusters(spark.createDataFrame(rows, SCHEMA), 0.9, 4).select("label").distinct().collect()[0].label == 1
+
+
+@pytest.mark.parametrize("numbers", [None, 300])
+def test_clusters_are_found_without_their_pairs(spark, monkeypatch, numbers):
+    """Equal to brute force, with border and noise rows and copies; the links that
+    labels run over grow with the classes, not with the pairs of a group."""
+    from murmur.operators import cluster
+    t, least = 0.9, 5
+    rows = clustered(5, n=700, groups=4) + clustered(6, n=60, groups=60)
+    rows = [(i, v) for i, (_, v) in enumerate(rows)] + [(2000 + k, rows[3][1]) for k in range(20)]
+    pairs, mult, uid, _ = brute(rows, t)
+    near = {i: {b for a, b in pairs if a == i} for i in uid}
+    core = {i for i in uid if mult[i] + sum(mult[j] for j in near[i]) >= least}
+    want = {}
+    for i in sorted(core):
+        todo = [] if i in want else [i]
+        while todo:
+            if (j := todo.pop()) not in want:
+                want[j] = i
+                todo += near[j] & core
+    border = {i: min(want[j] for j in near[i] & core) for i in uid if i not in core and near[i] & core}
+    assert border and len(core) + len(border) < len(uid) and len(pairs) > 80_000
+    links, components = [], cluster.connected_components
+    monkeypatch.setattr(cluster, "connected_components", lambda n, e: links.append(e.count()) or components(n, e))
+    got = V.dense_clusters(spark.createDataFrame(rows, SCHEMA).repartition(5), t, least, **{"numbers": numbers} if numbers else {})
+    assert {r.id: r.label for r in got.collect()} == want | border | {2000 + k: want[3] for k in range(20)}
+    assert links[0] < len(pairs) / 2
+    assert links[0] <= 2 * len(core) * (V._parts(spark.createDataFrame([(i, [0.0] * 8) for i in core], "uid long, u array<double>"), numbers or V.PART) + 1)
