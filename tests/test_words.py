@@ -130,3 +130,37 @@ def test_batches_without_recent_posts_build_no_automaton(spark, tmp_path, monkey
     out = ST.run_keyword_alerts(posts, words, 24 * 60, now)
     assert [(r.id, r.matched_word) for r in spark.read.parquet(out).collect()] == [(1, "planted")]
     assert len(built) == 1 and len(ST._epochs(spark, out)) == 3
+
+
+def test_table_of_words_equals_substring_search(monkeypatch):
+    """Runs that repeat, words of one hash, words with blanks and across runs."""
+    import pyarrow as pa
+    r = random.Random(2)
+    monkeypatch.setattr(W, "PAIRS", 7)
+    for k in range(150):
+        letters = "abé漢😀 "[: r.randint(1, 6)]
+        words = sorted({"".join(r.choice(letters) for _ in range(r.randint(1, 6))) for _ in range(r.randint(1, 30))})
+        texts = ["".join(r.choice(letters + " x") for _ in range(r.randint(0, 300))) for _ in range(r.randint(1, 8))]
+        monkeypatch.setattr(W.WordTable, "BASE", 1 if k % 3 == 0 else 0xD1342543DE82EF95)      # 1: anagrams share a hash
+        table = W.WordTable(pa.array([w.encode() for w in words]))
+        row, word = table.found([t.encode() for t in texts])
+        want = brute(texts, words)
+        assert {(i, words[k]) for i, k in zip(row.tolist(), word.tolist())} == want and len(row) == len(want)
+        row, word = table.found([t.encode() for t in texts], True)
+        assert dict(zip(row.tolist(), word.tolist())) == {i: min(words.index(w) for j, w in want if j == i) for i, _ in want}
+
+
+@pytest.mark.parametrize("most_words", [50, W.MOST_STATES])
+def test_long_lists_take_a_pass_per_table_not_per_automaton(spark, monkeypatch, most_words):
+    """Lists of any number of automata: as many passes as tables, no automaton built."""
+    words, texts, wdf, tdf = made(spark)
+    monkeypatch.setattr(W, "MOST_WORDS", most_words)
+    monkeypatch.setattr(W, "Automaton", None)
+    passes = []
+    monkeypatch.setattr(W, "table_matches", lambda *a, real=W.table_matches: passes.append(a[1].num_rows) or real(*a))
+    place = {w: min(p for p, x in words if x == w) for _, w in words if w and w.strip()}
+    got = {(r.id, r.word) for r in W.word_matches(tdf, wdf, "content", 100).collect()}
+    assert got == {(i, w) for i, t, _ in texts for w in place if w in (t or "")}
+    assert len(passes) == -(-len(place) // most_words) and sum(passes) == len(place)
+    firsts = {r.id: (r.pos, r.word) for r in W.first_words(tdf, wdf, "id", "content", 100).collect()}
+    assert firsts == {i: min((place[w], w) for j, w in got if j == i) for i, _ in got}
