@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import REPEATS, cut
 
 MOST_STATES = 1 << 17    # of one automaton: at most 128 MB of transitions, some 30 MB for one alphabet
 STRETCH = 256            # bytes that are stepped through at a time, at least
@@ -327,7 +327,7 @@ def _passes(texts: DataFrame, words: DataFrame, text_col: str, first: bool, most
     parts = -(-listed.count() // MOST_WORDS)
     own = cut(texts) if parts > 1 else texts
     for part in range(parts):
-        yield cut(table_matches(own, listed.filter(F.pmod(F.xxhash64("word"), F.lit(parts)) == part).toArrow(), text_col, first))
+        yield cut(table_matches(own, listed.filter(F.pmod(F.xxhash64("word"), F.lit(parts)) == part).toArrow(), text_col, first), **REPEATS)
 
 
 def word_matches(texts: DataFrame, words: DataFrame, text_col: str, most_states: int = MOST_STATES) -> DataFrame:
