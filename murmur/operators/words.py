@@ -39,7 +39,7 @@ MOST_STATES = 1 << 17    # of one automaton: at most 128 MB of transitions, some
 STRETCH = 256            # bytes that are stepped through at a time, at least
 SLICE = 1 << 21          # bytes of text that a task steps through together
 MOST_WORDS = 1 << 21     # of one table: some 40 bytes each
-RUNS_SLICE = 1 << 23     # bytes of text whose runs are looked up together
+RUNS_SLICE = 1 << 22     # bytes of text whose runs are looked up together
 PAIRS = 1 << 21          # pairs of text and word that are sorted together
 _GAP = 0xFF              # never part of UTF-8: parts one text from the next
 
